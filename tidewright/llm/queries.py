@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe
+from tidewright.llm import bpe, minhash
+from tidewright.sources.code import ship
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(spark, _read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id")

@@ -6,7 +6,7 @@ from tidewright.llm import queries as q
 
 
 def queries() -> dict:
-    return {"op1_bpe": q.op1_bpe}
+    return {k: f for k, f in vars(q).items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
