@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, minhash
+from tidewright.llm import bpe, minhash, mixing
 from tidewright.sources.code import ship
 
 
@@ -21,3 +21,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(spark, _read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(spark, _read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
