@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, minhash, mixing, quality
+from tidewright.llm import bpe, minhash, mixing, pii, quality
 from tidewright.sources.code import ship
 
 
@@ -31,3 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymised(spark, _read(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("found", lambda x: pii.kind_of(x) == k)).cast("long").alias(f"n_{k}")
+    kinds = [of(k) for k in ("email", "phone", "ip", "card", "ssn", "iban", "name")]
+    return out.select(F.col("row.doc_id").alias("doc_id"), F.col("safe").alias("text"), F.size("found").cast("long").alias("n_entities"), *kinds)
