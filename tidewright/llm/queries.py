@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, minhash, mixing, pii, quality
+from tidewright.llm import bpe, minhash, mixing, pii, quality, secrets
 from tidewright.sources.code import ship
 
 
@@ -38,3 +38,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.size(F.filter("found", lambda x: pii.kind_of(x) == k)).cast("long").alias(f"n_{k}")
     kinds = [of(k) for k in ("email", "phone", "ip", "card", "ssn", "iban", "name")]
     return out.select(F.col("row.doc_id").alias("doc_id"), F.col("safe").alias("text"), F.size("found").cast("long").alias("n_entities"), *kinds)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
