@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, minhash, mixing, pii, quality, secrets
+from tidewright.llm import bpe, html, minhash, mixing, pii, quality, secrets
 from tidewright.sources.code import ship
 
 
@@ -42,3 +42,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
