@@ -7,9 +7,10 @@ their bucket, and a pair counts only when its exact weighted Jaccard similarity
 reaches the threshold. Linked texts form classes.
 
 Scale: exact copies collapse to one node first; a bucket of m texts makes m - 1
-pairs with its leader, not m * m; pairs already in one class are not compared
-again; texts that the leader turns down meet the next leader, round after round,
-until a bucket has no untried leader. Document frequencies are kept in a hashed table of
+pairs with its leader first; what that joins into one class is not compared again. Only
+texts outside a bucket's largest class then meet the rest of their bucket, a few first and
+then all, so that no two texts of different classes in one bucket stay uncompared. A pair's
+samples are compared before its texts are fetched. Document frequencies are kept in a hashed table of
 fixed size over all documents: a document adds a bounded number of shingles, so
 the table's error relative to the number of documents does not grow with it.
 
@@ -194,23 +195,25 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(spark: SparkSession, docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, th, bands) of every row; bands is null for a text without words."""
+    """(id, th, marks, bands) of every row; bands is null for a text without words."""
     shared = spark.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1):
                 doc, value, tf = shingles(part.column(1))
-                got = samples(doc, value, weights(value, tf, shared.value), part.num_rows).reshape(part.num_rows, BANDS, ROWS)
+                marks = samples(doc, value, weights(value, tf, shared.value), part.num_rows)
+                got = marks.reshape(part.num_rows, BANDS, ROWS)
                 key = np.zeros((part.num_rows, BANDS), np.uint64)
                 for k in range(ROWS):
                     key = mixed(key * _P + got[:, :, k].astype(np.uint64) + np.uint64(1))
                 some = np.zeros(part.num_rows, bool)
                 some[doc] = True
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32()), pa.array(key.view(np.int64).ravel()), mask=pa.array(~some))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), bands], ["id", "th", "bands"])
+                marks = pa.array([x.tobytes() for x in marks], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), marks, bands], ["id", "th", "marks", "bands"])
 
-    return docs.select("id", "text", "th").mapInArrow(run, "id long, th binary, bands array<long>")
+    return docs.select("id", "text", "th").mapInArrow(run, "id long, th binary, marks binary, bands array<long>")
 
 
 def similar(spark: SparkSession, pairs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -250,55 +253,64 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def alike(pairs: DataFrame, least: int) -> DataFrame:
+    """Of pairs (a, b, marks_a, marks_b) those (a, b) with at least `least` samples in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= least))
+
+    return pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a binary, b binary")
+
+
+#: A pair of similarity 0.8 has this many of 64 samples in common but for a chance of 1 in 20,000; fewer aren't compared exactly.
+COMMON = int(BANDS * ROWS * (THRESHOLD - 0.2))
+#: Leaders of a bucket in the second turn.
+LEADERS = 4
+
+
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, th, class_th, class_id) of every row: class_id is the least id of the class, class_th the key of its text."""
     rows = keyed(docs, id_col, text_col)
     idf = inverse_frequencies(rows)
     signed = written(spark, signatures(spark, rows, idf), "signatures")
-    nodes = signed.groupBy("th").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("th").agg(F.min("id").alias("id"), F.first("marks").alias("marks"), F.first("bands").alias("bands"))
     slots = nodes.where("bands is not null").select("th", F.posexplode("bands").alias("band", "key"))
     sizes = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(spark, slots.join(sizes, ["band", "key"]).select("band", "key", "th"), "buckets")
-    wanted = buckets.select("th").distinct().join(nodes.select("th", "id"), "th")
-    texts = written(spark, rows.join(wanted, (rows.th == wanted.th) & rows.id.eqNullSafe(wanted.id)).select(rows.th, "text").dropDuplicates(["th"]), "texts")
+    wanted = written(spark, buckets.select("th").distinct().join(nodes.select("th", "id", "marks"), "th"), "wanted")
+    keys = wanted.select(F.col("th").alias("key_th"), F.col("id").alias("key_id"))
+    texts = written(spark, rows.join(keys, (rows.th == keys.key_th) & rows.id.eqNullSafe(keys.key_id)).select("th", "text").dropDuplicates(["th"]), "texts")
     labels: DataFrame | None = None
-    edges: list[str] = []
-    tried: list[str] = []  # leaders that have met their whole bucket
-    turn = 0
-    while True:
-        now = buckets.where(f"band < {BANDS // 4}") if turn == 0 else buckets
-        if labels is not None:
-            now = now.join(labels, now.th == labels.node, "left").select("band", "key", "th", F.coalesce("label", "th").alias("label"))
+    links: list[str] = []
+    for turn in range(3):
+        if labels is None:
+            now = buckets.withColumn("label", F.col("th"))
         else:
-            now = now.withColumn("label", F.col("th"))
-        if turn > 0:
-            spans = now.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
-            now = written(spark, now.join(spans, ["band", "key"]), "open")
-            led = spark.read.schema("band int, key long, th binary").parquet(*tried)
-            # Past the first two turns a bucket's next leader is a member that has not led it yet.
-            fresh = now.join(led, ["band", "key", "th"], "left_anti") if turn > 1 else now
+            now = buckets.join(labels, buckets.th == labels.node, "left").select("band", "key", "th", F.coalesce("label", "th").alias("label"))
+        if turn == 0:
+            leaders = now.groupBy("band", "key").agg(F.min("th").alias("lead")).withColumn("lead_label", F.col("lead"))
         else:
-            fresh = now
-        leaders = fresh.groupBy("band", "key").agg(F.min(F.struct("th", "label")).alias("lead"))
-        met = now.join(leaders, ["band", "key"]).where("label <> lead.label")
-        pairs = met.select(F.least("th", "lead.th").alias("a"), F.greatest("th", "lead.th").alias("b")).distinct()
-        path = shared_path(spark, "leaders")
-        leaders.select(F.col("band").cast("int"), "key", F.col("lead.th").alias("th")).write.parquet(path)
-        tried.append(path)
-        a, b = texts.select(F.col("th").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("th").alias("b"), F.col("text").alias("text_b"))
-        pairs = written(spark, pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0:
-                turn = 1
-                continue
-            break
+            # A bucket is open while its texts are of two classes or more. All pairs of two classes have a text outside the
+            # largest; those are the leaders, a few of them first, as what they join needs no more leaders, then all.
+            parts = now.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+            most = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", "key", F.col("most.label").alias("largest"))
+            now = written(spark, now.join(most, ["band", "key"]), "open")
+            leaders = now.where("label <> largest").select("band", "key", F.col("th").alias("lead"), F.col("label").alias("lead_label"))
+            if turn == 1:
+                least = leaders.groupBy("band", "key", F.pmod(F.xxhash64("lead"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("lead", "lead_label")).alias("x"))
+                leaders = least.select("band", "key", "x.lead", "x.lead_label")
+        met = now.join(leaders, ["band", "key"]).where("label <> lead_label and th <> lead")
+        pairs = met.select(F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")).distinct()
+        a, b = (wanted.select(F.col("th").alias(x), F.col("marks").alias(f"marks_{x}")) for x in "ab")
+        close = alike(pairs.join(a, "a").join(b, "b"), COMMON)
+        a, b = (texts.select(F.col("th").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         path = shared_path(spark, "links")
-        similar(spark, pairs.join(a, "a").join(b, "b"), idf, threshold).write.parquet(path)
-        edges.append(path)
-        links = spark.read.schema("a binary, b binary").parquet(*edges)
+        similar(spark, close.join(a, "a").join(b, "b"), idf, threshold).write.parquet(path)
+        links.append(path)
         if not spark.read.schema("a binary, b binary").parquet(path).isEmpty():
-            labels = components(spark, links)
-        turn += 1
+            labels = components(spark, spark.read.schema("a binary, b binary").parquet(*links))
     found = signed.select("id", "th")
     if labels is None:
         found = found.withColumn("class_th", F.col("th"))

@@ -9,5 +9,16 @@ def queries() -> dict:
     return {k: f for k, f in vars(q).items() if k.startswith("op")}
 
 
+#: The SQL of op5_warc: equal payloads of 1000 bytes or more point to the largest page_id.
+OP5 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS m FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
+FROM q
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_warc": OP5}
