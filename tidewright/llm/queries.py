@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, html, minhash, mixing, pii, quality, secrets, warc
+from tidewright.llm import ann, bpe, html, minhash, mixing, pii, quality, secrets, warc
 from tidewright.sources.code import ship
 
 
@@ -51,3 +51,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived(spark, _read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, _read(spark, sf_dir, "embeddings"))
