@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, bpe, html, minhash, mixing, pii, quality, secrets, warc
+from tidewright.llm import ann, bpe, html, minhash, mixing, pii, quality, secrets, tokencount, warc
 from tidewright.sources.code import ship
 
 
@@ -55,3 +55,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, _read(spark, sf_dir, "embeddings"))
+
+
+def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("edits", tokencount.sample_edits(F.col("doc_id"), F.col("text")))
+    return tokencount.counted(docs, public_tokenizers.path("byte_bpe_50k.json"))
