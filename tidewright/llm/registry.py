@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidewright.llm import queries as q
 
 
 def queries() -> dict:
-    return {k: f for k, f in vars(q).items() if k.startswith("op")}
+    ops = {k: f for k, f in vars(q).items() if k.startswith("op")}
+    return dict(sorted(ops.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
 
 
 #: The SQL of op5_warc: equal payloads of 1000 bytes or more point to the largest page_id.
