@@ -7,9 +7,10 @@ their bucket, and a pair counts only when its exact weighted Jaccard similarity
 reaches the threshold. Linked texts form classes.
 
 Scale: exact copies collapse to one node first; a bucket of m texts makes m - 1
-pairs with its leader first; what that joins into one class is not compared again. Only
-texts outside a bucket's largest class then meet the rest of their bucket, a few first and
-then all, so that no two texts of different classes in one bucket stay uncompared. A pair's
+pairs with its leader first; what that joins into one class is not compared again. Texts outside a bucket's
+largest class then meet a few of that class, and those still outside meet their whole
+bucket: pair by pair in small buckets, by pairs of blocks within a task in large ones, where only links
+leave the task. So no two texts of different classes in one bucket stay uncompared. A pair's
 samples are compared before its texts are fetched. Document frequencies are kept in a hashed table of
 fixed size over all documents: a document adds a bounded number of shingles, so
 the table's error relative to the number of documents does not grow with it.
@@ -266,8 +267,54 @@ def alike(pairs: DataFrame, least: int) -> DataFrame:
 
 #: A pair of similarity 0.8 has this many of 64 samples in common but for a chance of 1 in 20,000; fewer aren't compared exactly.
 COMMON = int(BANDS * ROWS * (THRESHOLD - 0.2))
-#: Leaders of a bucket in the second turn.
+#: Leaders of a bucket in the second turn; texts of a bucket that is compared by blocks in the third, and the blocks' sizes.
 LEADERS = 4
+LARGE = 64
+OUT_BLOCK, ALL_BLOCK = 512, 1024
+
+
+def crossed(spark: SparkSession, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) between the texts outside and all texts of a bucket, by pairs of blocks.
+
+    `rows` has band, key, ob, cb (the pair of blocks), out, th, label and text. A task holds one pair of blocks, takes the
+    similarity of all their texts as sums over shared shingles, and returns only the links between classes.
+    """
+    shared = spark.sparkContext.broadcast(idf)
+
+    def run(table: pa.Table) -> pa.Table:
+        out = table["out"].to_numpy(zero_copy_only=False).astype(bool)
+        th, label = table["th"].to_pylist(), table["label"].to_pylist()
+        doc, value, tf = shingles(table["text"].combine_chunks())
+        # The n-th occurrence of a shingle in a text is a feature of its own, so that shared weight is a plain product.
+        level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        row, shingle = np.repeat(doc, tf), np.repeat(value, tf)
+        gain = np.where(level > 0, np.log((level + 1) / np.maximum(level, 1)), 1.0) * shared.value[(shingle >> np.uint64(48)).astype(np.int64)]
+        total = np.bincount(row, gain, len(th))
+        _, column, n = np.unique(mixed(shingle + level.astype(np.uint64) * _P), return_inverse=True, return_counts=True)
+        new = np.cumsum(n > 1) - 1
+        use = n[column] > 1
+        row, column, gain = row[use], new[column[use]], gain[use]
+        order = np.argsort(column, kind="stable")
+        row, column, gain = row[order], column[order], gain[order]
+        place = np.zeros(len(th), np.int64)
+        place[out], place[~out] = np.arange(out.sum()), np.arange((~out).sum())
+        common = np.zeros((int(out.sum()), int((~out).sum())), np.float32)
+        width = 2048
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            i, j = np.searchsorted(column, [c, c + width])
+            r, k, g = row[i:j], column[i:j] - c, gain[i:j]
+            x, y = np.zeros((common.shape[0], width), np.float32), np.zeros((common.shape[1], width), np.float32)
+            o = out[r]
+            x[place[r[o]], k[o]] = g[o]
+            y[place[r[~o]], k[~o]] = 1
+            common += x @ y.T
+        whole = total[out][:, None] + total[~out][None] - common
+        i, j = np.nonzero(common >= threshold * whole - 1e-4)
+        left, right = np.flatnonzero(out)[i], np.flatnonzero(~out)[j]
+        links = [(min(th[p], th[q]), max(th[p], th[q])) for p, q in zip(left, right, strict=True) if label[p] != label[q]]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
+
+    return rows.groupBy("band", "key", "ob", "cb").applyInArrow(run, "a binary, b binary")
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -278,36 +325,50 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     nodes = signed.groupBy("th").agg(F.min("id").alias("id"), F.first("marks").alias("marks"), F.first("bands").alias("bands"))
     slots = nodes.where("bands is not null").select("th", F.posexplode("bands").alias("band", "key"))
     sizes = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = written(spark, slots.join(sizes, ["band", "key"]).select("band", "key", "th"), "buckets")
+    buckets = written(spark, slots.join(sizes, ["band", "key"]).select("band", "key", "th", "n"), "buckets")
     wanted = written(spark, buckets.select("th").distinct().join(nodes.select("th", "id", "marks"), "th"), "wanted")
     keys = wanted.select(F.col("th").alias("key_th"), F.col("id").alias("key_id"))
     texts = written(spark, rows.join(keys, (rows.th == keys.key_th) & rows.id.eqNullSafe(keys.key_id)).select("th", "text").dropDuplicates(["th"]), "texts")
     labels: DataFrame | None = None
     links: list[str] = []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (wanted.select(F.col("th").alias(x), F.col("marks").alias(f"marks_{x}")) for x in "ab")
+        close = alike(pairs.distinct().join(a, "a").join(b, "b"), COMMON)
+        a, b = (texts.select(F.col("th").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        return similar(spark, close.join(a, "a").join(b, "b"), idf, threshold)
+
     for turn in range(3):
         if labels is None:
             now = buckets.withColumn("label", F.col("th"))
         else:
-            now = buckets.join(labels, buckets.th == labels.node, "left").select("band", "key", "th", F.coalesce("label", "th").alias("label"))
+            now = buckets.join(labels, buckets.th == labels.node, "left").select("band", "key", "th", "n", F.coalesce("label", "th").alias("label"))
+        pair = [F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")]
         if turn == 0:
-            leaders = now.groupBy("band", "key").agg(F.min("th").alias("lead")).withColumn("lead_label", F.col("lead"))
+            leaders = now.groupBy("band", "key").agg(F.min("th").alias("lead"))
+            found = verified(now.join(leaders, ["band", "key"]).where("th <> lead").select(*pair))
         else:
-            # A bucket is open while its texts are of two classes or more. All pairs of two classes have a text outside the
-            # largest; those are the leaders, a few of them first, as what they join needs no more leaders, then all.
-            parts = now.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-            most = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", "key", F.col("most.label").alias("largest"))
-            now = written(spark, now.join(most, ["band", "key"]), "open")
-            leaders = now.where("label <> largest").select("band", "key", F.col("th").alias("lead"), F.col("label").alias("lead_label"))
+            # A bucket is open while its texts are of two classes or more. Each pair of two classes has a text outside the largest.
+            parts = now.groupBy("band", "key", "label").agg(F.count("*").alias("of_label"))
+            most = parts.groupBy("band", "key").agg(F.max(F.struct("of_label", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", "key", F.col("most.label").alias("largest"))
+            now = written(spark, now.join(most, ["band", "key"]).withColumn("out", F.col("label") != F.col("largest")), "open")
             if turn == 1:
-                least = leaders.groupBy("band", "key", F.pmod(F.xxhash64("lead"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("lead", "lead_label")).alias("x"))
-                leaders = least.select("band", "key", "x.lead", "x.lead_label")
-        met = now.join(leaders, ["band", "key"]).where("label <> lead_label and th <> lead")
-        pairs = met.select(F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")).distinct()
-        a, b = (wanted.select(F.col("th").alias(x), F.col("marks").alias(f"marks_{x}")) for x in "ab")
-        close = alike(pairs.join(a, "a").join(b, "b"), COMMON)
-        a, b = (texts.select(F.col("th").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+                part = F.pmod(F.xxhash64("th"), F.lit(LEADERS)).alias("part")
+                leaders = now.where("not out").groupBy("band", "key", part).agg(F.min("th").alias("lead"))
+                found = verified(now.where("out").join(leaders, ["band", "key"]).select(*pair))
+            else:
+                leaders = now.where(f"out and n <= {LARGE}").select("band", "key", F.col("th").alias("lead"), F.col("label").alias("lead_label"))
+                found = verified(now.join(leaders, ["band", "key"]).where("label <> lead_label").select(*pair))
+                large = now.where(f"n > {LARGE}")
+                cuts = large.groupBy("band", "key").agg(F.ceil(F.count_if("out") / OUT_BLOCK).alias("obs"), F.ceil(F.count("*") / ALL_BLOCK).alias("cbs"))
+                large = large.join(cuts, ["band", "key"]).join(texts, "th")
+                h, every = F.xxhash64("th"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+                outside = large.where("out").withColumn("ob", F.pmod(h, F.col("obs"))).withColumn("cb", every("cbs"))
+                inside = large.withColumn("out", F.lit(False)).withColumn("cb", F.pmod(h, F.col("cbs"))).withColumn("ob", every("obs"))
+                cols = ["band", "key", "ob", "cb", "out", "th", "label", "text"]
+                found = found.union(crossed(spark, outside.select(*cols).union(inside.select(*cols)), idf, threshold))
         path = shared_path(spark, "links")
-        similar(spark, close.join(a, "a").join(b, "b"), idf, threshold).write.parquet(path)
+        found.write.parquet(path)
         links.append(path)
         if not spark.read.schema("a binary, b binary").parquet(path).isEmpty():
             labels = components(spark, spark.read.schema("a binary, b binary").parquet(*links))
