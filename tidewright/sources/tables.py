@@ -13,5 +13,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events_us(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the clock as integer microseconds; instants carry no zone, so they are read as UTC."""
     return table(spark, sf_dir, "events").withColumn(
-        "t_us", F.expr("unix_micros(to_timestamp(ts))")
+        "t_us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     )
