@@ -27,7 +27,7 @@ from tidewright.llm.common import WORD, written
 WEIGHTS = (5, 2, 1)
 #: How often a document may be taken.
 REPEATS = 3
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4096
 SEED = 42
 
 
