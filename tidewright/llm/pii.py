@@ -48,6 +48,7 @@ GIVEN = {
 #: Syllables of invented surnames: consonant and vowel for each hexadecimal digit pair.
 CONSONANTS, VOWELS = {"latin": "bdfghklmnprstvwz", "cyrillic": "бвгджзклмнпрстфх", "greek": "βγδζθκλμνξπρστφχ"}, {"latin": "aeio", "cyrillic": "аеио", "greek": "αειο"}
 HEX = "0123456789abcdef"
+MAX_ATTEMPTS = 64
 SEP = "\u001f"
 
 
@@ -136,10 +137,13 @@ def ip(d: Column) -> Column:
     return F.concat_ws(".", *[octet(i) for i in range(4)])
 
 
-def email(key: str, x: Column, d: Column) -> Column:
+def email(key: str, x: Column, d: Column, attempt: Column) -> Column:
     local = F.substring_index(x, "@", 1)
     host = digest(key, "host", F.lower(F.substring_index(x, "@", -1)), 0)
-    return F.concat(fill(local, F.translate(d, HEX, CONSONANTS["latin"]), digits_of(d)), F.lit("@h"), F.substr(host, F.lit(1), F.lit(10)), F.lit(".example.net"))
+    letters = F.translate(d, HEX, CONSONANTS["latin"])
+    # Short names soon run out of surrogates of their length; later attempts are longer.
+    more = F.when(attempt > 0, F.concat(F.lit("."), F.substr(letters, F.lit(33), F.lit(8)))).otherwise("")
+    return F.concat(fill(local, letters, digits_of(d)), more, F.lit("@h"), F.substr(host, F.lit(1), F.lit(10)), F.lit(".example.net"))
 
 
 def script(x: Column) -> Column:
@@ -156,6 +160,10 @@ def name(key: str, x: Column, n: Column, attempt: Column) -> Column:
     def written_in(s: str) -> tuple[Column, Column]:
         pick = lambda g: F.element_at(F.array(*map(F.lit, GIVEN[g, s])), (given % len(GIVEN[g, s]) + 1).cast("int"))
         first = F.when(female, pick("f")).otherwise(pick("m"))
+        extra = digest(key, "second", n, attempt)
+        second = [F.translate(F.substr(extra, F.lit(2 * i + 1 + j), F.lit(1)), HEX, (VOWELS[s] * 4) if j else CONSONANTS[s]) for i in range(4) for j in range(2)]
+        # The lists of given names are short; later attempts have a second, invented one.
+        first = F.when(attempt > 0, F.concat(first, F.lit("-"), F.initcap(F.concat(*second)))).otherwise(first)
         parts = [F.translate(F.substr(surname, F.lit(2 * i + 1), F.lit(1)), HEX, CONSONANTS[s]) if j == 0 else F.translate(F.substr(surname, F.lit(2 * i + 2), F.lit(1)), HEX, VOWELS[s] * 4) for i in range(4) for j in range(2)]
         return first, F.initcap(F.concat(*parts))
 
@@ -171,7 +179,7 @@ def name(key: str, x: Column, n: Column, attempt: Column) -> Column:
 def surrogate(key: str, x: Column, kind: Column, n: Column, attempt: Column) -> Column:
     def made(d: Column) -> Column:
         return (
-            F.when(kind == "email", email(key, x, d))
+            F.when(kind == "email", email(key, x, d, attempt))
             .when(kind == "ip", ip(d))
             .when(kind == "card", card(x, n, d))
             .when(kind == "phone", phone(x, n, d))
@@ -200,7 +208,7 @@ def entities(docs: DataFrame, text_col: str) -> DataFrame:
 def collisions(spark: SparkSession, docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """(kind, norm, attempt) of the entities that need another digest than the first."""
     known = written(spark, entities(docs, text_col).withColumn("attempt", F.lit(0)), "entities")
-    while True:
+    for _ in range(MAX_ATTEMPTS):
         made = known.withColumn("new", normal(F.col("kind"), surrogate(key, F.col("x"), F.col("kind"), F.col("norm"), F.col("attempt"))))
         first = made.groupBy("kind", "new").agg(F.min(F.struct(F.col("attempt") == 0, "norm")).alias("first"), F.count("*").alias("n"))
         real = known.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real"))
@@ -210,6 +218,7 @@ def collisions(spark: SparkSession, docs: DataFrame, key: str, text_col: str) ->
         if known.where("clash").isEmpty():
             return known.where("attempt > 0").select("kind", "norm", "attempt")
         known = known.drop("clash")
+    raise ValueError(f"entities still collide after {MAX_ATTEMPTS} attempts")
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, key: str = "change-me", text_col: str = "text") -> DataFrame:
