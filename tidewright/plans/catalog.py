@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import intervals_q
+from tidewright.plans import intervals_q, joins_q, metrics_q
 
-MODULES = [intervals_q]
+MODULES = [intervals_q, joins_q, metrics_q]
 
 
 def queries() -> dict:
