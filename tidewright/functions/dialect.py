@@ -72,7 +72,7 @@ def both(text: str, check: str | None = None) -> tuple[Callable[[SparkSession, s
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(spark_text, **{n: table(spark, sf_dir, n) for n in names})
 
-    plain = expanded(check or text, CHECK)
+    plain = expanded(check or text, CHECK).replace("count_if(", "count(*) FILTER (WHERE ")
     for n in names:
         plain = plain.replace("{" + n + "}", n)
     return run, plain

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import intervals_q, joins_q, metrics_q
+from tidewright.plans import folds_q, intervals_q, joins_q, metrics_q, text_q
 
-MODULES = [intervals_q, joins_q, metrics_q]
+MODULES = [folds_q, intervals_q, joins_q, metrics_q, text_q]
 
 
 def queries() -> dict:
