@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewright.sources import cues
 from tidewright.sources.tables import table
 
-LINE = F.concat(F.lit("t"), F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 30), F.lit("."))
+
+def _line() -> Column:
+    """A turn's letters as one line of text."""
+    return F.concat(F.lit("t"), F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit("."))
 
 
 def _cues(spark, d):
     c = table(spark, d, "conversations")
-    return c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("path"), (F.col("turn") + 1).cast("int").alias("number"), (F.col("turn") * 4000).alias("start_ms"), (F.col("turn") * 4000 + 3000).alias("end_ms"), LINE.alias("text"))
+    return c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("path"), (F.col("turn") + 1).cast("int").alias("number"), (F.col("turn") * 4000).alias("start_ms"), (F.col("turn") * 4000 + 3000).alias("end_ms"), _line().alias("text"))
 
 
 def a1_srt_scan(spark, d):
@@ -22,7 +26,7 @@ def a1_srt_scan(spark, d):
 
 
 A1 = """SELECT 'conv-' || conv_id AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS ordinal, CAST(turn + 1 AS INTEGER) AS number, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms,
-'t' || substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 30) || '.' AS text FROM conversations"""
+'t' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '.' AS text FROM conversations"""
 
 
 def a2_layout_scan(spark, d):
@@ -33,33 +37,33 @@ def a2_layout_scan(spark, d):
     return out.select("path", F.contains("value", F.lit("changed\r\n")).alias("changed"), (F.length("value") - F.length(F.regexp_replace("value", "\r", ""))).alias("n_returns"))
 
 
-A2 = "SELECT 'conv-' || conv_id AS path, true AS changed, CAST(4 * count(*) AS INTEGER) AS n_returns FROM conversations GROUP BY conv_id"
+A2 = "SELECT 'conv-' || conv_id AS path, true AS changed, CAST(4 * count(*) - 1 AS INTEGER) AS n_returns FROM conversations GROUP BY conv_id"
 
 
 def a4_lrc_scan(spark, d):
     """Turns as LRC lines, every third with two time tags."""
-    c = table(spark, d, "conversations").where("turn < 60")
-    at = lambda m: F.format_string("[%02d:%02d.50]", F.lit(m), F.col("turn").cast("int"))
-    line = F.concat(at(0), F.when(F.col("turn") % 3 == 0, at(5)).otherwise(""), LINE)
+    c = table(spark, d, "conversations")
+    at = lambda m: F.format_string("[%02d:%02d.50]", (F.col("turn") / 60).cast("int") + m, (F.col("turn") % 60).cast("int"))
+    line = F.concat(at(0), F.when(F.col("turn") % 3 == 0, at(5)).otherwise(""), _line())
     files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("value")).select(F.col("conv_id").cast("string").alias("path"), "value")
     return cues.parse_lrc(files).select(F.col("path").cast("long").alias("conv_id"), "ordinal", "time_ms", "text")
 
 
-A4 = """WITH c AS (SELECT conv_id, turn, 't' || substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 30) || '.' AS text FROM conversations WHERE turn < 60),
+A4 = """WITH c AS (SELECT conv_id, turn, 't' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '.' AS text FROM conversations),
 t AS (SELECT conv_id, turn, 0 AS k, turn * 1000 + 500 AS time_ms, trim(text) AS text FROM c UNION ALL SELECT conv_id, turn, 1, 300000 + turn * 1000 + 500, trim(text) FROM c WHERE turn % 3 = 0)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY time_ms, turn, k) - 1 AS INTEGER) AS ordinal, time_ms, text FROM t"""
 
 
 def a7_word_scan(spark, d):
     """Order lines as word-timed lines."""
-    l = table(spark, d, "lineitem").where("l_orderkey < 500")  # noqa: E741
+    l = table(spark, d, "lineitem")  # noqa: E741
     word = F.concat(F.lit("w"), F.col("l_linenumber").cast("string"), F.lit("("), (F.col("l_linenumber") * 100 + 5000).cast("string"), F.lit(","), F.col("l_quantity").cast("int").cast("string"), F.lit(")"))
     files = l.groupBy("l_orderkey").agg(F.concat(F.lit("[5000,2000]"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", word.alias("w")))), lambda x: x["w"]), "")).alias("value"))
     got = cues.parse_words(files.select(F.col("l_orderkey").cast("string").alias("path"), "value"))
     return got.select(F.col("path").cast("long").alias("l_orderkey"), "token", "text", "start_ms", "end_ms")
 
 
-A7 = """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS INTEGER) AS token, 'w' || l_linenumber AS text, CAST(5000 + l_linenumber * 100 AS BIGINT) AS start_ms, CAST(5000 + l_linenumber * 100 + floor(l_quantity) AS BIGINT) AS end_ms FROM lineitem WHERE l_orderkey < 500"""
+A7 = """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS INTEGER) AS token, 'w' || l_linenumber AS text, CAST(5000 + l_linenumber * 100 AS BIGINT) AS start_ms, CAST(5000 + l_linenumber * 100 + floor(l_quantity) AS BIGINT) AS end_ms FROM lineitem"""
 
 
 def a12_json_scan(spark, d):
