@@ -207,20 +207,24 @@ def simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> list[int]:
 
 def monotone_path(score: list[np.ndarray], place: list[np.ndarray], penalty: float = 0.05, skip: float = 0.2) -> list[int | None]:
     """The best choice for each step such that places never fall; a step may have none, at a price."""
-    states: list[tuple[float, float, list]] = [(0.0, -np.inf, [])]  # value, last place, choices
+    states: list[tuple[float, float, tuple]] = [(0.0, -np.inf, ())]  # value, last place, (choices before, choice)
     for s, p in zip(score, place, strict=True):
-        nxt: dict[float, tuple[float, float, list]] = {}
+        nxt: dict[float, tuple[float, float, tuple]] = {}
         for value, last, path in states:
-            options = [(value - skip, last, [*path, None])]
+            options = [(value - skip, last, (path, None))]
             for k in range(len(s)):
                 if p[k] >= last:
                     cost = 0 if last == -np.inf else penalty * abs(p[k] - last) / (1 + abs(p[k]))
-                    options.append((value + float(s[k]) - cost, float(p[k]), [*path, k]))
+                    options.append((value + float(s[k]) - cost, float(p[k]), (path, k)))
             for o in options:
                 if o[1] not in nxt or o[0] > nxt[o[1]][0]:
                     nxt[o[1]] = o
         states = list(nxt.values())
-    return max(states, key=lambda x: x[0])[2]
+    out, path = [], max(states, key=lambda x: x[0])[2]
+    while path:
+        path, choice = path
+        out.append(choice)
+    return out[::-1]
 
 
 def longest_chain(a: np.ndarray, b: np.ndarray) -> list[int]:

@@ -24,7 +24,7 @@ QUERIES = {
         SELECT e.user_id, round(any_value(med), 6) AS median_value, round(PCT[abs(value - med)|0.5], 6) AS mad, round(avg(CASE WHEN abs(value - med) <= 7.5 THEN 1e0 ELSE 0e0 END), 6) AS inliers FROM {events} e JOIN m ON m.user_id = e.user_id GROUP BY e.user_id"""),
     # A robust line through all pairs, refitted once on what lies near it.
     "d7_robust_line": both("""
-        WITH e AS (SELECT user_id, US[ts] / 1e11 AS x, value AS y FROM {events} WHERE user_id < 60),
+        WITH e AS (SELECT user_id, US[ts] / 1e11 AS x, value AS y FROM {events}),
         s AS (SELECT a.user_id, PCT[(b.y - a.y) / (b.x - a.x)|0.5] AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND a.x < b.x GROUP BY 1),
         i AS (SELECT e.user_id, any_value(slope) AS slope, PCT[y - slope * x|0.5] AS icept FROM e JOIN s ON s.user_id = e.user_id GROUP BY e.user_id),
         k AS (SELECT e.user_id, x, y FROM e JOIN i ON i.user_id = e.user_id WHERE abs(y - icept - slope * x) <= 15),
@@ -59,7 +59,7 @@ QUERIES = {
     "d24_pivot_counts": both("SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS n_f, count_if(o_orderstatus = 'O') AS n_o, count_if(o_orderstatus = 'P') AS n_p FROM {orders} GROUP BY 1"),
     "d26_batch_summary": both("SELECT event_type, count(*) AS n, count_if(TRY_CAST(substr(props, 7, 2) AS INT) IS NULL) AS n_failed, count_if(value > 50) AS n_high FROM {events} GROUP BY 1"),
     "d27_multiset_intersection": both("""
-        WITH a AS (SELECT text, count(*) AS n FROM {documents} WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT text, count(*) AS n FROM {documents} WHERE doc_id % 2 = 1 GROUP BY 1)
+        WITH a AS (SELECT text, count(*) AS n FROM {documents} WHERE source < 'src15' GROUP BY 1), b AS (SELECT text, count(*) AS n FROM {documents} WHERE source >= 'src15' GROUP BY 1)
         SELECT BIG[coalesce(sum(least(a.n, b.n)), 0)] AS n_common FROM a JOIN b ON a.text = b.text"""),
     # The upper median of slopes, each as often as its weight says.
     "d28_weighted_median": both("""
@@ -88,8 +88,8 @@ QUERIES = {
         g AS (SELECT m.metric, kind, CASE WHEN kind = 'ceiling' THEN got <= bound + 1e-12 ELSE got >= bound - 1e-12 END AS passed FROM m JOIN p ON p.metric = m.metric)
         SELECT metric, kind, passed, bool_and(passed) OVER () AS all_passed FROM g"""),
     "l10_positional_comparison": both("""
-        WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) AS pos, lang FROM {documents} WHERE doc_id % 2 = 0), b AS (SELECT row_number() OVER (ORDER BY doc_id) AS pos, lang FROM {documents} WHERE doc_id % 2 = 1 AND doc_id % 5 <> 1)
-        SELECT coalesce(a.pos, b.pos) AS pos, CASE WHEN b.pos IS NULL THEN 'missing' WHEN a.pos IS NULL THEN 'extra' ELSE 'different' END AS kind FROM a FULL JOIN b ON a.pos = b.pos WHERE a.pos IS NULL OR b.pos IS NULL OR a.lang <> b.lang"""),
+        WITH a AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, n_chars > 500 AS long FROM {documents} WHERE lang IN ('en', 'de')), b AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, n_chars > 500 AS long FROM {documents} WHERE lang NOT IN ('en', 'de'))
+        SELECT coalesce(a.source, b.source) AS source, coalesce(a.pos, b.pos) AS pos, CASE WHEN b.pos IS NULL THEN 'missing' WHEN a.pos IS NULL THEN 'extra' ELSE 'different' END AS kind FROM a FULL JOIN b ON a.source = b.source AND a.pos = b.pos WHERE a.pos IS NULL OR b.pos IS NULL OR a.long <> b.long"""),
     "l15_structure_checks": both("""
         WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS want FROM {conversations})
         SELECT conv_id, count_if(turn <> want) AS n_misnumbered, count_if(trim(text) = '') AS n_blank, count_if(contains(text, '�')) AS n_broken, count_if(length(text) < 10) AS n_short FROM c GROUP BY 1"""),
@@ -105,7 +105,7 @@ QUERIES = {
         WITH c AS (SELECT o_orderkey, o_custkey, o_totalprice, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rival FROM {orders})
         SELECT o_orderkey, round(o_totalprice - rival, 2) AS lead_over FROM c WHERE rival IS NOT NULL AND o_totalprice - rival < 2000"""),
     "l9_decision_replay": both("""
-        WITH i AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'content' ELSE 'quality' END AS kind FROM {labels} WHERE toxic = 1 OR quality = 0), d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'accept' WHEN doc_id % 4 = 1 THEN 'reject' ELSE 'mask' END AS action FROM {labels} WHERE doc_id % 3 = 0)
+        WITH i AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'content' ELSE 'quality' END AS kind FROM {labels} WHERE toxic = 1 OR quality = 0), d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'accept' WHEN doc_id % 4 = 1 THEN 'reject' ELSE 'mask' END AS action FROM {labels} WHERE quality = 0)
         SELECT i.doc_id, kind, action, CASE WHEN action IS NULL THEN 'active' WHEN action = 'mask' AND kind <> 'content' THEN 'invalid' ELSE 'resolved' END AS state FROM i LEFT JOIN d ON d.doc_id = i.doc_id"""),
     "l11_regression_cases": both("""
         WITH t AS (SELECT user_id, min(value) AS want FROM {events} WHERE event_type = 'view' GROUP BY 1)

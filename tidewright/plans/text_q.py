@@ -22,9 +22,9 @@ def h2_alnum_key(spark, d):
 
 
 def _neighbours(spark, d):
-    """Each turn and the one before it, cut to a line."""
+    """Each turn and the one before it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(ship(spark), d, "conversations").withColumn("line", F.substring_index("text", "\n", 1))
+    c = table(ship(spark), d, "conversations").withColumnRenamed("text", "line")
     return c.withColumn("before", F.lag("line").over(w)).where("before is not null")
 
 
@@ -82,13 +82,13 @@ def h23_vectors(spark, d):
     return v.join(one).select("vec_id", F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 5).alias("cosine"))
 
 
-FIRST_LINE = "SELECT conv_id, turn, substr(SUB[text|'[^ -~]'|''], 1, 40) AS a, lag(substr(SUB[text|'[^ -~]'|''], 1, 40)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM {conversations}"
+PRINTABLE = "SELECT conv_id, turn, SUB[text|'[^ -~]'|''] AS a, lag(SUB[text|'[^ -~]'|'']) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM {conversations}"
 
 QUERIES = {
     "b1_metadata_predicate": both("SELECT doc_id, contains(lower(text), 'licensed under') OR contains(lower(text), 'released under') OR contains(lower(text), 'copyright') AS is_metadata FROM {documents}"),
-    "b2_title_like": both("SELECT p_partkey FROM {part} WHERE p_partkey <= 1000 AND contains(p_name, ' ')"),
+    "b2_title_like": both("SELECT p_partkey FROM {part} WHERE p_size > 10 AND contains(p_name, ' ')"),
     "b3_pure_tokens": both("SELECT doc_id FROM {documents} WHERE LIKE[lower(text)|'^[a-z]+[.]?$']"),
-    "b4_safe_match": both(f"""WITH p AS ({FIRST_LINE}), s AS (SELECT conv_id, turn, 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b), 1) AS DOUBLE) AS score, least(length(a), length(b)) / CAST(greatest(length(a), length(b), 1) AS DOUBLE) AS ratio, length(a) AS n FROM p WHERE b IS NOT NULL)
+    "b4_safe_match": both(f"""WITH p AS ({PRINTABLE}), s AS (SELECT conv_id, turn, 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b), 1) AS DOUBLE) AS score, least(length(a), length(b)) / CAST(greatest(length(a), length(b), 1) AS DOUBLE) AS ratio, length(a) AS n FROM p WHERE b IS NOT NULL)
         SELECT conv_id, turn, round(score, 6) AS score, score >= 0.3 AND ratio >= 0.6 AND (n > 3 OR score >= 0.84) AS safe FROM s"""),
     "b5_span_admission": both("""WITH p AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 + 1 AS span, 1 - l_discount AS score, 1 - l_tax AS ratio FROM {lineitem})
         SELECT l_orderkey, l_linenumber, CASE WHEN span = 1 THEN true WHEN span = 2 THEN score >= 0.95 AND ratio >= 0.96 ELSE score >= 0.98 AND ratio >= 0.98 END AS admitted FROM p"""),
@@ -97,7 +97,7 @@ QUERIES = {
     "b8_content_scan": both("SELECT doc_id, contains(text, 'AKIA') AS has_key, contains(text, 'password=') AS has_password, LIKE[text|'[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}'] AS has_address FROM {documents}".replace("{1,3}", "{{1,3}}"), "SELECT doc_id, contains(text, 'AKIA') AS has_key, contains(text, 'password=') AS has_password, LIKE[text|'[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}'] AS has_address FROM {documents}"),
     "b9_path_rules": both("SELECT page_id, CASE WHEN contains(url, '?') THEN 'query' WHEN contains(url, '#') THEN 'fragment' WHEN url LIKE '%/' THEN 'folder' ELSE 'page' END AS kind, url LIKE 'https://%' AS secure FROM {pages}"),
     "b10_capability": both("SELECT doc_id FROM {documents} WHERE lang IN ('de', 'fr') AND n_chars > 100"),
-    "b11_split_filter": both("SELECT doc_id, lang FROM {documents} WHERE doc_id % 3 = 1"),
+    "b11_split_filter": both("SELECT doc_id, lang FROM {documents} WHERE source IN ('src1', 'src4', 'src7')"),
     "b12_stage_gate": both("SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P' OR o_totalprice > 250000"),
     "b13_vote_gate": both("SELECT event_id, value >= 1 AND value <= 60 AS timing_ok, event_type IN ('view', 'click') AS local_ok FROM {events}"),
     "h1_match_key": (h1_match_key, r"SELECT doc_id, sha256(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\p{P}\p{Z}\p{C}]', '', 'g')) AS key FROM documents"),
@@ -106,7 +106,7 @@ QUERIES = {
     "h4_pair_score": (h4_pair_score, None),
     "h5_support_score": (h5_support_score, None),
     "h6_contained_score": (h6_contained_score, None),
-    "h7_levenshtein": both(f"WITH p AS ({FIRST_LINE}) SELECT conv_id, turn, CAST(levenshtein(a, b) AS INT) AS distance FROM p WHERE b IS NOT NULL"),
+    "h7_levenshtein": both(f"WITH p AS ({PRINTABLE}) SELECT conv_id, turn, CAST(levenshtein(a, b) AS INT) AS distance FROM p WHERE b IS NOT NULL"),
     "h7_token_distance": (h7_token_distance, None),
     "h8_edit_script": (h8_edit_script, None),
     "h10_layout": (h10_layout, None),
