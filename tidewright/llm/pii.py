@@ -209,7 +209,8 @@ def collisions(spark: SparkSession, docs: DataFrame, key: str, text_col: str) ->
     """(kind, norm, attempt) of the entities that need another digest than the first."""
     known = written(spark, entities(docs, text_col).withColumn("attempt", F.lit(0)), "entities")
     for _ in range(MAX_ATTEMPTS):
-        made = known.withColumn("new", normal(F.col("kind"), surrogate(key, F.col("x"), F.col("kind"), F.col("norm"), F.col("attempt"))))
+        new = let(surrogate(key, F.col("x"), F.col("kind"), F.col("norm"), F.col("attempt")), lambda s: normal(F.col("kind"), s))
+        made = written(spark, known.withColumn("new", new), "surrogates")  # read twice
         first = made.groupBy("kind", "new").agg(F.min(F.struct(F.col("attempt") == 0, "norm")).alias("first"), F.count("*").alias("n"))
         real = known.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real"))
         told = made.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left")
