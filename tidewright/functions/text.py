@@ -50,12 +50,15 @@ def pair_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
+    """Length of a longest common subsequence; a bit of `row` is 0 where the length rises along b."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
     for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(DoubleType())

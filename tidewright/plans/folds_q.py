@@ -148,16 +148,21 @@ def i1_anchor_chain(spark, d):
     return folds.by_group(both, ["l", "r"], run, "l string, r string, p int, q int")
 
 
+def _lines(spark, d):
+    """Each order's lines, told by the part's name."""
+    parts = table(ship(spark), d, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("line"))
+    return table(spark, d, "lineitem").join(parts, "l_partkey").select("l_orderkey", "l_linenumber", "l_returnflag", "line")
+
+
 def i2_span_alignment(spark, d):
-    """User turns against assistant turns of each conversation, by runs of lines."""
-    c = table(ship(spark), d, "conversations").select("conv_id", "turn", "role", "text")
+    """Open lines of an order against its closed ones, by runs of lines."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("turn")
-        rows = folds.span_alignment(t[t.role == "user"].text.tolist(), t[t.role != "user"].text.tolist(), tx.pair)
-        return pd.DataFrame(rows, columns=["kind", "l_start", "l_end", "r_start", "r_end", "score"]).assign(conv_id=t.conv_id.iloc[0])[["conv_id", "kind", "l_start", "l_end", "r_start", "r_end", "score"]]
+        t = t.sort_values(["l_linenumber", "line"])
+        rows = folds.span_alignment(t[t.l_returnflag == "N"].line.tolist(), t[t.l_returnflag != "N"].line.tolist(), tx.pair)
+        return pd.DataFrame(rows, columns=["kind", "l_start", "l_end", "r_start", "r_end", "score"]).assign(l_orderkey=t.l_orderkey.iloc[0])[["l_orderkey", "kind", "l_start", "l_end", "r_start", "r_end", "score"]]
 
-    return folds.by_group(c, ["conv_id"], run, "conv_id long, kind string, l_start int, l_end int, r_start int, r_end int, score double")
+    return folds.by_group(_lines(spark, d), ["l_orderkey"], run, "l_orderkey long, kind string, l_start int, l_end int, r_start int, r_end int, score double")
 
 
 def j3_window_retrieval(spark, d):
@@ -187,16 +192,17 @@ def c20_fuzzy_rank(spark, d):
 
 
 def c21_line_sequences(spark, d):
-    """For each turn the best run of one to three earlier turns, by support."""
-    c = table(ship(spark), d, "conversations").select("conv_id", "turn", F.col("text").alias("x"))
+    """For each line the two best runs of one to three earlier lines of its order, by support."""
+    c = _lines(spark, d).select("l_orderkey", "l_linenumber", "line")
+    c = c.withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "line")))
     spans = None
     for n in (1, 2, 3):
-        w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(0, n - 1)
-        s = c.select("conv_id", F.col("turn").alias("at"), F.array_join(F.collect_list("x").over(w), "").alias("run"), F.count("*").over(w).alias("n")).where(F.col("n") == n)
+        w = Window.partitionBy("l_orderkey").orderBy("pos").rowsBetween(0, n - 1)
+        s = c.select("l_orderkey", F.col("pos").alias("at"), F.array_join(F.collect_list("line").over(w), "").alias("run"), F.count("*").over(w).alias("n")).where(F.col("n") == n)
         spans = s if spans is None else spans.union(s)
-    j = c.join(spans, "conv_id").where("at + n <= turn").withColumn("score", F.round(tx.support_score("x", "run"), 6))
-    best = Window.partitionBy("conv_id", "turn").orderBy(F.desc("score"), "n", "at")
-    return j.withColumn("place", F.row_number().over(best)).where("place <= 2").select("conv_id", "turn", "place", "at", "n", "score")
+    j = c.join(spans, "l_orderkey").where("at + n <= pos").withColumn("score", F.round(tx.support_score("line", "run"), 6))
+    best = Window.partitionBy("l_orderkey", "pos").orderBy(F.desc("score"), "n", "at")
+    return j.withColumn("place", F.row_number().over(best)).where("place <= 2").select("l_orderkey", "pos", "place", "at", "n", "score")
 
 
 QUERIES = {
