@@ -347,6 +347,7 @@ class Lexicon:
                 same = register.setdefault(key, state)
                 if same != state:
                     trans[path[-1]][previous[len(path) - 1]] = same
+                    trans[state] = None  # nothing leads here any more
 
         for w in words:
             common = 0
@@ -361,6 +362,7 @@ class Lexicon:
                 path.append(len(trans) - 1)
             final[path[-1]] = True
         settle(0)
+        register.clear()
         live, todo = {0: 0}, [0]
         while todo:
             for t in trans[todo.pop()].values():
