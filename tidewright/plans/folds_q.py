@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
 from tidewright.operators import folds
+from tidewright.operators.ranking import numbered
 from tidewright.sources.code import ship
 from tidewright.sources.tables import events_us, table
 
@@ -133,11 +134,15 @@ def j4_monotone_path(spark, d):
 
 
 def i1_anchor_chain(spark, d):
-    """Lines that two sources share and that are unique in both, along the longest chain in both orders."""
-    docs = table(ship(spark), d, "documents").select("source", "doc_id", F.col("text").alias("line"))
-    own = docs.withColumn("times", F.count("*").over(Window.partitionBy("source", "line"))).where("times = 1").withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    a = own.where("source < 'src15'").select(F.col("source").alias("l"), "line", F.col("pos").alias("p"))
-    b = own.select(F.col("source").alias("r"), "line", F.col("pos").alias("q"))
+    """Lines that two sources share and that are unique in both, along the longest chain in both orders.
+
+    Lines are told by their SHA-256. A pair of sources is one group; a group holds the lines that the two share.
+    """
+    docs = table(ship(spark), d, "documents").select("source", "doc_id", F.unhex(F.sha2("text", 256)).alias("line"))
+    own = docs.groupBy("source", "line").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id")).where("times = 1").drop("times")
+    own = numbered(own, [F.col("doc_id"), F.col("line")], "pos", by=("source",))
+    a = own.select(F.col("source").alias("l"), "line", F.col("pos").cast("int").alias("p"))
+    b = own.select(F.col("source").alias("r"), "line", F.col("pos").cast("int").alias("q"))
     both = a.join(b, "line").where("l < r").select("l", "r", "p", "q")
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
