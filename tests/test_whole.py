@@ -15,6 +15,33 @@ def put(folder, name, **columns):
     return str(folder)
 
 
+def events(folder, users):
+    """Some events of each user, of all types, in no order; the last user has a single one."""
+    rng = np.random.default_rng(5)
+    user = np.concatenate([np.repeat(users, 14), [users[-1] + 1]])
+    n = len(user)
+    ts = pd.to_datetime(rng.permutation(n) * 9_000_000_000 + 1_700_000_000_000_000, unit="us")
+    kinds = np.array(["view", "click", "purchase", "signup", "error"])[np.arange(n) % 5]
+    value = np.round(rng.gamma(2.0, 8.0, n), 2)
+    return put(folder, "events", event_id=np.arange(n), ts=ts, user_id=user, event_type=kinds, value=value, props=["{}"] * n), pd.DataFrame({"event_id": np.arange(n), "t_us": ts.astype("datetime64[us]").astype("int64"), "user_id": user, "event_type": kinds, "value": value})
+
+
+def test_timing_model_of_all_events(spark, tmp_path):
+    d, e = events(tmp_path, [3, 99, 100, 4000])
+    want = {}
+    for user, t in e.groupby("user_id"):
+        x, y = t.t_us.to_numpy() / 1e11, t.value.to_numpy()
+        slopes = [(y[j] - y[i]) / (x[j] - x[i]) for i in range(len(x)) for j in range(len(x)) if x[j] - x[i] >= 0.3]
+        if not slopes:
+            want[user] = (len(x), None, "too_few")
+            continue
+        off = y - np.median(slopes) * x
+        res = float(np.median(np.abs(off - np.median(off))))
+        want[user] = (len(x), round(res, 4), "ready" if res <= 10 else "degraded" if res <= 20 else "rejected")
+    got = {r.user_id: (r.n, None if r.residual is None else round(r.residual, 4), r.status) for r in QUERIES["i5_timing_model_all"](spark, d).collect()}
+    assert got == want and len(want) == 5
+
+
 def test_anchor_chains_of_all_pairs(spark, tmp_path):
     rng = np.random.default_rng(7)
     sources = ["src1", "src15", "src19", "src2", "web", None]

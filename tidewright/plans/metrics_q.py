@@ -74,6 +74,13 @@ QUERIES = {
         o AS (SELECT e.user_id, any_value(slope) AS slope, PCT[y - slope * x|0.5] AS icept, count(*) AS n FROM e JOIN s ON s.user_id = e.user_id GROUP BY e.user_id),
         r AS (SELECT o.user_id, any_value(n) AS n, PCT[abs(y - icept - slope * x)|0.5] AS res FROM e JOIN o ON o.user_id = e.user_id GROUP BY o.user_id)
         SELECT user_id, n, round(res, 4) AS residual, CASE WHEN n < 4 THEN 'too_few' WHEN res <= 10 THEN 'ready' WHEN res <= 20 THEN 'degraded' ELSE 'rejected' END AS status FROM r"""),
+    # The same model over all users and all their events; users without a pair far enough apart have too few.
+    "i5_timing_model_all": both("""
+        WITH e AS (SELECT user_id, US[ts] / 1e11 AS x, value AS y FROM {events}),
+        s AS (SELECT a.user_id, PCT[(b.y - a.y) / (b.x - a.x)|0.5] AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND b.x - a.x >= 0.3 GROUP BY 1),
+        o AS (SELECT e.user_id, any_value(slope) AS slope, PCT[y - slope * x|0.5] AS icept, count(*) AS n FROM e LEFT JOIN s ON s.user_id = e.user_id GROUP BY e.user_id),
+        r AS (SELECT o.user_id, any_value(n) AS n, PCT[abs(y - icept - slope * x)|0.5] AS res FROM e JOIN o ON o.user_id = e.user_id GROUP BY o.user_id)
+        SELECT user_id, n, round(res, 4) AS residual, CASE WHEN n < 4 OR res IS NULL THEN 'too_few' WHEN res <= 10 THEN 'ready' WHEN res <= 20 THEN 'degraded' ELSE 'rejected' END AS status FROM r"""),
     "i4_anchor_grades": both("""
         WITH g AS (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS times, n_chars FROM {documents})
         SELECT doc_id, CASE WHEN times = 1 AND n_chars >= 200 THEN 'A' WHEN times <= 2 THEN 'B' ELSE 'C' END AS grade FROM g"""),
