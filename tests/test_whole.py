@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 
+from tidewright.llm import html
 from tidewright.plans import catalog
 
 QUERIES = catalog.queries()
@@ -66,3 +67,14 @@ def test_anchor_chains_of_all_pairs(spark, tmp_path):
     assert any(a >= "src15" for a, _ in got)
     for k, v in got.items():
         assert set(v) <= longest[k][1] and [q for _, q in sorted(v)] == sorted({q for _, q in v})
+
+
+def test_html_keeps_light_parts():
+    p = "A sentence that says, at some length, what there is to say about it. " * 8
+    page = f"<main><h1>T</h1><p>lead</p><article>{p}</article></main>"
+    assert html.main_text(page) == f"T lead {p.strip()}"
+    assert html.main_text(f"<article>short</article><div>between</div><article>{p}</article>") == f"short {p.strip()}"
+    cut = "".join(f"<li>{x}</li>" for x in ("Yes.", "No.", "So?", "Well.", "Oh."))
+    end = "And a last section that is lighter than half of all that came before it."
+    assert html.main_text(f"<div>{p}</div><ul>{cut}</ul><ul><li><a href=x>Home</a></li></ul><div>{end}</div>") == f"{p.strip()} Yes. No. So? Well. Oh. {end}"
+    assert html.main_text("<p>One.</p><p>Two.</p><ul>" + "<li><a href=x>link</a></li>" * 4 + "</ul><p>Three.</p>") == "One. Two. Three."

@@ -2,11 +2,10 @@
 
 Markup is stripped into lines (one for each block element). A line's weight is its text
 outside links; lines of menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
-and reader comments weigh nothing, and where a page marks its article, so do
-the lines outside it, while each line inside gets a constant more. Weights are summed over a
-sliding window of WINDOW lines. The text runs from a surge, where the sum reaches
-the threshold, to the dive, where it falls below; of several runs the heaviest is the main text, with
-those near it in weight.
+and reader comments weigh nothing. Where a page marks its articles, the lines inside them are the text.
+Elsewhere weights are summed over a sliding window of WINDOW lines. The text runs from a surge, where the sum reaches
+the threshold, to the dive, where it falls below. All runs are text, and so are the lines between them
+that aren't mostly links; where no sum reaches the threshold, all such lines are. All marked articles are text.
 
 Runs as a map over Arrow batches, one page at a time; no shuffle.
 
@@ -27,10 +26,6 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: A window's text that counts as a surge, where no article is marked.
 SURGE = 60
-#: What a line inside a marked article weighs besides its text.
-INSIDE = 1000
-#: Runs of this part of the heaviest run's weight are text as well.
-NEAR = 0.5
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
@@ -114,7 +109,7 @@ def lines_of(page: str) -> list[list]:
             role = attrs.get("role", "").lower()
             if name in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody" or (name in ("div", "section") and ARTICLE.search(named)):
                 if not MARKS.search(named):
-                    if not article or name == "article":
+                    if not article:
                         articles += 1
                         article = articles
                 else:
@@ -135,22 +130,12 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    sizes: dict[int, int] = {}
-    for t, _, a in lines:
-        if a:
-            sizes[a] = sizes.get(a, 0) + len(t)
-    most = max(sizes.values(), default=0)
-    marked = {a for a, n in sizes.items() if n >= NEAR * most}
-    if marked:
-        weights = [len(t) + INSIDE if a in marked else 0 for t, _, a in lines]
-        surge = INSIDE
-    else:
-        weights = [max(0, len(t) - linked) if linked * 2 < len(t) else 0 for t, linked, _ in lines]
-        surge = SURGE
+    if any(a for _, _, a in lines):
+        return " ".join(t for t, _, a in lines if a)
+    weights = [max(0, len(t) - linked) if linked * 2 < len(t) else 0 for t, linked, _ in lines]
     half = WINDOW // 2
     sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(len(lines))]
-    if max(sums) < surge:
-        surge = max(1, max(sums))
+    surge = SURGE if max(sums) >= SURGE else 1
     runs: list[tuple[int, int]] = []
     start = None
     for i, s in enumerate([*sums, 0]):
@@ -167,9 +152,8 @@ def main_text(page: str | None) -> str:
             start = None
     if not runs:
         return ""
-    heavy = [sum(weights[a:b]) for a, b in runs]
-    keep = [r for r, w in zip(runs, heavy, strict=True) if w >= NEAR * max(heavy)] if not marked else runs
-    return " ".join(lines[i][0] for a, b in keep for i in range(a, b) if not marked or lines[i][2] in marked)
+    inside = {i for a, b in runs for i in range(a, b)}
+    return " ".join(lines[i][0] for i in range(runs[0][0], runs[-1][1]) if i in inside or weights[i])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
