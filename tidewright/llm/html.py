@@ -9,8 +9,12 @@ that aren't mostly links; where no sum reaches the threshold, all such lines are
 
 Runs as a map over Arrow batches, one page at a time; no shuffle.
 
+An article inside a wrapper that is excluded for its class, or a form, is text all the same; one in a menu, side bar,
+footer or hidden part isn't.
+
 Defined results: null html is empty; a page without text gives the empty string;
-unclosed, cut-off and stray tags are tolerated; repeated rows each get a result; extra columns are ignored.
+unclosed, cut-off and stray tags are tolerated (an unclosed button, drawing or the like ends at the next block tag;
+an unclosed script or style, as in browsers, at the end of the page); repeated rows each get a result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +33,20 @@ SURGE = 60
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
-    |<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|button|math|canvas|head|title)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)
+    |<(?P<raw>script|style)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)
     |<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |</?[a-z][^>]*+(?:>|\Z)""",
     re.S | re.I | re.X,
 )
 ATTR = re.compile(r"""([a-z][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements without text of the page, of which those of NESTED may hold their like.
+SKIPPED = frozenset("noscript template svg iframe object textarea select button math canvas title".split())
+NESTED = frozenset("template svg object math".split())
+#: Where such an element ends that is never closed.
+BLOCK = re.compile(
+    r"</?(?:address|article|aside|blockquote|body|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hgroup|hr|html|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul)(?=[\s/>])",
+    re.I,
+)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are closed by the next of their kind, and so are not kept on the stack.
@@ -46,17 +58,36 @@ MARKS = re.compile(
     re.I,
 )
 HEADS = re.compile(r"(?:^|[\s_-])(?:headers?|masthead|topbar|top-bar)(?:$|[\s_-])", re.I)
+#: Words that tell of a page's layout, not of the element that has them.
+LAYOUT = re.compile(r"(?<!\S)(?:has|with|no|without)[_-]\S+", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|page)?-?(?:body|content|text|article|post|entry|story|main)(?:$|\s)", re.I)
 
 
+def closings(page: str, name: str) -> dict[int, int]:
+    """Where each element `name` that is closed ends, by the place where it starts."""
+    out: dict[int, int] = {}
+    started: list[int] = []
+    for m in re.finditer(rf"""<!--.*?(?:-->|\Z)|<(?P<close>/?){name}(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", page, re.S | re.I):
+        if m["close"]:
+            if started:
+                out[started.pop()] = m.end()
+        elif m["close"] is not None and not (name in ("svg", "math") and m[0].endswith("/>")):
+            if name not in NESTED:
+                started.clear()
+            started.append(m.start())
+    return out
+
+
 def lines_of(page: str) -> list[list]:
     """[text, text inside links, number of the marked article or 0] of each line that isn't of an excluded part."""
     out: list[list] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, excluded, article
+    stack: list[tuple[str, int, int]] = []  # open elements: name, excluded (1: until an article in it), article
+    ends: dict[str, dict[int, int]] = {}
     text: list[str] = []
     linked = links = articles = 0
-    loose = False  # in an excluded element that the next block ends
+    loose = 0  # in an excluded element that the next block ends
     at = 0
+    block = -1  # the next block tag, where it has been looked for
 
     def put(piece: str) -> None:
         nonlocal linked
@@ -75,15 +106,30 @@ def lines_of(page: str) -> list[list]:
             text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         put(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if name is None:
             if m["raw"]:
-                end_line() if m["raw"].lower() not in ("svg", "math", "button", "select") else None
+                end_line()
             continue
         name = name.lower()
+        if name in SKIPPED and not m["close"]:
+            if name not in ("svg", "math", "button", "select"):
+                end_line()
+            if name in ("svg", "math") and m["attrs"].endswith("/"):
+                continue
+            if name not in ends:
+                ends[name] = closings(page, name)
+            if (end := ends[name].get(m.start())) is None:
+                if block < at:
+                    block = found.start() if (found := BLOCK.search(page, at)) else len(page)
+                end = block
+                if name not in NESTED and (found := re.compile(rf"<{name}(?=[\s/>])", re.I).search(page, at, end)):
+                    end = found.start()
+            at = end
+            continue
         if name == "br" or name == "hr":
             text.append(" ")
             continue
@@ -92,7 +138,7 @@ def lines_of(page: str) -> list[list]:
                 links = 0 if m["close"] else 1
             continue
         end_line()
-        loose = False
+        loose = 0
         links = 0
         if m["close"]:
             for i in range(len(stack) - 1, -1, -1):
@@ -102,21 +148,23 @@ def lines_of(page: str) -> list[list]:
             continue
         if name in VOID or m["attrs"].endswith("/"):
             continue
-        excluded, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if not excluded:
+        excluded, article = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+        if excluded < 2:
             attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m["attrs"])} if "=" in m["attrs"] else {}
-            named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+            named = LAYOUT.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}")
             role = attrs.get("role", "").lower()
-            if name in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody" or (name in ("div", "section") and ARTICLE.search(named)):
-                if not MARKS.search(named):
-                    if not article:
-                        articles += 1
-                        article = articles
-                else:
-                    excluded = True
-            elif name not in ("html", "body"):
-                hidden = re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) or re.search(r"(?:^|\s)hidden(?:\s|$|=)", m["attrs"]) or attrs.get("aria-hidden") == "true"
-                excluded = bool(name in OUT or role in ROLES or hidden or MARKS.search(named) or (not article and (name == "header" or HEADS.search(named))))
+            hidden = re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) or re.search(r"(?:^|\s)hidden(?:\s|$|=)", m["attrs"]) or attrs.get("aria-hidden") == "true"
+            whole = name in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
+            if whole or (not excluded and name in ("div", "section") and ARTICLE.search(named)):
+                excluded = int(bool(MARKS.search(named)))
+                if not excluded and not article:
+                    articles += 1
+                    article = articles
+            elif name not in ("html", "head", "body"):
+                if hidden or role in ROLES - {"form"} or name in OUT - {"form", "fieldset"}:
+                    excluded = 2
+                elif role == "form" or name in OUT or MARKS.search(named) or (not article and (name == "header" or HEADS.search(named))):
+                    excluded = 1
         if name in LOOSE:
             loose = excluded
         else:
