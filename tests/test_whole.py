@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from tidewright.llm import html
+from tidewright.operators import folds
 from tidewright.plans import catalog
 
 QUERIES = catalog.queries()
@@ -97,3 +98,42 @@ def test_html_unclosed_and_wrapped():
     assert text(f"<article>{p}</article><div class=comments><article class=comment>{p}</article></div>") == p
     for outer in ("nav", "aside", "footer", "div hidden", "div role=dialog", "div class=social><nav"):
         assert text(f"<article>{p}</article><{outer}><article>{p}</article></{outer.split()[0]}>") == p, outer
+
+
+def fitted(x, y):
+    """The best line with up to two breaks, each tried alone."""
+    best = None
+    for n in range(3):
+        found = None
+        for breaks in combinations(np.unique(x)[3:-3] if len(x) > 6 else [], n):
+            edges = [-np.inf, *breaks, np.inf]
+            if all(((x >= a) & (x < b)).sum() >= 3 for a, b in zip(edges, edges[1:], strict=False)) or not n:
+                m = np.column_stack([np.ones(len(x)), x, *[np.maximum(0, x - b) for b in breaks]])
+                sol = np.linalg.lstsq(m, y, rcond=None)[0]
+                err = np.abs(y - m @ sol).mean()
+                if found is None or err < found[2]:
+                    found = (n, sol[1], err)
+        if best is None or (found and found[2] < 0.8 * best[2]):
+            best = found or best
+    return best
+
+
+def test_hinges_against_brute_force():
+    rng = np.random.default_rng(11)
+    for n in (3, 7, 12, 25):
+        for x in (np.arange(n, dtype=float), np.sort(rng.integers(0, n, n)).astype(float)):
+            y = np.cumsum(rng.gamma(2.0, 8.0, n)) + 40 * np.maximum(0, x - n // 2)
+            breaks, sol, err = folds.hinges(x, y)
+            k, slope, want = fitted(x, y) or (0, sol[1], err)
+            assert len(breaks) == k and abs(err - want) < 1e-8 and abs(sol[1] - slope) < 1e-6
+
+
+def test_piecewise_line_of_all_events(spark, tmp_path):
+    d, e = events(tmp_path, [3, 99, 4000])
+    want = {}
+    for user, t in e.sort_values("t_us").groupby("user_id"):
+        k, slope, err = fitted(np.arange(len(t), dtype=float), np.cumsum(t.value.to_numpy())) or (0, 0, 0)
+        want[user] = (k, round(slope, 4), round(err, 4))
+    got = {r.user_id: (r.n_breaks, round(r.base_slope, 4), round(r.mean_error, 4)) for r in QUERIES["j7_piecewise"](spark, d).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[u][0] == want[u][0] and np.allclose(got[u][1:], want[u][1:], atol=2e-4) for u in want)

@@ -111,7 +111,7 @@ def j7_piecewise(spark, d):
         breaks, sol, err = folds.hinges(np.arange(len(t), dtype=float), np.cumsum(t.value.to_numpy()), most=2)
         return pd.DataFrame({"user_id": [t.user_id.iloc[0]], "n_breaks": [len(breaks)], "base_slope": [round(float(sol[1]), 6)], "mean_error": [round(err, 6)]})
 
-    return folds.by_group(_events(spark, d).where("event_type = 'view'"), ["user_id"], run, "user_id long, n_breaks int, base_slope double, mean_error double")
+    return folds.by_group(_events(spark, d), ["user_id"], run, "user_id long, n_breaks int, base_slope double, mean_error double")
 
 
 def j11_simplified(spark, d):
