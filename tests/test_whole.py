@@ -137,3 +137,36 @@ def test_piecewise_line_of_all_events(spark, tmp_path):
     got = {r.user_id: (r.n_breaks, round(r.base_slope, 4), round(r.mean_error, 4)) for r in QUERIES["j7_piecewise"](spark, d).collect()}
     assert got.keys() == want.keys()
     assert all(got[u][0] == want[u][0] and np.allclose(got[u][1:], want[u][1:], atol=2e-4) for u in want)
+
+
+def test_matchings_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    n, hour = 36, 3_600_000_000
+    t = rng.permutation(n * 9)[:n] * (hour // 12) + 1_700_000_000_000_000
+    kind, user = np.array(["view", "click", "purchase"])[rng.integers(0, 3, n)], np.arange(n) % 2
+    d = put(tmp_path, "events", event_id=np.arange(n), ts=pd.to_datetime(t, unit="us"), user_id=user, event_type=kind, value=np.ones(n), props=["{}"] * n)
+    want = {"c17_greedy_matching": set(), "c18_ordered_matching": set()}
+    most = 0
+    for u in (0, 1):
+        a, b = ([i for i in np.argsort(t) if user[i] == u and kind[i] == k] for k in ("view", "click"))
+        near = {i: [j for j in b if abs(t[i] - t[j]) <= hour] for i in a}
+        used = set()
+        for gap, i, j in sorted((abs(t[i] - t[j]), t[i], t[j]) for i in a for j in near[i]):
+            if not {("l", i), ("r", j)} & used:
+                used |= {("l", i), ("r", j)}
+                want["c17_greedy_matching"].add((u, list(t).index(i), list(t).index(j)))
+        used = set()
+        for i in a:
+            if free := [j for j in near[i] if j not in used]:
+                used.add(j := min(free, key=lambda j: (abs(t[i] - t[j]), t[j])))
+                want["c18_ordered_matching"].add((u, i, j))
+
+        def largest(left, taken):
+            return max([largest(left[1:], taken), *[1 + largest(left[1:], taken | {j}) for j in near[left[0]] if j not in taken]]) if left else 0
+
+        most += largest(a, frozenset())
+    for name, pairs in want.items():
+        assert {(r.user_id, r.l_id, r.r_id) for r in QUERIES[name](spark, d).collect()} == pairs and pairs, name
+    got = QUERIES["c19_maximum_matching"](spark, d).collect()
+    assert len(got) == most == len({r.l_id for r in got}) == len({r.r_id for r in got})
+    assert all(abs(t[r.l_id] - t[r.r_id]) <= hour and user[r.l_id] == user[r.r_id] and (kind[r.l_id], kind[r.r_id]) == ("view", "click") for r in got)
