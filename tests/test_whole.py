@@ -5,7 +5,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 
-from tidewright.llm import html
 from tidewright.operators import folds
 from tidewright.plans import catalog
 
@@ -70,36 +69,6 @@ def test_anchor_chains_of_all_pairs(spark, tmp_path):
         assert set(v) <= longest[k][1] and [q for _, q in sorted(v)] == sorted({q for _, q in v})
 
 
-def test_html_keeps_light_parts():
-    p = "A sentence that says, at some length, what there is to say about it. " * 8
-    page = f"<main><h1>T</h1><p>lead</p><article>{p}</article></main>"
-    assert html.main_text(page) == f"T lead {p.strip()}"
-    assert html.main_text(f"<article>short</article><div>between</div><article>{p}</article>") == f"short {p.strip()}"
-    cut = "".join(f"<li>{x}</li>" for x in ("Yes.", "No.", "So?", "Well.", "Oh."))
-    end = "And a last section that is lighter than half of all that came before it."
-    assert html.main_text(f"<div>{p}</div><ul>{cut}</ul><ul><li><a href=x>Home</a></li></ul><div>{end}</div>") == f"{p.strip()} Yes. No. So? Well. Oh. {end}"
-    assert html.main_text("<p>One.</p><p>Two.</p><ul>" + "<li><a href=x>link</a></li>" * 4 + "</ul><p>Three.</p>") == "One. Two. Three."
-
-
-def test_html_unclosed_and_wrapped():
-    p = "A sentence that says, at some length, what there is to say about it."
-    text = html.main_text
-    assert text(f"<html><head><title>t</title><meta charset=x><body><p>{p}</p></body>") == p
-    assert text(f"<head><style>x</style><title>t<p>{p}") == p
-    for tag in ("button", "select", "svg", "math", "canvas", "object", "iframe", "textarea", "noscript", "template"):
-        assert text(f"<div>{p}</div><{tag} a=b>x<div>{p}</div><{tag}>y</{tag}><p>{p}</p>") == f"{p} {p} {p}", tag
-        assert text(f"<p>{p} <{tag}>x<p>y</p></{tag}></p><p>{p}</p>") == f"{p} {p}", tag
-    assert text(f"<p>{p} <svg width='1'/>and <math/>more</p>") == f"{p} and more"
-    assert text(f"<p>{p} <svg><svg/><svg>x</svg>y</svg>and</p>") == f"{p} and"
-    for outer in ("div class='page has-sidebar'", "div class=with-comments", "div class='social'", "form", "section id=related"):
-        assert text(f"<{outer}><h1>Site</h1><article><p>{p}</p></article></{outer.split()[0]}>").endswith(p), outer
-        assert text(f"<{outer}><main><p>{p}</p><nav>m</nav></main></{outer.split()[0]}>").endswith(p), outer
-    assert text(f"<div class=has-sidebar><p>{p}</p></div>") == p
-    assert text(f"<article>{p}</article><div class=comments><article class=comment>{p}</article></div>") == p
-    for outer in ("nav", "aside", "footer", "div hidden", "div role=dialog", "div class=social><nav"):
-        assert text(f"<article>{p}</article><{outer}><article>{p}</article></{outer.split()[0]}>") == p, outer
-
-
 def fitted(x, y):
     """The best line with up to two breaks, each tried alone."""
     best = None
