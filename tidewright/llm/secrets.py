@@ -7,11 +7,15 @@ DER keys (nested lengths that fill the whole), OpenSSH private and public keys (
 fields), PEM blocks whose body confirms, and signed tokens (a JSON header with an
 algorithm, a JSON claim set and a signature of the length that the algorithm makes).
 
+Base64 that is wrapped into lines of one width is joined before it is decoded, with or without a PEM head.
+
 Runs as a map over Arrow batches: whole texts, no shuffle, one text at a time in memory. Each
-pattern starts only where a run begins, so a scan is linear in the text.
+pattern starts only where a run begins and never goes back over it, the marks of PEM blocks are paired in one pass, and
+each body is decoded once, so a scan is linear in the text.
 
 Defined results: null text is empty text; no match gives zeros, the digest of the empty string and an
-empty span list; repeated rows each get a result; extra columns are ignored.
+empty span list; a header, claim set or length that isn't of the kind it should be is no secret; an empty table gives an empty
+result; repeated rows each get a result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,10 +37,15 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "openssh", "sshkey")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEXRUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s:,.-]{16,}?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{3,40})-----")
+BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,.-]|\\[nr])*+")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+#: Lines of nothing but base64.
+LINE = re.compile(r"^[A-Za-z0-9+/]++={0,2}(?=\r?$)", re.M)
+HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
+#: Least length of a wrapped key's lines but the last.
+WRAP = 40
 #: Bytes of signature by algorithm; 0: any that isn't empty.
 SIGNATURE = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": 0, "RS384": 0, "RS512": 0, "PS256": 0, "PS384": 0, "PS512": 0}
 
@@ -134,7 +144,7 @@ def token(header: str, claims: str, signature: str) -> bool:
         h, c = (json.loads(decoded(x) or b"") for x in (header, claims))
     except (ValueError, RecursionError):
         return False
-    if not isinstance(h, dict) or not isinstance(c, dict) or h.get("alg") not in SIGNATURE:
+    if not isinstance(h, dict) or not isinstance(c, dict) or not isinstance(h.get("alg"), str) or h["alg"] not in SIGNATURE:
         return False
     got = decoded(signature)
     return bool(got) and SIGNATURE[h["alg"]] in (0, len(got))
@@ -148,27 +158,65 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEXRUN.finditer(text)]
 
 
+def pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of each end mark and the begin mark of the same label right before it."""
+    begun = None
+    for m in PEM.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+            continue
+        if begun and begun[2] == m[2] and BODY.fullmatch(text, begun.end(), m.start()):
+            yield begun.start(), m.end(), m[2], text[begun.end() : m.start()]
+        begun = None
+
+
+def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, joined) of runs of base64 lines: all as wide as the first, but for the last, which may be shorter."""
+    run: list[re.Match] = []
+
+    def whole() -> Iterator[tuple[int, int, str]]:
+        if len(run) > 1:
+            yield run[0].start(), run[-1].end(), "".join(x[0] for x in run)
+        run.clear()
+
+    for m in LINE.finditer(text):
+        width = len(m[0])
+        if run and (text[run[-1].end() : m.start()] not in ("\n", "\r\n") or width > len(run[0][0])):
+            yield from whole()
+        if run or width >= WRAP:
+            run.append(m)
+            if width < len(run[0][0]) or m[0].endswith("="):
+                yield from whole()
+    yield from whole()
+
+
 def more_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans that structure confirms."""
-    out, taken = [], []
+    """Spans that structure confirms. Blocks, wrapped keys and tokens are not reported again as what they hold."""
+    out = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$|\s+", "", m[2])
-            if blob(decoded(body)) or (("ENCRYPTED" in m[0]) and decoded(body)):
-                out.append((m.start(), m.end(), "pem"))
-                taken.append(m.span())
+        for a, b, label, body in pem_blocks(text):
+            body = re.sub(r"(?m)^[A-Za-z-]+:.*$|\s+", "", body.replace("\\n", "\n").replace("\\r", ""))
+            if blob(decoded(body)) or ("ENCRYPTED" in label and decoded(body)):
+                out.append((a, b, "pem"))
     if "eyJ" in text:
-        for m in JWT.finditer(text):
-            if token(*m.groups()):
-                out.append((m.start(), m.end(), "jwt"))
-                taken.append(m.span())
+        out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if token(*m.groups())]
+    if "\n" in text:
+        pems = sorted(out)
+        out += [(a, b, kind) for a, b, joined in wrapped(text) if not held(pems, a) and (kind := blob(decoded(joined)))]
+    taken = sorted(out)
     for pattern, decode in ((BASE64, decoded), (HEXKEY, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
         for m in pattern.finditer(text):
-            if not any(a <= m.start() < b for a, b in taken) and (kind := blob(decode(m[0]))):
+            if not held(taken, m.start()) and (kind := blob(decode(m[0]))):
                 out.append((m.start(), m.end(), kind))
     return out
 
 
+def held(spans: list[tuple[int, int, str]], at: int) -> bool:
+    """Whether the last of these sorted spans to begin at or before `at` goes beyond it."""
+    i = bisect_right(spans, at, key=lambda x: x[0])
+    return i > 0 and at < spans[i - 1][1]
+
+
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
