@@ -11,10 +11,13 @@ that finds TARGET of the true neighbours there by brute force; vectors without a
 cluster structure therefore need most lists, clustered ones few.
 
 Scale: a list larger than BLOCK_ROWS is cut into blocks by an id hash, and so are the queries that probe it;
-a task holds one block of each. A block gives at most k rows for a query.
+a task holds one block of each. A block gives at most k rows for a query. There are up to MAX_LISTS lists, as many as centres can be
+fitted on the sample; beyond LIST_ROWS * MAX_LISTS vectors lists get longer (more blocks, not larger tasks), so work then grows with
+queries times rows.
 
 Defined results: null, zero, non-finite vectors and those with null components or of another than the most frequent
-length take no part; equal vectors rank by id; of rows with equal ids each is a candidate, and a query's own id is none; fewer than k candidates
+length take no part; equal vectors rank by id; of rows with equal ids each is a candidate, and a query's own id is none; a query
+row that is repeated is asked once, rows of one id with different vectors are queries of their own; fewer than k candidates
 are all returned; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -136,7 +139,8 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 1
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(near[:, 0]), pa.array([r.tobytes() for r in x], pa.binary()), probed], ["id", "list", "v", "probed"])
 
     indexed = written(spark, rows.select("id", "v").mapInArrow(assign, "id long, list int, v binary, probed array<int>"), "lists")
-    ask = indexed.where("probed is not null").select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.explode("probed").alias("to"))
+    # Repeated rows ask the same question: one of them asks it.
+    ask = indexed.where("probed is not null").select(F.col("id").alias("query_id"), F.col("v").alias("qv"), "probed").dropDuplicates(["query_id", "qv"]).select("query_id", "qv", F.explode("probed").alias("to"))
     sizes = indexed.groupBy("list").agg(F.count("*").alias("n"))
     asked = ask.groupBy(F.col("to").alias("list")).agg(F.count("*").alias("m"))
     cuts = F.broadcast(sizes.join(asked, "list").select("list", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("shares")))  # at most MAX_LISTS rows
