@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import bpe, minhash, mixing, pii, quality
 from tidewright.llm.common import written
+from tidewright.llm.queries import surrogate_key
 from tidewright.sources.code import ship
 
 
@@ -26,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.safe_documents(ship(spark), docs)
+    return pii.safe_documents(ship(spark), docs, surrogate_key(spark))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ def test_pii_surrogates(spark):
         "clean text, version 2.0. in 2024 and 3.14", "", LONG,
     ]
     docs = frame(spark, texts)
-    out = pii.pseudonymised(spark, docs).select("row.doc_id", "row.text", "safe", "found").collect()
+    out = pii.pseudonymised(spark, docs, "k").select("row.doc_id", "row.text", "safe", "found").collect()
     got = {r.doc_id: r for r in out}
     assert len(out) == docs.count() and got[900].safe is None and got[4].safe == "" and got[3].safe == texts[3] and got[5].safe == LONG
     for r in out:
@@ -203,17 +203,17 @@ def test_pii_surrogates(spark):
     assert sum((2 * int(c) - 9 * (int(c) > 4)) if k % 2 else int(c) for k, c in enumerate(reversed(card))) % 10 == 0
     names = re.match(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) and Господин ([Ѐ-ӿ]+) ([Ѐ-ӿ]+), 9\d\d-\d\d-\d{4}, DE\d{20}$", got[2].safe)
     assert names and names[1] in pii.GIVEN["f", "latin"] and names[2] == names[3] and names[4] in pii.GIVEN["m", "cyrillic"]
-    assert pii.safe_documents(spark, docs).columns == docs.columns and pii.safe_documents(spark, docs.limit(0)).count() == 0
+    assert pii.safe_documents(spark, docs, "k").columns == docs.columns and pii.safe_documents(spark, docs.limit(0), "k").count() == 0
 
 
 def test_pii_collisions_are_resolved(spark):
     rows = [(i, f"Mr. A{chr(97 + i % 26)}{chr(97 + i // 26)} Stone was here") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # The 16 given names can't tell 200 people of one surname apart; all still end up distinct.
-    safe = [r.safe for r in pii.pseudonymised(spark, docs).collect()]
+    safe = [r.safe for r in pii.pseudonymised(spark, docs, "k").collect()]
     assert len(set(safe)) == 200 and len({x.split()[2] for x in safe}) == 1
     mails = spark.createDataFrame([(i, f"{c}@one.example.org and {c}{c}@one.example.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
-    found = [m for r in pii.pseudonymised(spark, mails).collect() for m in re.findall(r"\S+@\S+", r.safe)]
+    found = [m for r in pii.pseudonymised(spark, mails, "k").collect() for m in re.findall(r"\S+@\S+", r.safe)]
     assert len(set(found)) == 52
 
 

@@ -1,20 +1,25 @@
 """Keyed surrogates for personal data, with DataFrame operations only.
 
-Entities: e-mail addresses, telephone numbers, IPv4 addresses, card numbers, social
-security numbers, IBANs and names after a title. One pattern finds them all, so spans
+Entities: e-mail addresses, telephone numbers, IPv4 addresses, card numbers (with a right check digit), social
+security numbers, IBANs and names after one of the titles below. One pattern finds them all, so spans
 don't overlap; the text between them stays as it is. A surrogate is made from a keyed digest of the
 entity's normal form, so an entity has the same surrogate wherever and in whatever
-formatting it occurs. It keeps type and format: separators, country codes, lengths, a valid check digit, a
-title and its gender, the script and case of letters. A surname's surrogate depends on
-the surname alone, so "Mr. Ann B. Weil" and "Mr. Weil" stay together.
+formatting it occurs. It keeps type and format: separators, country codes, lengths, right check digits (cards, IBANs; a wrong one
+of an IBAN stays wrong), a title and its gender, the script and case of letters.
+
+A name is made of parts that are entities of their own: its surname, the person (gender, given name, surname), and the whole name
+where there are names between. Surnames are settled first, persons with the surnames that they got, whole names last. So "Mr. Ann B.
+Weil", "Mr. Ann Weil" and "Mr. Weil" stay together, families stay distinct, and so do their members.
 
 Collision check: the distinct entities of all texts (small rows, summed before the shuffle) are
 grouped by surrogate. Where two share one, or a surrogate is itself an entity of the texts, all
 but the least get the next digest, until none collides. Only then, and only by text key,
 are those exceptions joined to the texts.
 
+The key is the caller's: whoever knows it can tell which surrogate an entity has.
+
 Defined results: null text stays null, empty text empty; texts without entities
-are unchanged; repeated rows stay repeated; other columns, whatever their names, are kept.
+are unchanged; repeated rows stay repeated; an empty table gives an empty result; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})
 #: Titles, and the gender they tell.
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"]
-NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(FEMALE + MALE) + r")\.? \p{Lu}[\p{L}'\-]*(?: \p{Lu}[\p{L}'\-]*\.?){0,2}"
+NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(FEMALE + MALE) + r")\.? (?:\p{Lu}\. (?=\p{Lu}))?\p{Lu}[\p{L}'\-]*+(?:(?: \p{Lu}\.(?= \p{Lu}))? \p{Lu}[\p{L}'\-]*+(?!\.\p{L})){0,2}"
 ENTITY = "|".join([EMAIL, IP, SSN, CARD, PHONE, IBAN, NAME])
 #: Given names by gender and script.
 GIVEN = {
@@ -58,13 +63,14 @@ def let(value: Column, body) -> Column:
 
 
 def kind_of(x: Column) -> Column:
+    """The kind of what the pattern found; null for a long number that isn't a card's."""
     return (
         F.when(x.contains("@"), "email")
         .when(x.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ip")
         .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(x.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(x.rlike(r"^\p{L}"), "name")
-        .when(x.rlike(r"^\d(?:[ \-]?\d){12,18}$"), "card")
+        .when(x.rlike(r"^\d(?:[ \-]?\d){12,18}$"), F.when(let(F.regexp_replace(x, r"\D", ""), lambda n: luhn(F.substr(n, F.lit(1), F.length(n) - 1)) == F.right(n, F.lit(1))), "card"))
         .otherwise("phone")
     )
 
@@ -77,6 +83,27 @@ def normal(kind: Column, x: Column) -> Column:
     return F.when(kind == "email", F.lower(x)).when(kind == "ip", x).when(kind == "iban", F.regexp_replace(x, " ", "")).when(kind == "name", F.lower(bare_name(x))).otherwise(F.regexp_replace(x, r"\D", ""))
 
 
+def gender(x: Column) -> Column:
+    return F.when(F.regexp_extract(x, r"^\p{L}+", 0).isin(FEMALE), "f").otherwise("m")
+
+
+def entries(kind: Column, x: Column) -> Column:
+    """(kind, norm, plain) of the entities that x stands for; plain is how another text would show it."""
+    one = lambda k, n, p: F.struct(k.alias("kind"), n.alias("norm"), p.alias("plain"))
+
+    def named(n: Column) -> Column:
+        surname, given = F.substring_index(n, " ", -1), F.substring_index(n, " ", 1)
+        words = F.size(F.split(n, " "))
+        parts = [
+            one(F.lit("surname"), surname, surname),
+            F.when(words > 1, one(F.lit("person"), F.concat_ws(" ", gender(x), given, surname), F.concat_ws(" ", given, surname))),
+            F.when(words > 2, one(F.lit("name"), F.concat_ws(" ", gender(x), n), n)),
+        ]
+        return F.filter(F.array(*parts), lambda e: e.isNotNull())
+
+    return let(normal(kind, x), lambda n: F.when(kind == "name", named(n)).otherwise(F.array(one(kind, n, n))))
+
+
 def digest(key: str, kind: Column | str, value: Column, attempt: Column | int) -> Column:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     attempt = F.lit(attempt) if isinstance(attempt, int) else attempt
@@ -88,13 +115,13 @@ def digits_of(d: Column) -> Column:
 
 
 def fill(x: Column, letters: Column, digits: Column) -> Column:
-    """x with its n-th sign replaced, if a digit or letter, by the n-th digit or letter given; case is kept."""
+    """x with its n-th digit or letter replaced by the n-th digit or letter given; case and other signs are kept, and don't count."""
 
     def step(a: Column, c: Column) -> Column:
         at = F.pmod(a.i, F.lit(64)) + 1
         letter = F.substr(letters, at, F.lit(1))
         new = F.when(c.rlike(r"\d"), F.substr(digits, at, F.lit(1))).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
-        return F.struct(F.concat(a.out, new).alias("out"), (a.i + 1).alias("i"))
+        return F.struct(F.concat(a.out, new).alias("out"), (a.i + c.rlike(r"[\p{L}\d]").cast("int")).alias("i"))
 
     return F.aggregate(F.split(x, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda a: a.out)
 
@@ -150,33 +177,73 @@ def script(x: Column) -> Column:
     return F.when(x.rlike(r"\p{IsCyrillic}"), "cyrillic").when(x.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def name(key: str, x: Column, n: Column, attempt: Column) -> Column:
+def by_script(n: Column, of: dict[str, str]) -> Column:
+    """The text for the script that n is written in."""
+    x = script(n)
+    return F.when(x == "cyrillic", of["cyrillic"]).when(x == "greek", of["greek"]).otherwise(of["latin"])
+
+
+def syllables(d: Column, n: Column, like: Column) -> Column:
+    """n syllables in the script of `like` from a digest, the first letter upper-case."""
+    spelt = lambda of, i: F.call_function("translate", F.substr(d, i, F.lit(1)), F.lit(HEX), by_script(like, of))
+    vowels = {k: v * 4 for k, v in VOWELS.items()}
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(spelt(CONSONANTS, 2 * i + 1), spelt(vowels, 2 * i + 2))), ""))
+
+
+def new_surname(key: str, surname: Column, attempt: Column) -> Column:
+    """Four syllables; more in later attempts, so that there is room for any number of families."""
+    return syllables(digest(key, "surname", surname, attempt), 4 + F.least(attempt, F.lit(8)), surname)
+
+
+def new_given(key: str, person: Column, attempt: Column) -> Column:
+    """A given name for a person (gender, given name, surname). The lists are short; later attempts have a second, invented one."""
+    at = F.conv(F.substr(digest(key, "given", person, attempt), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    names = {g: by_script(F.substr(person, F.lit(3)), {s: " ".join(x) for (of, s), x in GIVEN.items() if of == g}) for g in "fm"}
+    first = let(F.split(F.when(F.left(person, F.lit(1)) == "f", names["f"]).otherwise(names["m"]), " "), lambda a: F.get(a, (at % F.size(a)).cast("int")))
+    second = F.concat(F.lit("-"), syllables(digest(key, "second", person, attempt), 1 + F.least(attempt, F.lit(8)), F.substr(person, F.lit(3))))
+    return F.concat(first, F.when(attempt > 0, second).otherwise(""))
+
+
+def new_middle(key: str, whole: Column, attempt: Column) -> Column:
+    """An initial for the names between; a short word in later attempts."""
+    word = syllables(digest(key, "middle", whole, attempt), 1 + F.least(attempt, F.lit(8)), F.substr(whole, F.lit(3)))
+    return F.when(attempt > 0, word).otherwise(F.concat(F.left(word, F.lit(1)), F.lit(".")))
+
+
+def name(key: str, x: Column, n: Column, tries) -> Column:
+    """A name in the parts' surrogates; `tries` gives the attempt of a part by kind and norm."""
     title = F.regexp_extract(x, r"^\p{L}+\.? ", 0)
-    female = F.regexp_extract(x, r"^\p{L}+", 0).isin(FEMALE)
-    lone = ~n.contains(" ")
-    surname = digest(key, "surname", F.substring_index(n, " ", -1), F.when(lone, attempt).otherwise(F.lit(0)))
-    given = F.conv(F.substr(digest(key, "given", n, attempt), F.lit(1), F.lit(8)), 16, 10).cast("long")
-
-    def written_in(s: str) -> tuple[Column, Column]:
-        pick = lambda g: F.element_at(F.array(*map(F.lit, GIVEN[g, s])), (given % len(GIVEN[g, s]) + 1).cast("int"))
-        first = F.when(female, pick("f")).otherwise(pick("m"))
-        extra = digest(key, "second", n, attempt)
-        second = [F.translate(F.substr(extra, F.lit(2 * i + 1 + j), F.lit(1)), HEX, (VOWELS[s] * 4) if j else CONSONANTS[s]) for i in range(4) for j in range(2)]
-        # The lists of given names are short; later attempts have a second, invented one.
-        first = F.when(attempt > 0, F.concat(first, F.lit("-"), F.initcap(F.concat(*second)))).otherwise(first)
-        parts = [F.translate(F.substr(surname, F.lit(2 * i + 1), F.lit(1)), HEX, CONSONANTS[s]) if j == 0 else F.translate(F.substr(surname, F.lit(2 * i + 2), F.lit(1)), HEX, VOWELS[s] * 4) for i in range(4) for j in range(2)]
-        return first, F.initcap(F.concat(*parts))
-
-    def whole(s: str) -> Column:
-        first, last = written_in(s)
-        # A middle name is told by one initial, made from the whole name.
-        middle = F.when(F.size(F.split(n, " ")) > 2, F.concat(F.lit(" "), F.upper(F.translate(F.substr(digest(key, "middle", n, attempt), F.lit(1), F.lit(1)), HEX, CONSONANTS[s])), F.lit("."))).otherwise("")
-        return F.when(lone, last).otherwise(F.concat(first, middle, F.lit(" "), last))
-
-    return F.concat(title, F.when(script(x) == "cyrillic", whole("cyrillic")).when(script(x) == "greek", whole("greek")).otherwise(whole("latin")))
-
-
-def surrogate(key: str, x: Column, kind: Column, n: Column, attempt: Column) -> Column:
+    words = F.size(F.split(n, " "))
+    surname, person, whole = F.substring_index(n, " ", -1), F.concat_ws(" ", gender(x), F.substring_index(n, " ", 1), F.substring_index(n, " ", -1)), F.concat_ws(" ", gender(x), n)
+    given = let(tries("person", person), lambda a: new_given(key, person, a))
+    middle = let(tries("name", whole), lambda a: new_middle(key, whole, a))
+    last = let(tries("surname", surname), lambda a: new_surname(key, surname, a))
+    return F.concat(title, F.when(words > 1, F.concat(given, F.lit(" "))).otherwise(""), F.when(words > 2, F.concat(middle, F.lit(" "))).otherwise(""), last)
+
+
+def remainder(bban: Column, country: Column, check: Column) -> Column:
+    """An IBAN's number modulo 97; letters count as two digits."""
+    value = lambda c: F.when(c.rlike(r"\d"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    step = lambda a, c: (a * F.when(c.rlike(r"\d"), 10).otherwise(100) + value(c)) % 97
+    return F.aggregate(F.split(F.concat(bban, country, check), ""), F.lit(0), step)
+
+
+def iban(x: Column, n: Column, d: Column) -> Column:
+    """Country, spaces and lengths stay; the check digits are right if they were."""
+    country = F.left(n, F.lit(2))
+    valid = remainder(F.substr(n, F.lit(5)), country, F.substr(n, F.lit(3), F.lit(2))) == 1
+    rest = fill(F.substr(x, F.lit(5)), F.translate(d, HEX, CONSONANTS["latin"]), digits_of(d))
+
+    def checked(r: Column) -> Column:
+        right = 98 - remainder(F.regexp_replace(r, " ", ""), country, F.lit("00"))
+        return F.concat(country, F.lpad(F.when(valid, right).otherwise(right % 97 + 1).cast("string"), 2, "0"), r)
+
+    return let(rest, checked)
+
+
+def number(key: str, x: Column, kind: Column, n: Column, attempt: Column) -> Column:
+    """The surrogate of anything but a name."""
+
     def made(d: Column) -> Column:
         return (
             F.when(kind == "email", email(key, x, d, attempt))
@@ -184,67 +251,91 @@ def surrogate(key: str, x: Column, kind: Column, n: Column, attempt: Column) ->
             .when(kind == "card", card(x, n, d))
             .when(kind == "phone", phone(x, n, d))
             .when(kind == "ssn", put_digits(x, F.concat(F.lit("9"), digits_of(d))))
-            .when(kind == "iban", F.concat(F.substr(x, F.lit(1), F.lit(2)), fill(F.substr(x, F.lit(3)), F.translate(d, HEX, CONSONANTS["latin"]), digits_of(d))))
-            .otherwise(name(key, x, n, attempt))
+            .otherwise(iban(x, n, d))
         )
 
     return let(digest(key, kind, n, attempt), made)
 
 
+def surrogate(key: str, x: Column, kind: Column, n: Column, tries) -> Column:
+    """The surrogate of x; `tries` gives the attempt of an entity by kind and norm."""
+    return F.when(kind == "name", name(key, x, n, tries)).otherwise(let(tries(kind, n), lambda a: number(key, x, kind, n, a)))
+
+
 def found_in(text: Column) -> Column:
-    """All entities of a text, in order. Texts without a digit, an @ or a title are passed over at once."""
+    """All that the pattern finds in a text, in order. Texts without a digit, an @ or a title are passed over at once."""
     hint = text.rlike("[0-9@]")
     for t in FEMALE + MALE:
         hint = hint | text.contains(t + " ") | text.contains(t + ".")
     return F.when(hint, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def entities(docs: DataFrame, text_col: str) -> DataFrame:
-    """Distinct (kind, norm, x) of all texts; x is one way of writing it."""
-    x = docs.select(F.explode(found_in(F.col(f"`{text_col}`"))).alias("x")).withColumn("kind", kind_of(F.col("x"))).withColumn("norm", normal(F.col("kind"), F.col("x")))
-    return x.groupBy("kind", "norm").agg(F.min("x").alias("x"))
+def every_entry(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    """(kind, norm, plain, x) of all that is found, x being one way of writing it."""
+    x = docs.select(*more, F.explode(found_in(F.col(f"`{text_col}`"))).alias("x")).withColumn("kind", kind_of(F.col("x"))).where("kind is not null")
+    return x.withColumn("e", F.explode(entries(F.col("kind"), F.col("x")))).drop("kind").select("*", "e.*").drop("e")
 
 
-def collisions(spark: SparkSession, docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(kind, norm, attempt) of the entities that need another digest than the first."""
-    known = written(spark, entities(docs, text_col).withColumn("attempt", F.lit(0)), "entities")
+def settled(spark: SparkSession, known: DataFrame, new: Column) -> DataFrame:
+    """(kind, norm, attempt) of rows (kind, norm, plain, ...), with attempts under which all `new` differ and none is a plain form."""
+    real = known.select("kind", F.col("plain").alias("new"), F.lit(True).alias("real")).distinct()
+    now = known.withColumn("attempt", F.lit(0))
     for _ in range(MAX_ATTEMPTS):
-        new = let(surrogate(key, F.col("x"), F.col("kind"), F.col("norm"), F.col("attempt")), lambda s: normal(F.col("kind"), s))
-        made = written(spark, known.withColumn("new", new), "surrogates")  # read twice
+        made = written(spark, now.withColumn("new", new), "surrogates")  # read twice
         first = made.groupBy("kind", "new").agg(F.min(F.struct(F.col("attempt") == 0, "norm")).alias("first"), F.count("*").alias("n"))
-        real = known.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real"))
         told = made.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left")
         again = told.withColumn("clash", F.coalesce("real", F.lit(False)) | ((F.col("n") > 1) & (F.col("first.norm") != F.col("norm"))))
-        known = written(spark, again.select("kind", "norm", "x", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"), "clash"), "entities")
-        if known.where("clash").isEmpty():
-            return known.where("attempt > 0").select("kind", "norm", "attempt")
-        known = known.drop("clash")
+        now = written(spark, again.select(*known.columns, (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"), "clash"), "entities")
+        if now.where("clash").isEmpty():
+            return now.select("kind", "norm", "attempt")
+        now = now.drop("clash")
     raise ValueError(f"entities still collide after {MAX_ATTEMPTS} attempts")
 
 
-def pseudonymised(spark: SparkSession, docs: DataFrame, key: str = "change-me", text_col: str = "text") -> DataFrame:
+def collisions(spark: SparkSession, docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(kind, norm, attempt) of the entities that need another digest than the first."""
+    every = written(spark, every_entry(docs, text_col).groupBy("kind", "norm").agg(F.min("plain").alias("plain"), F.min("x").alias("x")), "entities")
+    norm, attempt = F.col("norm"), F.col("attempt")
+    others = settled(spark, every.where("kind not in ('surname', 'person', 'name')"), normal(F.col("kind"), number(key, F.col("x"), F.col("kind"), norm, attempt)))
+    surnames = every.where("kind = 'surname'").select("kind", "norm", "plain")
+    if surnames.isEmpty():
+        return others.where("attempt > 0")
+    families = settled(spark, surnames, F.lower(new_surname(key, norm, attempt)))
+    taken = families.select(norm.alias("surname"), F.col("attempt").alias("surname_attempt"))
+    last = new_surname(key, F.col("surname"), F.col("surname_attempt"))
+    people = every.where("kind = 'person'").select("kind", "norm", "plain", F.substring_index("norm", " ", -1).alias("surname")).join(taken, "surname")
+    people = settled(spark, people.select("kind", "norm", "plain", "surname", "surname_attempt"), F.lower(F.concat_ws(" ", new_given(key, norm, attempt), last)))
+    first = people.select(norm.alias("person"), F.col("attempt").alias("person_attempt"))
+    whole = every.where("kind = 'name'").select("kind", "norm", "plain", F.substring_index("norm", " ", -1).alias("surname"))
+    whole = whole.withColumn("person", F.concat_ws(" ", F.substring_index("norm", " ", 2), "surname")).join(taken, "surname").join(first, "person")
+    whole = settled(spark, whole.select("kind", "norm", "plain", "surname", "surname_attempt", "person", "person_attempt"), F.lower(F.concat_ws(" ", new_given(key, F.col("person"), F.col("person_attempt")), new_middle(key, norm, attempt), last)))
+    return others.union(families).union(people).union(whole).where("attempt > 0")
+
+
+def pseudonymised(spark: SparkSession, docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with `row` (all columns as they were), `found` (entities) and `safe` (the new text)."""
-    late = collisions(spark, docs, key, text_col)
+    late = written(spark, collisions(spark, docs, key, text_col), "late")
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t")).withColumn("found", found_in(F.col("t")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t")).withColumn("every", found_in(F.col("t")))
     if late.isEmpty():
         rows = rows.withColumn("attempts", F.lit(None).cast("map<string,int>"))
     else:
-        seen = docs.select(F.md5(text).alias("th"), F.explode(found_in(text)).alias("x")).withColumn("kind", kind_of(F.col("x"))).withColumn("norm", normal(F.col("kind"), F.col("x")))
-        hit = seen.select("th", "kind", "norm").distinct().join(late, ["kind", "norm"]).groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(SEP, "kind", "norm"), "attempt"))).alias("attempts"))
+        seen = every_entry(docs, text_col, F.md5(text).alias("th")).select("th", "kind", "norm").distinct()
+        hit = seen.join(late, ["kind", "norm"]).groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(SEP, "kind", "norm"), "attempt"))).alias("attempts"))
         rows = rows.withColumn("th", F.md5("t")).join(hit, "th", "left").drop("th")
 
-    def replaced(x: Column) -> Column:
-        def of(kind: Column) -> Column:
-            return let(normal(kind, x), lambda n: surrogate(key, x, kind, n, F.coalesce(F.get(F.transform(F.array(F.col("attempts")), lambda m: m[F.concat_ws(SEP, kind, n)]), F.lit(0)), F.lit(0))))
+    def tries(kind: Column | str, n: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.coalesce(F.get(F.transform(F.array(F.col("attempts")), lambda m: m[F.concat_ws(SEP, kind, n)]), F.lit(0)), F.lit(0))
 
-        return let(kind_of(x), of)
+    def replaced(x: Column) -> Column:
+        return let(kind_of(x), lambda kind: F.when(kind.isNull(), x).otherwise(let(normal(kind, x), lambda n: surrogate(key, x, kind, n, tries))))
 
-    safe = F.concat_ws("", F.zip_with(F.split("t", ENTITY, -1), F.transform("found", replaced), lambda between, new: F.concat(between, F.coalesce(new, F.lit("")))))
-    return rows.withColumn("safe", F.when(F.size("found") > 0, safe).otherwise(F.col("t")))
+    safe = F.concat_ws("", F.zip_with(F.split("t", ENTITY, -1), F.transform("every", replaced), lambda between, new: F.concat(between, F.coalesce(new, F.lit("")))))
+    return rows.select("row", "t", F.when(F.size("every") > 0, safe).otherwise(F.col("t")).alias("safe"), F.filter("every", lambda x: kind_of(x).isNotNull()).alias("found"))
 
 
-def safe_documents(spark: SparkSession, docs: DataFrame, key: str = "change-me") -> DataFrame:
+def safe_documents(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     """`docs` with its text made safe; n_chars, where there is one, follows the new text."""
     out = pseudonymised(spark, docs, key)
     cols = [F.col("safe").alias("text") if c == "text" else F.length("safe").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]

@@ -10,10 +10,19 @@ from tidewright.llm import ann, bpe, html, minhash, mixing, pii, quality, secret
 from tidewright.sources.code import ship
 
 
+#: The setting that holds the key of surrogates.
+KEY_SETTING = "spark.tidewright.surrogateKey"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of surrogates: KEY_SETTING of the session; without it that of the synthetic tables, which is no secret."""
+    return spark.conf.get(KEY_SETTING, None) or "synthetic tables"
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,7 +43,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(spark, _read(spark, sf_dir, "documents"))
+    out = pii.pseudonymised(spark, _read(spark, sf_dir, "documents"), surrogate_key(spark))
     of = lambda k: F.size(F.filter("found", lambda x: pii.kind_of(x) == k)).cast("long").alias(f"n_{k}")
     kinds = [of(k) for k in ("email", "phone", "ip", "card", "ssn", "iban", "name")]
     return out.select(F.col("row.doc_id").alias("doc_id"), F.col("safe").alias("text"), F.size("found").cast("long").alias("n_entities"), *kinds)
