@@ -10,8 +10,10 @@ Scale: exact copies collapse to one node first; a bucket of m texts makes m - 1
 pairs with its leader first; what that joins into one class is not compared again. Texts outside a bucket's
 largest class then meet a few of that class, and those still outside meet their whole
 bucket: pair by pair in small buckets, by pairs of blocks within a task in large ones, where only links
-leave the task. So no two texts of different classes in one bucket stay uncompared. A pair's
-samples are compared before its texts are fetched. Document frequencies are kept in a hashed table of
+leave the task. So no two texts of different classes in one bucket stay uncompared; the price is that in such a bucket each text
+outside its largest class is copied once for each block of ALL_BLOCK texts. A pair's samples are compared before its texts are fetched.
+A bucket, a class, a hub of links or a group of equal texts may hold any share of the rows: what belongs to its key is joined
+to its rows by way of `salts` parts (see `attached`), so no task holds more than its part. Document frequencies are kept in a hashed table of
 fixed size over all documents: a document adds a bounded number of shingles, so
 the table's error relative to the number of documents does not grow with it.
 
@@ -36,7 +38,8 @@ from tidewright.llm.common import shared_path, written
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 16, 4
+#: Samples of a text; they are cut into bands as the threshold needs.
+SAMPLES = 64
 #: Counters of the document-frequency table, rows of the table of random numbers.
 DF_SLOTS, RANDOM_ROWS = 1 << 16, 1 << 13
 #: idf = 1 + ln((1 + SMOOTH) / (df / N + SMOOTH)): mild, so that 0.8 keeps its meaning within large groups of copies.
@@ -46,6 +49,32 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+def banding(threshold: float) -> tuple[int, int, int]:
+    """(bands, rows of each, least samples in common) for a threshold.
+
+    Rows are the most (up to 4) with which a pair at the threshold shares a band but for a chance of 1 in 1,000. Four deviations below
+    the threshold, a chance of 1 in 20,000 at 0.8, pairs aren't compared exactly.
+    """
+    rows = next((r for r in (4, 3, 2) if (1 - threshold**r) ** (SAMPLES // r) <= 1e-3), 1)
+    return SAMPLES // rows, rows, int(SAMPLES * threshold - 4 * (SAMPLES * threshold * (1 - threshold)) ** 0.5)
+
+
+def attached(rows: DataFrame, keys: list[str], values: DataFrame, part: str, salts: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with the few rows that `values` has for each key, a key's rows dealt over `salts` parts by the column `part`.
+
+    First each (key, part) that occurs, at most `salts` for a key, meets the values; then the rows meet their (key, part).
+    """
+    if salts == 1:
+        return rows.join(values, keys, how)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(part), F.lit(salts)))
+    return dealt.join(dealt.select(*keys, "_salt").distinct().join(values, keys, how), [*keys, "_salt"]).drop("_salt")
+
+
+def salts_of(spark: SparkSession) -> int:
+    """Parts of a key: so many that one that has a third of all rows is as small as a task's share of the rest."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -129,7 +158,7 @@ def samples(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs: int,
 
     For shingle x of weight S: t = floor(ln S / r + b), ln a = ln c - r * (t - b + 1); the least a wins.
     """
-    k = BANDS * ROWS
+    k = SAMPLES
     r, inverse, beta, c = _random(k)
     row = (value & np.uint64(RANDOM_ROWS - 1)).astype(np.int64)
     low = ((value >> np.uint64(13)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -195,22 +224,23 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return (1 + np.log((1 + SMOOTH) / (np.minimum(df / max(n, 1), 1) + SMOOTH))).astype(np.float32)
 
 
-def signatures(spark: SparkSession, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def signatures(spark: SparkSession, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """(id, th, marks, bands) of every row; bands is null for a text without words."""
     shared = spark.sparkContext.broadcast(idf)
+    n_bands, n_rows, _ = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1):
                 doc, value, tf = shingles(part.column(1))
                 marks = samples(doc, value, weights(value, tf, shared.value), part.num_rows)
-                got = marks.reshape(part.num_rows, BANDS, ROWS)
-                key = np.zeros((part.num_rows, BANDS), np.uint64)
-                for k in range(ROWS):
+                got = marks[:, : n_bands * n_rows].reshape(part.num_rows, n_bands, n_rows)
+                key = np.zeros((part.num_rows, n_bands), np.uint64)
+                for k in range(n_rows):
                     key = mixed(key * _P + got[:, :, k].astype(np.uint64) + np.uint64(1))
                 some = np.zeros(part.num_rows, bool)
                 some[doc] = True
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32()), pa.array(key.view(np.int64).ravel()), mask=pa.array(~some))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * n_bands, pa.int32()), pa.array(key.view(np.int64).ravel()), mask=pa.array(~some))
                 marks = pa.array([x.tobytes() for x in marks], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), marks, bands], ["id", "th", "marks", "bands"])
 
@@ -239,11 +269,11 @@ def similar(spark: SparkSession, pairs: DataFrame, idf: np.ndarray, threshold: f
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of edges (a, b); label is the least node. Alternates large and small stars until nothing changes."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    state = None
+    state, salts = None, salts_of(spark)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = attached(both.where("v > u"), ["u"], low, "v", salts).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(spark, small, "stars")
@@ -265,8 +295,6 @@ def alike(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a binary, b binary")
 
 
-#: A pair of similarity 0.8 has this many of 64 samples in common but for a chance of 1 in 20,000; fewer aren't compared exactly.
-COMMON = int(BANDS * ROWS * (THRESHOLD - 0.2))
 #: Leaders of a bucket in the second turn; texts of a bucket that is compared by blocks in the third, and the blocks' sizes.
 LEADERS = 4
 LARGE = 64
@@ -321,11 +349,12 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     """(id, th, class_th, class_id) of every row: class_id is the least id of the class, class_th the key of its text."""
     rows = keyed(docs, id_col, text_col)
     idf = inverse_frequencies(rows)
-    signed = written(spark, signatures(spark, rows, idf), "signatures")
+    salts, common = salts_of(spark), banding(threshold)[2]
+    signed = written(spark, signatures(spark, rows, idf, threshold), "signatures")
     nodes = signed.groupBy("th").agg(F.min("id").alias("id"), F.first("marks").alias("marks"), F.first("bands").alias("bands"))
     slots = nodes.where("bands is not null").select("th", F.posexplode("bands").alias("band", "key"))
     sizes = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = written(spark, slots.join(sizes, ["band", "key"]).select("band", "key", "th", "n"), "buckets")
+    buckets = written(spark, attached(slots, ["band", "key"], sizes, "th", salts).select("band", "key", "th", "n"), "buckets")
     wanted = written(spark, buckets.select("th").distinct().join(nodes.select("th", "id", "marks"), "th"), "wanted")
     keys = wanted.select(F.col("th").alias("key_th"), F.col("id").alias("key_id"))
     texts = written(spark, rows.join(keys, (rows.th == keys.key_th) & rows.id.eqNullSafe(keys.key_id)).select("th", "text").dropDuplicates(["th"]), "texts")
@@ -334,7 +363,7 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (wanted.select(F.col("th").alias(x), F.col("marks").alias(f"marks_{x}")) for x in "ab")
-        close = alike(pairs.distinct().join(a, "a").join(b, "b"), COMMON)
+        close = alike(pairs.distinct().join(a, "a").join(b, "b"), common)
         a, b = (texts.select(F.col("th").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return similar(spark, close.join(a, "a").join(b, "b"), idf, threshold)
 
@@ -346,22 +375,22 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         pair = [F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")]
         if turn == 0:
             leaders = now.groupBy("band", "key").agg(F.min("th").alias("lead"))
-            found = verified(now.join(leaders, ["band", "key"]).where("th <> lead").select(*pair))
+            found = verified(attached(now, ["band", "key"], leaders, "th", salts).where("th <> lead").select(*pair))
         else:
             # A bucket is open while its texts are of two classes or more. Each pair of two classes has a text outside the largest.
             parts = now.groupBy("band", "key", "label").agg(F.count("*").alias("of_label"))
             most = parts.groupBy("band", "key").agg(F.max(F.struct("of_label", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", "key", F.col("most.label").alias("largest"))
-            now = written(spark, now.join(most, ["band", "key"]).withColumn("out", F.col("label") != F.col("largest")), "open")
+            now = written(spark, attached(now, ["band", "key"], most, "th", salts).withColumn("out", F.col("label") != F.col("largest")), "open")
             if turn == 1:
                 part = F.pmod(F.xxhash64("th"), F.lit(LEADERS)).alias("part")
                 leaders = now.where("not out").groupBy("band", "key", part).agg(F.min("th").alias("lead"))
-                found = verified(now.where("out").join(leaders, ["band", "key"]).select(*pair))
+                found = verified(attached(now.where("out"), ["band", "key"], leaders, "th", salts).select(*pair))
             else:
                 leaders = now.where(f"out and n <= {LARGE}").select("band", "key", F.col("th").alias("lead"), F.col("label").alias("lead_label"))
                 found = verified(now.join(leaders, ["band", "key"]).where("label <> lead_label").select(*pair))
                 large = now.where(f"n > {LARGE}")
                 cuts = large.groupBy("band", "key").agg(F.ceil(F.count_if("out") / OUT_BLOCK).alias("obs"), F.ceil(F.count("*") / ALL_BLOCK).alias("cbs"))
-                large = large.join(cuts, ["band", "key"]).join(texts, "th")
+                large = attached(large, ["band", "key"], cuts, "th", salts).join(texts, "th")
                 h, every = F.xxhash64("th"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
                 outside = large.where("out").withColumn("ob", F.pmod(h, F.col("obs"))).withColumn("cb", every("cbs"))
                 inside = large.withColumn("out", F.lit(False)).withColumn("cb", F.pmod(h, F.col("cbs"))).withColumn("ob", every("obs"))
@@ -372,13 +401,15 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         links.append(path)
         if not spark.read.schema("a binary, b binary").parquet(path).isEmpty():
             labels = components(spark, spark.read.schema("a binary, b binary").parquet(*links))
-    found = signed.select("id", "th")
+    # Classes of texts first, a row for each text; then of rows.
+    found = nodes.select("th", "id")
     if labels is None:
         found = found.withColumn("class_th", F.col("th"))
     else:
-        found = found.join(labels, found.th == labels.node, "left").select("id", "th", F.coalesce("label", "th").alias("class_th"))
+        found = found.join(labels, found.th == labels.node, "left").select("th", "id", F.coalesce("label", "th").alias("class_th"))
     least = found.groupBy("class_th").agg(F.min("id").alias("class_id"))
-    return found.join(least, "class_th").select("id", "th", "class_th", "class_id")
+    found = attached(found.drop("id"), ["class_th"], least, "th", salts)
+    return attached(signed.select("id", "th"), ["th"], found, "id", salts).select("id", "th", "class_th", "class_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
