@@ -1,5 +1,7 @@
 """Main text of pages: light parts, unclosed elements, excluded wrappers, and a brute-force version of the line windows."""
 
+import random
+
 from tidewright.llm import html
 
 
@@ -31,3 +33,75 @@ def test_html_unclosed_and_wrapped():
     assert text(f"<article>{p}</article><div class=comments><article class=comment>{p}</article></div>") == p
     for outer in ("nav", "aside", "footer", "div hidden", "div role=dialog", "div class=social><nav"):
         assert text(f"<article>{p}</article><{outer}><article>{p}</article></{outer.split()[0]}>") == p, outer
+
+
+def test_stretches_against_brute_force():
+    g = random.Random(8)
+    for _ in range(3000):
+        w = [g.choice([0, 0, 0, 1, 5, 19, 20, 21, 59, 60, 200]) for _ in range(g.randrange(0, 25))]
+        sums = [sum(w[max(0, i - 1) : i + 2]) for i in range(len(w))]
+        least = html.SURGE if max(sums, default=0) >= html.SURGE else 1
+        want = []
+        for i in range(len(w)):
+            # Text: from here one comes to a surge, to the left or the right, without a dive on the way.
+            right = next((j for j in range(i, len(w)) if sums[j] >= least or not sums[j]), None)
+            left = next((j for j in range(i, -1, -1) if sums[j] >= least or not sums[j]), None)
+            if w[i] and any(j is not None and sums[j] for j in (left, right)):
+                want.append(i)
+        assert [i for a, b in html.stretches(w) for i in range(a, b) if w[i]] == want
+
+
+def test_windows_decide_with_without_and_against_marks():
+    p = ["One sentence of a paragraph that is long enough to be seen as text.", "A second one, which is of about the same length as the first one is."]
+    short = ["a", "b", "c", "d", "e"]
+    body = "".join(f"<p>{x}</p>" for x in ["Two short", "paragraphs.", *p, *short, "And a closing one."])
+    want = " ".join(["Two short", "paragraphs.", *p, *short, "And a closing one."])
+    links = "<div><a href=1>Home</a></div>" * 4
+    small = "<div>Site</div>"
+    for page in (f"{small}{links}<div>{body}</div>{links}<div>Imprint</div>", f"<div>Site</div><article>{body}</article><div>Imprint</div>"):
+        assert html.main_text(page) == want
+    # A mark around a teaser is wrong: the text is elsewhere.
+    assert html.main_text(f"<article><h2>Teaser</h2></article>{links}<div>{body * 3}</div>") == " ".join([want] * 3)
+    # A marked line among too little text doesn't surge by itself.
+    assert html.main_text(f"<article>{body}</article>{small * 4}<article>Hi</article>") == want
+    assert html.main_text("<p>x</p>") == "x" and html.main_text(links) == ""
+    assert html.main_text(f"<article><p><a href=1>{p[0]}</a></p><p>{p[1]}</p></article>") == " ".join(p)
+
+
+def test_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None, "<p>" + "long text " * 100_000), (None, "u", None), (1, None, "")], "page_id long, url string, html string").selectExpr("*", "'clash' AS text", "1 AS n_chars")
+    got = html.extract(docs).collect()
+    assert sorted(r.n_chars for r in got) == [0, 0, 999_999] and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert html.extract(docs.limit(0)).count() == 0
+
+
+def test_articles_of_the_table(spark):
+    """The marked article of each page of the table, read by the library's own parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.text = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.text.append("\n" if tag in ("p", "h1", "h2", "h3", "li", "br", "div") else "")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.text.append("\n" if tag in ("p", "h1", "h2", "h3", "li", "div") else "")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.text.append(data)
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null")
+    pages = {r.page_id: r.html for r in docs.collect()}
+    same = 0
+    for r in html.extract(docs).collect():
+        a = Article()
+        a.feed(pages[r.page_id])
+        same += " ".join("".join(a.text).split()) == r.text
+    print(same, len(pages))
+    assert same >= 0.9 * len(pages)

@@ -1,11 +1,13 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines (one for each block element). A line's weight is its text
-outside links; lines of menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
-and reader comments weigh nothing. Where a page marks its articles, the lines inside them are the text.
-Elsewhere weights are summed over a sliding window of WINDOW lines. The text runs from a surge, where the sum reaches
-the threshold, to the dive, where it falls below. All runs are text, and so are the lines between them
-that aren't mostly links; where no sum reaches the threshold, all such lines are. All marked articles are text.
+Markup is stripped into lines (one for each block element); lines of menus, headers, footers, side bars, notices, adverts, forms,
+scripts, styles and reader comments are stripped with it. A line's weight is its text outside links, none if it is mostly links. Where
+a page marks its articles, and the marks hold at least CREDIBLE of its text, a line inside them weighs MARKED times its text and one
+outside nothing; marks around less than that are taken to be wrong, and weigh nothing more than other lines.
+
+On every page weights are then summed over a sliding window of WINDOW lines. Text surges where the sum reaches SURGE (anything, on a
+page where none does) and dives where the sum is nothing: a stretch without such a dive that surges anywhere is text from its
+first line with weight to its last. All such stretches are text, and all their lines with weight, however short.
 
 Runs as a map over Arrow batches, one page at a time; no shuffle.
 
@@ -14,7 +16,8 @@ footer or hidden part isn't.
 
 Defined results: null html is empty; a page without text gives the empty string;
 unclosed, cut-off and stray tags are tolerated (an unclosed button, drawing or the like ends at the next block tag;
-an unclosed script or style, as in browsers, at the end of the page); repeated rows each get a result; extra columns are ignored.
+an unclosed script or style, as in browsers, at the end of the page); repeated rows each get a result; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +25,17 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: A window's text that counts as a surge, where no article is marked.
+#: A window's weight that counts as a surge.
 SURGE = 60
+#: What a marked line's text weighs more, and the share of a page's text that marks must hold.
+MARKED, CREDIBLE = 4, 0.25
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
@@ -174,34 +180,40 @@ def lines_of(page: str) -> list[list]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    if not lines:
-        return ""
-    if any(a for _, _, a in lines):
-        return " ".join(t for t, _, a in lines if a)
-    weights = [max(0, len(t) - linked) if linked * 2 < len(t) else 0 for t, linked, _ in lines]
-    half = WINDOW // 2
-    sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(len(lines))]
-    surge = SURGE if max(sums) >= SURGE else 1
-    runs: list[tuple[int, int]] = []
-    start = None
+def weights_of(lines: list[list]) -> list[int]:
+    """The weight of each line [text, text inside links, marked article or 0]."""
+    own = [max(0, len(t) - linked) if linked * 2 < len(t) else 0 for t, linked, _ in lines]
+    inside = sum(len(t) for t, _, a in lines if a)
+    outside = sum(w for w, (_, _, a) in zip(own, lines, strict=True) if not a)
+    if inside and inside >= CREDIBLE * (inside + outside):
+        return [MARKED * len(t) if a else 0 for t, _, a in lines]
+    return own
+
+
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """[start, end) of the runs of lines whose window sums nowhere fall to nothing and somewhere surge."""
+    half = window // 2
+    ahead = [0, *accumulate(weights)]
+    sums = [ahead[min(len(weights), i + half + 1)] - ahead[max(0, i - half)] for i in range(len(weights))]
+    least = surge if max(sums, default=0) >= surge else 1
+    out: list[tuple[int, int]] = []
+    start, most = None, 0
     for i, s in enumerate([*sums, 0]):
-        if s >= surge and start is None:
-            start = i
-        elif s < surge and start is not None:
-            a, b = start, i
-            while a < b and not weights[a]:
-                a += 1
-            while b > a and not weights[b - 1]:
-                b -= 1
-            if a < b:
-                runs.append((a, b))
+        if s and start is None:
+            start, most = i, s
+        elif s:
+            most = max(most, s)
+        elif start is not None:
+            if most >= least:
+                out.append((start, i))
             start = None
-    if not runs:
-        return ""
-    inside = {i for a, b in runs for i in range(a, b)}
-    return " ".join(lines[i][0] for i in range(runs[0][0], runs[-1][1]) if i in inside or weights[i])
+    return out
+
+
+def main_text(page: str | None) -> str:
+    lines = lines_of(page or "")
+    weights = weights_of(lines)
+    return " ".join(lines[i][0] for a, b in stretches(weights) for i in range(a, b) if weights[i])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
