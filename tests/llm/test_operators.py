@@ -225,14 +225,33 @@ def test_tokencount_equals_a_recount(spark, prose):
     t.encode_special_tokens = True
     docs = frame(spark, ODD + prose).withColumn("edits", tokencount.sample_edits(F.col("doc_id"), F.col("text")))
     rows = {r.doc_id: r for r in docs.collect()}
-    for r in tokencount.counted(docs, path).collect():
+    for r in tokencount.counted(spark, docs, path).collect():
         text = rows[r.doc_id].text or ""
         assert r.n_tokens == len(t.encode(text, add_special_tokens=False).ids)
         for e in rows[r.doc_id].edits:
             text = text[: e.start] + e.replacement + text[e.start + e.length :]
         assert r.n_tokens_after == len(t.encode(text, add_special_tokens=False).ids) and r.n_chars_after == len(text)
     edits = spark.createDataFrame([(1, 1, 0, 3, "xyz"), (1, 2, 1, 1, None)], "doc_id long, seq int, start long, length long, replacement string")
-    assert tokencount.counted(tokencount.with_edits(spark, docs.drop("edits"), edits), path).count() == docs.count()
+    assert tokencount.counted(spark, tokencount.with_edits(docs.drop("edits"), edits), path).count() == docs.count()
+    assert tokencount.counted(spark, docs.limit(0), path).count() == 0
+
+
+def test_kept_trees_are_edited_again(spark, prose):
+    """Trees that were kept take further edits; what is encoded is what the edits touch, and the leaves equal those of the new text."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame(list(enumerate([*prose, LONG, "", None])), "doc_id long, text string").selectExpr("*", "'clash' AS lengths", "1 AS n_tokens")
+    trees = tokencount.trees(docs, path).cache()
+    texts = {r.doc_id: r.text for r in trees.collect()}
+    for turn in range(3):
+        trees = trees.select("doc_id", "text", "lengths", "counts").withColumn("edits", tokencount.sample_edits(F.col("doc_id") + 1000 * turn, F.col("text"), 4))
+        for r in trees.collect():
+            for e in r.edits:
+                texts[r.doc_id] = texts[r.doc_id][: e.start] + e.replacement + texts[r.doc_id][e.start + e.length :]
+        trees = tokencount.edited(trees, path).cache()
+        again = {r.doc_id: r for r in tokencount.trees(trees.select("doc_id", "text"), path).collect()}
+        for r in trees.collect():
+            assert (r.text, r.lengths, r.counts, r.n_tokens) == (texts[r.doc_id], again[r.doc_id].lengths, again[r.doc_id].counts, again[r.doc_id].n_tokens)
+            assert r.n_encoded <= 4 * 60 or r.n_pieces < 200
 
 
 def test_segment_tree_edits():
@@ -244,16 +263,16 @@ def test_segment_tree_edits():
         text = "".join(g.choice(bits) for _ in range(g.randint(0, 300)))
         p = tokencount.PATTERN.findall(text)
         c.learn(p)
-        tree = tokencount.Tree(p, c.known)
+        tree = tokencount.Tree(text, np.array([len(x) for x in p], np.int32), np.array([c.known[x] for x in p], np.int32))
         for _ in range(4):
             a, n, new = g.randint(0, len(text) + 2), g.choice([0, 1, 5, 400]), "".join(g.choice(bits) for _ in range(g.choice([0, 1, 2, 200])))
             e = tokencount.Edit(tree, a, n, new)
             c.learn(e.new)
-            e.apply()
+            e.apply(c.known)
             a = min(a, len(text))
             text = text[:a] + new + text[a + n :]
             want = tokencount.PATTERN.findall(text)
-            assert [x for b in tree.blocks for x in b] == want and tree.total == sum(c.known[x] if x in c.known else c.learn([x]) or c.known[x] for x in want)
+            assert tree.leaves()[0] == text and [x for b in tree.blocks for x in b.pieces] == want and tree.total == sum(c.known[x] if x in c.known else c.learn([x]) or c.known[x] for x in want)
 
 
 def near_classes(texts):

@@ -69,4 +69,4 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("edits", tokencount.sample_edits(F.col("doc_id"), F.col("text")))
-    return tokencount.counted(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokencount.counted(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
