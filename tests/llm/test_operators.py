@@ -50,12 +50,26 @@ def test_bpe_equals_the_library(spark, prose):
     assert bpe.encode_decode(spark, docs.limit(0), path).count() == 0
 
 
-def test_lexicon_is_a_minimal_exact_index():
+def test_every_character_is_encoded_as_in_the_library():
+    """Each code point between letters and beside marks that may compose with it; Python's Unicode may be older than the library's."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), bpe.Encoder(bpe.vocabulary_of(path), None, bpe.char_table())
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}\u0307{chr(c)}" for c in range(b, b + 512) if not 0xD800 <= c < 0xE000) for b in range(0, 0x110000, 512)]
+    texts = [x for x in texts if x]
+    ids, bounds = e.encode(texts)
+    for k, x in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, hex(ord(x[1]))
+
+
+def test_lexicon_is_a_minimal_exact_index(tmp_path):
     v = bpe.vocabulary_of(public_tokenizers.path("word_bpe_49k.json"))
     words = [b"tap", b"taps", b"top", b"tops", b"stop", b"stops"]
-    x = bpe.Lexicon.mapped(bpe.Lexicon(words, v).packed())
+    (tmp_path / "lexicon").write_bytes(bpe.Lexicon(words, v).packed())
+    x = bpe.Lexicon.mapped(str(tmp_path / "lexicon"))
     assert len(x.final) == 7  # the ends "p" and "ps" are shared
-    p = bpe.Pieces(["taps stop nope to tops"], v.special)
+    p = bpe.Pieces(["taps stop nope to tops"], v.special, bpe.char_table())
     assert x.find(p).tolist() == [sorted(words).index(w) if w in words else -1 for w in (b"taps", b"stop", b"nope", b"to", b"tops")]
 
 

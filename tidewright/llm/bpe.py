@@ -3,30 +3,38 @@
 The words of all documents are counted, the most frequent ones are merged once
 and compiled into a minimal acyclic automaton with outputs on its transitions:
 the sum of a path's outputs is the word's ordinal, and the ordinal leads to its
-ids. The automaton is memory-mapped by each Python worker. Words outside it are
+ids. The automaton is a file that Spark hands to each executor once; its Python workers map it into memory and so share its pages.
+Words outside it are
 merged exactly, lowest rank first and leftmost among equals. Both run over
 whole Arrow batches at once, so no Python code runs per word.
 
+Which characters are letters, numbers and white space is taken from the tokenizers library (its Unicode may be newer than Python's);
+texts with a character that the two normalise differently are normalised by the library.
+
 Defined results: null text is empty text; empty text has no ids and decodes to
-the empty string; rows are never dropped, repeated rows each get their own
+the empty string; an empty table gives an empty result; rows are never dropped, repeated rows each get their own
 result; extra columns don't matter (only id and text columns are read).
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import mmap
 import re
+import shutil
 import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,35 +246,65 @@ class Vocabulary:
         return out_sym[keep].astype(np.int32), size
 
 
+SURROGATES = range(0xD800, 0xE000)
+
+
+#: In a table of characters: their class, and whether Python doesn't know them, or lower-cases or composes them unlike the library.
+CLASS, ODD = 7, 8
+
+
 @lru_cache(1)
-def char_classes() -> np.ndarray:
-    """0 other, 1 letter, 2 number, 3 white space, by code point; two places follow for special tokens."""
-    import sys
+def char_table() -> np.ndarray:
+    """By code point, as the library matches them: 0 other, 1 letter, 2 number, 3 white space, plus ODD; places for special tokens follow."""
+    from tokenizers import Regex, pre_tokenizers
 
+    every = "".join(chr(c) for c in range(0x110000) if c not in SURROGATES)
+    gap = lambda i: i + len(SURROGATES) * (i >= SURROGATES[0])
     out = np.zeros(0x110000 + 2, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            out[c] = 1
-        elif kind == "N":
-            out[c] = 2
-    for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]:
-        out[c] = 3
+    for k, kind in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
+        for _, (a, b) in pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(every):
+            if a < SURROGATES[0] < b:
+                out[a : SURROGATES[0]], out[SURROGATES[-1] + 1 : gap(b - 1) + 1] = k, k
+            else:
+                out[gap(a) : gap(b - 1) + 1] = k
+    for start in range(0, 0x110000, 1 << 14):  # in parts, to spare the driver's memory
+        part = [c for c in range(max(1, start), start + (1 << 14)) if c not in SURROGATES]
+        if not part:
+            continue
+        known = [c for c in part if unicodedata.category(chr(c)) != "Cn"]
+        texts = "\0".join(map(chr, known))
+        theirs, ours = (x.split("\0") for x in (library_normalizer().normalize_str(texts), lowered(texts)))
+        out[part] |= ODD
+        out[[c for c, a, b in zip(known, theirs, ours, strict=False) if a == b or b.isspace()]] &= CLASS
     out[0x110000:] = 4
     return out
 
 
-def normalized(text: str) -> str:
+@lru_cache(1)
+def library_normalizer():
+    from tokenizers import Regex, normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+
+
+def lowered(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ")  # each character by itself: no final sigma
     return text.lower()
 
 
+def normalized(text: str, table: np.ndarray) -> str:
+    """NFC and lower case, as the library makes them; its runs of white space are left to the splitting."""
+    if text.isascii() or not (table[np.frombuffer(text.encode("utf-32-le"), np.uint32)] & ODD).any():
+        return lowered(text)
+    return library_normalizer().normalize_str(text)
+
+
 class Pieces:
     """The pre-tokens of some texts: bytes, where each begins and ends, and which text it is of."""
 
-    def __init__(self, texts: list[str], special: list[tuple[str, int]]):
+    def __init__(self, texts: list[str], special: list[tuple[str, int]], table: np.ndarray):
         parts, marks, at, chars = [], [], [], 0
         split = re.compile("(" + "|".join(re.escape(s) for s, _ in special) + ")") if special else None
         known = {s: i for i, (s, _) in enumerate(special)}
@@ -278,7 +316,7 @@ class Pieces:
                     marks.append((chars, known[p]))
                     p = "\0"
                 else:
-                    p = normalized(p)
+                    p = normalized(p, table)
                 parts.append(p)
                 chars += len(p)
             parts.append(" ")
@@ -289,7 +327,7 @@ class Pieces:
             cp = cp.copy()
             for p, k in marks:
                 cp[p] = 0x110000 + k
-        kind = char_classes()[cp]
+        kind = table[cp] & CLASS
         self.data = np.frombuffer(joined.encode(), np.uint8)
         if len(self.data) == len(cp):
             byte_at = None
@@ -404,11 +442,9 @@ class Lexicon:
         return len(head).to_bytes(8, "little") + head + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
 
     @classmethod
-    def mapped(cls, packed: bytes) -> Lexicon:
-        """From a file that this process maps into memory; its name is removed at once, its pages go with the process."""
-        with tempfile.TemporaryFile() as f:
-            f.write(packed)
-            f.flush()
+    def mapped(cls, path: str) -> Lexicon:
+        """From a packed file, mapped into memory: processes that map it share its pages."""
+        with open(path, "rb") as f:
             memory = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         n = int.from_bytes(memory[:8], "little")
         head, at, arrays = json.loads(memory[8 : 8 + n]), 8 + n, []
@@ -443,8 +479,8 @@ class Lexicon:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, table: np.ndarray):
+        self.vocabulary, self.lexicon, self.table = vocabulary, lexicon, table
 
     def piece_ids(self, p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A flat array of ids, and where each piece's ids begin there and how many they are."""
@@ -476,7 +512,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, flat, and the bounds of each text's."""
-        p = Pieces(texts, self.vocabulary.special)
+        p = Pieces(texts, self.vocabulary.special, self.table)
         pool, begin, count = self.piece_ids(p)
         ends = np.concatenate([[0], np.cumsum(count)])
         return pool[spread(begin, count)], ends[p.first]
@@ -509,12 +545,14 @@ def frequent_words(docs: DataFrame, special: list[tuple[str, int]], text_col: st
     short by less than min_count for each partition; only speed depends on this, never a result.
     """
 
+    table = docs.sparkSession.sparkContext.broadcast(char_table())  # of fixed size
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: pd.Series | None = None
         pending: list[pd.Series] = []
         for batch in batches:
             for _, texts in slices(batch.column(0).to_pylist(), 1 << 22):
-                p = Pieces(texts, special)
+                p = Pieces(texts, special, table.value)
                 which = np.arange(len(p.at)) if p.mark is None else np.flatnonzero(p.mark < 0)
                 if not len(which):
                     continue
@@ -543,15 +581,26 @@ def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-_workers: dict[int, Encoder] = {}
+_workers: dict[str, Encoder] = {}
 
 
-def worker_encoder(key: int, vocabulary: Vocabulary, packed: bytes) -> Encoder:
+def worker_encoder(name: str, vocabulary: Vocabulary, table: np.ndarray) -> Encoder:
     """One encoder for each lexicon and Python process."""
-    if key not in _workers:
+    if name not in _workers:
         _workers.clear()
-        _workers[key] = Encoder(vocabulary, Lexicon.mapped(packed))
-    return _workers[key]
+        _workers[name] = Encoder(vocabulary, Lexicon.mapped(SparkFiles.get(name)), table)
+    return _workers[name]
+
+
+def handed_out(spark: SparkSession, packed: bytes) -> str:
+    """The name of a file that Spark hands to every executor, those that join later too. The driver's own file goes with the driver."""
+    folder = tempfile.mkdtemp(prefix="tidewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"lexicon-{uuid.uuid4().hex}"
+    with open(f"{folder}/{name}", "wb") as f:
+        f.write(packed)
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", limit: int = LEXICON_WORDS) -> bytes:
@@ -568,12 +617,11 @@ def encode_decode(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_
     vocabulary = vocabulary_of(tokenizer_path)
     docs = docs.select(F.col(id_col), F.col(text_col))
     packed = build_lexicon(spark, docs, vocabulary, text_col, lexicon_words)
-    shared = spark.sparkContext.broadcast((vocabulary, packed))  # both of bounded size
-    key = shared.id if hasattr(shared, "id") else int(hashlib.sha256(packed).hexdigest()[:12], 16)
+    shared, name = spark.sparkContext.broadcast((vocabulary, char_table())), handed_out(spark, packed)  # both of bounded size
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(key, *shared.value)
+        encoder = worker_encoder(name, *shared.value)
         for batch in batches:
             for at, texts in slices(batch.column(1).to_pylist()):
                 ids, bounds = encoder.encode(texts)
