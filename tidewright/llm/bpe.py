@@ -258,19 +258,15 @@ def char_table() -> np.ndarray:
     """By code point, as the library matches them: 0 other, 1 letter, 2 number, 3 white space, plus ODD; places for special tokens follow."""
     from tokenizers import Regex, pre_tokenizers
 
-    every = "".join(chr(c) for c in range(0x110000) if c not in SURROGATES)
-    gap = lambda i: i + len(SURROGATES) * (i >= SURROGATES[0])
+    kinds = [(k, pre_tokenizers.Split(Regex(x), "removed", invert=True)) for k, x in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+"))]
     out = np.zeros(0x110000 + 2, np.uint8)
-    for k, kind in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
-        for _, (a, b) in pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(every):
-            if a < SURROGATES[0] < b:
-                out[a : SURROGATES[0]], out[SURROGATES[-1] + 1 : gap(b - 1) + 1] = k, k
-            else:
-                out[gap(a) : gap(b - 1) + 1] = k
-    for start in range(0, 0x110000, 1 << 14):  # in parts, to spare the driver's memory
-        part = [c for c in range(max(1, start), start + (1 << 14)) if c not in SURROGATES]
+    for start in range(0, 0x110000, 1 << 11):  # in parts, to spare the driver's memory
+        part = [c for c in range(max(1, start), start + (1 << 11)) if c not in SURROGATES]
         if not part:
             continue
+        for k, split in kinds:
+            for _, (a, b) in split.pre_tokenize_str("".join(map(chr, part))):
+                out[part[a:b]] = k
         known = [c for c in part if unicodedata.category(chr(c)) != "Cn"]
         texts = "\0".join(map(chr, known))
         theirs, ours = (x.split("\0") for x in (library_normalizer().normalize_str(texts), lowered(texts)))
