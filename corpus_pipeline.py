@@ -4,6 +4,10 @@ Each stage takes all that its predecessor kept and returns whole documents (the
 quality rules reject documents, of each class of near duplicates one stays, personal
 data are replaced, sources are mixed to their weights (documents may then occur up to
 three times), and the mix is encoded.
+
+Defined results of every stage: a null text is an empty one; nulls in other columns are kept as they are; repeated rows are rows of
+their own (of which the near-duplicate stage keeps one); an empty table gives an empty one; columns of other names, whatever they
+are, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -18,23 +22,28 @@ from tidewright.sources.code import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the counting rules and the likelihood ratio. Empty and short texts fail; without labels only the rules decide."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return quality.good_documents(spark, docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: that of the least id. Documents without words are alike only if their texts are equal."""
     return minhash.keep_one(ship(spark), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates in their texts; n_chars, where there is one, follows. A null text stays null."""
     return pii.safe_documents(ship(spark), docs, surrogate_key(spark))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, 0 to 3 times. A null source is a source; documents without words aren't taken."""
     return mixing.mixed_documents(ship(spark), docs)
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document of the mix."""
     return bpe.encode_decode(ship(spark), docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True).drop("decoded")
 
 
