@@ -10,8 +10,12 @@ from tidewright.sources.tables import table
 
 
 def _line() -> Column:
-    """A turn's letters as one line of text."""
-    return F.concat(F.lit("t"), F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit("."))
+    """A turn as one line of text, whole."""
+    return F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " "))
+
+
+#: The same in SQL.
+LINE = r"trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))"
 
 
 def _cues(spark, d):
@@ -26,7 +30,7 @@ def a1_srt_scan(spark, d):
 
 
 A1 = """SELECT 'conv-' || conv_id AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS ordinal, CAST(turn + 1 AS INTEGER) AS number, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms,
-'t' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '.' AS text FROM conversations"""
+LINE AS text FROM conversations WHERE LINE <> ''""".replace("LINE", LINE)
 
 
 def a2_layout_scan(spark, d):
@@ -49,9 +53,9 @@ def a4_lrc_scan(spark, d):
     return cues.parse_lrc(files).select(F.col("path").cast("long").alias("conv_id"), "ordinal", "time_ms", "text")
 
 
-A4 = """WITH c AS (SELECT conv_id, turn, 't' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '.' AS text FROM conversations),
+A4 = """WITH c AS (SELECT conv_id, turn, LINE AS text FROM conversations WHERE LINE <> ''),
 t AS (SELECT conv_id, turn, 0 AS k, turn * 1000 + 500 AS time_ms, trim(text) AS text FROM c UNION ALL SELECT conv_id, turn, 1, 300000 + turn * 1000 + 500, trim(text) FROM c WHERE turn % 3 = 0)
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY time_ms, turn, k) - 1 AS INTEGER) AS ordinal, time_ms, text FROM t"""
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY time_ms, turn, k) - 1 AS INTEGER) AS ordinal, time_ms, text FROM t""".replace("LINE", LINE)
 
 
 def a7_word_scan(spark, d):

@@ -53,14 +53,37 @@ def h10_layout(spark, d):
     return _neighbours(spark, d).select("conv_id", "turn", tx.laid_out("before", "line").alias("text"))
 
 
+#: What is put before texts, so that scans and spans meet other scripts: by id modulo 4.
+SAMPLES = ("", "サッカー テスト。", "널 사랑해 ", "未知の漢字 ")
+
+
+def _sampled(text: str = "text"):
+    return F.concat(F.element_at(F.array(*map(F.lit, SAMPLES)), (F.col("doc_id") % 4 + 1).cast("int")), F.col(text))
+
+
 def h12_language_spans(spark, d):
-    docs = table(ship(spark), d, "documents")
-    return docs.select("doc_id", F.size(tx.language_spans(F.col("text"), F.col("lang"))).cast("long").alias("n_spans"))
+    docs = table(ship(spark), d, "documents").withColumn("text", _sampled())
+    s = docs.select("doc_id", F.posexplode(tx.language_spans(F.col("text"), F.col("lang"))).alias("span", "s"))
+    return s.select("doc_id", "span", F.col("s.start").alias("at"), F.col("s.end").alias("until"), F.col("s.language").alias("language"), F.col("s.script").alias("script"))
+
+
+#: The samples' spans are known; what follows is in the language of the table, or of no script.
+H12 = """WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, doc_id % 4 AS k, regexp_matches(coalesce(text, ''), '[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]') AS latin FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, CASE k WHEN 0 THEN 0 WHEN 1 THEN 9 ELSE 6 END AS n, length(regexp_extract(text, '^[^A-Za-zÀ-ÖØ-öø-ÿĀ-ž]*')) AS lead FROM d)
+SELECT doc_id, CAST(0 AS INTEGER) AS span, CAST(0 AS INTEGER) AS at, CAST(CASE WHEN latin THEN n + lead ELSE n + length(text) END AS INTEGER) AS until, CASE k WHEN 1 THEN 'ja' WHEN 2 THEN 'ko' END AS language, CASE k WHEN 1 THEN 'kana' WHEN 2 THEN 'hangul' END AS script FROM p WHERE k IN (1, 2)
+UNION ALL SELECT doc_id, 1, n + lead, n + length(text), lang, 'latin' FROM p WHERE k IN (1, 2) AND latin
+UNION ALL SELECT doc_id, 0, 0, CASE WHEN latin THEN length(text) ELSE length(text) END, CASE WHEN latin THEN lang ELSE 'unknown' END, CASE WHEN latin THEN 'latin' ELSE 'other' END FROM p WHERE k = 0 AND text <> ''
+UNION ALL SELECT doc_id, u.i, u.a, u.b, u.l, u.s FROM p, (VALUES (0, 0, 2, 'und-han', 'han'), (1, 2, 3, 'ja', 'kana')) u(i, a, b, l, s) WHERE k = 3
+UNION ALL SELECT doc_id, 2, 3, CASE WHEN latin THEN n + lead ELSE n + length(text) END, 'und-han', 'han' FROM p WHERE k = 3
+UNION ALL SELECT doc_id, 3, n + lead, n + length(text), lang, 'latin' FROM p WHERE k = 3 AND latin"""
 
 
 def h14_phonetic(spark, d):
-    docs = table(ship(spark), d, "documents")
-    return docs.select("doc_id", F.length(tx.phonetic("text")).cast("long").alias("n"))
+    docs = table(ship(spark), d, "documents").withColumn("text", _sampled())
+    return docs.select("doc_id", F.sha2(tx.phonetic("text"), 256).alias("phonetic_sha"))
+
+
+H14 = r"""SELECT doc_id, sha256(CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'sakkatesuto' WHEN 2 THEN 'neolsaranghae' ELSE '未知no漢字' END || regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g')) AS phonetic_sha FROM documents"""
 
 
 def h21_hinge(spark, d):
@@ -82,14 +105,20 @@ def h23_vectors(spark, d):
     return v.join(one).select("vec_id", F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 5).alias("cosine"))
 
 
-PRINTABLE = "SELECT conv_id, turn, SUB[text|'[^ -~]'|''] AS a, lag(SUB[text|'[^ -~]'|'']) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM {conversations}"
+PAIRS = "SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM {conversations}"
+
+#: DuckDB counts bytes: the tables' accented letters are put as single bytes that the turns don't have.
+BYTES = PAIRS.replace("text", "translate(text, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '!#$%&()*+-/0123456789')")
+
+B4 = """WITH p AS ({}), s AS (SELECT conv_id, turn, 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b), 1) AS DOUBLE) AS score, least(length(a), length(b)) / CAST(greatest(length(a), length(b), 1) AS DOUBLE) AS ratio, length(a) AS n FROM p WHERE b IS NOT NULL)
+        SELECT conv_id, turn, round(score, 6) AS score, score >= 0.3 AND ratio >= 0.6 AND (n > 3 OR score >= 0.84) AS safe FROM s"""
+H7 = "WITH p AS ({}) SELECT conv_id, turn, CAST(levenshtein(a, b) AS INT) AS distance FROM p WHERE b IS NOT NULL"
 
 QUERIES = {
     "b1_metadata_predicate": both("SELECT doc_id, contains(lower(text), 'licensed under') OR contains(lower(text), 'released under') OR contains(lower(text), 'copyright') AS is_metadata FROM {documents}"),
     "b2_title_like": both("SELECT p_partkey FROM {part} WHERE p_size > 10 AND contains(p_name, ' ')"),
     "b3_pure_tokens": both("SELECT doc_id FROM {documents} WHERE LIKE[lower(text)|'^[a-z]+[.]?$']"),
-    "b4_safe_match": both(f"""WITH p AS ({PRINTABLE}), s AS (SELECT conv_id, turn, 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b), 1) AS DOUBLE) AS score, least(length(a), length(b)) / CAST(greatest(length(a), length(b), 1) AS DOUBLE) AS ratio, length(a) AS n FROM p WHERE b IS NOT NULL)
-        SELECT conv_id, turn, round(score, 6) AS score, score >= 0.3 AND ratio >= 0.6 AND (n > 3 OR score >= 0.84) AS safe FROM s"""),
+    "b4_safe_match": both(B4.replace("{}", PAIRS), B4.replace("{}", BYTES)),
     "b5_span_admission": both("""WITH p AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 + 1 AS span, 1 - l_discount AS score, 1 - l_tax AS ratio FROM {lineitem})
         SELECT l_orderkey, l_linenumber, CASE WHEN span = 1 THEN true WHEN span = 2 THEN score >= 0.95 AND ratio >= 0.96 ELSE score >= 0.98 AND ratio >= 0.98 END AS admitted FROM p"""),
     "b6_private_rows": both("SELECT doc_id, SHA[text] AS text_sha, BIG[length(text)] AS n FROM {documents}"),
@@ -106,14 +135,14 @@ QUERIES = {
     "h4_pair_score": (h4_pair_score, None),
     "h5_support_score": (h5_support_score, None),
     "h6_contained_score": (h6_contained_score, None),
-    "h7_levenshtein": both(f"WITH p AS ({PRINTABLE}) SELECT conv_id, turn, CAST(levenshtein(a, b) AS INT) AS distance FROM p WHERE b IS NOT NULL"),
+    "h7_levenshtein": both(H7.replace("{}", PAIRS), H7.replace("{}", BYTES)),
     "h7_token_distance": (h7_token_distance, None),
     "h8_edit_script": (h8_edit_script, None),
     "h10_layout": (h10_layout, None),
     "h12_script_flags": both("SELECT doc_id, LIKE[text|'[a-zA-Z]'] AS has_latin, LIKE[text|'[À-ÿ]'] AS has_accents, LIKE[text|'[぀-ヿ一-鿿]'] AS has_cjk FROM {documents}"),
-    "h12_language_spans": (h12_language_spans, None),
+    "h12_language_spans": (h12_language_spans, H12),
     "h13_tokens": both("SELECT doc_id, CAST(size(regexp_extract_all(lower(text), '[a-zà-ÿ]+', 0)) AS BIGINT) AS n_tokens FROM {documents}", "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS BIGINT) AS n_tokens FROM {documents}"),
-    "h14_phonetic": (h14_phonetic, "SELECT doc_id, length(replace(lower(text), 'ß', 'ss')) AS n FROM documents"),
+    "h14_phonetic": (h14_phonetic, H14),
     "h16_language_alias": both("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' ELSE 'und' END AS code, CASE lang WHEN 'en' THEN 0.8e0 WHEN 'de' THEN 0.75e0 ELSE 0.7e0 END AS threshold FROM {documents}"),
     "h19_clock": both("""WITH m AS (SELECT event_id, DIV[US[ts]|1000] % 86400000 AS ms FROM {events})
         SELECT event_id, lpad(CAST(DIV[ms|3600000] AS STRING), 2, '0') || ':' || lpad(CAST(DIV[ms|60000] % 60 AS STRING), 2, '0') || ':' || lpad(CAST(DIV[ms|1000] % 60 AS STRING), 2, '0') || ',' || lpad(CAST(ms % 1000 AS STRING), 3, '0') AS clock FROM m"""),
