@@ -1,22 +1,57 @@
-"""Order-dependent operators: each group is one small table in one task, groups are spread by Spark.
+"""Order-dependent operators. None of these takes a whole table as one group.
 
-A group (a conversation, a user, a document pair) is the unit that bounds memory; none of these
-takes a whole table as one group.
+`sorted_fold` reads each key's rows in order, as they come from Spark's sort, and holds no more than its state: a key may have any
+number of rows. `by_group` holds a group (a conversation, a user, a document pair) as one small table in one task; there a group is
+the unit that bounds memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 
 
 def by_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str], start: Callable[[], Any], step: Callable[..., tuple | None], schema: str) -> DataFrame:
+    """The rows of each key in order: `step(state, *values)` gives what follows the keys in a row of `schema`, or None for no row."""
+    n = len(keys)
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start()
+        for batch in batches:
+            made = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != last:
+                    last, state = row[:n], start()
+                if (got := step(state, *row[n:])) is not None:
+                    made.append(row[:n] + got)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names)
+
+    whole = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [schema])
+    names = [x.split()[0] for x in whole.split(", ")]
+    return dealt.mapInArrow(typed(run, whole), whole)
+
+
+def typed(run: Callable, schema: str) -> Callable:
+    """`run` with its batches cast to the schema's types."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    want = to_arrow_schema(_parse_datatype_string(schema))
+    return lambda batches: (b.cast(want) for b in run(batches))
+
+
 def nearest_pairs(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
     """Pairs within the tolerance, least distance first, each side once (ties by place)."""
     i, j = np.nonzero(np.abs(a[:, None] - b[None]) <= tolerance)
@@ -77,48 +112,70 @@ def suppressed(score: np.ndarray, centre: np.ndarray, distance: float, keep: int
     return out
 
 
-def clusters_by_first(position: np.ndarray, width: float) -> np.ndarray:
-    """Numbers runs in which each row is within `width` of the run's first."""
-    out, first, k = np.zeros(len(position), np.int64), None, -1
-    for i, x in enumerate(position):
-        if first is None or x - first > width:
-            first, k = x, k + 1
-        out[i] = k
-    return out
+def cluster_step(width: float) -> Callable[[list, float], tuple[int]]:
+    """Numbers runs in which each row is within `width` of the run's first. The state is [first, number]."""
 
+    def step(state: list, x: float) -> tuple[int]:
+        if not state:
+            state[:] = [x, 0]
+        elif x - state[0] > width:
+            state[:] = [x, state[1] + 1]
+        return (state[1],)
 
-def rising(index: np.ndarray, choices: list[list[int]]) -> list[int | None]:
-    """Each row's index, or the least of its choices that isn't below the one before it, or none."""
-    out, last = [], -1
-    for x, more in zip(index, choices, strict=True):
-        if x < last:
-            x = min((c for c in more if c >= last), default=None)
-        if x is not None:
-            last = x
-        out.append(None if x is None else int(x))
-    return out
+    return step
 
 
-def sessions(index: np.ndarray, offset: np.ndarray, time: np.ndarray, jump: int, off: float, gap: float) -> np.ndarray:
-    """Numbers runs; a run ends at an index jump, a time gap, or an offset too far from the run's own median."""
-    out, k, own = np.zeros(len(index), np.int64), 0, []
-    for i in range(len(index)):
-        if i and (abs(int(index[i]) - int(index[i - 1])) > jump or time[i] - time[i - 1] > gap or abs(offset[i] - float(np.median(own))) > off):
-            k, own = k + 1, []
-        own.append(offset[i])
-        out[i] = k
-    return out
+def rising_step(*more: int) -> Callable[[list, int], tuple[int | None]]:
+    """The row's index, or the least of index + `more` that isn't below the last one given, or none. The state is [last]."""
 
+    def step(state: list, x: int) -> tuple[int | None]:
+        last = state[0] if state else x
+        got = x if x >= last else min((x + m for m in more if x + m >= last), default=None)
+        if got is not None:
+            state[:] = [got]
+        return (got,)
 
-def non_overlapping(start: np.ndarray, end: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """True for rows kept when each, best rank first, is dropped if it overlaps one that is kept."""
-    keep: list[int] = []
-    for i in np.lexsort((np.arange(len(rank)), rank)):
-        if all(end[i] <= start[k] or end[k] <= start[i] for k in keep):
-            keep.append(int(i))
-    out = np.zeros(len(rank), bool)
-    out[keep] = True
-    return out
+    return step
+
+
+def session_step(gap: float, off: float) -> Callable[[list, float, float], tuple[int]]:
+    """Numbers runs; a run ends at a time gap, or at a value too far from the run's own median. The state is [number, last time, sorted values]."""
+
+    def step(state: list, time: float, value: float) -> tuple[int]:
+        if not state:
+            state[:] = [0, time, []]
+        own = state[2]
+        if own:
+            m = len(own) // 2
+            middle = own[m] if len(own) % 2 else (own[m - 1] + own[m]) / 2
+            if time - state[1] > gap or abs(value - middle) > off:
+                state[0], state[2] = state[0] + 1, []
+        insort(state[2], value)
+        state[1] = time
+        return (state[0],)
+
+    return step
+
+
+def apart_step(distance: float, most: int) -> Callable[[list, float], tuple[int] | None]:
+    """Of rows from the best down the first `most` that keep their distance from all better ones kept, numbered. The state are their places."""
+
+    def step(state: list, at: float) -> tuple[int] | None:
+        if len(state) >= most or any(abs(at - x) < distance for x in state):
+            return None
+        state.append(at)
+        return (len(state),)
+
+    return step
+
+
+def free_step(state: list, start: float, end: float, *rest: object) -> tuple | None:
+    """Of rows from the best down those that overlap none that is kept. The state are the kept intervals, which are disjoint, in order."""
+    i = bisect_right(state, (start, end))
+    if (i and state[i - 1][1] > start and end > state[i - 1][0]) or (i < len(state) and state[i][0] < end and state[i][1] > start):
+        return None
+    insort(state, (start, end))
+    return rest
 
 
 def replaced(rows: list[tuple[float, float, int]], start: float, end: float, key: int, shortest: float) -> list[tuple[float, float, int]] | None:

@@ -44,12 +44,14 @@ def c32_interval_replacement(spark, d):
 
 
 def d31_non_overlapping(spark, d):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = _sorted(t)
-        keep = folds.non_overlapping(t.t_us.to_numpy(), (t.t_us + (t.value * 3.6e9).astype("int64")).to_numpy(), -t.value.to_numpy())
-        return t[keep][["user_id", "event_id"]]
+    e = _events(spark, d).withColumn("until", F.col("t_us") + (F.col("value") * F.lit(3.6e9)).cast("long")).withColumn("down", -F.col("value")).withColumn("id", F.col("event_id"))
+    return folds.sorted_fold(e, ["user_id"], ["down", "t_us", "event_id"], ["t_us", "until", "id"], list, folds.free_step, "event_id long")
 
-    return folds.by_group(_events(spark, d), ["user_id"], run, "user_id long, event_id long")
+
+D31 = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + CAST(trunc(value * 3.6e9) AS BIGINT) AS b, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, event_id, true AS kept, [{'a': a, 'b': b}] AS held FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.rn, e.event_id, len(list_filter(held, lambda k: NOT (e.b <= k.a OR k.b <= e.a))) = 0, CASE WHEN len(list_filter(held, lambda k: NOT (e.b <= k.a OR k.b <= e.a))) = 0 THEN list_append(held, {'a': e.a, 'b': e.b}) ELSE held END
+FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, event_id FROM f WHERE kept"""
 
 
 def e5_left_out(spark, d):
@@ -61,39 +63,67 @@ def e5_left_out(spark, d):
 
 
 def e9_close_duplicates(spark, d):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = _sorted(t)
-        return t[["user_id", "event_type", "event_id"]].assign(cluster=folds.clusters_by_first(t.t_us.to_numpy(), 8.64e10))
+    e = _events(spark, d).withColumn("id", F.col("event_id"))
+    step = folds.cluster_step(8.64e10)
+    return folds.sorted_fold(e, ["user_id", "event_type"], ["t_us", "event_id"], ["t_us", "id"], list, lambda s, t, i: (i, *step(s, t)), "event_id long, cluster long")
 
-    return folds.by_group(_events(spark, d), ["user_id", "event_type"], run, "user_id long, event_type string, event_id long, cluster long")
+
+E9 = """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT *, t AS head, CAST(0 AS BIGINT) AS cluster FROM e WHERE rn = 1
+UNION ALL SELECT e.*, CASE WHEN e.t - f.head > 86400000000 THEN e.t ELSE f.head END, f.cluster + CAST(e.t - f.head > 86400000000 AS BIGINT) FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.rn = f.rn + 1)
+SELECT user_id, event_type, event_id, cluster FROM f"""
 
 
 def e12_suppression(spark, d):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = _sorted(t)
-        k = folds.suppressed(t.value.to_numpy(), t.t_us.to_numpy(), 1.0e11, 5)
-        return pd.DataFrame({"user_id": t.user_id.iloc[0], "event_id": t.event_id.to_numpy()[k], "place": range(1, len(k) + 1)})
+    e = _events(spark, d).withColumn("down", -F.col("value")).withColumn("id", F.col("event_id"))
+    step = folds.apart_step(1.0e11, 5)
+
+    def one(state, t, i):
+        place = step(state, t)
+        return place and (i, *place)
+
+    return folds.sorted_fold(e, ["user_id"], ["down", "t_us", "event_id"], ["t_us", "id"], list, one, "event_id long, place int")
 
-    return folds.by_group(_events(spark, d), ["user_id"], run, "user_id long, event_id long, place int")
+
+E12 = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, event_id, true AS kept, [t] AS held FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.rn, e.event_id, len(held) < 5 AND len(list_filter(held, lambda k: abs(k - e.t) < 100000000000)) = 0, CASE WHEN len(held) < 5 AND len(list_filter(held, lambda k: abs(k - e.t) < 100000000000)) = 0 THEN list_append(held, e.t) ELSE held END
+FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, event_id, CAST(len(held) AS INTEGER) AS place FROM f WHERE kept"""
 
 
 def e17_rising_index(spark, d):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = _sorted(t)
-        want = (np.arange(len(t)) + (t.value.to_numpy() // 10).astype(int) - 2).clip(0)
-        got = folds.rising(want, [[int(w) + 3, int(w) + 9] for w in want])
-        return t[["event_id"]].assign(index=pd.array(got, "Int64"))
+    """The wanted index of an event is its number in order, moved by its value."""
+    e = _events(spark, d).withColumn("id", F.col("event_id"))
+
+    def start():
+        return {"n": 0, "last": [-1]}
+
+    step = folds.rising_step(3, 9)
+
+    def one(state, value, i):
+        want = max(0, state["n"] + int(value // 10) - 2)
+        state["n"] += 1
+        return (i, *step(state["last"], want))
 
-    return folds.by_group(_events(spark, d), ["user_id"], run, "event_id long, index long")
+    return folds.sorted_fold(e, ["user_id"], ["t_us", "event_id"], ["value", "id"], start, one, "event_id long, index long")
+
+
+E17 = """WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER w AS rn, greatest(0, row_number() OVER w - 1 + CAST(floor(value / 10) AS BIGINT) - 2) AS want FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT user_id, rn, event_id, want AS index, want AS last FROM e WHERE rn = 1
+UNION ALL SELECT user_id, rn, event_id, index, coalesce(index, last) FROM (SELECT e.user_id, e.rn, e.event_id, CASE WHEN want >= last THEN want WHEN want + 3 >= last THEN want + 3 WHEN want + 9 >= last THEN want + 9 END AS index, last FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) t)
+SELECT user_id, event_id, index FROM f"""
 
 
 def e25_sessions(spark, d):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = _sorted(t)
-        s = folds.sessions(np.arange(len(t)), t.value.to_numpy(), t.t_us.to_numpy() / 1e6, 3, 30.0, 2 * 86400.0)
-        return t[["user_id", "event_id"]].assign(session=s)
+    e = _events(spark, d).withColumn("id", F.col("event_id"))
+    step = folds.session_step(2 * 86400.0, 30.0)
+    return folds.sorted_fold(e, ["user_id"], ["t_us", "event_id"], ["t_us", "value", "id"], list, lambda s, t, v, i: (i, *step(s, t / 1e6, v)), "event_id long, session long")
+
 
-    return folds.by_group(_events(spark, d), ["user_id"], run, "user_id long, event_id long, session long")
+E25 = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, event_id, t, CAST(0 AS BIGINT) AS session, [value] AS own FROM e WHERE rn = 1
+UNION ALL SELECT user_id, rn, event_id, t, session + CAST(new AS BIGINT), CASE WHEN new THEN [value] ELSE list_append(own, value) END FROM (SELECT e.*, f.session, f.own, e.t - f.t > 172800000000 OR abs(e.value - list_median(f.own)) > 30 AS new FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) t)
+SELECT user_id, event_id, session FROM f"""
 
 
 def d9_weighted_line(spark, d):
@@ -218,12 +248,12 @@ QUERIES = {
     "c21_line_sequences": (c21_line_sequences, None),
     "c32_interval_replacement": (c32_interval_replacement, None),
     "d9_weighted_line": (d9_weighted_line, None),
-    "d31_non_overlapping": (d31_non_overlapping, None),
+    "d31_non_overlapping": (d31_non_overlapping, D31),
     "e5_left_out": (e5_left_out, None),
-    "e9_close_duplicates": (e9_close_duplicates, None),
-    "e12_suppression": (e12_suppression, None),
-    "e17_rising_index": (e17_rising_index, None),
-    "e25_sessions": (e25_sessions, None),
+    "e9_close_duplicates": (e9_close_duplicates, E9),
+    "e12_suppression": (e12_suppression, E12),
+    "e17_rising_index": (e17_rising_index, E17),
+    "e25_sessions": (e25_sessions, E25),
     "i1_anchor_chain": (i1_anchor_chain, None),
     "i2_span_alignment": (i2_span_alignment, None),
     "j3_window_retrieval": (j3_window_retrieval, None),

@@ -69,7 +69,7 @@ QUERIES = {
     "j2_slope_grid": both("SELECT round(8e-1 + 2e-2 * i, 4) AS slope FROM SEQ[0|30] t UNION SELECT 1.05e0 UNION SELECT 1.2e0"),
     # Robust timing model of each group: pairwise median slope, median offset, residuals, status ladder.
     "i5_timing_model": both("""
-        WITH e AS (SELECT user_id, US[ts] / 1e11 AS x, value AS y FROM {events} WHERE event_type = 'purchase' AND user_id < 100),
+        WITH e AS (SELECT user_id, US[ts] / 1e11 AS x, value AS y FROM {events} WHERE event_type = 'purchase'),
         s AS (SELECT a.user_id, PCT[(b.y - a.y) / (b.x - a.x)|0.5] AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND b.x - a.x >= 0.3 GROUP BY 1),
         o AS (SELECT e.user_id, any_value(slope) AS slope, PCT[y - slope * x|0.5] AS icept, count(*) AS n FROM e JOIN s ON s.user_id = e.user_id GROUP BY e.user_id),
         r AS (SELECT o.user_id, any_value(n) AS n, PCT[abs(y - icept - slope * x)|0.5] AS res FROM e JOIN o ON o.user_id = e.user_id GROUP BY o.user_id)
