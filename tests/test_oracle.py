@@ -57,6 +57,10 @@ def test_query_equals_sql(name, spark, duck):
     assert rows == other, (list((rows - other).items())[:3], list((other - rows).items())[:3])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_runs(name, spark):
-    assert QUERIES[name](spark, SF_DIR).count() >= 0
+#: Tested by values, against brute force.
+BY_VALUE = {"c17", "c18", "c19", "i1", "j7", "c20", "c21", "c32", "d9", "e5", "h4", "h5", "h6", "h7_token", "h8", "h10", "i2", "j3", "j4", "j11"}
+
+
+def test_every_query_is_checked():
+    rest = set(QUERIES) - set(SQL)
+    assert all(any(q.startswith(k + "_") for k in BY_VALUE) for q in rest), rest
