@@ -1,13 +1,13 @@
-"""Timing repair over the events of each user, taken as cues of a task."""
+"""Repairs: of timing over the events of each user, taken as cues of a task; of text over the lines of each order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewright.operators import timing
+from tidewright.operators import repair, timing
 from tidewright.sources.code import ship
-from tidewright.sources.tables import events_us
+from tidewright.sources.tables import events_us, table
 
 
 def _tables(spark, d):
@@ -30,4 +30,14 @@ def i7_hardened_plan(spark, d):
     return timing.hardened(timing.plan(*_tables(spark, d)))
 
 
-QUERIES = {"i6_timing_ladder": (i6_timing_ladder, None), "i7_hardened_plan": (i7_hardened_plan, None)}
+def i3_repair_plan(spark, d):
+    """Each order's lines, some misspelt, against the names of their parts."""
+    parts = table(ship(spark), d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("line"))
+    rows = table(spark, d, "lineitem").join(parts, "l_partkey").select("l_orderkey", "l_linenumber", "l_quantity", "line")
+    n = F.col("l_quantity").cast("int")
+    misspelt = F.when(n % 5 == 0, F.regexp_replace("line", "e", "a")).when(n % 5 == 1, F.concat("line", F.lit("!"))).when(n % 7 == 0, F.reverse("line")).otherwise(F.col("line"))
+    cues = rows.where(n % 11 != 0).select("l_orderkey", "l_linenumber", F.lit(True).alias("is_cue"), misspelt.alias("line"))
+    return repair.repair_plan(cues.union(rows.select("l_orderkey", "l_linenumber", F.lit(False), "line")), "l_orderkey", "is_cue", ["l_linenumber", "line"], "line")
+
+
+QUERIES = {"i3_repair_plan": (i3_repair_plan, None), "i6_timing_ladder": (i6_timing_ladder, None), "i7_hardened_plan": (i7_hardened_plan, None)}
