@@ -49,7 +49,9 @@ def test_decisions():
     assert [x[:2] for x in act(["zzzz qqqq " * 6, lines[1]], [lines[1]])][0] == ("review", "unmatched")
     assert act(["And the nigt was lonk", "xxxxxxxx"], [lines[1]])[0][0] == "review"
     assert repair.decided([], lines) == [] and act(["a"], []) == [("review", "unmatched", "a")]
-    assert act(["hello one", "other"], ["hello one", "hello onf", "other"])[0][:2] in (("review", "ambiguous"), ("unchanged", "canonical"))
+    assert repair.rivalled("helloone", ["helloone", "helloonf", "other"], 0, 1, 1.0) is False
+    assert repair.rivalled("helloone", ["hellootwo", "helloone", "other", "helloonee"], 1, 2, 0.97) is True
+    assert repair.rivalled("helloone", ["helloone", "x", "helloone"], 0, 1, 1.0) is False  # the same text is no rival
 
 
 def test_the_tables_plan(spark):
