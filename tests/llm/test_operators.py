@@ -160,6 +160,22 @@ def test_warc_round_trip(spark):
     assert warc.archived(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_digests_are_checked(spark, tmp_path):
+    """A payload or a block that isn't what its header says is refused."""
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    wrong = warc.warc_record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("WARC-Payload-Digest", warc.sha1_32(b"other"))], block) + b"\r\n\r\n"
+    right = wrong.replace(warc.sha1_32(b"other").encode(), warc.sha1_32(b"hello").encode())
+    for k, (data, ok) in enumerate([(right, True), (wrong, False), (right.replace(b"hello", b"hullo"), False)]):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "part-0").write_bytes(data)
+        got = warc.read_warc(spark, str(tmp_path / str(k)))
+        if ok:
+            assert [r.payload_digest for r in got.collect()] == [hashlib.sha1(b"hello").hexdigest()]
+        else:
+            with pytest.raises(Exception, match="match"):
+                got.collect()
+
+
 def test_arc_versions():
     one = warc.arc_head("1", "a.arc") + b"\nhttp://u 1.2.3.4 20200102030405 text/html 5\nhello"
     two = warc.arc_head("2", "b.arc") + b"\nhttp://v 1.2.3.4 20200102030405 text/html 200 - - 0 b.arc 4\nbody\n"

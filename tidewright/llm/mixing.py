@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame operations only.
 
-Each source's documents are shuffled (by a seeded hash of the id) and queued once for each
+Each source's documents are shuffled (by a seeded hash of id and text, so that equal or missing ids don't meet) and queued once for each
 time the source may be read. A document's virtual finish time is the source's
 cumulative words up to and including it, over the source's target. All queued
 documents are range-sorted by that time, and the mix ends where the total budget is used up.
@@ -72,7 +72,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     `row` numbers equal (id, source, size) rows from 1.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = (F.xxhash64(F.col(id_col), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5).cast("double")
+    key = (F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5).cast("double")
     slim = written(spark, docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.least(key, F.lit(1 - 2.0**-53)).alias("key")), "sizes")
     goals = written(spark, targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, repeats), "targets")
     g = goals.select(F.col("source").alias("_s"), "source_size", "n", "target")
@@ -82,7 +82,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     queued = running(rows, ["source"], by, "size", "upto").withColumn("row", F.row_number().over(Window.partitionBy("source", "block", "id", "size").orderBy("upto")))
     queued = written(spark, queued.drop("block", "n"), "queued")
     total = goals.agg(F.sum("source_size").alias("budget"), F.sum("n").alias("rows"))
-    turns = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: e)
+    turns = F.sequence(F.lit(0), F.lit(repeats - 1))
     # At virtual time 1 each source has just met its target, so a later copy by more than one document never is within the budget.
     copies = queued.where("size > 0").select("id", "source", "size", "row", "target", "upto", "source_size", F.explode(turns).alias("turn"))
     copies = copies.withColumn("finish", (F.col("turn") * F.col("source_size") + F.col("upto")) / F.col("target"))

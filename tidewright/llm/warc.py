@@ -8,7 +8,7 @@ back by their declared lengths.
 Scale: files are written by Spark's text writer (record separator = the format's own), in rows of about
 CHUNK_BYTES and FILE_ROWS rows a file, so a file fits a task when it is read whole. Only
 payload digests are shuffled to find equal payloads; the longest group of equal payloads is a
-sum, not a list. Files are gzip-compressed as a whole.
+sum, not a list. Files are gzip-compressed as a whole, so they are read from the start and not by record.
 
 Defined results: null html is an empty payload; a null url is archived as about:blank; null ids are
 kept; rows equal in all columns are records of their own, of which one is the response;
@@ -225,7 +225,7 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files but the file descriptions; payload size and digest of what a record holds."""
+    """Records of WARC files but the file descriptions; payload size and digest of what a record holds. Blocks and payloads must match their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +236,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"digest of {f['WARC-Record-ID']} doesn't match")
                     if f["WARC-Type"] != "warcinfo":
                         _, body, page_id = split_http(block)
-                        rows.append((f["WARC-Record-ID"], f["WARC-Type"], f.get("WARC-Target-URI"), f.get("WARC-Date"), page_id, len(body), base64.b32decode(f["WARC-Payload-Digest"][5:]).hex(), f.get("WARC-Refers-To")))
+                        # What a revisit refers to isn't in its block; any other record's payload is, and must be what it says.
+                        told = base64.b32decode(f["WARC-Payload-Digest"][5:]).hex()
+                        digest = told if f["WARC-Type"] == "revisit" else hashlib.sha1(body).hexdigest()
+                        if digest != told:
+                            raise ValueError(f"payload digest of {f['WARC-Record-ID']} doesn't match")
+                        rows.append((f["WARC-Record-ID"], f["WARC-Type"], f.get("WARC-Target-URI"), f.get("WARC-Date"), page_id, len(body), digest, f.get("WARC-Refers-To")))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -252,6 +257,8 @@ def archived(spark: SparkSession, pages: DataFrame, keep: str | None = None) ->
     convert(spark, arc, path)
     remove(spark, arc)
     records = written(spark, read_warc(spark, path), "records")
+    if keep is None:
+        remove(spark, path)
     first = records.select(F.col("record_id").alias("_id"), F.col("page_id").alias("refers_to"), F.col("stored_bytes").alias("_bytes"))
     revisits = records.where("refers_to_id is not null").join(first, F.col("refers_to_id") == F.col("_id")).select("page_id", F.col("_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "record_id")
     stored = records.where("refers_to_id is null").select("page_id", F.col("stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "record_id")
