@@ -31,6 +31,7 @@ TRUSTED = 1 << 15
 PRIOR = 3.0
 MARGIN = -0.2
 MIN_WORDS = 50
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def bound(value: Column, body) -> Column:
@@ -97,9 +98,7 @@ def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     words = F.regexp_extract_all("t", F.lit(WORD), F.lit(0))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     scored = bound(slots(F.col("t")), lambda at: F.struct(F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + F.get(ratios, x)).alias("total"), F.size(at).alias("n")))
-    out = rows.select(
-        *(["row"] if keep_row else []),
-        "id",
+    found = F.struct(
         F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"),
         (F.length("t") - F.regexp_count("t", F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -107,10 +106,15 @@ def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
         repeated_words(words).alias("n_repeat_words"),
         scored.alias("s"),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    score = F.when(F.col("s.n") > 0, F.col("s.total") / (1000 * F.col("s.n"))).otherwise(0.0)
-    out = out.withColumn("score", score).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= margin)).drop("s")
+
+    def verdict(x: Column) -> Column:
+        failed = (x.n_words < MIN_WORDS) | (100 * x.n_repeat_words > 50 * x.n_words)
+        score = F.when(x.s.n > 0, x.s.total / (1000 * x.s.n)).otherwise(0.0)
+        return F.struct(*[x[c].alias(c) for c in COUNTS], failed.alias("base_failed"), score.alias("score"), (~failed & (score >= margin)).alias("kept"))
+
+    # One expression, so that a filter on the verdict computes what it needs but once.
+    out = rows.select(*(["row"] if keep_row else []), "id", bound(found, verdict).alias("v"))
+    return out.select(*(["row"] if keep_row else []), "id", "v.*")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
