@@ -372,6 +372,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
             now = buckets.withColumn("label", F.col("th"))
         else:
             now = buckets.join(labels, buckets.th == labels.node, "left").select("band", "key", "th", "n", F.coalesce("label", "th").alias("label"))
+        if turn:
+            now = written(spark, now, "labelled")  # read twice
         pair = [F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")]
         if turn == 0:
             leaders = now.groupBy("band", "key").agg(F.min("th").alias("lead"))
@@ -381,6 +383,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
             parts = now.groupBy("band", "key", "label").agg(F.count("*").alias("of_label"))
             most = parts.groupBy("band", "key").agg(F.max(F.struct("of_label", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", "key", F.col("most.label").alias("largest"))
             now = written(spark, attached(now, ["band", "key"], most, "th", salts).withColumn("out", F.col("label") != F.col("largest")), "open")
+            if now.isEmpty():
+                break
             if turn == 1:
                 part = F.pmod(F.xxhash64("th"), F.lit(LEADERS)).alias("part")
                 leaders = now.where("not out").groupBy("band", "key", part).agg(F.min("th").alias("lead"))
