@@ -14,8 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of our own where that is unset (local tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a folder of our own, which goes with the driver: in local mode only, since executors elsewhere wouldn't share it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="tidewright-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
