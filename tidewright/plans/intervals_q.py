@@ -266,6 +266,30 @@ C14 = f"""WITH {EV} SELECT event_id, last_value(CASE WHEN event_type = 'purchase
 first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t_us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_id FROM ev"""
 
 
+def c8_range_join(spark, d):
+    """Purchases within two hours of a signup, by time buckets."""
+    e, near = events_us(spark, d), 7_200_000_000
+    a = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("l_id"), F.col("t_us").alias("at"), (F.col("t_us") - near).alias("l_start"), (F.col("t_us") + near).alias("l_end"))
+    b = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("r_id"), F.col("t_us").alias("r_start"), F.col("t_us").alias("r_end"))
+    return iv.overlap_join(a, b, ["user_id"], near, strict=False).select("l_id", "r_id", (F.col("r_start") - F.col("at")).alias("delta_us"))
+
+
+C8 = f"WITH {EV} SELECT a.event_id AS l_id, b.event_id AS r_id, b.t_us - a.t_us AS delta_us FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.t_us BETWEEN a.t_us - 7200000000 AND a.t_us + 7200000000"
+
+
+def c34_words_in_interval(spark, d):
+    """What happens from two minutes before a signup to a day after, as one line, by time buckets."""
+    e, day = events_us(spark, d), 86_400_000_000
+    i = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("id"), (F.col("t_us") - 120_000_000).alias("l_start"), (F.col("t_us") + day).alias("l_end"))
+    w = e.where("value > 5").select("user_id", "event_id", "event_type", F.col("t_us").alias("r_start"), F.col("t_us").alias("r_end"))
+    said = F.array_sort(F.collect_list(F.struct("r_start", "event_id", "event_type")))
+    found = iv.overlap_join(i, w, ["user_id"], day, strict=False).groupBy(F.col("id").alias("event_id")).agg(F.count("*").alias("n"), F.array_join(F.transform(said, lambda x: x.event_type), " ").alias("words"))
+    return found.select("event_id", "n", "words")
+
+
+C34 = f"WITH {EV} SELECT i.event_id, count(*) AS n, string_agg(w.event_type, ' ' ORDER BY w.t_us, w.event_id) AS words FROM ev i JOIN ev w ON w.user_id = i.user_id AND i.event_type = 'signup' AND w.value > 5 AND w.t_us BETWEEN i.t_us - 120000000 AND i.t_us + 86400000000 GROUP BY i.event_id"
+
+
 def c15_double_as_of(spark, d):
     """For each error the last view before it in both time and value, and the first one after it in both."""
     e = events_us(spark, d)
@@ -419,6 +443,8 @@ E26 = f"""WITH {EV}, x AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER
 SELECT user_id, count(*) AS n, count(*) FILTER (prev IS NULL OR value >= prev) AS n_kept, round(sum(value) FILTER (prev IS NULL OR value >= prev), 4) AS total FROM x GROUP BY 1"""
 
 QUERIES = {
+    "c8_range_join": (c8_range_join, C8),
+    "c34_words_in_interval": (c34_words_in_interval, C34),
     "interval_metric_report": (interval_metric_report, REPORT),
     "c7_band_join": (c7_band_join, C7),
     "c9_point_in_interval": (c9_point_in_interval, C9),

@@ -43,9 +43,6 @@ QUERIES = {
     "c5_never_matched": both("SELECT c.c_custkey, c.c_name FROM {customer} c LEFT ANTI JOIN {orders} o ON o.o_custkey = c.c_custkey", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "c6_selected": both("SELECT l.l_orderkey, l.l_linenumber, l.l_quantity FROM {lineitem} l LEFT SEMI JOIN (SELECT o_orderkey FROM {orders} WHERE o_orderpriority = '1-URGENT') o ON o.o_orderkey = l.l_orderkey", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     # Events within a distance of each other, whatever the file's order.
-    "c8_range_join": both("""
-        WITH a AS (SELECT event_id, user_id, US[ts] AS t FROM {events} WHERE event_type = 'signup'), b AS (SELECT event_id, user_id, US[ts] AS t FROM {events} WHERE event_type = 'purchase')
-        SELECT a.event_id AS l_id, b.event_id AS r_id, b.t - a.t AS delta_us FROM a JOIN b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 7200000000 AND a.t + 7200000000"""),
     # Interval and gap: strict overlap, and the part of the gap.
     "c13_gap_intersection": both("""
         WITH o AS (SELECT event_id, user_id, value AS a, value + 8 AS b FROM {events} WHERE event_type = 'view'), g AS (SELECT 1.2e1 AS a, 1.45e1 AS b UNION ALL SELECT 3e1, 3.3e1)
@@ -68,10 +65,6 @@ QUERIES = {
     "c30_pair_consistency": both("""
         WITH p AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM {lineitem} WHERE l_returnflag = 'A'), q AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM {lineitem} WHERE l_returnflag = 'R')
         SELECT coalesce(p.a, q.a) AS a, coalesce(p.b, q.b) AS b, CASE WHEN q.a IS NULL THEN 'left_only' WHEN p.a IS NULL THEN 'right_only' ELSE 'both' END AS side FROM p FULL JOIN q ON p.a = q.a AND p.b = q.b"""),
-    # Words whose moment lies in an interval (with slack), in order.
-    "c34_words_in_interval": both("""
-        WITH w AS (SELECT user_id, event_id, US[ts] AS t, event_type FROM {events} WHERE value > 5), i AS (SELECT user_id, event_id, US[ts] AS t FROM {events} WHERE event_type = 'signup')
-        SELECT i.event_id, count(*) AS n, AGG[w.event_type| |w.t, w.event_id] AS words FROM i JOIN w ON w.user_id = i.user_id AND w.t BETWEEN i.t - 120000000 AND i.t + 86400000000 GROUP BY i.event_id"""),
     # Overrides by key, table after table, in a fixed order.
     "c36_override_chain": both("""
         WITH a AS (SELECT doc_id, 'en' AS lang FROM {labels} WHERE quality = 0), b AS (SELECT doc_id, 'checked' AS source FROM {labels} WHERE toxic = 1)

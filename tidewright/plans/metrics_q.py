@@ -45,7 +45,10 @@ QUERIES = {
     "d16_job_accumulator": both("""
         WITH r AS (SELECT DISTINCT l_orderkey, CASE WHEN l_discount > 0.08 THEN 'discount' WHEN l_tax > 0.06 THEN 'tax' ELSE 'plain' END AS reason, CASE WHEN l_discount > 0.08 THEN 0 WHEN l_tax > 0.06 THEN 1 ELSE 2 END AS prio FROM {lineitem})
         SELECT l_orderkey, AGG[reason|;|reason] AS reasons, min(prio) AS prio FROM r GROUP BY 1"""),
-    "d17_unique_texts": both("SELECT lang, count(*) AS n, count(DISTINCT text) AS n_distinct, count_if(times = 1) AS n_unique FROM (SELECT lang, text, count(*) OVER (PARTITION BY text) AS times FROM {documents}) t GROUP BY 1"),
+    # Texts by their hashes, so that no text is shuffled; how often each occurs is counted before languages meet.
+    "d17_unique_texts": both("""
+        WITH t AS (SELECT lang, SHA[text] AS h, count(*) AS n FROM {documents} GROUP BY 1, 2), w AS (SELECT h, sum(n) AS times FROM t GROUP BY 1)
+        SELECT lang, BIG[sum(n)] AS n, count(DISTINCT t.h) AS n_distinct, BIG[sum(CASE WHEN times = 1 THEN n ELSE 0 END)] AS n_unique FROM t LEFT JOIN w ON w.h = t.h GROUP BY 1"""),
     "d18_split_isolation": both("SELECT source, count(DISTINCT doc_id % 3) AS n_splits, count(DISTINCT doc_id % 3) > 1 AS leaks FROM {documents} GROUP BY 1"),
     "d19_readiness": both("SELECT doc_id % 3 AS split, bool_and(n_chars > 5) AS all_long, bool_or(lang = 'de') AS has_de, count_if(lang = 'en') AS n_en, count(DISTINCT lang) AS n_langs FROM {documents} GROUP BY 1"),
     "d20_segment_quality": both("SELECT user_id, round(avg(value), 6) AS mean_value, max(value) AS worst, bool_and(props IS NOT NULL) AS complete FROM {events} GROUP BY 1"),
@@ -82,7 +85,7 @@ QUERIES = {
         r AS (SELECT o.user_id, any_value(n) AS n, PCT[abs(y - icept - slope * x)|0.5] AS res FROM e JOIN o ON o.user_id = e.user_id GROUP BY o.user_id)
         SELECT user_id, n, round(res, 4) AS residual, CASE WHEN n < 4 OR res IS NULL THEN 'too_few' WHEN res <= 10 THEN 'ready' WHEN res <= 20 THEN 'degraded' ELSE 'rejected' END AS status FROM r"""),
     "i4_anchor_grades": both("""
-        WITH g AS (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS times, n_chars FROM {documents})
+        WITH d AS (SELECT doc_id, coalesce(SHA[text], '') AS h, n_chars FROM {documents}), c AS (SELECT h, count(*) AS times FROM d GROUP BY 1), g AS (SELECT doc_id, times, n_chars FROM d JOIN c ON c.h = d.h)
         SELECT doc_id, CASE WHEN times = 1 AND n_chars >= 200 THEN 'A' WHEN times <= 2 THEN 'B' ELSE 'C' END AS grade FROM g"""),
     "l4_reasons": both("SELECT l_orderkey, l_linenumber, concat_ws(';', CASE WHEN l_discount > 0.08 THEN 'high_discount' END, CASE WHEN l_quantity < 5 THEN 'small' END, CASE WHEN l_tax = 0 THEN 'untaxed' END) AS reasons FROM {lineitem} WHERE l_discount > 0.08 OR l_quantity < 5 OR l_tax = 0"),
     "l5_decision_fusion": both("""
@@ -127,7 +130,11 @@ QUERIES = {
     "m1_manifest": both("""
         WITH c AS (SELECT c_custkey, SHA[concat_ws('/', CAST(c_custkey AS STRING), c_name)] AS up FROM {customer})
         SELECT o_custkey, substr(SHA[AGG[CAST(o_orderkey AS STRING)|,|o_orderkey]], 1, 16) AS artifact_id, substr(max(up), 1, 16) AS upstream_id, max(up) IS NULL AS missing FROM {orders} LEFT JOIN c ON c_custkey = o_custkey GROUP BY 1"""),
-    "m2_fingerprint": both("SELECT source, count(*) AS n, substr(SHA[AGG[SHA[text]||doc_id]], 1, 16) AS fingerprint FROM {documents} GROUP BY 1".replace("AGG[SHA[text]||doc_id]", "AGG[SHA[text]|,|doc_id]")),
+    # Sums of hashes of (id, text): they don't depend on order, and no source's rows meet.
+    "m2_fingerprint": both(
+        "SELECT source, count(*) AS n, CAST(sum(CAST(conv(substr(SHA[concat_ws('/', CAST(doc_id AS STRING), SHA[text])], 1, 14), 16, 10) AS DECIMAL(20, 0))) AS STRING) AS fingerprint FROM {documents} GROUP BY 1",
+        "SELECT source, count(*) AS n, CAST(sum(CAST('0x' || substr(SHA[concat_ws('/', CAST(doc_id AS STRING), SHA[text])], 1, 14) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM {documents} GROUP BY 1",
+    ),
     # All that an artifact depends on, at any distance.
     "m6_lineage_walk": both("""
         WITH RECURSIVE edge AS (SELECT 'n' || CAST(n_nationkey AS STRING) AS child, 'r' || CAST(n_regionkey AS STRING) AS parent FROM {nation} UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), 'n' || CAST(s_nationkey AS STRING) FROM {supplier}),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if sc.applicationId not in _sent:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(), "tidewright_code.zip")
+        folder = tempfile.mkdtemp(prefix="tidewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file as long as it lives
+        path = os.path.join(folder, "tidewright_code.zip")
         with zipfile.ZipFile(path, "w") as z:
             for folder, _, names in os.walk(top):
                 for n in names:
