@@ -52,9 +52,18 @@ def typed(run: Callable, schema: str) -> Callable:
     return lambda batches: (b.cast(want) for b in run(batches))
 
 
+def near(a: np.ndarray, b: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs within the tolerance, by i; only these are held, not all pairs."""
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a - tolerance, "left"), np.searchsorted(b[order], a + tolerance, "right")
+    n = high - low
+    i = np.repeat(np.arange(len(a)), n)
+    return i, order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+
+
 def nearest_pairs(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
     """Pairs within the tolerance, least distance first, each side once (ties by place)."""
-    i, j = np.nonzero(np.abs(a[:, None] - b[None]) <= tolerance)
+    i, j = near(a, b, tolerance)
     order = np.lexsort((j, i, np.abs(a[i] - b[j])))
     left, right, out = set(), set(), []
     for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
@@ -67,12 +76,14 @@ def nearest_pairs(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[
 
 def ordered_pairs(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
     """In the order of a, the nearest b that is still free."""
-    free, out = set(range(len(b))), []
-    for p, x in enumerate(a):
-        best = min((q for q in free if abs(b[q] - x) <= tolerance), key=lambda q: (abs(b[q] - x), q), default=None)
-        if best is not None:
-            free.remove(best)
-            out.append((p, best))
+    i, j = near(a, b, tolerance)
+    order = np.lexsort((j, np.abs(a[i] - b[j]), i))
+    left, right, out = set(), set(), []
+    for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if p not in left and q not in right:
+            left.add(p)
+            right.add(q)
+            out.append((p, q))
     return out
 
 
@@ -233,16 +244,30 @@ def hinges(x: np.ndarray, y: np.ndarray, most: int = 2, least: int = 3, gain: fl
 
 
 def left_out(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each point, how far it is from the median line of all others."""
+    """For each point, how far it is from the median line of all others.
+
+    The slopes of all pairs are sorted once; a point's own are passed over when the median is looked up.
+    """
     out = np.full(len(x), np.nan)
-    for i in range(len(x)):
-        k = np.arange(len(x)) != i
-        a, b = x[k], y[k]
-        dx, dy = a[None] - a[:, None], b[None] - b[:, None]
-        ok = dx > 0
-        if ok.any():
-            s = np.median(dy[ok] / dx[ok])
-            out[i] = y[i] - (s * x[i] + np.median(b - s * a))
+    i, j = np.triu_indices(len(x), 1)
+    ok = x[i] != x[j]
+    i, j = i[ok], j[ok]
+    slope = (y[j] - y[i]) / (x[j] - x[i])
+    order = np.argsort(slope)
+    slope = slope[order]
+    owner = np.concatenate([i[order], j[order]])
+    place = np.tile(np.arange(len(slope)), 2)
+    by = np.lexsort((place, owner))
+    cut = np.searchsorted(owner[by], np.arange(len(x) + 1))
+    for k in range(len(x)):
+        own = place[by[cut[k] : cut[k + 1]]]
+        left = len(slope) - len(own)
+        if left:
+            # The m-th of the others stands at m plus the number of own slopes before it.
+            middle = [m + np.searchsorted(own - np.arange(len(own)), m, "right") for m in ((left - 1) // 2, left // 2)]
+            s = (slope[middle[0]] + slope[middle[1]]) / 2
+            rest = np.delete(np.arange(len(x)), k)
+            out[k] = y[k] - (s * x[k] + np.median(y[rest] - s * x[rest]))
     return out
 
 
