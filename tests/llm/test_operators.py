@@ -366,3 +366,14 @@ def test_html_main_text(spark):
     rows = [(1, "u", page), (1, "u", page), (2, None, None), (None, "v", "<p>" + "long text " * 50_000)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_mixing_of_odd_rows(spark, prose):
+    """Repeated rows are rows of their own, equal and missing ids don't meet in one block, other columns don't matter."""
+    rows = [(1, prose[0], "a"), (1, prose[0], "a"), (1, prose[1], "a"), (None, prose[2], "a"), (None, prose[3], None), (7, "", "b"), (8, None, "b"), *[(None, prose[i % 40] + f" {i}", "b") for i in range(300)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' AS size", "'y' AS taken", "1 AS block", "2 AS `_s`", "3 AS `row`", "4 AS n", "5 AS key")
+    got = mixing.mix(spark, docs).collect()
+    assert len(got) == len(rows) and sum(r.size for r in got) == sum(len((t or "").split()) for _, t, _ in rows)
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    mixed = mixing.mixed_documents(spark, docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
