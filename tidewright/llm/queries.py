@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, bpe, html, minhash, mixing, pii, quality, secrets, tokencount, warc
+from tidewright.llm import ann, bpe, html, linededup, minhash, mixing, pii, quality, secrets, tokencount, warc
 from tidewright.sources.code import ship
 
 
@@ -70,3 +70,8 @@ def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("edits", tokencount.sample_edits(F.col("doc_id"), F.col("text")))
     return tokencount.counted(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(spark, _read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
