@@ -117,7 +117,7 @@ class Runs:
     def common(self) -> DataFrame:
         """(h) found in `least` documents or more, after all runs have become one."""
         run = self._compacted([x for level in reversed(self.levels) for x in level])
-        self.levels = [[]] * (len(self.levels) - 1) + [[run]]
+        self.levels = [*([] for _ in self.levels[1:]), [run]]
         return self.spark.table(run).where(F.col("n") >= self.least).select("h")
 
     def close(self) -> None:
