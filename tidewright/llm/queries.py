@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, bpe, html, lexical, linededup, minhash, mixing, pii, quality, secrets, tokencount, warc
+from tidewright.llm import align, ann, bpe, html, lexical, linededup, minhash, mixing, pii, quality, secrets, tokencount, warc
 from tidewright.sources.code import ship
 
 
@@ -72,6 +72,11 @@ def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counted(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.Index(spark, _read(spark, sf_dir, "documents"))
     return lexical.search(spark, index, _read(spark, sf_dir, "benchmark"))
