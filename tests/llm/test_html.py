@@ -105,3 +105,50 @@ def test_articles_of_the_table(spark):
         same += " ".join("".join(a.text).split()) == r.text
     print(same, len(pages))
     assert same >= 0.9 * len(pages)
+
+
+def test_stray_tags_take_linear_time():
+    import time
+
+    for page in ("<div>" * 40_000 + "</p>" * 40_000, "<div>" * 40_000 + "</section>" * 40_000, "</b></x>" * 40_000 + "<div>" * 40_000 + "<section></div>" * 40_000):
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 3
+    assert html.main_text("<div><section><p>a</div></section></p><div>b</div></div></main>") == "a b"
+
+
+def test_class_names_exclude_as_a_whole():
+    p = "A sentence that says, at some length, what there is to say about it."
+    for name in ("social-history", "commentary", "shared-memory", "related_work", "login-theory", "advertisers"):
+        assert html.main_text(f"<main><p>{p}</p><div class={name}><p>{p}</p></div></main>") == f"{p} {p}", name
+    for name in ("social-links", "comments", "related-articles", "ad-slot-3", "page-footer", "cookie-notice", "x newsletter-box"):
+        assert html.main_text(f"<main><p>{p}</p><div class='{name}'><p>{p}</p></div></main>") == p, name
+
+
+def test_linked_paragraphs_of_a_text_stay():
+    p = "A sentence that says, at some length, what there is to say about it."
+    for page in (f"<p>{p}</p><p>See <a href=1>all that was said of it before</a>.</p><h2><a href=2>Part two</a></h2><p>{p}</p>",):
+        assert html.main_text(f"<div>{page}</div>") == f"{p} See all that was said of it before. Part two {p}"
+        assert html.main_text(f"<article>{page}</article>") == f"{p} See all that was said of it before. Part two {p}"
+
+
+def test_windows_choose_lines_outside_marks():
+    """A text outside the marks that is denser than the marked one is text too; one that isn't stays out."""
+    p = "A sentence that says, at some length, what there is to say about it. "
+    marked, gap = f"<article><p>{p}</p></article>", "<div><a href=1>Home</a></div>" * 4
+    assert html.main_text(f"<div><p>{p * 3}</p></div>{gap}{marked}") == " ".join((p * 4).split())
+    assert html.main_text(f"<div><p>{p}</p></div>{gap}{marked}") == p.strip()
+
+
+def test_pages_without_marks_by_windows(spark):
+    """With all marks, classes and element names taken off, the windows find what the marks held, within 2% of the whole."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").collect()]
+    off = whole = close = 0
+    for page in pages:
+        bare = re.sub(r' (class|id|role)="?[\w-]+"?', "", re.sub(r"<(/?)(article|nav|footer|aside|header|main)\b", r"<\1div", page))
+        want, got = html.main_text(page), html.main_text(bare)
+        off, whole = off + abs(len(got) - len(want)), whole + len(want)
+        close += abs(len(got) - len(want)) <= 0.02 * len(want)
+    assert off <= 0.002 * whole and close >= 0.98 * len(pages)

@@ -1,18 +1,22 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines (one for each block element); lines of menus, headers, footers, side bars, notices, adverts, forms,
-scripts, styles and reader comments are stripped with it. A line's weight is its text outside links, none if it is mostly links. Where
-a page marks its articles, and the marks hold at least CREDIBLE of its text, a line inside them weighs MARKED times its text and one
-outside nothing; marks around less than that are taken to be wrong, and weigh nothing more than other lines.
+scripts, styles and reader comments are stripped with it. A line's weight is its text outside links, none if it is mostly links (a paragraph or heading keeps
+what it has outside). Where a page marks its articles, and the marks hold at least CREDIBLE of its text, a line inside them weighs MARKED times its whole
+text; marks around less than that are taken to be wrong, and give nothing.
 
-On every page weights are then summed over a sliding window of WINDOW lines. Text surges where the sum reaches SURGE (anything, on a
-page where none does) and dives where the sum is nothing: a stretch without such a dive that surges anywhere is text from its
-first line with weight to its last. All such stretches are text, and all their lines with weight, however short.
+Weights are then summed over a sliding window of WINDOW lines, on pages with credible marks once over the lines inside and once over those outside.
+Text surges where the sum reaches SURGE (anything, on a page where none does); outside marks it must reach OUTSIDE of the page's highest sum too.
+It dives where the sum is nothing: a stretch without such a dive that surges anywhere is text from its
+first line with weight to its last. All such stretches are text, with all their lines that have weight, however short, and all their paragraphs and headings, links or not.
 
-Runs as a map over Arrow batches, one page at a time; no shuffle.
+Without marks a stretch may run on into an advert or an imprint beside it. Where paragraphs hold most of a stretch, bare lines at its two ends that
+are shorter than EDGE, and than half of its paragraphs, are cut off.
+
+Runs as a map over Arrow batches, one page at a time, in time linear in its tags; no shuffle.
 
 An article inside a wrapper that is excluded for its class, or a form, is text all the same; one in a menu, side bar,
-footer or hidden part isn't.
+footer or hidden part isn't. A class excludes only if all its parts tell of such matter or of layout: "social-links" does, "social-history" doesn't.
 
 Defined results: null html is empty; a page without text gives the empty string;
 unclosed, cut-off and stray tags are tolerated (an unclosed button, drawing or the like ends at the next block tag;
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -36,6 +41,10 @@ WINDOW = 3
 SURGE = 60
 #: What a marked line's text weighs more, and the share of a page's text that marks must hold.
 MARKED, CREDIBLE = 4, 0.25
+#: The share of a page's highest window that lines outside its marks must reach: with MARKED, twice as dense as the densest marked text.
+OUTSIDE = 0.5
+#: Characters below which a bare line at the end of a stretch of paragraphs may be cut off.
+EDGE = 160
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
@@ -59,9 +68,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot colgroup".split())
 OUT = frozenset("nav footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promoted|promotions?|banners?|nav|navbar|navigation|menus?|sidebars?|side-?bar|rail|footers?|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|disclaimers?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login|social|share|sharing|related|recommended|recommendations?|comments?|commentlist|disqus|repl(?:y|ies)|respond|pagination|pager|toolbar|widgets?|paywall|skip)(?:$|[\s_-])",
-    re.I,
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th figcaption summary".split())
+#: Parts of class names that tell of excluded matter, and those that tell of layout only.
+EXCLUDING = re.compile(
+    r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promoted|promotions?|banners?|nav|navbar|navigation|menus?|sidebars?|rail|footers?|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|disclaimers?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login|social|share|sharing|related|recommended|recommendations?|comments?|commentlist|disqus|repl(?:y|ies)|respond|pagination|pager|toolbar|widgets?|paywall|skip"
+)
+NEUTRAL = re.compile(
+    r"\d*|x[sl]|[smlx]|sm|md|lg|js|is|the|and|to|by|for|on|of|in|top|bottom|left|right|side|main|inner|outer|upper|lower|site|page|global|local|primary|secondary|mobile|desktop|box|bar|block|wrap|wrapper|container|content|contents|body|text|area|zone|slot|unit|panel|pane|group|row|col|column|grid|list|lists|item|items|entry|card|cards|section|region|module|component|view|holder|frame|link|links|icon|icons|button|buttons|btn|btns|label|title|heading|header|head|count|counts|form|field|input|media|posts?|articles?|stories|story|news|us|me|now|policy|law|message|msg|info|bottombar|sticky|fixed|floating|open|closed|active|hidden|visible|google|display|native|skyscraper|leaderboard|thread|threads|author|meta|reader|readers|user|users|more|up|cta"
 )
 HEADS = re.compile(r"(?:^|[\s_-])(?:headers?|masthead|topbar|top-bar)(?:$|[\s_-])", re.I)
 #: Words that tell of a page's layout, not of the element that has them.
@@ -69,6 +82,15 @@ LAYOUT = re.compile(r"(?<!\S)(?:has|with|no|without)[_-]\S+", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|page)?-?(?:body|content|text|article|post|entry|story|main)(?:$|\s)", re.I)
 
 
+def excludes(named: str) -> bool:
+    """Whether a class or id among `named` tells of excluded matter, and all its parts of that or of layout."""
+    for name in named.lower().split():
+        parts = re.split(r"[_-]+", name.replace("side-bar", "sidebar"))
+        if any(map(EXCLUDING.fullmatch, parts)) and all(EXCLUDING.fullmatch(x) or NEUTRAL.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
 def closings(page: str, name: str) -> dict[int, int]:
     """Where each element `name` that is closed ends, by the place where it starts."""
     out: dict[int, int] = {}
@@ -85,9 +107,11 @@ def closings(page: str, name: str) -> dict[int, int]:
 
 
 def lines_of(page: str) -> list[list]:
-    """[text, text inside links, number of the marked article or 0] of each line that isn't of an excluded part."""
+    """[text, text inside links, number of the marked article or 0, kind] of each line that isn't of an excluded part."""
     out: list[list] = []
     stack: list[tuple[str, int, int]] = []  # open elements: name, excluded (1: until an article in it), article
+    opened: Counter[str] = Counter()  # how many of each name
+    kind = 0  # of the line: 2 a paragraph or heading, 1 a list item, 0 bare
     ends: dict[str, dict[int, int]] = {}
     text: list[str] = []
     linked = links = articles = 0
@@ -108,7 +132,7 @@ def lines_of(page: str) -> list[list]:
         if text:
             line = " ".join("".join(text).split())
             if line:
-                out.append([line, linked, stack[-1][2] if stack else 0])
+                out.append([line, linked, stack[-1][2] if stack else 0, kind])
             text.clear()
         linked = 0
 
@@ -146,11 +170,12 @@ def lines_of(page: str) -> list[list]:
         end_line()
         loose = 0
         links = 0
+        kind = 0 if m["close"] else 2 if name in PARAGRAPHS else int(name == "li")
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened[name]:
+                while (top := stack.pop()[0]) != name:
+                    opened[top] -= 1
+                opened[name] -= 1
             continue
         if name in VOID or m["attrs"].endswith("/"):
             continue
@@ -162,40 +187,45 @@ def lines_of(page: str) -> list[list]:
             hidden = re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) or re.search(r"(?:^|\s)hidden(?:\s|$|=)", m["attrs"]) or attrs.get("aria-hidden") == "true"
             whole = name in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
             if whole or (not excluded and name in ("div", "section") and ARTICLE.search(named)):
-                excluded = int(bool(MARKS.search(named)))
+                excluded = int(excludes(named))
                 if not excluded and not article:
                     articles += 1
                     article = articles
             elif name not in ("html", "head", "body"):
                 if hidden or role in ROLES - {"form"} or name in OUT - {"form", "fieldset"}:
                     excluded = 2
-                elif role == "form" or name in OUT or MARKS.search(named) or (not article and (name == "header" or HEADS.search(named))):
+                elif role == "form" or name in OUT or excludes(named) or (not article and (name == "header" or HEADS.search(named))):
                     excluded = 1
         if name in LOOSE:
             loose = excluded
         else:
             stack.append((name, excluded, article))
+            opened[name] += 1
     put(page[at:])
     end_line()
     return out
 
 
-def weights_of(lines: list[list]) -> list[int]:
-    """The weight of each line [text, text inside links, marked article or 0]."""
-    own = [max(0, len(t) - linked) if linked * 2 < len(t) else 0 for t, linked, _ in lines]
-    inside = sum(len(t) for t, _, a in lines if a)
-    outside = sum(w for w, (_, _, a) in zip(own, lines, strict=True) if not a)
+def weights_of(lines: list[list]) -> tuple[list[int], bool]:
+    """The weight of each line [text, text inside links, marked article or 0, kind], and whether the marks are credible."""
+    own = [max(0, len(t) - linked) if kind == 2 or linked * 2 < len(t) else 0 for t, linked, _, kind in lines]
+    inside = sum(len(t) for t, _, a, _ in lines if a)
+    outside = sum(w for w, (_, _, a, _) in zip(own, lines, strict=True) if not a)
     if inside and inside >= CREDIBLE * (inside + outside):
-        return [MARKED * len(t) if a else 0 for t, _, a in lines]
-    return own
+        return [MARKED * len(t) if a else w for w, (t, _, a, _) in zip(own, lines, strict=True)], True
+    return own, False
 
 
-def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """[start, end) of the runs of lines whose window sums nowhere fall to nothing and somewhere surge."""
+def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
     half = window // 2
     ahead = [0, *accumulate(weights)]
-    sums = [ahead[min(len(weights), i + half + 1)] - ahead[max(0, i - half)] for i in range(len(weights))]
-    least = surge if max(sums, default=0) >= surge else 1
+    return [ahead[min(len(weights), i + half + 1)] - ahead[max(0, i - half)] for i in range(len(weights))]
+
+
+def stretches(weights: list[int], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
+    """[start, end) of the runs of lines whose window sums nowhere fall to nothing and somewhere surge."""
+    sums = window_sums(weights, window)
+    least = surge if surge != SURGE or max(sums, default=0) >= surge else 1
     out: list[tuple[int, int]] = []
     start, most = None, 0
     for i, s in enumerate([*sums, 0]):
@@ -210,10 +240,41 @@ def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> l
     return out
 
 
+def without_edges(lines: list[list], weights: list[int], start: int, end: int) -> tuple[int, int]:
+    """The stretch without bare lines at its ends, where paragraphs hold most of it."""
+    held = sum(w for w, x in zip(weights[start:end], lines[start:end], strict=True) if x[3])
+    if held * 2 < sum(weights[start:end]):
+        return start, end
+    short = min(EDGE, held / 2)
+    cut = lambda i: not weights[i] or (not lines[i][3] and weights[i] < short)
+    while start < end and cut(start):
+        start += 1
+    while start < end and cut(end - 1):
+        end -= 1
+    return start, end
+
+
+def chosen(lines: list[list]) -> list[int]:
+    """The numbers of the lines that are main text."""
+    weights, credible = weights_of(lines)
+    if not credible:
+        parts = [(weights, without_edges(lines, weights, a, b)) for a, b in stretches(weights)]
+    else:
+        inside, outside = ([w if bool(x[2]) is marked else 0 for w, x in zip(weights, lines, strict=True)] for marked in (True, False))
+        least = max(SURGE + 1, OUTSIDE * max(window_sums(weights)))
+        parts = [(inside, x) for x in stretches(inside)] + [(outside, without_edges(lines, outside, *x)) for x in stretches(outside, surge=least)]
+    out = set()
+    for w, (a, b) in parts:
+        held = [i for i in range(a, b) if w[i]]
+        if held:
+            # Between the first and the last line with weight, paragraphs and headings are text even if they are links.
+            out.update(held, (i for i in range(held[0], held[-1]) if lines[i][3] == 2 and not credible))
+    return sorted(out)
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    weights = weights_of(lines)
-    return " ".join(lines[i][0] for a, b in stretches(weights) for i in range(a, b) if weights[i])
+    return " ".join(lines[i][0] for i in chosen(lines))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
