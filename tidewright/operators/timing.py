@@ -7,6 +7,7 @@ A source's observations within a task are one group (lines of one song); everyth
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,48 +44,118 @@ def grade(one_to_one: Column, action: Column, score: Column, exact: Column, line
 
 
 class Slopes:
-    """The slopes between all pairs of a source's anchors that may tell its rate; any anchors may be left out."""
+    """The slopes between all pairs of a source's anchors that may tell its rate, sorted once; any anchors may be left out.
+
+    Memory is that of the pairs, some 20 bytes for each: 10,000 anchors of one source take about 1 GB.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, p: Policy):
         self.x, self.y, self.p = x, y, p
-        i, j = np.triu_indices(len(x), 1)
-        dx, dy = x[j] - x[i], y[j] - y[i]
-        ok = (dx >= p.least_gap_ms) & (dy > 0)
-        i, j, s = i[ok], j[ok], dy[ok] / dx[ok]
-        ok = (s >= p.rates[0]) & (s <= p.rates[1])
-        self.i, self.j, self.s = i[ok], j[ok], s[ok]
-
-    def rate(self, use: np.ndarray) -> float | None:
-        s = self.s[use[self.i] & use[self.j]]
-        return float(np.median(s)) if len(s) else None
-
-    def fit(self, use: np.ndarray, prior: float | None) -> tuple[str, float, float]:
-        """(status, rate, offset) of the model over the anchors used: source = offset + rate * mix."""
-        p, n = self.p, int(use.sum())
-        if n < p.min_anchors:
-            return "insufficient_anchors", 1.0, 0.0
-        told = self.rate(use)
-        if prior is not None and not p.rates[0] <= prior <= p.rates[1]:
-            return "invalid_rate_prior", prior, 0.0
-        rate = told if prior is None else prior
-        if rate is None:
-            return "insufficient_rate_evidence", 1.0, 0.0
+        n, found = len(x), []
+        for k in range(n - 1):
+            dx, dy = x[k + 1 :] - x[k], y[k + 1 :] - y[k]
+            ok = np.flatnonzero((dx >= p.least_gap_ms) & (dy > 0))
+            s = dy[ok] / dx[ok]
+            good = (s >= p.rates[0]) & (s <= p.rates[1])
+            found.append((np.full(good.sum(), k, np.int32), (ok[good] + k + 1).astype(np.int32), s[good]))
+        i, j, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+        order = np.argsort(s, kind="stable")
+        self.i, self.j, self.s = i[order], j[order], s[order]
+        self.at = np.full((n, n), -1, np.int32)  # the place of each pair's slope
+        self.at[self.i, self.j] = self.at[self.j, self.i] = np.arange(len(s), dtype=np.int32)
+
+    def among(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slopes between the anchors used, sorted, and for each slope its place among them."""
+        both = use[self.i] & use[self.j]
+        return self.s[both], (np.cumsum(both) - 1).astype(np.int32)
+
+    def rate(self, among: tuple[np.ndarray, np.ndarray], use: np.ndarray, without: np.ndarray) -> float | None:
+        """The median slope between the anchors used but for some of them, whose slopes' places are skipped in the sorted rest."""
+        s, place = among
+        own = self.at[np.ix_(without, np.flatnonzero(use))]
+        gone = np.sort(place[own[own >= 0]])
+        gone = gone[np.diff(gone, prepend=-1) > 0]  # a pair of two that are left out counts once
+        n = len(s) - len(gone)
+        if not n:
+            return None
+        ahead = gone - np.arange(len(gone))  # how many of the rest come before each that is gone
+        low, high = (k + int(np.searchsorted(ahead, k, "right")) for k in ((n - 1) // 2, n // 2))
+        return float((s[low] + s[high]) / 2)
+
+
+def models(x: np.ndarray, y: np.ndarray, prior: float | None, policy: Policy, leave: list[int | None]) -> list[tuple[str, float, float]]:
+    """(status, rate, offset) of the model over all anchors of a source but one (None: over all): source = offset + rate * mix.
 
-        def placed(rate: float, among: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-            offset = float(np.median(self.y[among] - rate * self.x[among]))
-            off = np.abs(self.y - (offset + rate * self.x))
-            return offset, off, use & (off <= p.inlier_ms)
+    Without a prior the rate is found again among those near a first model; their union over all that are left out is sorted once.
+    """
+    p, slopes, every = policy, Slopes(x, y, policy), np.ones(len(x), bool)
+    whole = slopes.among(every)
+    out: list[tuple[str, float, float]] = [("insufficient_anchors", 1.0, 0.0)] * len(leave)
+
+    def placed(rate: float, among: np.ndarray) -> tuple[float, np.ndarray]:
+        offset = float(np.median(y[among] - rate * x[among]))
+        return offset, np.abs(y - (offset + rate * x))
 
-        offset, off, near = placed(rate, use)
-        if prior is None and near.sum() >= p.min_anchors and (better := self.rate(near)) is not None:
+    first: dict[int, tuple] = {}
+    for k, gone in enumerate(leave):
+        use = every.copy()
+        if gone is not None:
+            use[gone] = False
+        if use.sum() < p.min_anchors:
+            continue
+        told = slopes.rate(whole, every, np.flatnonzero(~use))
+        rate = told if prior is None else prior
+        if prior is not None and not p.rates[0] <= prior <= p.rates[1]:
+            out[k] = "invalid_rate_prior", prior, 0.0
+        elif rate is None:
+            out[k] = "insufficient_rate_evidence", 1.0, 0.0
+        else:
+            offset, off = placed(rate, use)
+            first[k] = use, told, rate, offset, off, use & (off <= p.inlier_ms)
+    close = np.zeros(len(x), bool)
+    for *_, near in first.values():
+        close |= near
+    among = slopes.among(close) if prior is None else None
+    for k, (use, told, rate, offset, off, near) in first.items():
+        if among is not None and near.sum() >= p.min_anchors and (better := slopes.rate(among, close, np.flatnonzero(close & ~near))) is not None:
             rate = better
-            offset, off, near = placed(rate, near)
+            offset, off = placed(rate, near)
+            near = use & (off <= p.inlier_ms)
         status = "ready"
-        if np.median(off[use]) > p.residual_ms or near.sum() / n < p.inlier_share:
+        if np.median(off[use]) > p.residual_ms or near.sum() / use.sum() < p.inlier_share:
             status = "unstable"
         if prior is not None and told is not None and abs(told - prior) / prior > p.prior_drift:
             status = "rate_prior_conflict"
-        return status, rate, offset
+        out[k] = status, rate, offset
+    return out
+
+
+def left_out_models(x: np.ndarray, y: np.ndarray, prior: float | None, policy: Policy = Policy()) -> tuple[tuple, list[tuple]]:
+    """The model over all anchors of a source, and for each anchor the model without it (the whole one where that isn't ready)."""
+    whole, *rest = models(x, y, prior, policy, [None, *range(len(x))])
+    if whole[0] != "ready":
+        return whole, [whole] * len(x)
+    return whole, [r if r[0] == "ready" else whole for r in rest]
+
+
+def supports(cue: np.ndarray, line: np.ndarray, anchor: np.ndarray) -> tuple[list[int], list[int]]:
+    """For each row, anchors before it and after it in both orders, counted in one walk each way over rows sorted by cue."""
+    out = []
+    for way in (1, -1):
+        seen: list = []
+        n, held = [0] * len(cue), []
+        order = range(len(cue)) if way == 1 else range(len(cue) - 1, -1, -1)
+        last = None
+        for k in order:
+            if cue[k] != last:
+                for x in held:
+                    insort(seen, x)
+                last, held = cue[k], []
+            n[k] = bisect_left(seen, way * line[k])
+            if anchor[k]:
+                held.append(way * line[k])
+        out.append(n)
+    return out[0], out[1]
 
 
 def judged(observations: DataFrame, cues: DataFrame, priors: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
@@ -98,21 +169,11 @@ def judged(observations: DataFrame, cues: DataFrame, priors: DataFrame | None =
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["cue", "line"], ignore_index=True)
         prior = None if pd.isna(t.prior.iloc[0]) else float(t.prior.iloc[0])
-        a = t[t.grade == "A"]
-        s = Slopes(a.start_ms.to_numpy(np.float64), a.source_ms.to_numpy(np.float64), policy)
-        every = np.ones(len(a), bool)
-        whole = s.fit(every, prior)
-        place = {c: k for k, c in enumerate(a.cue)}
-        rows = []
-        for cue, line, kind in zip(t.cue, t.line, t.grade, strict=True):
-            model = whole
-            if kind == "A" and whole[0] == "ready":
-                use = every.copy()
-                use[place[cue]] = False
-                rest = s.fit(use, prior)
-                model = rest if rest[0] == "ready" else whole
-            left, right = ((a.line < line) & (a.cue < cue)).sum(), ((a.line > line) & (a.cue > cue)).sum()
-            rows.append((whole[0], *model, int(left), int(right)))
+        is_a = (t.grade == "A").to_numpy()
+        whole, each = left_out_models(t.start_ms.to_numpy(np.float64)[is_a], t.source_ms.to_numpy(np.float64)[is_a], prior, policy)
+        models = iter(each)
+        left, right = supports(t.cue.to_numpy(), t.line.to_numpy(), is_a)
+        rows = [(whole[0], *(next(models) if x else whole), n, m) for x, n, m in zip(is_a, left, right, strict=True)]
         out = pd.DataFrame(rows, columns=["model_status", "judge_status", "rate", "offset", "n_left", "n_right"])
         return pd.concat([t[["task", "cue", "source"]], out], axis=1)
 
