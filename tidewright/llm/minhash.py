@@ -362,10 +362,18 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     links: list[str] = []
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (wanted.select(F.col("th").alias(x), F.col("marks").alias(f"marks_{x}")) for x in "ab")
-        close = alike(pairs.distinct().join(a, "a").join(b, "b"), common)
-        a, b = (texts.select(F.col("th").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return similar(spark, close.join(a, "a").join(b, "b"), idf, threshold)
+        """The pairs that are similar. The leader of a large bucket is in all of its pairs, so what belongs to it goes to its pairs by parts."""
+
+        def with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+            out = pairs
+            for x, y in ("ab", "ba"):
+                salt = F.pmod(F.xxhash64(y), F.lit(salts)).alias("_salt")
+                part = pairs.select(x, salt).distinct().join(values.select(F.col("th").alias(x), F.col(value).alias(f"{value}_{x}")), x)
+                out = out.select("*", salt).join(part, [x, "_salt"]).drop("_salt")
+            return out
+
+        close = alike(with_both(written(spark, pairs.distinct(), "pairs"), wanted, "marks"), common)
+        return similar(spark, with_both(written(spark, close, "close"), texts, "text"), idf, threshold)
 
     for turn in range(3):
         if labels is None:
