@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewright.operators import recovery
+from tidewright.operators import coverage, ownership, recovery
 from tidewright.sources.code import ship
-from tidewright.sources.tables import events_us
+from tidewright.sources.tables import events_us, table
 
 
 def tables(spark, d):
@@ -51,4 +51,59 @@ def i9_projections(spark, d):
     return recovery.projections(recovery.text_anchors(cues, lines, decisions), lines)
 
 
-QUERIES = {"i8_timing_recovery": (i8_timing_recovery, None), "i9_sequence_recovery": (i9_sequence_recovery, None), "i9_projections": (i9_projections, None)}
+def i13_ownership_guard(spark, d):
+    """The recovered decisions after a slip: the last word of every fourth recovered cue went to the next one, or is in both."""
+    cues, lines, decisions = tables(spark, d)
+    done = recovery.sequence_recovered(cues, lines, decisions)
+    order = Window.partitionBy("task").orderBy("cue")
+    now = done.join(cues.select("task", "cue", F.col("text").alias("was")), ["task", "cue"]).withColumn("now", F.coalesce("text", "was"))
+    word = F.substring_index("now", " ", -1)
+    slips = (F.col("cue") % 4 == 1) & (F.length(word) < F.length("now"))
+    now = now.withColumn("given", F.when(slips, word)).withColumn("got", F.lag("given").over(order))
+    kept = F.when(slips & (F.col("cue") % 8 == 1), F.expr("substring(now, 1, length(now) - length(substring_index(now, ' ', -1)) - 1)")).otherwise(F.col("now"))
+    slipped = now.withColumn("text", F.concat_ws(" ", "got", kept)).withColumn("action", F.when(F.col("text") != F.col("was"), "replace").otherwise(F.col("action")))
+    return ownership.ownership_restored(cues, slipped)
+
+
+def _coverage(spark, d):
+    """Events of a user as lines with an index, and as rows that carry their index, the next one too, or a stale one."""
+    e = events_us(ship(spark), d).withColumn("k", (F.row_number().over(Window.partitionBy("user_id").orderBy("t_us", "event_id")) - 1).cast("int"))
+    text = F.concat_ws(" ", "event_type", F.format_string("%d", F.col("event_id") % 100), F.floor("value"), F.lit("of the day"))
+    events = e.select(F.col("user_id").alias("track"), F.col("event_id").alias("event"), F.col("k").alias("idx"), (F.col("k") * 4000).cast("long").alias("at_ms"), text.alias("text"))
+    n = F.col("event_id")
+    idx = F.when(n % 7 == 0, F.array(F.col("k") + 5)).when(n % 3 == 0, F.array("k", F.col("k") + 1)).when(n % 5 == 0, F.array().cast("array<int>")).otherwise(F.array("k"))
+    start = F.col("k") * 4000 + F.floor(F.col("value") * 50).cast("long")
+    said = F.when(n % 4 == 0, F.regexp_replace(text, "[aeo]", "")).when(n % 6 == 1, F.substring_index(text, " ", 2)).otherwise(text)
+    rows = e.select(F.col("user_id").alias("track"), n.alias("row"), start.alias("start_ms"), (start + 1500).alias("end_ms"), idx.alias("indices"), said.alias("text"))
+    return events, rows
+
+
+def c26_coverage_join(spark, d):
+    return coverage.coverage_pairs(*_coverage(spark, d))
+
+
+C26 = """
+WITH e AS (SELECT user_id AS track, event_id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS k FROM events),
+r AS (SELECT track, event_id AS row, k * 4000 + CAST(floor(value * 50) AS BIGINT) AS start_ms,
+             CASE WHEN event_id % 7 = 0 THEN [k + 5] WHEN event_id % 3 = 0 THEN [k, k + 1] WHEN event_id % 5 = 0 THEN [] ELSE [k] END AS idx FROM e)
+SELECT e.track, e.event_id AS event, r.row, list_contains(r.idx, e.k) AS linked, (r.start_ms + 1500 >= e.k * 4000 - 3000 AND r.start_ms <= e.k * 4000 + 3000) AS near
+FROM e JOIN r ON r.track = e.track AND (list_contains(r.idx, e.k) OR (r.start_ms + 1500 >= e.k * 4000 - 3000 AND r.start_ms <= e.k * 4000 + 3000))
+"""
+
+
+def c26_coverage(spark, d):
+    """Whether each event's line is covered, by index and by time."""
+    return coverage.coverage(*_coverage(spark, d))
+
+
+def c22_best_run(spark, d):
+    """The run of words of each benchmark text that is likest to the first six words of the turn with its number."""
+    said = table(ship(spark), d, "conversations").select((F.col("conv_id") % 50).alias("k"), "conv_id", "turn", F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("said"))
+    lines = table(spark, d, "benchmark").where("text IS NOT NULL").select((F.col("item_id") % 50).alias("k"), "item_id", "text")
+    pairs = said.where("said IS NOT NULL").join(lines, "k")
+    schema = "conv_id long, turn long, item_id long, run string, score double, coverage double, mode string"
+    return recovery.each_row(pairs.select("conv_id", "turn", "item_id", "said", "text"), lambda r: [(r["conv_id"], r["turn"], r["item_id"], *coverage.best_run(r["said"], r["text"]))], schema)
+
+
+QUERIES = {"i8_timing_recovery": (i8_timing_recovery, None), "i9_sequence_recovery": (i9_sequence_recovery, None), "i9_projections": (i9_projections, None),
+           "i13_ownership_guard": (i13_ownership_guard, None), "c22_best_run": (c22_best_run, None), "c26_coverage_join": (c26_coverage_join, C26), "c26_coverage": (c26_coverage, None)}
