@@ -297,6 +297,8 @@ def alike(pairs: DataFrame, least: int) -> DataFrame:
 
 #: Leaders of a bucket in the second turn; texts of a bucket that is compared by blocks in the third, and the blocks' sizes.
 LEADERS = 4
+#: A text in more than 1 / MANY of a turn's pairs is dealt by parts.
+MANY = 1024
 LARGE = 64
 OUT_BLOCK, ALL_BLOCK = 512, 1024
 
@@ -362,18 +364,23 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     links: list[str] = []
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar. The leader of a large bucket is in all of its pairs, so what belongs to it goes to its pairs by parts."""
-
-        def with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-            out = pairs
+        """The pairs that are similar. The leader of a large bucket is in all of its pairs: what belongs to such a text goes to its pairs by parts."""
+        pairs = written(spark, pairs.distinct(), "pairs")
+        most = max(LARGE, pairs.count() // MANY)
+        # At most 2 * MANY texts, which bounds the broadcast.
+        hubs = pairs.select(F.explode(F.array("a", "b")).alias("hub")).groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > most).select("hub", F.lit(salts).alias("parts"))
+        hubs = F.broadcast(written(spark, hubs, "hubs"))
+
+        def with_both(rows: DataFrame, values: DataFrame, value: str) -> DataFrame:
+            dealt = values.select("th", value).join(hubs, F.col("th") == F.col("hub"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
             for x, y in ("ab", "ba"):
-                salt = F.pmod(F.xxhash64(y), F.lit(salts)).alias("_salt")
-                part = pairs.select(x, salt).distinct().join(values.select(F.col("th").alias(x), F.col(value).alias(f"{value}_{x}")), x)
-                out = out.select("*", salt).join(part, [x, "_salt"]).drop("_salt")
-            return out
+                part = F.pmod(F.xxhash64(y), F.coalesce(F.col("parts"), F.lit(1))).cast("int").alias("part")
+                rows = rows.join(hubs, F.col(x) == F.col("hub"), "left").select(*rows.columns, part)
+                rows = rows.join(dealt.select(F.col("th").alias(x), "part", F.col(value).alias(f"{value}_{x}")), [x, "part"]).drop("part")
+            return rows
 
-        close = alike(with_both(written(spark, pairs.distinct(), "pairs"), wanted, "marks"), common)
-        return similar(spark, with_both(written(spark, close, "close"), texts, "text"), idf, threshold)
+        close = written(spark, alike(with_both(pairs, wanted, "marks"), common), "close")
+        return similar(spark, with_both(close, texts, "text"), idf, threshold)
 
     for turn in range(3):
         if labels is None:
