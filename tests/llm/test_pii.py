@@ -82,3 +82,45 @@ def test_a_key_is_needed_and_tells(spark):
     assert queries.surrogate_key(spark) == "mine"
     spark.conf.unset(queries.KEY_SETTING)
     assert queries.surrogate_key(spark)
+
+
+def test_titles_stack_and_names_keep_their_marks(spark):
+    texts = [
+        "Herr Dr. Hans Weber und Herr Prof. Dr. med. Hans Weber.", "Mr. ALBERT JONES and Mr. Albert Jones", "Mr. O'Neil, Monsieur Jean-Luc Picard, Mrs. Smith-Jones",
+        "Mr. van der Berg met Mr. Jan van der Berg. Jan van der Berg left.", "mr. albert jones and Albert Jones alone", "Mr. X saw X",
+    ]
+    out, _ = safe(spark, texts)
+    m = re.fullmatch(r"Herr Dr\. (\w+) (\w+) und Herr Prof\. Dr\. med\. (\w+) (\w+)\.", out[0])
+    assert m and m.groups()[:2] == m.groups()[2:] and not {"Hans", "Weber"} & set(m.groups())
+    m = re.fullmatch(r"Mr\. ([A-Z]+) ([A-Z]+) and Mr\. ([A-Z][a-z]+) ([A-Z][a-z]+)", out[1])
+    assert m and (m[1], m[2]) == (m[3].upper(), m[4].upper()) and m[4] != "Jones"
+    assert re.fullmatch(r"Mr\. [A-Z]'[A-Z][a-z]+, Monsieur [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]+, Mrs\. [A-Z][a-z]+-[A-Z][a-z]+", out[2])
+    m = re.fullmatch(r"Mr\. van der (\w+) met Mr\. (\w+) van der (\w+)\. (\w+) van der (\w+) left\.", out[3])
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] and m[1] != "Berg"
+    assert out[4] == texts[4]  # no title that tells a name
+    assert out[5].endswith(" saw X")
+
+
+def test_mentions_against_plain_replacement(spark):
+    """Every text with its titled and bare mentions, against a plain replacement by what each name became alone, the longest first."""
+    g = random.Random(5)
+    people = [(g.choice(["Mr.", "Mrs.", "Herr", "Frau Dr.", "Señor"]), a, m, b) for a in ("John", "Jean-Luc", "Zoé", "Ann", "Иван") for b in ("Smith", "O'Neil", "Weiß", "Smithson", "Roe") for m in ("", "B.")]
+    alone, _ = safe(spark, [f"{t} {a} {m} {b}".replace("  ", " ") for t, a, m, b in people])
+    texts, want = [], []
+    for _ in range(120):
+        t, a, m, b = people[k := g.randrange(len(people))]
+        title, _, new = alone[k].partition(" ") if not t.startswith("Frau Dr.") else ("Frau Dr.", "", alone[k].removeprefix("Frau Dr. "))
+        parts = new.split(" ")
+        whole = f"{a} {m} {b}".replace("  ", " ")
+        known = {whole: new, f"{a} {b}": f"{parts[0]} {parts[-1]}", a: parts[0], b: parts[-1]}
+        known |= {x.upper(): y.upper() for x, y in known.items()}
+        filler = ["said that", "x" + b, b + "s", "Someone Else", "and", "(" + b + ")", "7" + a, ".", "$1 \\E [a"]
+        body = [f"{t} {whole}", *g.choices([*known, *filler], k=12)]
+        g.shuffle(body)
+        text = " ; ".join(body)
+        said = "|".join(re.escape(x) for x in sorted(known, key=len, reverse=True))
+        texts.append(text)
+        want.append(re.sub(rf"(?<![^\W_])(?:{said})(?![^\W_])", lambda f, known=known: known[f[0]], text))
+    out, found = safe(spark, texts)
+    assert out == want and all(len(f) == 1 for f in found)
+    assert len({x for x in alone}) == len(people)  # distinct people stay distinct

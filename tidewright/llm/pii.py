@@ -1,11 +1,19 @@
 """Keyed surrogates for personal data, with DataFrame operations only.
 
 Entities: e-mail addresses, telephone numbers, IPv4 addresses, card numbers (with a right check digit), social
-security numbers, IBANs and names after one of the titles below. One pattern finds them all, so spans
-don't overlap; the text between them stays as it is. A surrogate is made from a keyed digest of the
+security numbers, IBANs and names after one of the titles below, which further titles may follow ("Herr Prof. Dr. Weber") and small words
+like "van der" precede. Titles in lower case, numbers without a country code or the separators of PHONE, and names without
+any title in their text aren't found. One pattern finds them all, so spans don't overlap.
+
+Where a text has a name with a title, it is replaced wherever else that text has it: whole, as given name and surname, or one of these alone (of three letters
+or more), as it was written or in capitals. The rest of the text stays as it is.
+
+A surrogate is made from a keyed digest of the
 entity's normal form, so an entity has the same surrogate wherever and in whatever
 formatting it occurs. It keeps type and format: separators, country codes, lengths, right check digits (cards, IBANs; a wrong one
-of an IBAN stays wrong), a title and its gender, the script and case of letters.
+of an IBAN stays wrong), titles and their gender, small words, the script of letters, hyphens and apostrophes of names, and names in
+capitals. Surrogates of social security numbers begin with 9, as no real one does: beyond some ten million distinct numbers they collide more often
+than attempts allow, and the job ends with an error; so it does for any kind that runs out.
 
 A name is made of parts that are entities of their own: its surname, the person (gender, given name, surname), and the whole name
 where there are names between. Surnames are settled first, persons with the surnames that they got, whole names last. So "Mr. Ann B.
@@ -39,7 +47,12 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})
 #: Titles, and the gender they tell.
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"]
-NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(FEMALE + MALE) + r")\.? (?:\p{Lu}\. (?=\p{Lu}))?\p{Lu}[\p{L}'\-]*+(?:(?: \p{Lu}\.(?= \p{Lu}))? \p{Lu}[\p{L}'\-]*+(?!\.\p{L})){0,2}"
+#: Titles that may follow, and small words before a surname.
+FURTHER = "Dr|Prof|Professor|Professorin|Doktor|Doctor|Docteur|Doctora|Doctor|Dra|Dipl|Ing|med|phil|jur|rer|nat|Sir|Lord|Lady|Baron|Graf|Don|Doña"
+SMALL = "van|von|vom|de|der|den|del|della|di|da|dos|das|du|la|le|zu|zum|zur|ter|ten"
+TITLES = "(?:" + "|".join(FEMALE + MALE) + rf")\.? (?:(?:{FURTHER})(?:\.-|\.? ))*+"
+WORD = rf"(?:(?:{SMALL}) )*+\p{{Lu}}[\p{{L}}'’\-]*+"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLES}(?:\p{{Lu}}\. (?=\p{{Lu}}))?{WORD}(?:(?: \p{{Lu}}\.(?= \p{{Lu}}))? {WORD}(?!\.\p{{L}})){{0,2}}"
 ENTITY = "|".join([EMAIL, IP, SSN, CARD, PHONE, IBAN, NAME])
 #: Given names by gender and script.
 GIVEN = {
@@ -76,11 +89,16 @@ def kind_of(x: Column) -> Column:
 
 
 def bare_name(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\p{L}+\.? ", "")
+    return F.regexp_replace(x, "^" + TITLES, "")
+
+
+def core(bare: Column) -> Column:
+    """A name without its small words."""
+    return F.regexp_replace(bare, rf"(?<![\p{{L}}\p{{N}}])(?:{SMALL}) ", "")
 
 
 def normal(kind: Column, x: Column) -> Column:
-    return F.when(kind == "email", F.lower(x)).when(kind == "ip", x).when(kind == "iban", F.regexp_replace(x, " ", "")).when(kind == "name", F.lower(bare_name(x))).otherwise(F.regexp_replace(x, r"\D", ""))
+    return F.when(kind == "email", F.lower(x)).when(kind == "ip", x).when(kind == "iban", F.regexp_replace(x, " ", "")).when(kind == "name", F.lower(core(bare_name(x)))).otherwise(F.regexp_replace(x, r"\D", ""))
 
 
 def gender(x: Column) -> Column:
@@ -191,8 +209,11 @@ def syllables(d: Column, n: Column, like: Column) -> Column:
 
 
 def new_surname(key: str, surname: Column, attempt: Column) -> Column:
-    """Four syllables; more in later attempts, so that there is room for any number of families."""
-    return syllables(digest(key, "surname", surname, attempt), 4 + F.least(attempt, F.lit(8)), surname)
+    """Four syllables; more in later attempts, so that there is room for any number of families. Hyphens and apostrophes are where the surname has its first."""
+    made = syllables(digest(key, "surname", surname, attempt), 4 + F.least(attempt, F.lit(8)), surname)
+    other = syllables(digest(key, "second surname", surname, attempt), F.lit(2), surname)
+    marked = F.when(surname.rlike(r"^\p{L}['’]"), F.concat(F.left(other, F.lit(1)), F.substr(surname, F.lit(2), F.lit(1)), made)).otherwise(made)
+    return F.concat(marked, F.when(surname.contains("-"), F.concat(F.lit("-"), other)).otherwise(""))
 
 
 def new_given(key: str, person: Column, attempt: Column) -> Column:
@@ -201,7 +222,7 @@ def new_given(key: str, person: Column, attempt: Column) -> Column:
     names = {g: by_script(F.substr(person, F.lit(3)), {s: " ".join(x) for (of, s), x in GIVEN.items() if of == g}) for g in "fm"}
     first = let(F.split(F.when(F.left(person, F.lit(1)) == "f", names["f"]).otherwise(names["m"]), " "), lambda a: F.get(a, (at % F.size(a)).cast("int")))
     second = F.concat(F.lit("-"), syllables(digest(key, "second", person, attempt), 1 + F.least(attempt, F.lit(8)), F.substr(person, F.lit(3))))
-    return F.concat(first, F.when(attempt > 0, second).otherwise(""))
+    return F.concat(first, F.when((attempt > 0) | F.get(F.split(person, " "), F.lit(1)).contains("-"), second).otherwise(""))
 
 
 def new_middle(key: str, whole: Column, attempt: Column) -> Column:
@@ -210,15 +231,58 @@ def new_middle(key: str, whole: Column, attempt: Column) -> Column:
     return F.when(attempt > 0, word).otherwise(F.concat(F.left(word, F.lit(1)), F.lit(".")))
 
 
-def name(key: str, x: Column, n: Column, tries) -> Column:
-    """A name in the parts' surrogates; `tries` gives the attempt of a part by kind and norm."""
-    title = F.regexp_extract(x, r"^\p{L}+\.? ", 0)
+def capitals(like: Column, made: Column) -> Column:
+    """`made` in capitals where `like` is, and has more than one letter."""
+    return F.when((F.upper(like) == like) & like.rlike(r"\p{Lu}['’\-]?\p{Lu}"), F.upper(made)).otherwise(made)
+
+
+def forms(key: str, x: Column, n: Column, tries) -> Column:
+    """(whole, short, last, given) of a name in the parts' surrogates, short without what is between; `tries` gives the attempt of a part by kind and norm."""
+    bare = bare_name(x)
     words = F.size(F.split(n, " "))
     surname, person, whole = F.substring_index(n, " ", -1), F.concat_ws(" ", gender(x), F.substring_index(n, " ", 1), F.substring_index(n, " ", -1)), F.concat_ws(" ", gender(x), n)
-    given = let(tries("person", person), lambda a: new_given(key, person, a))
-    middle = let(tries("name", whole), lambda a: new_middle(key, whole, a))
+    given = F.when(words > 1, F.concat(let(tries("person", person), lambda a: new_given(key, person, a)), F.lit(" "))).otherwise("")
+    middle = F.when(words > 2, F.concat(let(tries("name", whole), lambda a: new_middle(key, whole, a)), F.lit(" "))).otherwise("")
+    small = F.regexp_extract(bare, rf"((?:(?:{SMALL}) )*)[\p{{L}}'’\-]+$", 1)
     last = let(tries("surname", surname), lambda a: new_surname(key, surname, a))
-    return F.concat(title, F.when(words > 1, F.concat(given, F.lit(" "))).otherwise(""), F.when(words > 2, F.concat(middle, F.lit(" "))).otherwise(""), last)
+    parts = F.struct(given.alias("given"), middle.alias("middle"), last.alias("last"))
+    put = lambda p: F.struct(F.concat(p.given, p.middle, small, p.last).alias("whole"), F.concat(p.given, small, p.last).alias("short"), p.last.alias("last"), F.rtrim(p.given).alias("given"))
+    styled = lambda f: F.struct(*[capitals(bare, f[c]).alias(c) for c in ("whole", "short", "last", "given")])
+    return let(let(parts, put), styled)
+
+
+def name(key: str, x: Column, n: Column, tries) -> Column:
+    """A name in the parts' surrogates, with its titles."""
+    return F.concat(F.regexp_extract(x, "^" + TITLES, 0), forms(key, x, n, tries)["whole"])
+
+
+def mentions(key: str, names: Column, tries) -> Column:
+    """(said, new) of all ways in which a text may mention its names without a title, the longest first."""
+
+    def of(x: Column) -> Column:
+        bare, n = bare_name(x), normal(F.lit("name"), x)
+
+        def pairs(f: Column) -> Column:
+            one = lambda said, new: F.struct(F.length(said).alias("size"), said.alias("said"), new.alias("new"))
+            last = F.regexp_extract(bare, r"[\p{L}'’\-]+$", 0)
+            short = F.concat(F.regexp_extract(bare, r"^[\p{L}'’\-]+\.? ", 0), F.regexp_extract(bare, rf"((?:(?:{SMALL}) )*[\p{{L}}'’\-]+)$", 1))
+            first = F.when(f.given != "", F.regexp_extract(bare, r"^[\p{L}'’\-]+(?= )", 0)).otherwise("")
+            ways = [(bare, f.whole), (short, f.short), (last, f.last), (first, f.given)]
+            ways += [(F.upper(a), F.upper(b)) for a, b in ways]
+            return F.array(*[one(a, b) for a, b in ways])
+
+        return let(forms(key, x, n, tries), pairs)
+
+    every = F.filter(F.array_distinct(F.flatten(F.transform(names, of))), lambda m: (m["size"] > 2) & m.said.rlike(r"^\p{L}+.*\p{L}"))
+    return F.reverse(F.array_sort(every))
+
+
+def with_mentions(text: Column, known: Column) -> Column:
+    """The text with all that `known` (said, new) says replaced."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(known, lambda m: F.concat(F.lit("\\Q"), m.said, F.lit("\\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    new = lambda x: F.get(F.filter(known, lambda m: m.said == x), F.lit(0)).new
+    put = lambda p: F.concat_ws("", F.zip_with(F.split(text, p, -1), F.transform(F.regexp_extract_all(text, p, F.lit(0)), new), lambda between, x: F.concat(between, F.coalesce(x, F.lit("")))))
+    return F.when(F.size(known) > 0, let(pattern, put)).otherwise(text)
 
 
 def remainder(bban: Column, country: Column, check: Column) -> Column:
@@ -332,7 +396,10 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, key: str, text_col: str
         return let(kind_of(x), lambda kind: F.when(kind.isNull(), x).otherwise(let(normal(kind, x), lambda n: surrogate(key, x, kind, n, tries))))
 
     safe = F.concat_ws("", F.zip_with(F.split("t", ENTITY, -1), F.transform("every", replaced), lambda between, new: F.concat(between, F.coalesce(new, F.lit("")))))
-    return rows.select("row", "t", F.when(F.size("every") > 0, safe).otherwise(F.col("t")).alias("safe"), F.filter("every", lambda x: kind_of(x).isNotNull()).alias("found"))
+    rows = rows.select("row", "t", "attempts", F.when(F.size("every") > 0, safe).otherwise(F.col("t")).alias("safe"), F.filter("every", lambda x: kind_of(x).isNotNull()).alias("found"))
+    names = F.filter("found", lambda x: kind_of(x) == "name")
+    known = F.when(F.exists("found", lambda x: kind_of(x) == "name"), mentions(key, names, tries)).otherwise(F.expr("CAST(array() AS array<struct<size: int, said: string, new: string>>)"))
+    return rows.withColumn("known", known).select("row", "t", with_mentions(F.col("safe"), F.col("known")).alias("safe"), "found")
 
 
 def safe_documents(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
