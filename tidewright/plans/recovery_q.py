@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewright.operators import coverage, ownership, recovery
+from tidewright.operators import coverage, ownership, recovery, tempo
 from tidewright.sources.code import ship
 from tidewright.sources.tables import events_us, table
 
@@ -105,5 +105,13 @@ def c22_best_run(spark, d):
     return recovery.each_row(pairs.select("conv_id", "turn", "item_id", "said", "text"), lambda r: [(r["conv_id"], r["turn"], r["item_id"], *coverage.best_run(r["said"], r["text"]))], schema)
 
 
+def i10_tempo_recovery(spark, d):
+    """Reviews at the rate that each source's tempo gives, which is 1.1 for all but every third."""
+    cues, lines, decisions = tables(spark, d)
+    decisions = decisions.withColumn("reason", F.when(F.col("reason") == "matched", tempo.SAFE[0]).otherwise(F.col("reason"))).withColumn("text", F.lit(None).cast("string"))
+    priors = lines.select("task", "source").distinct().select("task", "source", F.when(F.col("source") % 3 == 2, 1.3).otherwise(1.1).alias("rate"))
+    return tempo.tempo_recovered(cues, lines, decisions, priors)
+
+
 QUERIES = {"i8_timing_recovery": (i8_timing_recovery, None), "i9_sequence_recovery": (i9_sequence_recovery, None), "i9_projections": (i9_projections, None),
-           "i13_ownership_guard": (i13_ownership_guard, None), "c22_best_run": (c22_best_run, None), "c26_coverage_join": (c26_coverage_join, C26), "c26_coverage": (c26_coverage, None)}
+           "i13_ownership_guard": (i13_ownership_guard, None), "i10_tempo_recovery": (i10_tempo_recovery, None), "c22_best_run": (c22_best_run, None), "c26_coverage_join": (c26_coverage_join, C26), "c26_coverage": (c26_coverage, None)}
