@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import folds_q, intervals_q, joins_q, lines_q, metrics_q, recovery_q, sequences_q, sources_q, text_q, timing_q
+from tidewright.plans import evidence_q, folds_q, intervals_q, joins_q, lines_q, metrics_q, recovery_q, sequences_q, sources_q, text_q, timing_q
 
-MODULES = [folds_q, intervals_q, joins_q, lines_q, metrics_q, recovery_q, sequences_q, sources_q, text_q, timing_q]
+MODULES = [evidence_q, folds_q, intervals_q, joins_q, lines_q, metrics_q, recovery_q, sequences_q, sources_q, text_q, timing_q]
 
 
 def queries() -> dict:
