@@ -7,7 +7,7 @@ the unit that bounds memory.
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -180,6 +180,28 @@ def apart_step(distance: float, most: int) -> Callable[[list, float], tuple[int]
     return step
 
 
+def below_step(state: list, seen: bool, value: float, row: object) -> tuple | None:
+    """Of rows seen before, how many have a smaller value. The state holds one number for each row seen, sorted."""
+    if seen:
+        insort(state, value)
+        return None
+    return row, bisect_left(state, value)
+
+
+def latest_step(state: tuple[list, list], seen: bool, value: float, row: object) -> tuple | None:
+    """Of rows seen before, the last one with a smaller value. Of two rows that of a smaller value, or the later of equals, hides those before it with a
+    greater one, so values held rise in the order of rows."""
+    values, rows = state
+    if seen:
+        k = bisect_left(values, value)
+        del values[k:], rows[k:]
+        values.append(value)
+        rows.append(row)
+        return None
+    k = bisect_left(values, value)
+    return row, rows[k - 1] if k else None
+
+
 def free_step(state: list, start: float, end: float, *rest: object) -> tuple | None:
     """Of rows from the best down those that overlap none that is kept. The state are the kept intervals, which are disjoint, in order."""
     i = bisect_right(state, (start, end))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators import folds
 from tidewright.operators import intervals as iv
+from tidewright.sources.code import ship
 from tidewright.sources.tables import events_us, table
 
 SEC = 1_000_000
@@ -70,13 +72,19 @@ E3 = f"""WITH {EV}, x AS (SELECT *, (t_us - lag(t_us) OVER w) / 3.6e9 AS dt, val
 SELECT event_id, user_id, CASE WHEN dv < 0 THEN 'backward' WHEN dv > 2 * dt AND dv - dt >= 1.5 THEN 'jump' ELSE 'continuous' END AS kind FROM x WHERE dt IS NOT NULL"""
 
 
+def _both_ways(e, seen: str, asked: str, step, start, kind: str):
+    """`step` over rows of the two types by time (before, and with signs turned after); rows of one instant don't see each other."""
+    rows = e.where(F.col("event_type").isin(seen, asked)).withColumn("seen", F.col("event_type") == seen)
+    before = folds.sorted_fold(rows, ["user_id"], ["t_us", "seen", "event_id"], ["seen", "value", "event_id"], start, step, f"event_id long, l {kind}")
+    back = rows.withColumn("turned", -F.col("value"))
+    after = folds.sorted_fold(back, ["user_id"], [F.desc("t_us"), "seen", F.desc("event_id")], ["seen", "turned", "event_id"], start, step, f"event_id long, r {kind}")
+    return before.join(after, ["user_id", "event_id"])
+
+
 def e4_support_counts(spark, d):
-    """How many trusted rows stand before and after each, agreeing in time and in value."""
-    e = events_us(spark, d)
-    a = e.where("event_type = 'view'").select("user_id", F.col("t_us").alias("t"), F.col("value").alias("v"))
-    c = e.where("event_type = 'click'").select("event_id", "user_id", "t_us", "value")
-    j = c.join(a, "user_id", "left").groupBy("event_id")
-    return j.agg(F.count_if((F.col("t") < F.col("t_us")) & (F.col("v") < F.col("value"))).alias("n_left"), F.count_if((F.col("t") > F.col("t_us")) & (F.col("v") > F.col("value"))).alias("n_right"))
+    """How many trusted rows stand before and after each, agreeing in time and in value: two sorted walks, no pairs."""
+    found = _both_ways(events_us(ship(spark), d), "view", "click", folds.below_step, list, "long")
+    return found.select("event_id", F.col("l").alias("n_left"), F.col("r").alias("n_right"))
 
 
 E4 = f"""WITH {EV} SELECT c.event_id, count(*) FILTER (a.t_us < c.t_us AND a.value < c.value) AS n_left, count(*) FILTER (a.t_us > c.t_us AND a.value > c.value) AS n_right
@@ -291,12 +299,9 @@ C34 = f"WITH {EV} SELECT i.event_id, count(*) AS n, string_agg(w.event_type, ' '
 
 
 def c15_double_as_of(spark, d):
-    """For each error the last view before it in both time and value, and the first one after it in both."""
-    e = events_us(spark, d)
-    a = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("a_id"), F.col("t_us").alias("at"), F.col("value").alias("av"))
-    j = e.where("event_type = 'error'").join(a, "user_id", "left")
-    low, high = (F.col("at") < F.col("t_us")) & (F.col("av") < F.col("value")), (F.col("at") > F.col("t_us")) & (F.col("av") > F.col("value"))
-    return j.groupBy("event_id").agg(F.max(F.when(low, F.struct("at", "a_id"))).getField("a_id").alias("left_id"), F.min(F.when(high, F.struct("at", "a_id"))).getField("a_id").alias("right_id"))
+    """For each error the last view before it in both time and value, and the first one after it in both: two sorted walks, no pairs."""
+    found = _both_ways(events_us(ship(spark), d), "view", "error", folds.latest_step, lambda: ([], []), "long")
+    return found.select("event_id", F.col("l").alias("left_id"), F.col("r").alias("right_id"))
 
 
 C15 = f"""WITH {EV} SELECT e.event_id, arg_max(a.event_id, (a.t_us, a.event_id)) FILTER (a.t_us < e.t_us AND a.value < e.value) AS left_id, arg_min(a.event_id, (a.t_us, a.event_id)) FILTER (a.t_us > e.t_us AND a.value > e.value) AS right_id

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidewright.functions.dialect import both
+from tidewright.operators import lineage
+from tidewright.sources.tables import table
 
 #: Truth and prediction: each line's price and a prediction that is off by its discount and tax.
 ERR = "e AS (SELECT *, abs(l_discount - l_tax) * 1000 AS err FROM {lineitem})"
 
+
+
+def m6_lineage_walk(spark, d):
+    """What each nation and supplier belongs to, at every depth."""
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("child"), F.concat(F.lit(b), F.col(y).cast("string")).alias("parent"))
+    return lineage.walk(edge(n, "n", "n_nationkey", "r", "n_regionkey").union(edge(s, "s", "s_suppkey", "n", "s_nationkey")))
+
+
 QUERIES = {
     "d1_metric_report": both(f"""
         WITH {ERR} SELECT l_returnflag, count(*) AS n, round(avg(err), 3) AS mae, round(PCT[err|0.5], 3) AS p50, round(PCT[err|0.9], 3) AS p90, round(PCT[err|0.95], 3) AS p95, round(avg(CASE WHEN err <= 25 THEN 1e0 ELSE 0e0 END), 6) AS within_rate,
@@ -62,14 +75,17 @@ QUERIES = {
     "d24_pivot_counts": both("SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS n_f, count_if(o_orderstatus = 'O') AS n_o, count_if(o_orderstatus = 'P') AS n_p FROM {orders} GROUP BY 1"),
     "d26_batch_summary": both("SELECT event_type, count(*) AS n, count_if(TRY_CAST(substr(props, 7, 2) AS INT) IS NULL) AS n_failed, count_if(value > 50) AS n_high FROM {events} GROUP BY 1"),
     "d27_multiset_intersection": both("""
-        WITH a AS (SELECT text, count(*) AS n FROM {documents} WHERE source < 'src15' GROUP BY 1), b AS (SELECT text, count(*) AS n FROM {documents} WHERE source >= 'src15' GROUP BY 1)
-        SELECT BIG[coalesce(sum(least(a.n, b.n)), 0)] AS n_common FROM a JOIN b ON a.text = b.text"""),
+        WITH a AS (SELECT SHA[text] AS h, count(*) AS n FROM {documents} WHERE source < 'src15' GROUP BY 1), b AS (SELECT SHA[text] AS h, count(*) AS n FROM {documents} WHERE source >= 'src15' GROUP BY 1)
+        SELECT BIG[coalesce(sum(least(a.n, b.n)), 0)] AS n_common FROM a JOIN b ON a.h = b.h"""),
     # The upper median of slopes, each as often as its weight says.
     "d28_weighted_median": both("""
         WITH w AS (SELECT o_custkey, l_quantity AS x, l_linenumber AS w, l_orderkey FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey),
         c AS (SELECT o_custkey, x, sum(w) OVER (PARTITION BY o_custkey ORDER BY x, l_orderkey, w ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY o_custkey) AS total FROM w)
         SELECT o_custkey, min(x) AS weighted_median FROM c WHERE upto > DIV[total|2] GROUP BY 1""".replace("sum(w)", "BIG[sum(w)]").replace("BIG[sum(w)] OVER (PARTITION BY o_custkey ORDER BY x, l_orderkey, w ROWS UNBOUNDED PRECEDING)", "BIG[sum(w) OVER (PARTITION BY o_custkey ORDER BY x, l_orderkey, w ROWS UNBOUNDED PRECEDING)]").replace("BIG[sum(w)] OVER (PARTITION BY o_custkey)", "BIG[sum(w) OVER (PARTITION BY o_custkey)]")),
-    "j2_slope_grid": both("SELECT round(8e-1 + 2e-2 * i, 4) AS slope FROM SEQ[0|30] t UNION SELECT 1.05e0 UNION SELECT 1.2e0"),
+    # Slopes to try for each brand: a grid, and what its sizes suggest.
+    "j2_slope_grid": both("""
+        WITH g AS (SELECT p_brand, round(1 + (p_size - 25) / 1e2, 4) AS prior FROM {part})
+        SELECT p_brand, round(8e-1 + 2e-2 * i, 4) AS slope FROM (SELECT DISTINCT p_brand FROM g) b CROSS JOIN SEQ[0|30] t UNION SELECT p_brand, prior FROM g"""),
     # Robust timing model of each group: pairwise median slope, median offset, residuals, status ladder.
     "i5_timing_model": both("""
         WITH e AS (SELECT user_id, US[ts] / 1e11 AS x, value AS y FROM {events} WHERE event_type = 'purchase'),
@@ -124,7 +140,10 @@ QUERIES = {
         WITH k AS (SELECT 'negative_price' AS name, count(*) AS n FROM {lineitem} WHERE l_extendedprice < 0 UNION ALL SELECT 'orphans', count(*) FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer}) UNION ALL SELECT 'toxic', count(*) FROM {labels} WHERE toxic = 1)
         SELECT name, n, n = 0 AS passed, bool_and(n = 0) OVER () AS released FROM k"""),
     "l13_manual_override": both("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 THEN 'reviewed' END, d.source) AS source FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id"),
-    "l14_scaffold": both("SELECT i AS case_no, 'case-' || lpad(CAST(i AS STRING), 4, '0') AS case_id, CASE WHEN i % 5 = 0 THEN 'blind' ELSE 'development' END AS split FROM SEQ[1|100] t"),
+    # A case for each document of a source, every fifth of them blind.
+    "l14_scaffold": both("""
+        WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM {documents})
+        SELECT source, doc_id, n AS case_no, 'case-' || lpad(CAST(n AS STRING), 6, '0') AS case_id, CASE WHEN n % 5 = 0 THEN 'blind' ELSE 'development' END AS split FROM n"""),
     "l17_next_action": both("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'wait' WHEN n IS NULL THEN 'collect' WHEN n > 5 THEN 'split' ELSE 'run' END AS action FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY 1) t ON l_orderkey = o_orderkey"),
     # Artifact ids from content and the sorted ids upstream; missing upstream artifacts.
     "m1_manifest": both("""
@@ -136,9 +155,9 @@ QUERIES = {
         "SELECT source, count(*) AS n, CAST(sum(CAST('0x' || substr(SHA[concat_ws('/', CAST(doc_id AS STRING), SHA[text])], 1, 14) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM {documents} GROUP BY 1",
     ),
     # All that an artifact depends on, at any distance.
-    "m6_lineage_walk": both("""
+    "m6_lineage_walk": (m6_lineage_walk, both("""
         WITH RECURSIVE edge AS (SELECT 'n' || CAST(n_nationkey AS STRING) AS child, 'r' || CAST(n_regionkey AS STRING) AS parent FROM {nation} UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), 'n' || CAST(s_nationkey AS STRING) FROM {supplier}),
         walk AS (SELECT child, parent, 1 AS depth FROM edge UNION ALL SELECT w.child, e.parent, w.depth + 1 FROM walk w JOIN edge e ON e.child = w.parent)
-        SELECT child, parent, depth FROM walk"""),
+        SELECT child, parent, depth FROM walk""")[1]),
     "m7_readiness_report": both("SELECT 'documents' AS what, count(*) AS n, count(DISTINCT doc_id) AS n_keys FROM {documents} UNION ALL SELECT 'labels', count(*), count(DISTINCT doc_id) FROM {labels} UNION ALL SELECT 'pages', count(*), count(DISTINCT page_id) FROM {pages}"),
 }

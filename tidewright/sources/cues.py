@@ -51,7 +51,7 @@ def _srt(files: DataFrame) -> DataFrame:
     b = b.withColumn("ok", F.coalesce(ok, F.lit(False)))
     good = lambda c: F.when(F.col("ok"), c)
     b = b.withColumn("number", good(F.trim(F.get("lines", F.lit(0))).cast("int"))).withColumn("timing", good(timing)).withColumn("start_ms", good(clock_ms(timing))).withColumn("end_ms", good(clock_ms(timing, 5)))
-    return b.withColumn("text", F.array_join(F.slice("lines", 3, 1_000_000), "\n"))
+    return b.withColumn("text", F.array_join(F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0))), "\n"))
 
 
 def parse_srt(files: DataFrame) -> DataFrame:
