@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewright.operators import coverage, ownership, recovery, tempo
+from tidewright.operators import coverage, ownership, recovery, settled, tempo
 from tidewright.sources.code import ship
 from tidewright.sources.tables import events_us, table
 
@@ -113,5 +113,26 @@ def i10_tempo_recovery(spark, d):
     return tempo.tempo_recovered(cues, lines, decisions, priors)
 
 
+def i11_bounded_regions(spark, d):
+    """Runs of reviews whose claims fill the gap between resolved neighbours, bracketed by anchors of the sources' own projections."""
+    cues, lines, decisions = tables(spark, d)
+    claims = decisions.withColumn("line", F.coalesce("line", F.lit(-1))).where("line >= 0")
+    anchors = recovery.text_anchors(cues, lines, decisions)
+    ready = recovery.projections(anchors, lines).select("task", "source", "status", "rate", "offset")
+    placed = recovery.positioned(lines).select("task", "source", "pos", "line")
+    timing = anchors.join(ready, ["task", "source"]).join(placed, ["task", "source", "pos"])
+    timing = timing.select("task", "cue", "source", "line", "grade", F.col("status").alias("model_status"), (F.col("start_ms") - recovery.mix_ms("at_ms")).cast("double").alias("residual_ms"))
+    return settled.bounded_recovered(cues, lines, claims, timing)
+
+
+def i12_final_recovery(spark, d):
+    """Reviews that are their line but for one character, or its end after a cue that has its beginning."""
+    cues, lines, decisions = tables(spark, d)
+    n = F.length("key")
+    wrong = F.when((F.col("cue") % 2 == 0) & (n > 8), F.concat(F.expr("left(key, 3)"), F.lit("q"), F.expr("substring(key, 5)"))).otherwise(F.col("key"))
+    said = cues.withColumn("key", wrong).withColumn("text", F.when(wrong != F.col("key"), wrong).otherwise(F.col("text")))
+    return settled.final_recovered(said, lines, decisions)
+
+
 QUERIES = {"i8_timing_recovery": (i8_timing_recovery, None), "i9_sequence_recovery": (i9_sequence_recovery, None), "i9_projections": (i9_projections, None),
-           "i13_ownership_guard": (i13_ownership_guard, None), "i10_tempo_recovery": (i10_tempo_recovery, None), "c22_best_run": (c22_best_run, None), "c26_coverage_join": (c26_coverage_join, C26), "c26_coverage": (c26_coverage, None)}
+           "i13_ownership_guard": (i13_ownership_guard, None), "i11_bounded_regions": (i11_bounded_regions, None), "i12_final_recovery": (i12_final_recovery, None), "i10_tempo_recovery": (i10_tempo_recovery, None), "c22_best_run": (c22_best_run, None), "c26_coverage_join": (c26_coverage_join, C26), "c26_coverage": (c26_coverage, None)}
