@@ -125,3 +125,43 @@ def test_scan_against_brute_force(spark):
     for i, (t, x) in enumerate(planted):
         assert f"jwt:{t.index(x)}:{t.index(x) + len(x)}" in got[len(texts) - 2 * len(planted) + i].spans
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def openssh_key():
+    import base64
+
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    data = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(range(140)))
+    return base64.b64encode(data).decode(), base64.b64encode(public).decode()
+
+
+def test_keys_behind_marks_and_paths():
+    from tidewright.llm import secrets
+
+    private, public = openssh_key()
+    lines = [private[i : i + 70] for i in range(0, len(private), 70)]
+    for lead in ("", "  ", "\t", "> ", "  > > ", "# ", "// ", " * ", "| "):
+        text = "see\n" + "\n".join(lead + x for x in lines) + "\nend"
+        spans = secrets.more_spans(text)
+        assert [(k, text[a : a + 10]) for a, _, k in spans] == [("openssh", private[:10])], repr(lead)
+        pem = "\n".join(lead + x for x in ["-----BEGIN OPENSSH PRIVATE KEY-----", *lines, "-----END OPENSSH PRIVATE KEY-----"])
+        assert [k for _, _, k in secrets.more_spans(pem)] == ["pem"], repr(lead)
+    mixed = "\n".join((" " if i else "") + x for i, x in enumerate(lines))
+    assert not [k for _, _, k in secrets.more_spans(mixed) if k == "openssh"]  # another lead is another text
+    for before in ("path/", "a/bc/def/", "key_", "my-key-", "home/user/x/"):
+        for key, kind in ((private, "openssh"), (public, "sshkey")):
+            text = f"at {before}{key} now"
+            assert [(text[a:b], k) for a, b, k in secrets.more_spans(text)] == [(key, kind)], before
+    assert secrets.more_spans("path/" + private[:-8]) == []
+
+
+def test_parts_of_runs_take_linear_time():
+    import time
+
+    from tidewright.llm import secrets
+
+    for text in ("/AAAA" * 60_000, "/MIIB" * 60_000, "/b3BlbnNzaC1rZXktdjE" * 20_000, "/AAAAC3NzaC1lZDI1NTE5AAAAI" * 12_000, ("> " + "A" * 64 + "\n") * 20_000, "> " * 100_000, (" " * 2000 + "\n") * 200):
+        began = time.process_time()
+        secrets.more_spans(text)
+        assert time.process_time() - began < 5, text[:30]

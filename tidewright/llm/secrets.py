@@ -7,7 +7,9 @@ DER keys (nested lengths that fill the whole), OpenSSH private and public keys (
 fields), PEM blocks whose body confirms, and signed tokens (a JSON header with an
 algorithm, a JSON claim set and a signature of the length that the algorithm makes).
 
-Base64 that is wrapped into lines of one width is joined before it is decoded, with or without a PEM head.
+Base64 that is wrapped into lines of one width is joined before it is decoded, with or without a PEM head, and with the same indent or mark of
+quotation or comment before every line. Where a run as a whole is no key, its parts after a slash, dash or underscore are tried that begin as keys
+do: a path or a name may stand before one.
 
 Runs as a map over Arrow batches: whole texts, no shuffle, one text at a time in memory. Each
 pattern starts only where a run begins and never goes back over it, the marks of PEM blocks are paired in one pass, and
@@ -38,10 +40,13 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEXRUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{3,40})-----")
-BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,.-]|\\[nr])*+")
+BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,.>#*|-]|\\[nr])*+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
-#: Lines of nothing but base64.
-LINE = re.compile(r"^[A-Za-z0-9+/]++={0,2}(?=\r?$)", re.M)
+#: Lines of nothing but base64, after what may stand before every line.
+LEAD = r"[ \t]*+(?:(?:[>#*|]|//(?=[ \t]))[ \t]*+)*+"
+LINE = re.compile(rf"^({LEAD})([A-Za-z0-9+/]++={{0,2}})(?=\r?$)", re.M)
+#: Where a key may begin within a run: the first digits of DER, OpenSSH and SSH keys.
+WITHIN = re.compile(r"(?<=[/_-])(?=M[A-Z]|b3BlbnNzaC1rZXktdjE|AAAA)")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
 #: Least length of a wrapped key's lines but the last.
@@ -61,8 +66,8 @@ def decoded(s: str) -> bytes | None:
         return None
 
 
-def der(data: bytes) -> bool:
-    """A SEQUENCE that fills the data and holds an INTEGER and one more element at least, every length of it nested rightly."""
+def der(data: bytes, start: int = 0) -> bool:
+    """A SEQUENCE that fills the data from `start` on and holds an INTEGER and one more element at least, every length of it nested rightly."""
 
     def elements(at: int, end: int, depth: int) -> list[int] | None:
         tags = []
@@ -89,12 +94,12 @@ def der(data: bytes) -> bool:
             at += n
         return tags
 
-    if len(data) < 24 or data[0] != 0x30:
+    if len(data) - start < 24 or data[start] != 0x30:
         return False
-    top = elements(0, len(data), 0)
-    if top != [0x30]:
+    head = start + 2 + (data[start + 1] & 0x7F if data[start + 1] & 0x80 else 0)
+    whole = data[start + 1] if head == start + 2 else int.from_bytes(data[start + 2 : head], "big")
+    if head + whole != len(data) or elements(start, len(data), 0) != [0x30]:
         return False
-    head = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
     inner = elements(head, len(data), 1)
     # Private keys begin with a version; public keys are an algorithm and a bit string.
     return inner is not None and ((len(inner) >= 2 and inner[0] == 2) or inner == [0x30, 0x03])
@@ -111,32 +116,49 @@ def fields(data: bytes, at: int, n: int) -> int | None:
     return at
 
 
-def openssh(data: bytes) -> bool:
+def openssh(data: bytes, start: int = 0) -> bool:
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(magic, start):
         return False
-    at = fields(data, len(magic), 3)  # cipher, key derivation, its options
+    at = fields(data, start + len(magic), 3)  # cipher, key derivation, its options
     if at is None or len(data) - at < 4:
         return False
     keys = int.from_bytes(data[at : at + 4], "big")
     return 1 <= keys <= 16 and fields(data, at + 4, keys + 1) == len(data)
 
 
-def sshkey(data: bytes) -> bool:
-    n = int.from_bytes(data[:4], "big")
-    if not 7 <= n <= 64 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", data[4 : 4 + n]):
+def sshkey(data: bytes, start: int = 0) -> bool:
+    """A name and up to eight fields that fill the data; no kind of key has more."""
+    n = int.from_bytes(data[start : start + 4], "big")
+    if not 7 <= n <= 64 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", data[start + 4 : start + 4 + n]):
         return False
-    at, count = 4 + n, 0
-    while at is not None and at < len(data):
+    at, count = start + 4 + n, 0
+    while at is not None and at < len(data) and count < 8:
         at, count = fields(data, at, 1), count + 1
     return at == len(data) and count >= 1
 
 
-def blob(data: bytes | None) -> str | None:
-    """The kind of key that these bytes are."""
+def blob(data: bytes | None, start: int = 0) -> str | None:
+    """The kind of key that these bytes are from `start` on."""
     if not data:
         return None
-    return "der" if der(data) else "openssh" if openssh(data) else "sshkey" if sshkey(data) else None
+    return "der" if der(data, start) else "openssh" if openssh(data, start) else "sshkey" if sshkey(data, start) else None
+
+
+def within(run: str) -> tuple[int, str] | None:
+    """(place, kind) of the first part of a base64 run that is a key up to the run's end. Each of the four alignments is decoded once."""
+    s = run.rstrip("=").replace("-", "+").replace("_", "/")
+    data: dict[int, bytes | None] = {}
+    for m in WITHIN.finditer(run):
+        at = m.start()
+        if (len(s) - at) % 4 == 1 or at >= len(s):
+            continue
+        shift = at % 4
+        if shift not in data:
+            data[shift] = decoded(s[shift:])
+        if (whole := data[shift]) is not None and (kind := blob(whole, (at - shift) // 4 * 3)):
+            return at, kind
+    return None
 
 
 def token(header: str, claims: str, signature: str) -> bool:
@@ -176,16 +198,16 @@ def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
 
     def whole() -> Iterator[tuple[int, int, str]]:
         if len(run) > 1:
-            yield run[0].start(), run[-1].end(), "".join(x[0] for x in run)
+            yield run[0].start(2), run[-1].end(), "".join(x[2] for x in run)
         run.clear()
 
     for m in LINE.finditer(text):
-        width = len(m[0])
-        if run and (text[run[-1].end() : m.start()] not in ("\n", "\r\n") or width > len(run[0][0])):
+        width = len(m[2])
+        if run and (text[run[-1].end() : m.start()] not in ("\n", "\r\n") or width > len(run[0][2]) or m[1] != run[0][1]):
             yield from whole()
         if run or width >= WRAP:
             run.append(m)
-            if width < len(run[0][0]) or m[0].endswith("="):
+            if width < len(run[0][2]) or m[2].endswith("="):
                 yield from whole()
     yield from whole()
 
@@ -195,7 +217,8 @@ def more_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN " in text:
         for a, b, label, body in pem_blocks(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$|\s+", "", body.replace("\\n", "\n").replace("\\r", ""))
+            body = re.sub(rf"(?m)^{LEAD}", "", body.replace("\\n", "\n").replace("\\r", ""))
+            body = re.sub(r"(?m)^[A-Za-z-]+:.*$|\s+", "", body)
             if blob(decoded(body)) or ("ENCRYPTED" in label and decoded(body)):
                 out.append((a, b, "pem"))
     if "eyJ" in text:
@@ -206,8 +229,12 @@ def more_spans(text: str) -> list[tuple[int, int, str]]:
     taken = sorted(out)
     for pattern, decode in ((BASE64, decoded), (HEXKEY, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
         for m in pattern.finditer(text):
-            if not held(taken, m.start()) and (kind := blob(decode(m[0]))):
+            if held(taken, m.start()):
+                continue
+            if kind := blob(decode(m[0])):
                 out.append((m.start(), m.end(), kind))
+            elif pattern is BASE64 and (part := within(m[0])):
+                out.append((m.start() + part[0], m.end(), part[1]))
     return out
 
 
