@@ -181,3 +181,19 @@ def test_thousands_of_anchors_end():
     began = time.process_time()
     whole, each = timing.left_out_models(x, 9000 + 1.1 * x + g.normal(0, 300, n), None)
     assert whole[0] == "ready" and len(each) == n and time.process_time() - began < 30
+
+
+def test_models_and_grades_of_the_tables(spark):
+    d = "/root/testdata/sf0.001"
+    cues, obs = timing_q._tables(spark, d)
+    start = {(r.task, r.cue): r.start_ms for r in cues.collect()}
+    points = {}
+    for r in sorted(obs.collect(), key=lambda r: (r.task, r.cue)):
+        points.setdefault((r.task, r.source), []).extend([(start[r.task, r.cue], r.source_ms)] if r.grade == "A" else [])
+    got = {(r.task, r.source): r for r in timing_q.i5_source_models(spark, d).collect()}
+    assert got.keys() == points.keys() and len({r.status for r in got.values()}) > 1
+    for k, p in points.items():
+        status, rate, offset = model(p, 1.1 if k[0] % 3 == 0 else None)
+        assert (got[k].status, got[k].n_anchors) == (status, len(p)) and abs(got[k].rate - rate) < 1e-9 and abs(got[k].offset - offset) < 1e-5
+    grades = Counter(r.grade for r in timing_q.i4_observation_grades(spark, d).collect())
+    assert grades["A"] > 100 and grades["C"] > 20

@@ -138,6 +138,22 @@ def left_out_models(x: np.ndarray, y: np.ndarray, prior: float | None, policy: P
     return whole, [r if r[0] == "ready" else whole for r in rest]
 
 
+def source_models(observations: DataFrame, cues: DataFrame, priors: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
+    """(task, source, n_anchors, status, rate, offset) of every source with observations, over its A anchors: with an inlier refit, or at the prior's rate."""
+    o = observations.join(cues.select("task", "cue", "start_ms"), ["task", "cue"])
+    o = o.withColumn("prior", F.lit(None).cast("double")) if priors is None else o.join(priors.select("task", "source", F.col("rate").alias("prior")), ["task", "source"], "left")
+    kinds = dict(o.dtypes)
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        a = t[t.grade == "A"].sort_values("cue")
+        prior = None if pd.isna(t.prior.iloc[0]) else float(t.prior.iloc[0])
+        got = models(a.start_ms.to_numpy(np.float64), a.source_ms.to_numpy(np.float64), prior, policy, [None])[0]
+        return pd.DataFrame([(t.task.iloc[0], t.source.iloc[0], len(a), *got)])
+
+    rows = o.select("task", "source", "cue", "grade", "start_ms", "source_ms", "prior")
+    return rows.groupBy("task", "source").applyInPandas(run, f"task {kinds['task']}, source {kinds['source']}, n_anchors int, status string, rate double, offset double")
+
+
 def supports(cue: np.ndarray, line: np.ndarray, anchor: np.ndarray) -> tuple[list[int], list[int]]:
     """For each row, anchors before it and after it in both orders, counted in one walk each way over rows sorted by cue."""
     out = []

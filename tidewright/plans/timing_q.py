@@ -30,6 +30,25 @@ def i7_hardened_plan(spark, d):
     return timing.hardened(timing.plan(*_tables(spark, d)))
 
 
+def i5_source_models(spark, d):
+    """The robust model of each source, from its A anchors; every third task knows its rate."""
+    cues, obs = _tables(spark, d)
+    priors = obs.where("task % 3 = 0").select("task", "source").distinct().withColumn("rate", F.lit(1.1))
+    return timing.source_models(obs, cues, priors)
+
+
+def i4_observation_grades(spark, d):
+    """Each recovered table's claims of one line, graded: exact and unique on both sides, strong, or neither."""
+    from tidewright.plans.recovery_q import tables
+
+    cues, lines, decisions = tables(spark, d)
+    s = cues.join(decisions, ["task", "cue"]).where("line IS NOT NULL")
+    k = lines.withColumn("line_times", F.count("*").over(Window.partitionBy("task", "source", "key"))).select("task", "line", "source", F.col("key").alias("line_key"), "line_times")
+    s = s.join(k, ["task", "line"]).withColumn("cue_times", F.count("*").over(Window.partitionBy("task", "source", "key")))
+    grade = timing.grade(F.col("n_lines") == 1, F.col("action"), F.col("score"), F.col("key") == F.col("line_key"), F.col("line_times"), F.col("cue_times"))
+    return s.select("task", "cue", "source", "line", grade.alias("grade"))
+
+
 def i3_repair_plan(spark, d):
     """Each order's lines, some misspelt, against the names of their parts."""
     parts = table(ship(spark), d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("line"))
@@ -40,4 +59,4 @@ def i3_repair_plan(spark, d):
     return repair.repair_plan(cues.union(rows.select("l_orderkey", "l_linenumber", F.lit(False), "line")), "l_orderkey", "is_cue", ["l_linenumber", "line"], "line")
 
 
-QUERIES = {"i3_repair_plan": (i3_repair_plan, None), "i6_timing_ladder": (i6_timing_ladder, None), "i7_hardened_plan": (i7_hardened_plan, None)}
+QUERIES = {"i4_observation_grades": (i4_observation_grades, None), "i5_source_models": (i5_source_models, None), "i3_repair_plan": (i3_repair_plan, None), "i6_timing_ladder": (i6_timing_ladder, None), "i7_hardened_plan": (i7_hardened_plan, None)}
