@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import evaluation_q, evidence_q, folds_q, intervals_q, joins_q, lines_q, metrics_q, planning_q, recovery_q, routing_q, sequences_q, sources_q, text_q, timing_q
+from tidewright.plans import evaluation_q, evidence_q, folds_q, gates_q, intervals_q, joins_q, lines_q, metrics_q, planning_q, recovery_q, routing_q, sequences_q, sources_q, text_q, timing_q
 
-MODULES = [evaluation_q, evidence_q, folds_q, intervals_q, joins_q, lines_q, metrics_q, planning_q, recovery_q, routing_q, sequences_q, sources_q, text_q, timing_q]
+MODULES = [evaluation_q, evidence_q, folds_q, gates_q, intervals_q, joins_q, lines_q, metrics_q, planning_q, recovery_q, routing_q, sequences_q, sources_q, text_q, timing_q]
 
 
 def queries() -> dict:
