@@ -138,14 +138,16 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     lines.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema("k binary, hashes array<binary>, batch int").parquet(path)
     pairs, runs = lines.select("k", F.explode("hashes").alias("h"), "batch"), Runs(spark, least)
-    for i in range(batches):
-        run = runs.add(pairs.where(F.col("batch") == i).select("h"))
-        if i == 0:
-            first = spark.table(run)
-            total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            heavy = written(spark, first.where((F.col("n") >= least) & (F.col("n") * HEAVY > total)).select("h"), "heavy")
-    common = written(spark, runs.common(), "common")
-    runs.close()
+    try:
+        for i in range(batches):
+            run = runs.add(pairs.where(F.col("batch") == i).select("h"))
+            if i == 0:
+                first = spark.table(run)
+                total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                heavy = written(spark, first.where((F.col("n") >= least) & (F.col("n") * HEAVY > total)).select("h"), "heavy")
+        common = written(spark, runs.common(), "common")
+    finally:
+        runs.close()
     pairs = pairs.select("k", "h")
     hot = pairs.join(F.broadcast(heavy), "h", "left_semi")
     rest = pairs.join(F.broadcast(heavy), "h", "left_anti").join(common, "h", "left_semi")
