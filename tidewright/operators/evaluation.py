@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
 from tidewright.operators.folds import nearest_pairs
+from tidewright.operators.intervals import overlap_join
 from tidewright.operators.sequences import said_score
 
 
@@ -110,3 +111,31 @@ def collapsed_after_unmapped(rows: DataFrame, by: str, gap_ms: int = 1200, least
     pairs = rows.select(by, "cue", "track", "status", "end_ms", "original", *ahead.values())
     pairs = pairs.where(f"status = 'keep_existing' AND track = _track AND _n_lines > 1 AND _cue = cue + 1 AND _start_ms - end_ms <= {gap_ms}")
     return pairs.where(said_score(F.coalesce("original", F.lit("")), F.coalesce("_text", F.lit("")))["score"] >= least).select(by, "cue", F.col("_cue").alias("next_cue"))
+
+
+def regression_cases(cases: DataFrame, cues: DataFrame, width: int = 60_000) -> DataFrame:
+    """(task, case, kind, passed) of confirmed cases over final cues.
+
+    cases: task, case, kind, start_ms, end_ms, tolerance_ms, max_gap_ms, key; cues: task, cue, start_ms, end_ms, key (texts as they are compared). interval_timing: a
+    cue begins and ends there, within the tolerance; interval_text: one with this text does; continuous_coverage: cues leave no longer gap from start to end; absent_text: no
+    cue in between holds the text. Other kinds fail. Cues meet cases by time buckets.
+    """
+    c = cases.select("task", "case", "kind", F.col("start_ms").alias("a"), F.coalesce("end_ms", "start_ms").alias("b"), F.coalesce("tolerance_ms", F.lit(0)).alias("tol"), F.coalesce("max_gap_ms", F.lit(0)).alias("gap"), F.coalesce("key", F.lit("")).alias("want"))
+    q = cues.select("task", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.coalesce("key", F.lit("")).alias("have"))
+    near = c.where("kind IN ('interval_text', 'interval_timing')").withColumn("l_start", F.col("a") - F.col("tol")).withColumn("l_end", F.col("a") + F.col("tol"))
+    starts = q.withColumn("end", F.col("r_end")).withColumn("r_end", F.col("r_start"))
+    met = overlap_join(near, starts, ["task"], width, strict=False).where(F.abs(F.col("end") - F.col("b")) <= F.col("tol"))
+    good = met.where((F.col("kind") == "interval_timing") | (F.col("have") == F.col("want"))).select("task", "case").distinct().withColumn("passed", F.lit(True))
+
+    over = c.where("kind IN ('continuous_coverage', 'absent_text')").withColumn("l_start", F.col("a")).withColumn("l_end", F.col("b"))
+    met = overlap_join(over, q, ["task"], width)
+    bad = met.where((F.col("kind") == "absent_text") & F.col("have").contains(F.col("want"))).select("task", "case").distinct().withColumn("held", F.lit(True))
+    order = Window.partitionBy("task", "case").orderBy("r_start", "r_end")
+    before = F.greatest("a", F.coalesce(F.max("r_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("a")))
+    cover = met.where("kind = 'continuous_coverage'").withColumn("open", F.col("r_start") - before > F.col("gap"))
+    cover = cover.groupBy("task", "case").agg((~F.bool_or("open") & (F.max("r_end") >= F.first("b"))).alias("covered"))
+
+    all_ = c.join(good, ["task", "case"], "left").join(bad, ["task", "case"], "left").join(cover, ["task", "case"], "left")
+    kind = F.col("kind")
+    ok = F.when(kind.isin("interval_text", "interval_timing"), F.coalesce("passed", F.lit(False))).when(kind == "absent_text", F.col("held").isNull()).when(kind == "continuous_coverage", F.coalesce("covered", F.col("b") <= F.col("a"))).otherwise(False)
+    return all_.select("task", "case", "kind", ok.alias("passed"))

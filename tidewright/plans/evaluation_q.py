@@ -50,4 +50,29 @@ def e20_collapsed_rows(spark, d):
     return evaluation.collapsed_after_unmapped(rows, "user_id")
 
 
-QUERIES = {"d5_cut_metrics": (d5_cut_metrics, None), "i17_cue_groups": (i17_cue_groups, None), "e20_collapsed_rows": (e20_collapsed_rows, None)}
+def l11_confirmed_cases(spark, d):
+    """Events of each user as cues of four seconds; every seventh confirms something around itself, of four kinds."""
+    e = events_us(spark, d).withColumn("k", (F.row_number().over(Window.partitionBy("user_id").orderBy("t_us", "event_id")) - 1).cast("long"))
+    n, start = F.col("event_id"), F.col("k") * 3000 + F.floor(F.col("value") * 3).cast("long")
+    cues = e.where("event_id % 10 <> 3").select(F.col("user_id").alias("task"), F.col("event_id").alias("cue"), start.alias("start_ms"), (start + 2600 + n % 5 * 100).alias("end_ms"), F.col("event_type").alias("key"))
+    kind = F.element_at(F.array(*map(F.lit, ("interval_text", "interval_timing", "continuous_coverage", "absent_text"))), (n % 4 + 1).cast("int"))
+    at = F.col("k") * 3000
+    end = F.when(n % 4 < 2, at + 2800).otherwise(at + 9000)
+    cases = e.where("event_id % 7 = 2").select(F.col("user_id").alias("task"), n.alias("case"), kind.alias("kind"), at.alias("start_ms"), end.alias("end_ms"), F.lit(250).alias("tolerance_ms"), (n % 3 * 400).alias("max_gap_ms"), F.when(n % 8 == 3, "sign").when(n % 4 == 3, "purchase").otherwise(F.col("event_type")).alias("key"))
+    return evaluation.regression_cases(cases, cues)
+
+
+L11 = """
+WITH e AS (SELECT user_id AS task, event_id AS n, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+q AS (SELECT task, k * 3000 + CAST(floor(value * 3) AS BIGINT) AS s, k * 3000 + CAST(floor(value * 3) AS BIGINT) + 2600 + n % 5 * 100 AS f, event_type AS have FROM e WHERE n % 10 <> 3),
+c AS (SELECT task, n AS cs, ['interval_text', 'interval_timing', 'continuous_coverage', 'absent_text'][n % 4 + 1] AS kind, k * 3000 AS a, k * 3000 + CASE WHEN n % 4 < 2 THEN 2800 ELSE 9000 END AS b, n % 3 * 400 AS gap,
+             CASE WHEN n % 8 = 3 THEN 'sign' WHEN n % 4 = 3 THEN 'purchase' ELSE event_type END AS want FROM e WHERE n % 7 = 2),
+m AS (SELECT c.*, s, f, have, greatest(a, coalesce(max(f) OVER (PARTITION BY c.task, cs ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a)) AS before FROM c JOIN q ON q.task = c.task AND s < b AND f > a WHERE kind = 'continuous_coverage'),
+v AS (SELECT task, cs, NOT bool_or(s - before > gap) AND max(f) >= any_value(b) AS covered FROM m GROUP BY 1, 2)
+SELECT c.task, cs AS "case", kind, CASE kind WHEN 'interval_timing' THEN EXISTS (SELECT 1 FROM q WHERE q.task = c.task AND abs(s - a) <= 250 AND abs(f - b) <= 250)
+    WHEN 'interval_text' THEN EXISTS (SELECT 1 FROM q WHERE q.task = c.task AND abs(s - a) <= 250 AND abs(f - b) <= 250 AND have = want)
+    WHEN 'absent_text' THEN NOT EXISTS (SELECT 1 FROM q WHERE q.task = c.task AND s < b AND f > a AND contains(have, want)) ELSE coalesce(covered, false) END AS passed
+FROM c LEFT JOIN v USING (task, cs)
+"""
+
+QUERIES = {"d5_cut_metrics": (d5_cut_metrics, None), "l11_confirmed_cases": (l11_confirmed_cases, L11), "i17_cue_groups": (i17_cue_groups, None), "e20_collapsed_rows": (e20_collapsed_rows, None)}
