@@ -124,3 +124,9 @@ def test_mentions_against_plain_replacement(spark):
     out, found = safe(spark, texts)
     assert out == want and all(len(f) == 1 for f in found)
     assert len({x for x in alone}) == len(people)  # distinct people stay distinct
+
+
+def test_small_words_are_whole_words(spark):
+    out, _ = safe(spark, ["Mr. Ade Stone and Ade Stone", "Mr. Hilda von Stone", "Mr. Ovan der Stone, Ovan der Stone"])
+    assert re.fullmatch(r"Mr\. (\S+) (\w+) and \1 \2", out[0]) and " de " not in out[0]
+    assert re.fullmatch(r"Mr\. \S+ von \w+", out[1]) and re.fullmatch(r"Mr\. (\S+) der (\w+), \1 der \2", out[2])

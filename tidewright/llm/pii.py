@@ -243,7 +243,7 @@ def forms(key: str, x: Column, n: Column, tries) -> Column:
     surname, person, whole = F.substring_index(n, " ", -1), F.concat_ws(" ", gender(x), F.substring_index(n, " ", 1), F.substring_index(n, " ", -1)), F.concat_ws(" ", gender(x), n)
     given = F.when(words > 1, F.concat(let(tries("person", person), lambda a: new_given(key, person, a)), F.lit(" "))).otherwise("")
     middle = F.when(words > 2, F.concat(let(tries("name", whole), lambda a: new_middle(key, whole, a)), F.lit(" "))).otherwise("")
-    small = F.regexp_extract(bare, rf"((?:(?:{SMALL}) )*)[\p{{L}}'’\-]+$", 1)
+    small = F.regexp_extract(bare, rf"(?<![\p{{L}}\p{{N}}'’\-])((?:(?:{SMALL}) )*)[\p{{L}}'’\-]+$", 1)
     last = let(tries("surname", surname), lambda a: new_surname(key, surname, a))
     parts = F.struct(given.alias("given"), middle.alias("middle"), last.alias("last"))
     put = lambda p: F.struct(F.concat(p.given, p.middle, small, p.last).alias("whole"), F.concat(p.given, small, p.last).alias("short"), p.last.alias("last"), F.rtrim(p.given).alias("given"))
@@ -265,7 +265,7 @@ def mentions(key: str, names: Column, tries) -> Column:
         def pairs(f: Column) -> Column:
             one = lambda said, new: F.struct(F.length(said).alias("size"), said.alias("said"), new.alias("new"))
             last = F.regexp_extract(bare, r"[\p{L}'’\-]+$", 0)
-            short = F.concat(F.regexp_extract(bare, r"^[\p{L}'’\-]+\.? ", 0), F.regexp_extract(bare, rf"((?:(?:{SMALL}) )*[\p{{L}}'’\-]+)$", 1))
+            short = F.concat(F.regexp_extract(bare, r"^[\p{L}'’\-]+\.? ", 0), F.regexp_extract(bare, rf"(?<![\p{{L}}\p{{N}}'’\-])((?:(?:{SMALL}) )*[\p{{L}}'’\-]+)$", 1))
             first = F.when(f.given != "", F.regexp_extract(bare, r"^[\p{L}'’\-]+(?= )", 0)).otherwise("")
             ways = [(bare, f.whole), (short, f.short), (last, f.last), (first, f.given)]
             ways += [(F.upper(a), F.upper(b)) for a, b in ways]
