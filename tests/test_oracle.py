@@ -59,6 +59,7 @@ def test_query_equals_sql(name, spark, duck):
 
 #: Tested by values, against brute force.
 BY_VALUE = {"c17", "c18", "c19", "i1", "j7", "c20", "c21", "c32", "d9", "e5", "h4", "h5", "h6", "h7_token", "h8", "h10", "i2", "j3", "j4", "j11", "i3", "i6", "i7"}
+BY_VALUE |= {"i4_observation", "i5_source", "i8", "i9", "i10", "i11", "i12", "i13", "i16", "i17", "i18", "c22", "c26", "l6", "h13", "a11", "d5", "e20"}
 
 
 def test_every_query_is_checked():

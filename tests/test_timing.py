@@ -195,5 +195,22 @@ def test_models_and_grades_of_the_tables(spark):
     for k, p in points.items():
         status, rate, offset = model(p, 1.1 if k[0] % 3 == 0 else None)
         assert (got[k].status, got[k].n_anchors) == (status, len(p)) and abs(got[k].rate - rate) < 1e-9 and abs(got[k].offset - offset) < 1e-5
-    grades = Counter(r.grade for r in timing_q.i4_observation_grades(spark, d).collect())
-    assert grades["A"] > 100 and grades["C"] > 20
+    from tidewright.plans.recovery_q import tables
+
+    cues, lines, decisions = (df.collect() for df in tables(spark, d))
+    line, cue = {(r.task, r.line): r for r in lines}, {(r.task, r.cue): r for r in cues}
+    times = Counter((r.task, r.source, r.key) for r in lines)
+    claims = [x for x in decisions if x.line is not None]
+    said = Counter((x.task, line[x.task, x.line].source, cue[x.task, x.cue].key) for x in claims)
+    want = {}
+    for x in claims:
+        at, c = line[x.task, x.line], cue[x.task, x.cue]
+        alone = times[x.task, at.source, at.key] == 1
+        if x.n_lines != 1 or x.action == "review":
+            want[x.task, x.cue] = "C"
+        elif c.key == at.key and x.score >= 0.995 and alone and said[x.task, at.source, c.key] == 1 and x.action == "unchanged":
+            want[x.task, x.cue] = "A"
+        else:
+            want[x.task, x.cue] = "B" if x.score >= 0.92 and alone else "C"
+    got = {(r.task, r.cue): r.grade for r in timing_q.i4_observation_grades(spark, d).collect()}
+    assert got == want and Counter(got.values())["A"] > 100
