@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
     assert set(seen[0]) == set(range(62)) | {65}
     assert sorted(seen[1]) == list(range(60))  # the copies go, the least ids stay
     assert sorted(seen[2]) == sorted(seen[1]) and set(seen[3]) <= set(seen[2]) and len(seen[4]) == len(seen[3])
-    assert "pipeline" in registry.queries() and len(registry.queries()) == 11
+    assert "pipeline" in registry.queries() and len(registry.queries()) == 14
 
 
 CLASHES = ("th", "id", "row", "row_id", "i", "t", "v", "s", "kept", "slot", "label", "band", "key", "block", "copies", "doc", "every", "safe", "attempts", "size", "turn", "_s", "source_size")
