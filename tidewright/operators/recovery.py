@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
 from tidewright.operators.timing import Policy, Slopes
+from tidewright.sources.shared import written
 
 STRONG, EXACT, CAPPED = 0.92, 0.995, 0.91
 CONFIRMED, EDGE = "timing_model_confirms_canonical_sequence", "timing_model_confirms_song_edge_canonical"
@@ -296,8 +297,8 @@ def frontiers(state: DataFrame, sure: DataFrame, models: DataFrame, lines: DataF
 
 def sequence_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, priors: DataFrame | None = None) -> DataFrame:
     """Decisions after recovery from sequence and time: regions between sure cues, then frontiers. Scores are capped below a strong one."""
-    anchors = text_anchors(cues, lines, decisions)
-    ready = projections(anchors, lines, priors).where("status = 'ready'").select("task", "source", "rate", "offset")
+    anchors = written(text_anchors(cues, lines, decisions), "anchors")  # read three times, as are the models
+    ready = written(projections(anchors, lines, priors).where("status = 'ready'").select("task", "source", "rate", "offset"), "models")
     sure = anchors.join(ready, ["task", "source"]).where(F.abs(F.col("start_ms") - mix_ms("at_ms")) <= 750).select("task", "cue", "source", "pos", "start_ms", "at_ms")
     state, placed = stated(cues, lines, decisions).drop("_line", "source", "pos", "at_ms", "line_key"), positioned(lines)
     regions, walks = bounded(state, sure, ready, placed), frontiers(state, sure, ready, placed)
@@ -390,7 +391,7 @@ def timing_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, mo
             at += k
         return out
 
-    first = untouched(decisions, each_row(both, inner, schema))
+    first = written(untouched(decisions, each_row(both, inner, schema)), "decisions")  # read four times
 
     blocks = review_blocks(stated(cues, lines, first), ready, most_cues, chain)
     size = placed.groupBy("task", "source").agg((F.max("pos") + 1).alias("n_pos"))

@@ -19,6 +19,7 @@ from tidewright.functions import text as tx
 from tidewright.operators.recovery import CUE, FOUND, by_task, each_row, gap_lines, mix_ms, positioned, structs, untouched
 from tidewright.operators.repair import content, key, rendered, shared_out
 from tidewright.operators.timing import Policy, Slopes
+from tidewright.sources.shared import written
 
 #: Reasons of decisions that may tell the offset, and syllables without meaning.
 SAFE = ("canonical_content_matches_source_segmentation", "high_confidence_span_preserving_match")
@@ -204,7 +205,7 @@ def tempo_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, pri
     """Decisions after recovery at known rates: reviews that claim one line and are there in time, then regions between inliers as streams."""
     lex, order, kinds = lexical(lines), by_task(), dict(cues.dtypes)
     told, inliers = models(anchored(cues, lex, decisions), lines, priors)
-    ready = told.where("status = 'ready'").drop("status")
+    ready = written(told.where("status = 'ready'").drop("status"), "models")
     d = decisions if "text" in decisions.columns else decisions.withColumn("text", F.lit(None).cast("string"))
     s = cues.join(d.withColumnRenamed("text", "decided"), ["task", "cue"], "left")
     s = s.withColumn("cue_before", F.lag("key").over(order)).withColumn("cue_after", F.lead("key").over(order))
@@ -231,7 +232,7 @@ def tempo_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, pri
     m = m.where(F.col("_c.trims") | sure)
     same = F.when(F.col("key") == F.col("line_key"), "unchanged").otherwise("replace")
     single = m.select("task", "cue", same.alias("action"), F.when(F.col("_c.trims"), TRIMMED).otherwise(MAPPED).alias("reason"), F.least("score", F.lit(0.90)).alias("score"), "line", "n_lines", F.col("line_text").alias("text"))
-    first = untouched(d, single)
+    first = written(untouched(d, single), "decisions")
 
     # Regions between neighbouring inliers of a source that are lexical lines, by running length no longer than what their cues can hold.
     pair = Window.partitionBy("task", "source").orderBy("cue")

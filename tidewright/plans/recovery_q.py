@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import coverage, ownership, recovery, settled, tempo
 from tidewright.sources.code import ship
+from tidewright.sources.shared import written
 from tidewright.sources.tables import events_us, table
 
 
@@ -30,7 +31,7 @@ def tables(spark, d):
         F.col("user_id").alias("task"), F.col("cue").cast("int").alias("cue"), F.when(weak, "review").otherwise("unchanged").alias("action"), F.when(weak, "low_score").otherwise("matched").alias("reason"),
         score.alias("score"), F.when(claim, F.col("k")).cast("long").alias("line"), F.when(claim, F.col("n")).alias("n_lines"),
     )
-    return cues, lines, decisions
+    return written(cues, "cues"), written(lines, "lines"), written(decisions, "decisions")
 
 
 def i9_sequence_recovery(spark, d):
