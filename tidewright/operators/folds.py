@@ -1,7 +1,7 @@
 """Order-dependent operators. None of these takes a whole table as one group.
 
 `sorted_fold` reads each key's rows in order, as they come from Spark's sort, and holds no more than its state: a key may have any
-number of rows. `by_group` holds a group (a conversation, a user, a document pair) as one small table in one task; there a group is
+number of rows. `by_sorted` holds a group's rows as lists, `by_group` holds a group (a conversation, a user, a document pair) as one small table in one task; there a group is
 the unit that bounds memory.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -18,7 +19,45 @@ from pyspark.sql import Column, DataFrame
 
 
 def by_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    return dealt_by(df, keys).groupBy(*keys).applyInPandas(fn, schema)
+
+
+def dealt_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of equal keys in one part. The number of parts is named, since what costs here is time, not bytes: adaptive execution would join small parts to a few long tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def by_sorted(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str], fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """What `fn` makes of each key's rows, which it gets in order, as one list for each of `values`; its rows follow the keys in `schema`.
+
+    Rows come from Spark's sort; one group is held at a time, as plain lists, so a table of many small groups costs little for each.
+    """
+    n = len(keys)
+    dealt = dealt_by(df, keys).sortWithinPartitions(*keys, *order).select(*keys, *values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def done() -> list[tuple]:
+            return [last + x for x in fn(*map(list, zip(*held, strict=True)))]
+
+        for batch in batches:
+            made = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, row in zip(zip(*columns[:n], strict=True), zip(*columns[n:], strict=True), strict=True):
+                if key != last:
+                    if held:
+                        made += done()
+                    last, held = key, []
+                held.append(row)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names)
+        if held and (made := done()):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names)
+
+    whole = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [schema])
+    names = [x.split()[0] for x in whole.split(", ")]
+    return dealt.mapInArrow(typed(run, whole), whole)
 
 
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str], start: Callable[[], Any], step: Callable[..., tuple | None], schema: str) -> DataFrame:
@@ -246,6 +285,9 @@ def hinges(x: np.ndarray, y: np.ndarray, most: int = 2, least: int = 3, gain: fl
     """A continuous line with at most `most` breaks among the points, each added only if it takes the error to `gain` of what it was."""
     from itertools import combinations
 
+    places, ordered = np.unique(x)[least:-least] if len(x) > 2 * least else np.empty(0), np.sort(x)
+    before = np.searchsorted(ordered, places)
+
     def solve(breaks: tuple[float, ...]) -> tuple[np.ndarray, float]:
         a = np.column_stack([np.ones(len(x)), x, *[np.maximum(0, x - b) for b in breaks]])
         sol = np.linalg.lstsq(a, y, rcond=None)[0]
@@ -254,9 +296,10 @@ def hinges(x: np.ndarray, y: np.ndarray, most: int = 2, least: int = 3, gain: fl
     best = ((), *solve(()))
     for n in range(1, most + 1):
         found = None
-        for breaks in combinations(np.unique(x)[least:-least] if len(x) > 2 * least else [], n):
-            edges = np.searchsorted(np.sort(x), [-np.inf, *breaks, np.inf])
-            if np.diff(edges).min() >= least:
+        chosen = nearly_best(x, y, places, before, n, least) if n <= 2 else combinations(range(len(places)), n)
+        for at in chosen:
+            breaks = tuple(places[k] for k in at)
+            if np.diff([0, *before[list(at)], len(x)]).min() >= least:
                 sol, err = solve(breaks)
                 if found is None or err < found[2]:
                     found = (breaks, sol, err)
@@ -265,6 +308,40 @@ def hinges(x: np.ndarray, y: np.ndarray, most: int = 2, least: int = 3, gain: fl
     return [float(b) for b in best[0]], best[1], best[2]
 
 
+def nearly_best(x: np.ndarray, y: np.ndarray, places: np.ndarray, before: np.ndarray, n: int, least: int, slack: float = 1e-6, block: int = 1 << 20) -> list[tuple[int, ...]]:
+    """Of all choices of one or two breaks, in order, those whose error may be the least, to be solved exactly: within `slack` of the least, or too nearly dependent to tell.
+
+    Hinges are freed of their line once, so that a choice is a system of one or two unknowns; many of them are solved at a time.
+    """
+    i, j = (np.arange(len(places)),) * 2 if n == 1 else np.triu_indices(len(places), 1)
+    ok = (before[i] >= least) & (len(x) - before[j] >= least) & ((before[j] - before[i] >= least) if n == 2 else True)
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return []
+    line = np.linalg.qr(np.column_stack([np.ones(len(x)), x]))[0]
+    free = lambda v: v - line @ (line.T @ v)
+    h, rest = free(free(np.maximum(0, x[:, None] - places))), free(free(y))
+    norm = np.sqrt((h * h).sum(0))
+    weak = norm <= 1e-9 * max(1.0, float(np.abs(x).max()))
+    h = (h / np.where(weak, 1.0, norm)).T
+    gram, own = h @ h.T, h @ rest
+    error, unsure = np.empty(len(i)), weak[i] | weak[j]
+    for a in range(0, len(i), max(1, block // len(x))):
+        p, q = i[a : a + max(1, block // len(x))], j[a : a + max(1, block // len(x))]
+        if n == 1:
+            left = rest - own[p, None] * h[p]
+        else:
+            det = 1 - gram[p, q] ** 2
+            unsure[a : a + len(p)] |= det < 1e-9
+            det = np.where(det < 1e-9, 1.0, det)
+            u, v = (own[p] - gram[p, q] * own[q]) / det, (own[q] - gram[p, q] * own[p]) / det
+            left = rest - u[:, None] * h[p] - v[:, None] * h[q]
+        error[a : a + len(p)] = np.abs(left).mean(1)
+    sure = error[~unsure]
+    most = sure.min() + slack * max(sure.min(), 1e-3 * float(np.abs(rest).mean())) if len(sure) else np.inf
+    return [(a,) if n == 1 else (a, b) for a, b in zip(i[unsure | (error <= most)].tolist(), j[unsure | (error <= most)].tolist(), strict=True)]
+
+
 def left_out(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For each point, how far it is from the median line of all others.
 
@@ -311,24 +388,49 @@ def simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> list[int]:
 
 def monotone_path(score: list[np.ndarray], place: list[np.ndarray], penalty: float = 0.05, skip: float = 0.2) -> list[int | None]:
     """The best choice for each step such that places never fall; a step may have none, at a price."""
-    states: list[tuple[float, float, tuple]] = [(0.0, -np.inf, ())]  # value, last place, (choices before, choice)
-    for s, p in zip(score, place, strict=True):
-        nxt: dict[float, tuple[float, float, tuple]] = {}
-        for value, last, path in states:
-            options = [(value - skip, last, (path, None))]
-            for k in range(len(s)):
-                if p[k] >= last:
-                    cost = 0 if last == -np.inf else penalty * abs(p[k] - last) / (1 + abs(p[k]))
-                    options.append((value + float(s[k]) - cost, float(p[k]), (path, k)))
-            for o in options:
-                if o[1] not in nxt or o[0] > nxt[o[1]][0]:
-                    nxt[o[1]] = o
-        states = list(nxt.values())
-    out, path = [], max(states, key=lambda x: x[0])[2]
-    while path:
-        path, choice = path
-        out.append(choice)
-    return out[::-1]
+    # States, one for each last place: value, place and number in `nodes`; they stand in the order in which their places were first reached, and of equal
+    # values the one reached first counts. Steps without a choice leave no node.
+    nodes: list[tuple[int, int, int]] = []  # node before, step, choice
+    values, lasts, ends = np.zeros(1), np.full(1, -np.inf), np.full(1, -1)
+    for n, (s, p) in enumerate(zip(score, place, strict=True)):
+        found: dict[float, list] = {}  # place: when first reached, best value, when it was reached
+        for k, at in enumerate(p.tolist()):
+            open_ = np.flatnonzero(lasts <= at)
+            if not len(open_):
+                continue
+            was = lasts[open_]
+            got = values[open_] + float(s[k]) - np.where(was == -np.inf, 0.0, penalty * np.abs(at - was) / (1 + abs(at)))
+            top = int(got.argmax())
+            now = [(int(open_[0]), k + 1), float(got[top]), (int(open_[top]), k + 1)]
+            if (had := found.get(at)) is None:
+                found[at] = now
+            else:
+                had[0] = min(had[0], now[0])
+                if (-now[1], now[2]) < (-had[1], had[2]):
+                    had[1:] = now[1:]
+        values = values - skip
+        keep, put = np.ones(len(values), bool), []
+        for at, (first, value, (e, k)) in found.items():
+            end = -1
+            for own in np.flatnonzero(lasts == at).tolist():
+                keep[own], first = False, min(first, (own, 0))
+                if (-values[own], (own, 0)) < (-value, (e, k)):
+                    value, end = values[own], int(ends[own])
+                    k = 0
+            if k:
+                nodes.append((int(ends[e]), n, k - 1))
+                end = len(nodes) - 1
+            put.append((first, value, at, end))
+        put.sort()
+        where = [e + (k > 0) for (e, k), *_ in put]
+        keep = np.insert(keep, where, True)
+        values, lasts, ends = (np.insert(old, where, [x[c] for x in put])[keep] for c, old in ((1, values), (2, lasts), (3, ends)))
+    out: list[int | None] = [None] * len(score)
+    at = int(ends[values.argmax()])
+    while at >= 0:
+        at, n, choice = nodes[at]
+        out[n] = choice
+    return out
 
 
 def longest_chain(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -357,13 +459,27 @@ def longest_chain(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def span_alignment(left: list[str], right: list[str], score: Callable[[str, str], float], most: int = 4, gap: float = 0.48, span: float = 0.02, band: int = 8) -> list[tuple[str, int, int, int, int, float]]:
+def span_alignment(left: list[str], right: list[str], score: Callable[[str, str], float], most: int = 4, gap: float = 0.48, span: float = 0.02, band: int = 8, bound: Callable[[int, int], float] = lambda n, m: 1.0) -> list[tuple[str, int, int, int, int, float]]:
     """Monotone alignment of runs of up to `most` lines by least cost; the band is widened until the best path keeps off its edge.
 
-    Rows are (kind, left start, left end, right start, right end, score), kind match, left_gap or right_gap.
+    Rows are (kind, left start, left end, right start, right end, score), kind match, left_gap or right_gap. No score of texts of lengths n and m is above bound(n, m).
     """
     n, m = len(left), len(right)
     known: dict[tuple[int, int, int, int], float] = {}
+    ends = [list(accumulate(map(len, side), initial=0)) for side in (left, right)]
+
+    def simple(band: int) -> float:
+        """What a path of single lines and gaps costs: no move beyond it is on the best path."""
+        costs: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        for i in range(n + 1):
+            centre = i * m // max(1, n)
+            for j in range(max(0, centre - band), min(m, centre + band) + 1):
+                if (here := costs.get((i, j))) is None:
+                    continue
+                for to, add in (((i + 1, j), gap), ((i, j + 1), gap), ((i + 1, j + 1), 1 - of(i, i + 1, j, j + 1) if i < n and j < m else np.inf)):
+                    if to[0] <= n and to[1] <= m and here + add < costs.get(to, np.inf):
+                        costs[to] = here + add
+        return costs.get((n, m), np.inf) + 1e-9
 
     def of(i: int, p: int, j: int, q: int) -> float:
         key = (i, p, j, q)
@@ -374,18 +490,25 @@ def span_alignment(left: list[str], right: list[str], score: Callable[[str, str]
     while True:
         cost, back = {(0, 0): 0.0}, {}
         edge = False
+        most_cost = simple(band)
         for i in range(n + 1):
             centre = i * m // max(1, n)
             for j in range(max(0, centre - band), min(m, centre + band) + 1):
                 here = cost.get((i, j))
                 if here is None:
                     continue
+                if here > most_cost:
+                    continue
                 moves = [((i + 1, j), gap, "left_gap", 0.0)] if i < n else []
                 moves += [((i, j + 1), gap, "right_gap", 0.0)] if j < m else []
                 for p in range(i + 1, min(n, i + most) + 1):
                     for q in range(j + 1, min(m, j + most) + 1):
+                        extra = span * (p - i + q - j - 2)
+                        least = here + extra + 1 - bound(ends[0][p] - ends[0][i], ends[1][q] - ends[1][j])
+                        if least > most_cost or least > cost.get((p, q), np.inf):
+                            continue
                         s = of(i, p, j, q)
-                        moves.append(((p, q), (1 - s) + span * (p - i + q - j - 2), "match", s))
+                        moves.append(((p, q), (1 - s) + extra, "match", s))
                 for to, add, kind, s in moves:
                     if here + add < cost.get(to, np.inf) - 1e-12:
                         cost[to] = here + add
