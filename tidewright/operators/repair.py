@@ -10,8 +10,10 @@ from bisect import bisect_right
 from collections.abc import Callable
 from itertools import accumulate
 
-import pandas as pd
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
 from tidewright.operators import folds
@@ -34,11 +36,18 @@ def content(text: str) -> str:
 
 
 def key(text: str) -> str:
+    return kept_key(text) if len(text) <= tx.KEPT else content(tx.fold(text))
+
+
+@lru_cache(1 << 15)
+def kept_key(text: str) -> str:
     return content(tx.fold(text))
 
 
 def landed(old: str, new: str) -> list[tuple[int, str, bool]]:
     """(place in `old`, character, whether it is put in before that place) of each character of `new`, by a least edit."""
+    if old == new:
+        return [(at, c, False) for at, c in enumerate(old)]
     out, at = [], 0
     for op, had, got in tx.script_of_edits(list(old), list(new)):
         if got is not None:
@@ -94,11 +103,11 @@ def safe(a: str, b: str, score: float, least: float = LEAST) -> bool:
 
 def rivalled(source: str, keys: list[str], start: int, end: int, score: float, least: float = LEAST, most: int = 4) -> bool:
     """Whether another run of lines nearby, of other text, comes within RIVAL of the chosen run's score."""
-    chosen = "".join(keys[start:end])
+    chosen, enough = "".join(keys[start:end]), max(least, score - RIVAL)
     for a in range(max(0, start - RADIUS), min(len(keys), end + RADIUS)):
         for b in range(a + 1, min(a + most, len(keys)) + 1):
             other = "".join(keys[a:b])
-            if (a, b) != (start, end) and other != chosen and tx.pair(source, other) >= max(least, score - RIVAL):
+            if (a, b) != (start, end) and other != chosen and tx.pair_bound(len(source), len(other)) >= enough and tx.pair(source, other) >= enough:
                 return True
     return False
 
@@ -106,7 +115,7 @@ def rivalled(source: str, keys: list[str], start: int, end: int, score: float, l
 def decided(cues: list[str], lines: list[str], least: float = LEAST, score: Callable[[str, str], float] = tx.pair) -> list[tuple]:
     """(cue, action, reason, score, cue_from, cue_to, line_from, line_to, text) of each cue, in order."""
     keys, wants = [key(c) for c in cues], [key(x) for x in lines]
-    steps = folds.span_alignment(keys, wants, score)
+    steps = folds.span_alignment(keys, wants, score, bound=tx.pair_bound if score is tx.pair else lambda n, m: 1.0)
     out = []
     for n, (kind, a, b, i, j, s) in enumerate(steps):
         if kind == "right_gap":
@@ -133,16 +142,14 @@ def decided(cues: list[str], lines: list[str], least: float = LEAST, score: Call
     return out
 
 
-COLUMNS = ["cue", "action", "reason", "score", "cue_from", "cue_to", "line_from", "line_to", "text"]
 SCHEMA = "cue int, action string, reason string, score double, cue_from int, cue_to int, line_from int, line_to int, text string"
 
 
 def repair_plan(rows: DataFrame, by: str, side: str, order: list[str], text: str, least: float = LEAST) -> DataFrame:
     """The decisions of each group; `side` is true for cues and false for canonical lines."""
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(order)
-        got = decided(t[t[side]][text].tolist(), t[~t[side]][text].tolist(), least)
-        return pd.DataFrame(got, columns=COLUMNS).assign(**{by: t[by].iloc[0]})[[by, *COLUMNS]]
+    def run(is_cue: list[bool], texts: list[str]) -> list[tuple]:
+        cues, lines = ([t for s, t in zip(is_cue, texts, strict=True) if s == x] for x in (True, False))
+        return decided(cues, lines, least)
 
-    return folds.by_group(rows, [by], run, f"{by} {rows.schema[by].dataType.simpleString()}, {SCHEMA}")
+    return folds.by_sorted(rows, [by], [F.asc_nulls_last(c) for c in order], [side, text], run, SCHEMA)
