@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
-from tidewright.operators.folds import nearest_pairs
+from tidewright.operators.folds import by_sorted, nearest_pairs
 from tidewright.operators.intervals import overlap_join
 from tidewright.operators.sequences import said_score
 
@@ -45,6 +47,11 @@ def cut_metrics(cases: DataFrame, errors: DataFrame) -> DataFrame:
     return by_scope.join(m, "scope", "left").na.fill(0)
 
 
+@lru_cache(1 << 12)
+def counted(text: str) -> dict[str, int]:
+    return dict(Counter(text))
+
+
 def group_alignment(reference: list[tuple[int, int, str]], predicted: list[tuple[int, int, str]], most: int = 3) -> list[tuple[int, int, int, int]]:
     """(i, i2, j, j2) of groups of up to `most` cues (start, end, text) on either side that belong together, at the least cost in order.
 
@@ -53,34 +60,42 @@ def group_alignment(reference: list[tuple[int, int, str]], predicted: list[tuple
     """
     n, m = len(reference), len(predicted)
     joined = lambda rows, a, b: " ".join(r[2] for r in rows[a:b])
-    group = lambda rows: {(i, k): (t := joined(rows, i, i + k), Counter(t), min(r[0] for r in rows[i : i + k]), max(r[1] for r in rows[i : i + k])) for i in range(len(rows)) for k in range(1, min(most, len(rows) - i) + 1)}
+    group = lambda rows: {(i, k): (t := joined(rows, i, i + k), counted(t), min(r[0] for r in rows[i : i + k]), max(r[1] for r in rows[i : i + k])) for i in range(len(rows)) for k in range(1, min(most, len(rows) - i) + 1)}
     left, right = group(reference), group(predicted)
-    cost = np.full((n + 1, m + 1), np.inf)
+    cost = [[inf] * (m + 1) for _ in range(n + 1)]
     back: dict[tuple[int, int], tuple[int, int]] = {}
-    cost[0, 0] = 0.0
+    cost[0][0] = 0.0
 
     def step(i: int, j: int, k: int, h: int, value: float) -> None:
-        if value < cost[i + k, j + h]:
-            cost[i + k, j + h] = value
+        if value < cost[i + k][j + h]:
+            cost[i + k][j + h] = value
             back[i + k, j + h] = k, h
 
+    def apart(i: int, j: int, k: int, h: int) -> float:
+        """What a group costs beside the likeness of its texts."""
+        (_, _, a0, a1), (_, _, b0, b1) = left[i, k], right[j, h]
+        hull = max(a1, b1) - min(a0, b0)
+        return 0.35 * (1 - (max(0, min(a1, b1) - max(a0, b0)) / hull if hull else 0.0)) + 0.08 * (k + h - 2)
+
     for i in range(n + 1):
         for j in range(m + 1):
-            base = cost[i, j]
+            base = cost[i][j]
             if i < n:
                 step(i, j, 1, 0, base + 1.0)
             if j < m:
                 step(i, j, 0, 1, base + 1.0)
             for k in range(1, min(most, n - i) + 1):
-                a, na, a0, a1 = left[i, k]
+                a, na, *_ = left[i, k]
                 for h in range(1, min(most, m - j) + 1):
-                    b, nb, b0, b1 = right[j, h]
-                    hull = max(a1, b1) - min(a0, b0)
-                    rest = 0.35 * (1 - (max(0, min(a1, b1) - max(a0, b0)) / hull if hull else 0.0)) + 0.08 * (k + h - 2)
-                    size = len(a) + len(b)
-                    bound = 2 * sum((na & nb).values()) / size if size else 1.0
-                    if base + 1.55 * (1 - bound) + rest < cost[i + k, j + h]:
-                        step(i, j, k, h, base + 1.55 * (1 - tx.ratio(a, b)) + rest)
+                    b, nb, *_ = right[j, h]
+                    rest = apart(i, j, k, h)
+                    size, now = len(a) + len(b), cost[i + k][j + h]
+                    # First by lengths, which costs nothing, then by letters.
+                    if base + 1.55 * (1 - (2 * min(len(a), len(b)) / size if size else 1.0)) + rest >= now:
+                        continue
+                    bound = 2 * sum(min(c, nb[x]) for x, c in na.items() if x in nb) / size if size else 1.0
+                    if base + 1.55 * (1 - bound) + rest < now:
+                        step(i, j, k, h, base + 1.55 * (1 - tx.often(a, b)) + rest)
     out, i, j = [], n, m
     while i or j:
         k, h = back[i, j]
@@ -93,12 +108,12 @@ def group_alignment(reference: list[tuple[int, int, str]], predicted: list[tuple
 def aligned_groups(cues: DataFrame, by: str) -> DataFrame:
     """(by, ref_from, ref_to, pred_from, pred_to) of each `by`. cues: by, expected, start_ms, end_ms, text (as it is compared). One file's cues are one group."""
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["start_ms", "end_ms", "text"])
-        sides = [list(t[t.expected == x][["start_ms", "end_ms", "text"]].itertuples(index=False, name=None)) for x in (True, False)]
-        return pd.DataFrame(group_alignment(*sides), columns=["ref_from", "ref_to", "pred_from", "pred_to"]).assign(**{by: t[by].iloc[0]})[[by, "ref_from", "ref_to", "pred_from", "pred_to"]]
+    def run(expected: list[bool], *cue: list) -> list[tuple]:
+        rows = list(zip(expected, *cue, strict=True))
+        return group_alignment(*([r[1:] for r in rows if r[0] == x] for x in (True, False)))
 
-    return cues.groupBy(by).applyInPandas(run, f"{by} {dict(cues.dtypes)[by]}, ref_from int, ref_to int, pred_from int, pred_to int")
+    order = ["start_ms", "end_ms", "text"]
+    return by_sorted(cues, [by], order, ["expected", *order], run, "ref_from int, ref_to int, pred_from int, pred_to int")
 
 
 def collapsed_after_unmapped(rows: DataFrame, by: str, gap_ms: int = 1200, least: float = 0.40) -> DataFrame:
