@@ -7,7 +7,8 @@ from itertools import combinations
 import numpy as np
 
 from tidewright.functions import text as tx
-from tidewright.operators import evaluation, folds
+from tidewright.operators import coverage, evaluation, folds
+from tidewright.plans import recovery_q
 
 
 def counting(fn):
@@ -114,3 +115,22 @@ def test_paths_never_fall():
 
         got = folds.monotone_path(score, place)
         assert len(got) == n and abs(worth(got) - max(map(worth, product((None, 0, 1, 2), repeat=n)))) < 1e-9
+
+
+def test_few_runs_of_a_line_are_compared_in_full(monkeypatch):
+    g = random.Random(8)
+    words = ["".join(g.choice("etaoinsr") for _ in range(g.randrange(2, 8))) for _ in range(40)]
+    line, seen = " ".join(words), " ".join(words[10:16]).replace("e", "a")
+    compared = counting(coverage.similarity)
+    monkeypatch.setattr(coverage, "similarity", compared)
+    got = coverage.best_run(seen, line)
+    monkeypatch.undo()
+    assert compared.calls <= 12  # of some 240 runs
+    want = [coverage.similarity(coverage.plain(seen), "".join(words[a : a + n])) for n in range(4, 10) for a in range(41 - n)]
+    assert got[1:3] == max(want)
+    assert coverage.covered(line, [seen], [seen])[3] == got[1]
+
+
+def test_rows_are_dealt_to_many_tasks(spark):
+    """A table of one small file isn't one task."""
+    assert recovery_q.c22_best_run(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -47,6 +47,11 @@ def each_row(df: DataFrame, fn: Callable[[dict], list[tuple]], schema: str) -> D
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly, for work that costs much for each row: few bytes would otherwise be few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def by_task() -> object:
     return Window.partitionBy("task").orderBy("cue")
 

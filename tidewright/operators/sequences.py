@@ -16,7 +16,7 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 from tidewright.functions import text as tx
 from tidewright.operators.coverage import HANGUL, plain, similarity
 from tidewright.operators.intervals import overlap_join
-from tidewright.operators.recovery import each_row, structs
+from tidewright.operators.recovery import each_row, spread, structs
 from tidewright.sources.shared import written
 
 #: The reach of time, events of a span, and what skipping costs (a vocalisation, anything else).
@@ -153,13 +153,18 @@ def resplit(left: str, right: str, seen_left: str, seen_right: str) -> tuple[str
     if len(o) < 2 or len(q) < 2 or not a or not b:
         return None
     best = None
-    for mode in ("text", "korean_pronunciation"):
+    # Texts in ASCII sound as they are written, and are compared as the letters of their words one after the other.
+    forms = [plain(u) for u in units] if left.isascii() and right.isascii() else None
+    most = lambda n, m: 2.0 * min(n, m) / (n + m)
+    for mode in ("text",) if forms else ("text", "korean_pronunciation"):
         form = (lambda t: plain(tx.romanised(t))) if mode != "text" else plain
-        sides = lambda k: (tx.ratio(o, form(joined(units[:k]))), tx.ratio(q, form(joined(units[k:]))))
+        cut_at = (lambda k: ("".join(forms[:k]), "".join(forms[k:]))) if forms else lambda k: (form(joined(units[:k])), form(joined(units[k:])))
+        sides = lambda k: tuple(map(tx.often, (o, q), cut_at(k)))
         start = sum(sides(now)) / 2
         top = start, now
         for k in range(1, len(units)):
-            if (s := sum(sides(k)) / 2) > top[0]:
+            x, y = cut_at(k)
+            if (most(len(o), len(x)) + most(len(q), len(y))) / 2 > top[0] and (s := (tx.often(o, x) + tx.often(q, y)) / 2) > top[0]:
                 top = s, k
         got = (top[0] - start, top[0], top[1], mode, min(sides(top[1])))
         if best is None or got[:2] > best[:2]:
@@ -207,7 +212,7 @@ def resegmented(cues: DataFrame, by: str, turns: int = 6, gap_ms: int = 1200) ->
             got = resplit(row["l_text"], row["r_text"], preferred(row, "l"), preferred(row, "r"))
             return [(row[by], row["cue"], *got)] if got else []
 
-        found = written(each_row(pairs, better, f"{by} {kinds[by]}, cue {kinds['cue']}, left string, right string, gain double"), "pairs")
+        found = written(each_row(spread(pairs), better, f"{by} {kinds[by]}, cue {kinds['cue']}, left string, right string, gain double"), "pairs")
         if found.isEmpty():
             break
         # Pairs that share cues form runs; of each run some are taken.

@@ -103,7 +103,7 @@ def c22_best_run(spark, d):
     lines = table(spark, d, "benchmark").where("text IS NOT NULL").select((F.col("item_id") % 50).alias("k"), "item_id", "text")
     pairs = said.where("said IS NOT NULL").join(lines, "k")
     schema = "conv_id long, turn long, item_id long, run string, score double, coverage double, mode string"
-    return recovery.each_row(pairs.select("conv_id", "turn", "item_id", "said", "text"), lambda r: [(r["conv_id"], r["turn"], r["item_id"], *coverage.best_run(r["said"], r["text"]))], schema)
+    return recovery.each_row(recovery.spread(pairs.select("conv_id", "turn", "item_id", "said", "text")), lambda r: [(r["conv_id"], r["turn"], r["item_id"], *coverage.best_run(r["said"], r["text"]))], schema)
 
 
 def i10_tempo_recovery(spark, d):
