@@ -5,9 +5,10 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
-from tidewright.operators import coverage, evaluation, folds
+from tidewright.operators import coverage, evaluation, folds, routing
 from tidewright.plans import recovery_q
 
 
@@ -125,12 +126,24 @@ def test_few_runs_of_a_line_are_compared_in_full(monkeypatch):
     monkeypatch.setattr(coverage, "similarity", compared)
     got = coverage.best_run(seen, line)
     monkeypatch.undo()
-    assert compared.calls <= 12  # of some 240 runs
+    assert compared.calls <= 40  # of some 200 runs
     want = [coverage.similarity(coverage.plain(seen), "".join(words[a : a + n])) for n in range(4, 10) for a in range(41 - n)]
     assert got[1:3] == max(want)
-    assert coverage.covered(line, [seen], [seen])[3] == got[1]
+    assert coverage.covered(line, [seen], [seen])[2] == got[1]
 
 
 def test_rows_are_dealt_to_many_tasks(spark):
     """A table of one small file isn't one task."""
     assert recovery_q.c22_best_run(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_means_are_summed_in_one_order(spark):
+    """However rows are dealt; the mean of these differs in its last bit by order."""
+    values = [-0.1, -0.7, -1.2, -1.0, -0.6, -0.9, -0.3, -1.2]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)] + [(1, 8, None), (2, 0, None)], "job int, row int, logprob double").withColumn("no_speech", F.lit(0.1))
+    want = 0.0
+    for v in values:
+        want += v
+    for parts in (1, 3, 8):
+        got = {r.job: r for r in routing.segment_quality(df.repartition(parts).orderBy(F.rand(parts)), ["job"], ["row"]).collect()}
+        assert got[1].logprob == want / 8 and got[2].logprob is None and (got[1].n_segments, got[1].complete) == (9, False)

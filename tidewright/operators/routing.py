@@ -27,10 +27,17 @@ def window(start: Column, end: Column, context_ms: int, least_ms: int) -> Column
     return F.struct(grown.cast("long").alias("left"), F.when((grown == 0) & (short > 0), F.greatest(wide, F.lit(least_ms))).otherwise(wide).cast("long").alias("right"))
 
 
-def segment_quality(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_segments, logprob, no_speech, complete) of segments (keys, logprob, no_speech): mean of the former, greatest of the latter, over those that have them."""
+def segment_quality(segments: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """(keys, n_segments, logprob, no_speech, complete) of segments (keys, logprob, no_speech): mean of the former, greatest of the latter, over those that have them.
+
+    With `order` the mean is of a sum in that order, so that it is the same to the last bit however rows are dealt; a key's segments are held for that.
+    """
     whole = F.bool_and(F.col("logprob").isNotNull() & F.col("no_speech").isNotNull())
-    return segments.groupBy(*keys).agg(F.count("*").alias("n_segments"), F.avg("logprob").alias("logprob"), F.max("no_speech").alias("no_speech"), whole.alias("complete"))
+    mean = F.avg("logprob")
+    if order:
+        own = F.array_sort(F.collect_list(F.when(F.col("logprob").isNotNull(), F.struct(*order, "logprob"))))
+        mean = F.when(F.count("logprob") > 0, F.aggregate(own, F.lit(0.0), lambda s, x: s + x["logprob"]) / F.count("logprob"))
+    return segments.groupBy(*keys).agg(F.count("*").alias("n_segments"), mean.alias("logprob"), F.max("no_speech").alias("no_speech"), whole.alias("complete"))
 
 
 def route_reasons(jobs: DataFrame, evidence: DataFrame, quality: DataFrame, key: str, rules: Routing = Routing()) -> DataFrame:

@@ -27,13 +27,13 @@ SELECT event_id, nl AS "left", CASE WHEN nl = 0 AND short > 0 THEN greatest(nr,
 
 
 def l4_route_reasons(spark, d):
-    """Orders as jobs, customers' figures as their first pass, lines as segments."""
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    """Orders as jobs, customers' figures as their first pass, lines as segments, whose means are summed in the order of the table's rows."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     jobs = o.select(F.col("o_orderkey").alias("job"))
     n = F.col("o_orderkey")
     evidence = o.where("o_orderkey % 8 <> 0").select(n.alias("job"), F.when(n % 9 != 0, n % 101 / 100.0).alias("support"), F.when(n % 7 != 0, n % 53 / 52.0).alias("language_probability"))
-    segments = li.where("l_quantity > 5").select(F.col("l_orderkey").alias("job"), F.when(F.col("l_tax") > 0, -F.col("l_discount") * 12).alias("logprob"), (F.col("l_quantity") / 64).alias("no_speech"))
-    return routing.route_reasons(jobs, evidence, routing.segment_quality(segments, ["job"]), "job").select("job", F.array_join("reasons", ";").alias("reasons"))
+    segments = li.where("l_quantity > 5").select(F.col("l_orderkey").alias("job"), F.when(F.col("l_tax") > 0, -F.col("l_discount") * 12).alias("logprob"), (F.col("l_quantity") / 64).alias("no_speech"), "file", "row")
+    return routing.route_reasons(jobs, evidence, routing.segment_quality(segments, ["job"], ["file", "row"]), "job").select("job", F.array_join("reasons", ";").alias("reasons"))
 
 
 L4 = """
