@@ -51,6 +51,21 @@ def test_collisions_of_surnames_are_settled_for_all_mentions(spark, monkeypatch)
     assert all(a == b for a, b in pairs) and len({a for a, _ in pairs}) == 24 and out[:24] == out[24:]
 
 
+def test_texts_are_not_shuffled_where_few_entities_collide(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CONSONANTS", dict.fromkeys(pii.CONSONANTS, "b" * 16))
+    texts = [f"Mr. {a}{b} came" for a in ("Wat", "Fil", "Car") for b in ("son", "ler", "ter", "man", "ham", "ton", "ley", "den")] * 2 + ["none", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans = {}
+    for most in (pii.MOST_SENT, 0):
+        monkeypatch.setattr(pii, "MOST_SENT", most)
+        monkeypatch.setattr(pii, "VOWELS", dict.fromkeys(pii.VOWELS, "aaei"))
+        out = pii.safe_documents(spark, docs, "k")
+        rows = sorted(out.collect())
+        plans[most] = rows, out._jdf.queryExecution().executedPlan().toString()
+    (sent, plan), (joined, _) = plans.values()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and sent == joined and len({r.text for r in sent}) == 26
+
+
 def test_check_digits(spark):
     g = random.Random(2)
     good = [iban(c, "".join(g.choice("0123456789") for _ in range(n))) for c, n in (("DE", 18), ("FR", 23), ("ES", 20))] + [iban("GB", "WEST12345698765432")]

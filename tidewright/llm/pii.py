@@ -67,6 +67,8 @@ GIVEN = {
 CONSONANTS, VOWELS = {"latin": "bdfghklmnprstvwz", "cyrillic": "бвгджзклмнпрстфх", "greek": "βγδζθκλμνξπρστφχ"}, {"latin": "aeio", "cyrillic": "аеио", "greek": "αειο"}
 HEX = "0123456789abcdef"
 MAX_ATTEMPTS = 64
+#: Texts with entities that needed further attempts, up to which these are sent to all executors.
+MOST_SENT = 65_536
 SEP = "\u001f"
 
 
@@ -384,8 +386,13 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, key: str, text_col: str
     if late.isEmpty():
         rows = rows.withColumn("attempts", F.lit(None).cast("map<string,int>"))
     else:
-        seen = every_entry(docs, text_col, F.md5(text).alias("th")).select("th", "kind", "norm").distinct()
-        hit = seen.join(late, ["kind", "norm"]).groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(SEP, "kind", "norm"), "attempt"))).alias("attempts"))
+        # Few texts hold such entities. Their table is written and counted before the texts are joined to it: up to a bound it is
+        # broadcast, and no text is shuffled.
+        seen = every_entry(docs, text_col, F.md5(text).alias("th")).select("th", "kind", "norm")
+        seen = seen.join(late, ["kind", "norm"]).distinct()
+        hit = seen.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(SEP, "kind", "norm"), "attempt"))).alias("attempts"))
+        hit = written(spark, hit, "attempts")
+        hit = F.broadcast(hit) if hit.count() <= MOST_SENT else hit
         rows = rows.withColumn("th", F.md5("t")).join(hit, "th", "left").drop("th")
 
     def tries(kind: Column | str, n: Column) -> Column:
