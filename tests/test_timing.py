@@ -4,9 +4,10 @@ import random
 from collections import Counter
 from statistics import median
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidewright.operators import timing
+from tidewright.operators import recovery, timing
 from tidewright.plans import catalog, timing_q
 
 
@@ -214,3 +215,27 @@ def test_models_and_grades_of_the_tables(spark):
             want[x.task, x.cue] = "B" if x.score >= 0.92 and alone else "C"
     got = {(r.task, r.cue): r.grade for r in timing_q.i4_observation_grades(spark, d).collect()}
     assert got == want and Counter(got.values())["A"] > 100
+
+
+def test_models_at_once_equal_those_found_one_after_the_other(monkeypatch):
+    g = np.random.default_rng(5)
+    for trial in range(200):
+        n = int(g.integers(0, 24))
+        x = np.sort(g.integers(0, 90_000, n)).astype(float)
+        y = 9000 + g.choice([0.4, 1.1]) * x + g.choice([0, 200, 3000]) * g.normal(size=n) + g.choice([0, 5000], n, p=[0.8, 0.2])
+        prior = [None, 1.1, 1.2, 3.0][trial % 4]
+        leave = [None, *range(n)]
+        got = timing.models(x, y, prior, timing.Policy(), leave)
+        monkeypatch.setattr(timing, "AT_ONCE", -1)
+        assert got == timing.models(x, y, prior, timing.Policy(), leave)
+        monkeypatch.undo()
+
+
+def test_models_of_small_groups_come_from_the_sort(spark):
+    """A table for each source, in as few tasks as adaptive execution likes, took minutes."""
+    cues = spark.range(8).selectExpr("1L AS task", "CAST(id AS INT) AS cue", "id * 4000 AS start_ms", "id * 4000 + 2500 AS end_ms")
+    anchors = cues.selectExpr("task", "cue", "1 AS source", "cue AS pos", "cue AS line", "start_ms", "start_ms + 9000 AS at_ms", "start_ms + 9000 AS source_ms", "'A' AS grade")
+    lines = anchors.selectExpr("task", "source", "CAST(line AS LONG) AS line", "at_ms", "'k' AS key", "'t' AS text").union(spark.sql("SELECT 1L, 2, 9L, 0L, 'k', 't'"))
+    made = [recovery.projections(anchors, lines), timing.source_models(anchors.drop("start_ms"), cues), timing.judged(anchors.drop("start_ms"), cues)]
+    assert all("FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString() for df in made)
+    assert {(r.source, r.rate, r.offset, r.status) for r in made[0].collect()} == {(1, 1.0, 9000.0, "ready"), (2, 1.0, 0.0, "insufficient_strong_anchors")}

@@ -14,13 +14,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
-from tidewright.operators.timing import Policy, Slopes
+from tidewright.operators import folds
+from tidewright.operators.timing import AT_ONCE, Policy, Slopes, pairs_of
 from tidewright.sources.shared import written
 
 STRONG, EXACT, CAPPED = 0.92, 0.995, 0.91
@@ -108,7 +108,7 @@ def projected(x: np.ndarray, y: np.ndarray, exact: int, prior: float | None, pol
         return none("insufficient_strong_anchors")
     if np.ptp(x) < span_ms or np.ptp(y) < span_ms:
         return none("insufficient_anchor_span")
-    s = Slopes(x, y, policy).s
+    s = pairs_of(x, y, policy)[2] if n * n <= AT_ONCE else Slopes(x, y, policy).s
     told = float(np.median(s)) if len(s) else None
     rate, how = (told, "robust_strong_text_anchors") if prior is None else (prior, "exact_rate_prior")
     if rate is None:
@@ -130,14 +130,12 @@ def projections(anchors: DataFrame, lines: DataFrame, priors: DataFrame | None =
     prior = sources.withColumn("prior", F.lit(None).cast("double")) if priors is None else sources.join(priors.select("task", "source", F.col("rate").alias("prior")), ["task", "source"], "left")
     rows = prior.join(anchors, ["task", "source"], "left")
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        head = t[["task", "source", "prior"]].iloc[0]
-        t = t[t.cue.notna()].sort_values("cue")
-        got = projected(t.start_ms.to_numpy(np.float64), t.at_ms.to_numpy(np.float64), int((t.grade == "A").sum()), None if pd.isna(head.prior) else float(head.prior))
-        return pd.DataFrame([(head.task, head.source, *got)])
+    def run(cue: list, start_ms: list, at_ms: list, grade: list, prior: list) -> list[tuple]:
+        if cue[0] is None:  # no anchor
+            start_ms, at_ms = [], []
+        return [projected(np.array(start_ms, np.float64), np.array(at_ms, np.float64), grade.count("A"), prior[0])]
 
-    kinds = {f.name: f.dataType.simpleString() for f in sources.schema}
-    return rows.select("task", "source", "prior", "cue", "start_ms", "at_ms", "grade").groupBy("task", "source").applyInPandas(run, f"task {kinds['task']}, source {kinds['source']}, {MODEL}")
+    return folds.by_sorted(rows, ["task", "source"], ["cue"], ["cue", "start_ms", "at_ms", "grade", "prior"], run, MODEL)
 
 
 def dealt(cues: list[dict], lines: list[dict], right_start: int, right_at: int, most: int = MOST_LINES, start_ms: int = 1300, boundary_ms: int = 2500, over_ms: int = 1500, unit: float = 900.0) -> list[int] | None:

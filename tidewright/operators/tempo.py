@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidewright.functions import text as tx
+from tidewright.operators import folds
 from tidewright.operators.recovery import CUE, FOUND, by_task, each_row, gap_lines, mix_ms, positioned, structs, untouched
 from tidewright.operators.repair import content, key, rendered, shared_out
-from tidewright.operators.timing import Policy, Slopes
+from tidewright.operators.timing import AT_ONCE, Policy, Slopes, pairs_of
 from tidewright.sources.shared import written
 
 #: Reasons of decisions that may tell the offset, and syllables without meaning.
@@ -95,10 +96,10 @@ def compared(text: pd.Series, cue: pd.Series, line_text: pd.Series, line: pd.Ser
 MODEL = "rate double, offset double, n_anchors int, n_inliers int, residual double, inlier_share double, rate_error double, status string, first_cue long, last_cue long, first_line long, last_line long, first_pos long"
 
 
-def fitted(t: pd.DataFrame, rate: float | None, p: Policy = Policy()) -> tuple[tuple, np.ndarray]:
-    """(MODEL, inliers) of anchors (cue, line, lex, start_ms, at_ms), in order of cues, at a known rate."""
-    n, x, y = len(t), t.start_ms.to_numpy(np.float64), t.at_ms.to_numpy(np.float64)
-    none = lambda why, offset=0.0, k=0: ((rate or 1.0, offset, n, k, None, k / n if n else 0.0, None, why, *[None] * 5), np.zeros(n, bool))
+def fitted(cue: list, line: list, lex: list, start_ms: list, at_ms: list, rate: float | None, p: Policy = Policy()) -> tuple:
+    """The MODEL of anchors, in order of cues, at a known rate."""
+    n, x, y = len(cue), np.array(start_ms, np.float64), np.array(at_ms, np.float64)
+    none = lambda why, offset=0.0, k=0: (rate or 1.0, offset, n, k, None, k / n if n else 0.0, None, why, *[None] * 5)
     if rate is None:
         return none("no_bpm_prior")
     if n < 3:
@@ -111,12 +112,13 @@ def fitted(t: pd.DataFrame, rate: float | None, p: Policy = Policy()) -> tuple[t
     offset = float(np.median((y - rate * x)[near]))
     near = within(offset)
     off, k = np.abs(y - (offset + rate * x))[near], int(near.sum())
-    s = Slopes(x[near], y[near], p).s
+    s = pairs_of(x[near], y[near], p)[2] if k * k <= AT_ONCE else Slopes(x[near], y[near], p).s
     error = abs(float(np.median(s)) - rate) / rate if len(s) else None
-    own = t[near]
-    ready = k >= 3 and k / n >= 0.75 and np.median(off) <= 300 and x[near][-1] - x[near][0] >= 8000 and y[near][-1] - y[near][0] >= 8000 and (np.diff(own.line) > 0).all() and error is not None and error <= 0.025
-    ends = (int(own.cue.iloc[0]), int(own.cue.iloc[-1]), int(own.line.iloc[0]), int(own.line.iloc[-1]), int(own.lex.iloc[0]) if pd.notna(own.lex.iloc[0]) else None) if k else (None,) * 5
-    return (rate, offset, n, k, float(np.median(off)) if k else None, k / n, error, "ready" if ready else "bpm_projection_unstable", *ends), near if ready else np.zeros(n, bool)
+    at = np.flatnonzero(near).tolist()
+    own = [line[i] for i in at]
+    ready = k >= 3 and k / n >= 0.75 and np.median(off) <= 300 and x[near][-1] - x[near][0] >= 8000 and y[near][-1] - y[near][0] >= 8000 and all(a < b for a, b in zip(own, own[1:])) and error is not None and error <= 0.025
+    ends = (cue[at[0]], cue[at[-1]], own[0], own[-1], lex[at[0]]) if k else (None,) * 5
+    return rate, offset, n, k, float(np.median(off)) if k else None, k / n, error, "ready" if ready else "bpm_projection_unstable", *ends
 
 
 def lexical(lines: DataFrame) -> DataFrame:
@@ -142,15 +144,12 @@ def models(anchors: DataFrame, lines: DataFrame, priors: DataFrame) -> tuple[Dat
     sources = lines.select("task", "source").distinct()
     prior = priors.where(F.col("rate").between(0.5, 2.0)).select("task", "source", F.col("rate").alias("prior"))
     rows = sources.join(prior, ["task", "source"], "left").join(anchors, ["task", "source"], "left").select("task", "source", "prior", "cue", "line", "lex", "start_ms", "at_ms")
-    kinds = {f.name: f.dataType.simpleString() for f in sources.schema}
 
-    def of(t: pd.DataFrame) -> tuple[tuple, pd.DataFrame, np.ndarray]:
-        prior = t.prior.iloc[0]
-        own = t[t.cue.notna()].sort_values("cue", ignore_index=True)
-        model, near = fitted(own, None if pd.isna(prior) else float(prior))
-        return model, own, near
+    def run(cue: list, line: list, lex: list, start_ms: list, at_ms: list, prior: list) -> list[tuple]:
+        own = (cue, line, lex, start_ms, at_ms) if cue[0] is not None else ([],) * 5  # no anchor
+        return [fitted(*own, prior[0])]
 
-    told = rows.groupBy("task", "source").applyInPandas(lambda t: pd.DataFrame([(t.task.iloc[0], t.source.iloc[0], *of(t)[0])]), f"task {kinds['task']}, source {kinds['source']}, {MODEL}")
+    told = folds.by_sorted(rows, ["task", "source"], ["cue"], ["cue", "line", "lex", "start_ms", "at_ms", "prior"], run, MODEL)
     ready = told.where("status = 'ready'").select("task", "source", "rate", "offset")
     near = anchors.join(ready, ["task", "source"]).where(F.abs(F.col("at_ms") - (F.col("offset") + F.col("rate") * F.col("start_ms"))) <= 750)
     return told, near.drop("rate", "offset")

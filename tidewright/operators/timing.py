@@ -8,13 +8,15 @@ A source's observations within a task are one group (lines of one song); everyth
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators import folds
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -83,11 +85,84 @@ class Slopes:
         return float((s[low] + s[high]) / 2)
 
 
+#: Pairs of anchors times models up to which all models of a source are found at once, by matrices.
+AT_ONCE = 1 << 21
+
+
+def pairs_of(x: np.ndarray, y: np.ndarray, p: Policy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, slope) of the pairs of anchors that may tell the rate, sorted by slope."""
+    i, j = np.triu_indices(len(x), 1)
+    dx, dy = x[j] - x[i], y[j] - y[i]
+    ok = np.flatnonzero((dx >= p.least_gap_ms) & (dy > 0))
+    s = dy[ok] / dx[ok]
+    good = (s >= p.rates[0]) & (s <= p.rates[1])
+    ok, s = ok[good], s[good]
+    order = np.argsort(s, kind="stable")
+    return i[ok[order]], j[ok[order]], s[order]
+
+
+def middles(values: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The median of each row's values that are used; rows without any give infinity."""
+    v = np.sort(np.where(use, values, np.inf), axis=1)
+    n, rows = use.sum(1), np.arange(len(v))
+    return (v[rows, np.maximum(n - 1, 0) // 2] + v[rows, np.minimum(n // 2, v.shape[1] - 1)]) / 2
+
+
+def middle_slopes(s: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The median of each row's slopes that are used, these being sorted; rows without any give NaN."""
+    if not len(s):
+        return np.full(len(use), np.nan)
+    n, upto = use.sum(1), np.cumsum(use, axis=1)
+    low, high = ((upto > k[:, None]).argmax(1) for k in ((n - 1) // 2, n // 2))
+    return np.where(n > 0, (s[low] + s[high]) / 2, np.nan)
+
+
+def models_at_once(x: np.ndarray, y: np.ndarray, prior: float | None, p: Policy, leave: list[int | None]) -> list[tuple[str, float, float]]:
+    """What `models` gives, by one matrix with a row for each model."""
+    m, n = len(leave), len(x)
+    if prior is not None and not p.rates[0] <= prior <= p.rates[1]:
+        return [("invalid_rate_prior", prior, 0.0) if n - (k is not None) >= p.min_anchors else ("insufficient_anchors", 1.0, 0.0) for k in leave]
+    use = np.ones((m, n), bool)
+    for row, k in enumerate(leave):
+        if k is not None:
+            use[row, k] = False
+    enough = use.sum(1) >= p.min_anchors
+    if not enough.any():
+        return [("insufficient_anchors", 1.0, 0.0)] * m
+    i, j, s = pairs_of(x, y, p)
+    told = middle_slopes(s, use[:, i] & use[:, j])
+    rate = told if prior is None else np.full(m, prior)
+    known = ~np.isnan(rate)
+    rate = np.where(known, rate, 1.0)
+    rest = lambda r: y[None, :] - r[:, None] * x[None, :]
+    away = lambda r, offset: np.abs(y[None, :] - (offset[:, None] + r[:, None] * x[None, :]))
+    offset = middles(rest(rate), use)
+    off = away(rate, offset)
+    near = use & (off <= p.inlier_ms)
+    if prior is None:
+        better = middle_slopes(s, near[:, i] & near[:, j])
+        again = (near.sum(1) >= p.min_anchors) & ~np.isnan(better)
+        if again.any():
+            rate = np.where(again, better, rate)
+            offset = np.where(again, middles(rest(rate), near), offset)
+            off = np.where(again[:, None], away(rate, offset), off)
+            near = np.where(again[:, None], use & (off <= p.inlier_ms), near)
+    unstable = (middles(off, use) > p.residual_ms) | (near.sum(1) / np.maximum(use.sum(1), 1) < p.inlier_share)
+    conflict = np.zeros(m, bool) if prior is None else np.abs(told - prior) / prior > p.prior_drift  # never with NaN
+    out: list[tuple[str, float, float]] = []
+    for e, k, u, c, r, o in zip(enough.tolist(), known.tolist(), unstable.tolist(), conflict.tolist(), rate.tolist(), offset.tolist(), strict=True):
+        status = "rate_prior_conflict" if c else "unstable" if u else "ready"
+        out.append(("insufficient_anchors", 1.0, 0.0) if not e else ("insufficient_rate_evidence", 1.0, 0.0) if not k else (status, r, o))
+    return out
+
+
 def models(x: np.ndarray, y: np.ndarray, prior: float | None, policy: Policy, leave: list[int | None]) -> list[tuple[str, float, float]]:
     """(status, rate, offset) of the model over all anchors of a source but one (None: over all): source = offset + rate * mix.
 
     Without a prior the rate is found again among those near a first model; their union over all that are left out is sorted once.
     """
+    if len(leave) * len(x) * (len(x) + 1) // 2 <= AT_ONCE:
+        return models_at_once(x, y, prior, policy, leave)
     p, slopes, every = policy, Slopes(x, y, policy), np.ones(len(x), bool)
     whole = slopes.among(every)
     out: list[tuple[str, float, float]] = [("insufficient_anchors", 1.0, 0.0)] * len(leave)
@@ -142,19 +217,16 @@ def source_models(observations: DataFrame, cues: DataFrame, priors: DataFrame |
     """(task, source, n_anchors, status, rate, offset) of every source with observations, over its A anchors: with an inlier refit, or at the prior's rate."""
     o = observations.join(cues.select("task", "cue", "start_ms"), ["task", "cue"])
     o = o.withColumn("prior", F.lit(None).cast("double")) if priors is None else o.join(priors.select("task", "source", F.col("rate").alias("prior")), ["task", "source"], "left")
-    kinds = dict(o.dtypes)
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        a = t[t.grade == "A"].sort_values("cue")
-        prior = None if pd.isna(t.prior.iloc[0]) else float(t.prior.iloc[0])
-        got = models(a.start_ms.to_numpy(np.float64), a.source_ms.to_numpy(np.float64), prior, policy, [None])[0]
-        return pd.DataFrame([(t.task.iloc[0], t.source.iloc[0], len(a), *got)])
+    def run(cue: list, grade: list, start_ms: list, source_ms: list, prior: list) -> list[tuple]:
+        a = [k for k, g in enumerate(grade) if g == "A"]
+        x, y = (np.array([c[k] for k in a], np.float64) for c in (start_ms, source_ms))
+        return [(len(a), *models(x, y, prior[0], policy, [None])[0])]
 
-    rows = o.select("task", "source", "cue", "grade", "start_ms", "source_ms", "prior")
-    return rows.groupBy("task", "source").applyInPandas(run, f"task {kinds['task']}, source {kinds['source']}, n_anchors int, status string, rate double, offset double")
+    return folds.by_sorted(o, ["task", "source"], ["cue"], ["cue", "grade", "start_ms", "source_ms", "prior"], run, "n_anchors int, status string, rate double, offset double")
 
 
-def supports(cue: np.ndarray, line: np.ndarray, anchor: np.ndarray) -> tuple[list[int], list[int]]:
+def supports(cue: Sequence, line: Sequence, anchor: Sequence) -> tuple[list[int], list[int]]:
     """For each row, anchors before it and after it in both orders, counted in one walk each way over rows sorted by cue."""
     out = []
     for way in (1, -1):
@@ -182,20 +254,16 @@ def judged(observations: DataFrame, cues: DataFrame, priors: DataFrame | None =
     o = observations.join(cues.select("task", "cue", "start_ms"), ["task", "cue"])
     o = o.withColumn("prior", F.lit(None).cast("double")) if priors is None else o.join(priors.select("task", "source", F.col("rate").alias("prior")), ["task", "source"], "left")
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["cue", "line"], ignore_index=True)
-        prior = None if pd.isna(t.prior.iloc[0]) else float(t.prior.iloc[0])
-        is_a = (t.grade == "A").to_numpy()
-        whole, each = left_out_models(t.start_ms.to_numpy(np.float64)[is_a], t.source_ms.to_numpy(np.float64)[is_a], prior, policy)
+    def run(cue: list, line: list, grade: list, start_ms: list, source_ms: list, prior: list) -> list[tuple]:
+        is_a = [g == "A" for g in grade]
+        x, y = (np.array([v for v, a in zip(c, is_a, strict=True) if a], np.float64) for c in (start_ms, source_ms))
+        whole, each = left_out_models(x, y, prior[0], policy)
         models = iter(each)
-        left, right = supports(t.cue.to_numpy(), t.line.to_numpy(), is_a)
-        rows = [(whole[0], *(next(models) if x else whole), n, m) for x, n, m in zip(is_a, left, right, strict=True)]
-        out = pd.DataFrame(rows, columns=["model_status", "judge_status", "rate", "offset", "n_left", "n_right"])
-        return pd.concat([t[["task", "cue", "source"]], out], axis=1)
-
-    kinds = {f.name: f.dataType.simpleString() for f in o.schema}
-    schema = f"task {kinds['task']}, cue {kinds['cue']}, source {kinds['source']}, model_status string, judge_status string, rate double, offset double, n_left int, n_right int"
-    told = o.select("task", "cue", "source", "line", "source_ms", "grade", "start_ms", "prior").groupBy("task", "source").applyInPandas(run, schema)
+        left, right = supports(cue, line, is_a)
+        return [(k, whole[0], *(next(models) if a else whole), n, m) for k, a, n, m in zip(cue, is_a, left, right, strict=True)]
+
+    kind = dict(o.dtypes)["cue"]
+    told = folds.by_sorted(o, ["task", "source"], ["cue", "line"], ["cue", "line", "grade", "start_ms", "source_ms", "prior"], run, f"cue {kind}, model_status string, judge_status string, rate double, offset double, n_left int, n_right int")
     return o.drop("start_ms").join(told, ["task", "cue", "source"])
 
 
