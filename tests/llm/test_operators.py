@@ -284,6 +284,15 @@ def test_kept_trees_are_edited_again(spark, prose):
             assert r.n_encoded <= 4 * 60 or r.n_pieces < 200
 
 
+def test_counts_are_made_without_the_leaves(spark, prose):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame(list(enumerate([*prose, "", None])), "doc_id long, text string")
+    trees = tokencount.trees(docs, path).withColumn("edits", tokencount.sample_edits(F.col("doc_id"), F.col("text")))
+    whole, numbers = tokencount.edited(trees, path), tokencount.edited(trees, path, leaves=False)
+    assert numbers.columns == [c for c in whole.columns if c not in ("text", "lengths", "counts")]
+    assert sorted(numbers.collect()) == sorted(whole.select(numbers.columns).collect())
+
+
 def test_segment_tree_edits():
     v = bpe.vocabulary_of(public_tokenizers.path("byte_bpe_50k.json"))
     c = tokencount.Counter(v)

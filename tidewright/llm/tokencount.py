@@ -286,10 +286,10 @@ def trees(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     return docs.select(*[F.col(f"`{c}`") for c in (id_col, text_col, *also)]).mapInArrow(run, f"`{id_col}` {kind}, {LEAVES}, n_tokens long{more}")
 
 
-def edited(kept: DataFrame, tokenizer_path: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+def edited(kept: DataFrame, tokenizer_path: str, id_col: str = "doc_id", edits_col: str = "edits", leaves: bool = True) -> DataFrame:
     """`kept` (the columns of `trees`, and edits) after its edits, with n_before, n_edits, n_chars, n_pieces (before) and n_encoded.
 
-    `edits` is an array of (start, length, replacement), in characters, applied in order, each to the text as it is then.
+    Without `leaves` only the numbers are returned. `edits` is an array of (start, length, replacement), in characters, applied in order, each to the text as it is then.
     """
     kind = kept.schema[id_col].dataType.simpleString()
     shared = kept.sparkSession.sparkContext.broadcast(vocabulary_of(tokenizer_path))  # of fixed size
@@ -300,8 +300,8 @@ def edited(kept: DataFrame, tokenizer_path: str, id_col: str = "doc_id", edits_c
             every = batch.column(4).to_pylist()
             for at, texts in slices(batch.column(1).to_pylist()):
                 edits = [e or [] for e in every[at : at + len(texts)]]
-                leaves = ((batch.column(k)[at + i].values.to_numpy(zero_copy_only=False) for k in (2, 3)) for i in range(len(texts)))
-                now = [Tree(t, *x) for t, x in zip(texts, leaves, strict=True)]
+                stored = ((batch.column(k)[at + i].values.to_numpy(zero_copy_only=False) for k in (2, 3)) for i in range(len(texts)))
+                now = [Tree(t, *x) for t, x in zip(texts, stored, strict=True)]
                 before, pieces, encoded = [t.total for t in now], [len(t.lengths) for t in now], [0] * len(now)
                 counter.trim()
                 for turn in range(max(map(len, edits), default=0)):
@@ -309,17 +309,19 @@ def edited(kept: DataFrame, tokenizer_path: str, id_col: str = "doc_id", edits_c
                     counter.learn([p for _, x in due for p in x.new])
                     for i, x in due:
                         encoded[i] += x.apply(counter.known)
-                numbers = [[t.total for t in now], before, [len(e) for e in edits], [t.chars[1] for t in now], pieces, encoded]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns([t.leaves() for t in now]), *[pa.array(c, pa.int64()) for c in numbers]], names)
+                told = [[t.total for t in now], before, [len(e) for e in edits], [t.chars[1] for t in now], pieces, encoded]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(columns([t.leaves() for t in now]) if leaves else []), *[pa.array(c, pa.int64()) for c in told]], names)
 
-    names = [id_col, "text", "lengths", "counts", "n_tokens", "n_before", "n_edits", "n_chars", "n_pieces", "n_encoded"]
-    return kept.select(F.col(f"`{id_col}`"), "text", "lengths", "counts", F.col(f"`{edits_col}`")).mapInArrow(run, f"`{id_col}` {kind}, {LEAVES}, " + ", ".join(f"{n} long" for n in names[4:]))
+    numbers = ["n_tokens", "n_before", "n_edits", "n_chars", "n_pieces", "n_encoded"]
+    names = [id_col, *(["text", "lengths", "counts"] if leaves else []), *numbers]
+    schema = ", ".join([f"`{id_col}` {kind}", *([LEAVES] if leaves else []), *[f"{n} long" for n in numbers]])
+    return kept.select(F.col(f"`{id_col}`"), "text", "lengths", "counts", F.col(f"`{edits_col}`")).mapInArrow(run, schema)
 
 
 def counted(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """(id, n_tokens, n_edits, n_tokens_after, n_chars_after, n_pieces, n_encoded) of every document: trees kept as a table, then edited."""
     kept = written(spark, trees(docs, tokenizer_path, id_col, text_col, (edits_col,)), "trees")
-    out = edited(kept, tokenizer_path, id_col, edits_col)
+    out = edited(kept, tokenizer_path, id_col, edits_col, leaves=False)
     return out.select(F.col(f"`{id_col}`"), F.col("n_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), F.col("n_chars").alias("n_chars_after"), "n_pieces", "n_encoded")
 
 
