@@ -50,3 +50,15 @@ def test_windows_never_shrink_or_start_before_zero(spark):
             if left == 0 and right < 4001:
                 right = 4001
         assert (r.w.left, r.w.right) == (left, right) and right - left >= 4001
+
+
+def test_rows_are_objects_a_slice_at_a_time(spark, monkeypatch):
+    """A whole batch of texts as lists of words took an executor's memory."""
+    import pyarrow as pa
+
+    from tidewright.functions import text as tx
+
+    sizes, real = [], pa.array
+    monkeypatch.setattr(tx, "pa", type("Pa", (), {"array": staticmethod(lambda x, kind: sizes.append(len(x)) or real(x, kind)), "concat_arrays": staticmethod(pa.concat_arrays)}))
+    got = tx.sliced(lambda t: t.split(), pa.list_(pa.string()), real([None, "a b"] * 500))
+    assert got.to_pylist() == [None, ["a", "b"]] * 500 and max(sizes) == tx.ROWS

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
-from tidewright.functions.text import fold
+from tidewright.functions.text import fold, sliced
 
 #: Score for automatic use, score for review, and least coverage of each language; other names of languages.
 THRESHOLDS = {
@@ -63,9 +64,9 @@ def units(language: str, text: str) -> list[str]:
     return re.findall({"en": r"[a-z0-9]+(?:'[a-z0-9]+)?", "ko": "[가-힣]+|[a-z0-9]+"}.get(language, "[가-힣]+|[一-鿿ぁ-ゖァ-ヺ]+|[a-z0-9]+"), t)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def language_units(language: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else units(k, t) for k, t in zip(language, text, strict=True)])
+@F.arrow_udf(ArrayType(StringType()))
+def language_units(language: pa.Array, text: pa.Array) -> pa.Array:
+    return sliced(units, pa.list_(pa.field("element", pa.string())), language.fill_null(""), text)
 
 
 def with_profile(df: DataFrame, language: str) -> DataFrame:

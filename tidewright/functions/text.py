@@ -7,10 +7,24 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType, IntegerType
 
 
+#: Rows that are Python objects at a time, whatever the size of an Arrow batch.
+ROWS = 64
+
+
+def sliced(one, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """What `one` makes of each row, as Arrow: only a slice of the rows and of the results are Python objects at a time. Rows with a null give null."""
+    made = []
+    for at in range(0, len(columns[0]), ROWS):
+        rows = zip(*(c.slice(at, ROWS).to_pylist() for c in columns), strict=True)
+        made.append(pa.array([None if None in r else one(*r) for r in rows], kind))
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", text).casefold()
 
@@ -22,10 +36,10 @@ def match_key(s: pd.Series) -> pd.Series:
     return s.map(keep, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def alnum_key(s: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def alnum_key(s: pa.Array) -> pa.Array:
     """NFKC and case folded letters and digits."""
-    return s.map(lambda t: "".join(c for c in fold(t) if c.isalnum()), na_action="ignore")
+    return sliced(lambda t: "".join(c for c in fold(t) if c.isalnum()), pa.string(), s)
 
 
 def matched(a: str, b: str) -> int:
@@ -181,11 +195,13 @@ def script_of_edits(a: list[str], b: list[str]) -> list[tuple[str, str | None, s
 EDITS = ArrayType(StructType([StructField("op", StringType()), StructField("src", StringType()), StructField("dst", StringType())]))
 
 
-@F.pandas_udf(EDITS)
-def edit_script(a: pd.Series, b: pd.Series) -> pd.Series:
+EDIT = pa.list_(pa.field("element", pa.struct([(c, pa.string()) for c in ("op", "src", "dst")])))
+
+
+@F.arrow_udf(EDITS)
+def edit_script(a: pa.Array, b: pa.Array) -> pa.Array:
     """The edit script between two texts' words."""
-    one = lambda x, y: None if x is None or y is None else [{"op": o, "src": s, "dst": t} for o, s, t in script_of_edits(x.split(), y.split())]
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    return sliced(lambda x, y: [dict(zip(("op", "src", "dst"), e, strict=True)) for e in script_of_edits(x.split(), y.split())], EDIT, a, b)
 
 
 @F.pandas_udf(IntegerType())
@@ -290,9 +306,9 @@ def romanised(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(StringType())
-def phonetic(s: pd.Series) -> pd.Series:
-    return s.map(romanised, na_action="ignore")
+@F.arrow_udf(StringType())
+def phonetic(s: pa.Array) -> pa.Array:
+    return sliced(romanised, pa.string(), s)
 
 
 WORDS = re.compile(r"\w+|\W+")
