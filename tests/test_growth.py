@@ -1,10 +1,12 @@
 """Work that must not grow faster than its input: how often the dear steps are taken, and that what they give stays the same."""
 
+import os
 import random
 from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
@@ -12,6 +14,9 @@ from tidewright.operators import coverage, evaluation, folds, routing
 from tidewright.plans import recovery_q
 
 
+D = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+
+
 def counting(fn):
     def run(*a, **k):
         run.calls += 1
@@ -147,3 +152,9 @@ def test_means_are_summed_in_one_order(spark):
     for parts in (1, 3, 8):
         got = {r.job: r for r in routing.segment_quality(df.repartition(parts).orderBy(F.rand(parts)), ["job"], ["row"]).collect()}
         assert got[1].logprob == want / 8 and got[2].logprob is None and (got[1].n_segments, got[1].complete) == (9, False)
+
+
+@pytest.mark.parametrize("name", ["i9_sequence_recovery", "i13_ownership_guard"])
+def test_recoveries_send_no_growing_table_through_the_driver(spark, name):
+    plan = recovery_q.QUERIES[name][0](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -27,6 +27,11 @@ def dealt_by(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that goes through Spark's sort. Tables that grow with the input look small while they are compressed; what Spark broadcasts of them goes through the driver whole."""
+    return df.hint("merge")
+
+
 def by_sorted(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str], fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """What `fn` makes of each key's rows, which it gets in order, as one list for each of `values`; its rows follow the keys in `schema`.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
+from tidewright.operators import folds
 from tidewright.operators.repair import key
 
 #: Characters of a fragment, and what a change must gain in score.
@@ -100,7 +101,7 @@ def ownership_restored(cues: DataFrame, decisions: DataFrame) -> DataFrame:
     Moves need a decision made by sequence on either side; a copy is dropped also where either side's own replacement explains it.
     Texts keep their joint characters, but for one dropped copy; times and numbers of cues don't change.
     """
-    d = cues.select("task", "cue", "text", "key").join(decisions.select("task", "cue", "action", "reason", "score", "line", "n_lines", F.col("text").alias("new_text")), ["task", "cue"], "left")
+    d = cues.select("task", "cue", "text", "key").join(folds.by_merge(decisions.select("task", "cue", "action", "reason", "score", "line", "n_lines", F.col("text").alias("new_text"))), ["task", "cue"], "left")
     d = d.withColumn("now", F.coalesce("new_text", "text"))
     out = adjacent_fold(d, ["task"], ["cue"], guard).where("action IS NOT NULL")
     return out.select("task", "cue", "action", "reason", "score", "line", "n_lines", F.col("new_text").alias("text"))

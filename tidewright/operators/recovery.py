@@ -64,10 +64,10 @@ def positioned(lines: DataFrame) -> DataFrame:
 def stated(cues: DataFrame, lines: DataFrame, decisions: DataFrame) -> DataFrame:
     """Each cue with its decision and, for a claim of one line, that line's source, position, time and key."""
     one = positioned(lines).select("task", "line", "source", "pos", "at_ms", F.col("key").alias("line_key"))
-    d = cues.join(decisions.select("task", "cue", *DECISION), ["task", "cue"], "left")
+    d = cues.join(folds.by_merge(decisions.select("task", "cue", *DECISION)), ["task", "cue"], "left")
     claim = (F.col("action") != "review") & (F.col("n_lines") == 1)
     d = d.withColumn("_line", F.when(claim, F.col("line")))
-    return d.join(one.withColumnRenamed("line", "_line"), ["task", "_line"], "left")
+    return d.join(folds.by_merge(one.withColumnRenamed("line", "_line")), ["task", "_line"], "left")
 
 
 def mix_ms(at: Column | str, m: str = "") -> Column:
@@ -78,7 +78,7 @@ def mix_ms(at: Column | str, m: str = "") -> Column:
 def untouched(kept: DataFrame, found: DataFrame) -> DataFrame:
     """All decisions, those in `found` (task, cue, action, reason, score, line, n_lines, text) replaced by it."""
     new = found.select("task", "cue", F.struct(*DECISION, "text").alias("_new"))
-    out = kept.join(new, ["task", "cue"], "left")
+    out = kept.join(folds.by_merge(new), ["task", "cue"], "left")
     pick = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in DECISION]
     text = F.col("text") if "text" in kept.columns else F.lit(None).cast("string")
     return out.select("task", "cue", *pick, F.coalesce("_new.text", text).alias("text"))
@@ -92,7 +92,7 @@ def text_anchors(cues: DataFrame, lines: DataFrame, decisions: DataFrame) -> Dat
     s = stated(cues, lines, decisions).where(F.col("source").isNotNull() & ~F.coalesce(F.col("reason").isin(*PROTECTED), F.lit(False)))
     times = lines.groupBy("task", "source", "key").agg(F.count("*").alias("line_times"))
     s = s.withColumn("cue_times", F.count("*").over(Window.partitionBy("task", "source", "key")))
-    s = s.join(times.withColumnRenamed("key", "line_key"), ["task", "source", "line_key"])
+    s = s.join(folds.by_merge(times.withColumnRenamed("key", "line_key")), ["task", "source", "line_key"])
     exact = (F.col("action") == "unchanged") & (F.col("score") >= EXACT) & (F.col("key") == F.col("line_key")) & (F.col("line_times") == 1) & (F.col("cue_times") == 1)
     return s.where(F.col("score") >= STRONG).select("task", "cue", "source", "pos", "start_ms", "at_ms", F.when(exact, "A").otherwise("B").alias("grade"))
 
@@ -127,8 +127,8 @@ def projected(x: np.ndarray, y: np.ndarray, exact: int, prior: float | None, pol
 def projections(anchors: DataFrame, lines: DataFrame, priors: DataFrame | None = None) -> DataFrame:
     """(task, source, MODEL) of every source that has lines. priors: (task, source, rate)."""
     sources = lines.select("task", "source").distinct()
-    prior = sources.withColumn("prior", F.lit(None).cast("double")) if priors is None else sources.join(priors.select("task", "source", F.col("rate").alias("prior")), ["task", "source"], "left")
-    rows = prior.join(anchors, ["task", "source"], "left")
+    prior = sources.withColumn("prior", F.lit(None).cast("double")) if priors is None else sources.join(folds.by_merge(priors.select("task", "source", F.col("rate").alias("prior"))), ["task", "source"], "left")
+    rows = prior.join(folds.by_merge(anchors), ["task", "source"], "left")
 
     def run(cue: list, start_ms: list, at_ms: list, grade: list, prior: list) -> list[tuple]:
         if cue[0] is None:  # no anchor
@@ -199,8 +199,8 @@ def gap_lines(islands: DataFrame, lines: DataFrame, first: Column, last: Column,
     on = ["task", "source", "pos"] if at == "pos" else ["task", "line"]
     wanted = islands.select(*dict.fromkeys([*on[:-1], *keys]), F.explode(F.sequence(first, last)).alias(at))
     cols = ["pos", "line", "source", "at_ms", "key", "text"]
-    got = wanted.join(lines.select("task", *cols), on).groupBy(*keys).agg(structs(cols, at, "gap"))
-    return islands.join(got, keys, "left")
+    got = wanted.join(folds.by_merge(lines.select("task", *cols)), on).groupBy(*keys).agg(structs(cols, at, "gap"))
+    return islands.join(folds.by_merge(got), keys, "left")
 
 
 def bounded(state: DataFrame, sure: DataFrame, models: DataFrame, lines: DataFrame, most_cues: int = 16) -> DataFrame:
@@ -208,7 +208,7 @@ def bounded(state: DataFrame, sure: DataFrame, models: DataFrame, lines: DataFra
     kinds = dict(state.dtypes)
     mark = sure.select("task", "cue", F.struct("cue", "source", "pos", "start_ms", "at_ms").alias("_sure"))
     order = by_task()
-    s = state.select("task", *CUE).join(mark, ["task", "cue"], "left")
+    s = state.select("task", *CUE).join(folds.by_merge(mark), ["task", "cue"], "left")
     s = s.withColumn("_left", F.last("_sure", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     s = s.withColumn("_right", F.first("_sure", True).over(order.rowsBetween(1, Window.unboundedFollowing)))
     s = s.where("_sure IS NULL AND _left.source = _right.source AND _right.pos > _left.pos + 1")
@@ -218,7 +218,7 @@ def bounded(state: DataFrame, sure: DataFrame, models: DataFrame, lines: DataFra
     s = s.where(F.col("_ok") & (F.col("_n") <= most_cues) & (F.col("_right.pos") - F.col("_left.pos") - 1 <= MOST_LINES * F.col("_n")))
     islands = s.groupBy("task", F.col("_left.cue").alias("left_cue")).agg(structs(CUE, "cue", "cues"), F.first("_left.source").alias("source"), F.first("_left.pos").alias("low"), F.first("_right").alias("right"))
     islands = gap_lines(islands, lines, F.col("low") + 1, F.col("right.pos") - 1, ["task", "left_cue"])
-    islands = islands.join(models.select("task", "source", "rate", "offset"), ["task", "source"])
+    islands = islands.join(folds.by_merge(models.select("task", "source", "rate", "offset")), ["task", "source"])
     islands = islands.withColumn("gap", F.transform("gap", lambda x: F.struct(x["line"], x["key"], x["text"], mix_ms(x["at_ms"]).alias("mix_ms")))).withColumn("right_mix", mix_ms(F.col("right.at_ms")))
 
     def run(row: dict) -> list[tuple]:
@@ -259,19 +259,19 @@ def frontiers(state: DataFrame, sure: DataFrame, models: DataFrame, lines: DataF
     """
     kinds = dict(state.dtypes)
     ends = sure.groupBy("task", "source").agg(F.min(F.struct("cue", "pos")).alias("lo"), F.max(F.struct("cue", "pos")).alias("hi"))
-    ends = ends.join(lines.groupBy("task", "source").agg((F.max("pos") + 1).alias("n_pos")), ["task", "source"]).withColumn("first_cue", F.col("lo.cue"))
+    ends = ends.join(folds.by_merge(lines.groupBy("task", "source").agg((F.max("pos") + 1).alias("n_pos"))), ["task", "source"]).withColumn("first_cue", F.col("lo.cue"))
     walks = ends.select("task", "source", "first_cue", F.lit(1).alias("way"), F.col("hi.cue").alias("from_cue"), F.col("hi.pos").alias("from_pos"), (F.col("n_pos") - 1 - F.col("hi.pos")).alias("n_left"))
     walks = walks.union(ends.select("task", "source", "first_cue", F.lit(-1), F.col("lo.cue"), F.col("lo.pos"), F.col("lo.pos"))).where("n_left > 0")
     # The cues of a walk: a step further than its lines for the next start, up to the next sure cue.
     order = by_task()
-    s = state.join(sure.select("task", "cue", F.lit(True).alias("_sure")), ["task", "cue"], "left")
+    s = state.join(folds.by_merge(sure.select("task", "cue", F.lit(True).alias("_sure"))), ["task", "cue"], "left")
     s = s.withColumn("before_ms", F.lag("start_ms").over(order)).withColumn("after_ms", F.lead("start_ms").over(order))
     step = walks.select("task", "source", "first_cue", "way", "from_pos", "n_left", F.explode(F.sequence(F.lit(1), F.col("n_left"))).alias("step"), "from_cue")
-    seen = step.withColumn("cue", (F.col("from_cue") + F.col("way") * F.col("step")).cast(kinds["cue"])).join(s.select("task", *CUE, "_sure", "before_ms", "after_ms"), ["task", "cue"])
+    seen = step.withColumn("cue", (F.col("from_cue") + F.col("way") * F.col("step")).cast(kinds["cue"])).join(folds.by_merge(s.select("task", *CUE, "_sure", "before_ms", "after_ms")), ["task", "cue"])
     seen = seen.groupBy("task", "source", "first_cue", "way", "from_pos", "n_left").agg(structs([*CUE, "_sure", "before_ms", "after_ms"], "step", "cues"))
     first = F.when(F.col("way") == 1, F.col("from_pos") + 1).otherwise(F.lit(0))
     last = F.when(F.col("way") == 1, F.col("from_pos") + F.col("n_left")).otherwise(F.col("from_pos") - 1)
-    seen = gap_lines(seen, lines, first, last, ["task", "source", "way"]).join(models.select("task", "source", "rate", "offset"), ["task", "source"])
+    seen = gap_lines(seen, lines, first, last, ["task", "source", "way"]).join(folds.by_merge(models.select("task", "source", "rate", "offset")), ["task", "source"])
     seen = seen.withColumn("gap", F.transform("gap", lambda x: F.struct(x["line"], x["key"], x["text"], mix_ms(x["at_ms"]).alias("mix_ms"))))
 
     def run(row: dict) -> list[tuple]:
@@ -302,7 +302,7 @@ def sequence_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame,
     """Decisions after recovery from sequence and time: regions between sure cues, then frontiers. Scores are capped below a strong one."""
     anchors = written(text_anchors(cues, lines, decisions), "anchors")  # read three times, as are the models
     ready = written(projections(anchors, lines, priors).where("status = 'ready'").select("task", "source", "rate", "offset"), "models")
-    sure = anchors.join(ready, ["task", "source"]).where(F.abs(F.col("start_ms") - mix_ms("at_ms")) <= 750).select("task", "cue", "source", "pos", "start_ms", "at_ms")
+    sure = anchors.join(folds.by_merge(ready), ["task", "source"]).where(F.abs(F.col("start_ms") - mix_ms("at_ms")) <= 750).select("task", "cue", "source", "pos", "start_ms", "at_ms")
     state, placed = stated(cues, lines, decisions).drop("_line", "source", "pos", "at_ms", "line_key"), positioned(lines)
     regions, walks = bounded(state, sure, ready, placed), frontiers(state, sure, ready, placed)
     return untouched(untouched(decisions, regions), walks)
@@ -349,7 +349,7 @@ def edge_steps(cues: list[dict], lines: list[dict], start_ms: int = 500, skips:
 def review_blocks(state: DataFrame, models: DataFrame, most_cues: int, chain: int) -> DataFrame:
     """Runs of cues under review, at most `most_cues` long, with the anchors beside them and whether these end validated chains of `chain` anchors."""
     order = by_task()
-    s = state.join(models.select("task", "source", "rate", "offset"), ["task", "source"], "left")
+    s = state.join(folds.by_merge(models.select("task", "source", "rate", "offset")), ["task", "source"], "left")
     anchor = F.col("source").isNotNull() & (F.col("score") >= STRONG)
     fits = anchor & F.coalesce(F.abs(F.col("start_ms") - mix_ms("at_ms")) <= 750, F.lit(False))
     s = s.withColumn("_fits", F.coalesce(fits, F.lit(False)))
@@ -400,12 +400,12 @@ def timing_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, mo
     size = placed.groupBy("task", "source").agg((F.max("pos") + 1).alias("n_pos"))
     start = blocks.where(f"right.chained AND right.pos BETWEEN 1 AND {edge_lines}").withColumn("source", F.col("right.source"))
     start = gap_lines(start, placed, F.lit(0), F.col("right.pos") - 1, ["task", "_run"]).withColumn("gap", mixed("right"))
-    end = blocks.where("left.chained").withColumn("source", F.col("left.source")).join(size, ["task", "source"]).where(f"n_pos - 1 - left.pos BETWEEN 1 AND {edge_lines}")
+    end = blocks.where("left.chained").withColumn("source", F.col("left.source")).join(folds.by_merge(size), ["task", "source"]).where(f"n_pos - 1 - left.pos BETWEEN 1 AND {edge_lines}")
     end = gap_lines(end, placed, F.col("left.pos") + 1, F.col("n_pos") - 1, ["task", "_run"]).withColumn("gap", mixed("left"))
 
     def walked(way: int) -> Callable[[dict], list[tuple]]:
         return lambda row: [(row["task"], *claimed(c, [x], EDGE, by="text"), row["_run"]) for c, x in edge_steps(row["cues"][::way], (row["gap"] or [])[::way])]
 
     at_start, at_end = (each_row(df.select("task", "_run", "cues", "gap"), walked(way), f"{schema}, _run long") for df, way in ((start, -1), (end, 1)))
-    at_end = at_end.join(at_start.select("task", "_run").distinct(), ["task", "_run"], "left_anti")
+    at_end = at_end.join(folds.by_merge(at_start.select("task", "_run").distinct()), ["task", "_run"], "left_anti")
     return untouched(first, at_start.unionByName(at_end).drop("_run"))

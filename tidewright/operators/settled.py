@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewright.functions import text as tx
+from tidewright.operators import folds
 from tidewright.operators.recovery import CUE, FOUND, by_task, each_row, structs, untouched
 from tidewright.operators.repair import content, key, rendered, shared_out
 from tidewright.operators.tempo import LATIN, vocal
@@ -58,12 +59,12 @@ def bounded_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, t
     bracket the run in cues and in lines.
     """
     order, kinds = by_task(), dict(cues.dtypes)
-    s = cues.join(decisions.select("task", "cue", "action", "reason", "score", "line", "n_lines"), ["task", "cue"], "left")
+    s = cues.join(folds.by_merge(decisions.select("task", "cue", "action", "reason", "score", "line", "n_lines")), ["task", "cue"], "left")
     # What each cue claims: whether all its lines are there, and of which source they are if of one.
     claims = s.where("n_lines > 0").select("task", "cue", "n_lines", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)).alias("line"))
-    claims = claims.join(lines.select("task", "line", "source"), ["task", "line"]).groupBy("task", "cue", "n_lines").agg(F.count("*").alias("n"), F.min("source").alias("one"), F.max("source").alias("other"))
+    claims = claims.join(folds.by_merge(lines.select("task", "line", "source")), ["task", "line"]).groupBy("task", "cue", "n_lines").agg(F.count("*").alias("n"), F.min("source").alias("one"), F.max("source").alias("other"))
     claims = claims.where("n = n_lines AND one = other").select("task", "cue", F.col("one").alias("claimed"))
-    s = s.join(claims, ["task", "cue"], "left")
+    s = s.join(folds.by_merge(claims), ["task", "cue"], "left")
     under = F.coalesce(F.col("action") == "review", F.lit(False))
     side = F.when(~under & F.col("claimed").isNotNull(), F.struct("line", (F.col("line") + F.col("n_lines")).alias("until"), F.col("claimed").alias("source")))
     s = s.withColumn("_side", side).withColumn("_run", F.count_if(~under).over(order))
@@ -77,13 +78,13 @@ def bounded_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, t
     r = r.withColumn("source", F.col("left.source")).withColumn("low", F.col("left.until")).withColumn("high", F.col("right.line"))
     r = r.where("left IS NOT NULL AND right IS NOT NULL AND left.source = right.source AND high > low")
     r = r.where(F.forall("cues", lambda c: c["_rising"] & (c["claimed"] == F.col("source")) & (c["line"] >= F.col("low")) & (c["until"] <= F.col("high"))))
-    sure = timing.where("grade = 'A' AND model_status = 'ready' AND abs(residual_ms) <= 750").join(lines.select("task", "line", "source"), ["task", "line", "source"])
+    sure = timing.where("grade = 'A' AND model_status = 'ready' AND abs(residual_ms) <= 750").join(folds.by_merge(lines.select("task", "line", "source")), ["task", "line", "source"])
     a = sure.select(F.col("task").alias("_t"), F.col("source").alias("_s"), F.col("cue").alias("_c"), F.col("line").alias("_l"))
     same = (F.col("task") == F.col("_t")) & (F.col("source") == F.col("_s"))
-    r = r.join(a, same & (F.col("_c") < F.col("first_cue")) & (F.col("_l") < F.col("low")), "left_semi").join(a, same & (F.col("_c") > F.col("last_cue")) & (F.col("_l") >= F.col("high")), "left_semi")
+    r = r.join(folds.by_merge(a), same & (F.col("_c") < F.col("first_cue")) & (F.col("_l") < F.col("low")), "left_semi").join(folds.by_merge(a), same & (F.col("_c") > F.col("last_cue")) & (F.col("_l") >= F.col("high")), "left_semi")
     wanted = r.select("task", "_run", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("line"))
-    gap = wanted.join(lines.select("task", "line", "source", "key", "text"), ["task", "line"]).groupBy("task", "_run").agg(structs(["line", "source", "key", "text"], "line", "gap"))
-    r = r.join(gap, ["task", "_run"])
+    gap = wanted.join(folds.by_merge(lines.select("task", "line", "source", "key", "text")), ["task", "line"]).groupBy("task", "_run").agg(structs(["line", "source", "key", "text"], "line", "gap"))
+    r = r.join(folds.by_merge(gap), ["task", "_run"])
 
     def run(row: dict) -> list[tuple]:
         gap = row["gap"]
@@ -148,12 +149,12 @@ def settled(cue: pd.Series, cue_text: pd.Series, line: pd.Series, line_text: pd.
 def final_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions after reviews of one line that is the cue but for one character, whose beginning the cue before has, or that sounds it in another script."""
     order = by_task()
-    s = cues.join(decisions.select("task", "cue", "action", "reason", "score", "line", "n_lines"), ["task", "cue"], "left")
-    s = s.withColumn("_last", F.when(F.col("n_lines") > 0, F.col("line") + F.col("n_lines") - 1)).join(lines.select("task", F.col("line").alias("_last"), F.col("source").alias("last_source")), ["task", "_last"], "left")
+    s = cues.join(folds.by_merge(decisions.select("task", "cue", "action", "reason", "score", "line", "n_lines")), ["task", "cue"], "left")
+    s = s.withColumn("_last", F.when(F.col("n_lines") > 0, F.col("line") + F.col("n_lines") - 1)).join(folds.by_merge(lines.select("task", F.col("line").alias("_last"), F.col("source").alias("last_source"))), ["task", "_last"], "left")
     done = F.when((F.col("action") != "review") & F.col("last_source").isNotNull(), F.struct("_last", "last_source"))
     s = s.withColumn("_done", F.lag(done).over(order)).withColumn("before", F.lag("key").over(order))
     one = lines.select("task", "line", "source", F.col("key").alias("line_key"), F.col("text").alias("line_text"))
-    s = s.where("action = 'review' AND n_lines = 1").join(one, ["task", "line"])
+    s = s.where("action = 'review' AND n_lines = 1").join(folds.by_merge(one), ["task", "line"])
     follows = F.coalesce((F.col("_done._last") + 1 == F.col("line")) & (F.col("_done.last_source") == F.col("source")), F.lit(False))
     s = s.withColumn("_s", settled("key", "text", "line_key", "line_text", follows, "before")).where("_s.reason IS NOT NULL")
     least = F.element_at(F.create_map(*[F.lit(x) for kv in SCORES.items() for x in kv]), F.col("_s.reason"))

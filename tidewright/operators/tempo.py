@@ -128,7 +128,7 @@ def lexical(lines: DataFrame) -> DataFrame:
     kept = p.where("NOT vocal").withColumn("lex", (F.row_number().over(order) - 1).cast("long"))
     kept = kept.withColumn("before", F.lag("key").over(order)).withColumn("after", F.lead("key").over(order)).withColumn("after_ms", F.lead("at_ms").over(order))
     kept = kept.withColumn("upto", F.coalesce(F.sum(F.length("key")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return p.join(kept.select("task", "line", "lex", "before", "after", "after_ms", "upto"), ["task", "line"], "left")
+    return p.join(folds.by_merge(kept.select("task", "line", "lex", "before", "after", "after_ms", "upto")), ["task", "line"], "left")
 
 
 def anchored(cues: DataFrame, lex: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -136,14 +136,14 @@ def anchored(cues: DataFrame, lex: DataFrame, decisions: DataFrame) -> DataFrame
     safe = decisions.where((F.col("n_lines") == 1) & (F.col("action") != "review") & F.col("reason").isin(*SAFE) & (F.col("score") >= 0.72))
     best = Window.partitionBy("task", "line").orderBy(F.desc("score"), "cue")
     safe = safe.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("task", "cue", "line")
-    return safe.join(cues.select("task", "cue", "start_ms"), ["task", "cue"]).join(lex.select("task", "line", "source", "at_ms", "lex", "upto"), ["task", "line"])
+    return safe.join(folds.by_merge(cues.select("task", "cue", "start_ms")), ["task", "cue"]).join(folds.by_merge(lex.select("task", "line", "source", "at_ms", "lex", "upto")), ["task", "line"])
 
 
 def models(anchors: DataFrame, lines: DataFrame, priors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((task, source, MODEL) of every source, its inliers where it is ready). A source's anchors are one group."""
     sources = lines.select("task", "source").distinct()
     prior = priors.where(F.col("rate").between(0.5, 2.0)).select("task", "source", F.col("rate").alias("prior"))
-    rows = sources.join(prior, ["task", "source"], "left").join(anchors, ["task", "source"], "left").select("task", "source", "prior", "cue", "line", "lex", "start_ms", "at_ms")
+    rows = sources.join(folds.by_merge(prior), ["task", "source"], "left").join(folds.by_merge(anchors), ["task", "source"], "left").select("task", "source", "prior", "cue", "line", "lex", "start_ms", "at_ms")
 
     def run(cue: list, line: list, lex: list, start_ms: list, at_ms: list, prior: list) -> list[tuple]:
         own = (cue, line, lex, start_ms, at_ms) if cue[0] is not None else ([],) * 5  # no anchor
@@ -151,7 +151,7 @@ def models(anchors: DataFrame, lines: DataFrame, priors: DataFrame) -> tuple[Dat
 
     told = folds.by_sorted(rows, ["task", "source"], ["cue"], ["cue", "line", "lex", "start_ms", "at_ms", "prior"], run, MODEL)
     ready = told.where("status = 'ready'").select("task", "source", "rate", "offset")
-    near = anchors.join(ready, ["task", "source"]).where(F.abs(F.col("at_ms") - (F.col("offset") + F.col("rate") * F.col("start_ms"))) <= 750)
+    near = anchors.join(folds.by_merge(ready), ["task", "source"]).where(F.abs(F.col("at_ms") - (F.col("offset") + F.col("rate") * F.col("start_ms"))) <= 750)
     return told, near.drop("rate", "offset")
 
 
@@ -206,22 +206,22 @@ def tempo_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, pri
     told, inliers = models(anchored(cues, lex, decisions), lines, priors)
     ready = written(told.where("status = 'ready'").drop("status"), "models")
     d = decisions if "text" in decisions.columns else decisions.withColumn("text", F.lit(None).cast("string"))
-    s = cues.join(d.withColumnRenamed("text", "decided"), ["task", "cue"], "left")
+    s = cues.join(folds.by_merge(d.withColumnRenamed("text", "decided")), ["task", "cue"], "left")
     s = s.withColumn("cue_before", F.lag("key").over(order)).withColumn("cue_after", F.lead("key").over(order))
     # What a cue claims: how many lines of which sources there are.
     claims = s.where("n_lines > 0").select("task", "cue", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)).alias("line"))
-    claims = claims.join(lines.select("task", "line", "source"), ["task", "line"]).groupBy("task", "cue").agg(F.count("*").cast("int").alias("n_known"), F.sort_array(F.collect_set("source")).alias("sources"))
-    s = s.join(claims, ["task", "cue"], "left")
+    claims = claims.join(folds.by_merge(lines.select("task", "line", "source")), ["task", "line"]).groupBy("task", "cue").agg(F.count("*").cast("int").alias("n_known"), F.sort_array(F.collect_set("source")).alias("sources"))
+    s = s.join(folds.by_merge(claims), ["task", "cue"], "left")
     reach = [F.when(F.col("n_lines") > 0, F.struct("line", (F.col("line") + F.col("n_lines")).alias("until"))).alias("claim")]
     s = s.withColumn("claim", *reach)
     s = s.withColumn("claim_before", F.lag("claim").over(order)).withColumn("claim_after", F.lead("claim").over(order))
     one = lex.select("task", F.col("line").alias("_line"), "source", "at_ms", "lex", "vocal", "before", "after", "after_ms", F.col("text").alias("line_text"), F.col("key").alias("line_key"))
-    s = s.withColumn("_line", F.when((F.col("action") == "review") & (F.col("n_lines") == 1), F.col("line"))).join(one, ["task", "_line"], "left")
+    s = s.withColumn("_line", F.when((F.col("action") == "review") & (F.col("n_lines") == 1), F.col("line"))).join(folds.by_merge(one), ["task", "_line"], "left")
     s = s.withColumn("_c", F.when(F.col("line_key").isNotNull(), compared("text", "key", F.coalesce("line_text", F.lit("")), F.coalesce("line_key", F.lit("")), "cue_before", "cue_after", "before", "after")))
     # A claim of a line that isn't there guards its cue.
     s = s.withColumn("guarded", F.coalesce("_c.guarded", F.lit(True)))
 
-    m = s.where("line_key IS NOT NULL AND NOT vocal").join(ready, ["task", "source"])
+    m = s.where("line_key IS NOT NULL AND NOT vocal").join(folds.by_merge(ready), ["task", "source"])
     m = m.where(F.abs(F.col("start_ms") - mix_ms("at_ms")) <= F.when(F.col("score") < 0.20, 220).otherwise(450))
     holds = lambda c: F.coalesce((F.col(f"{c}.line") <= F.col("line")) & (F.col("line") < F.col(f"{c}.until")), F.lit(False))
     left, right = (F.col("first_cue") < F.col("cue")) & (F.col("first_line") < F.col("line")), (F.col("last_cue") > F.col("cue")) & (F.col("last_line") > F.col("line"))
@@ -237,15 +237,15 @@ def tempo_recovered(cues: DataFrame, lines: DataFrame, decisions: DataFrame, pri
     pair = Window.partitionBy("task", "source").orderBy("cue")
     right_side = F.struct("cue", "lex", "upto", "start_ms", "at_ms")
     r = inliers.withColumn("next", F.lead(right_side).over(pair)).where(f"lex IS NOT NULL AND next.lex > lex + 1 AND next.cue - cue - 1 BETWEEN 1 AND {MOST_CUES}")
-    r = r.join(lex.select("task", "line", F.length("key").alias("own")), ["task", "line"]).withColumn("size", F.col("next.upto") - F.col("upto") - F.col("own"))
+    r = r.join(folds.by_merge(lex.select("task", "line", F.length("key").alias("own"))), ["task", "line"]).withColumn("size", F.col("next.upto") - F.col("upto") - F.col("own"))
     r = r.select("task", "source", F.col("cue").alias("left_cue"), "lex", "next", "size", F.explode(F.sequence(F.col("cue") + 1, F.col("next.cue") - 1)).alias("cue"))
-    state = s.drop("action", "reason", "score", "line", "n_lines", "decided").join(first.withColumnRenamed("text", "decided"), ["task", "cue"], "left")
+    state = s.drop("action", "reason", "score", "line", "n_lines", "decided").join(folds.by_merge(first.withColumnRenamed("text", "decided")), ["task", "cue"], "left")
     cols = [*CUE, "decided", "n_known", "sources", "guarded"]
-    r = r.join(state.select("task", *cols), ["task", "cue"]).groupBy("task", "source", "left_cue", "lex", "next", "size").agg(structs(cols, "cue", "cues"))
+    r = r.join(folds.by_merge(state.select("task", *cols)), ["task", "cue"]).groupBy("task", "source", "left_cue", "lex", "next", "size").agg(structs(cols, "cue", "cues"))
     working = F.aggregate("cues", F.lit(0), lambda a, c: a + F.length(F.when(F.coalesce(c.action != "review", F.lit(False)) & (F.length(c.decided) > 0), c.decided).otherwise(c.text)))
     r = r.where(F.forall("cues", lambda c: c.action.isNotNull()) & F.exists("cues", lambda c: c.action == "review") & (F.col("size") * LEAST_RATIO <= working))
     kept = lex.where("lex IS NOT NULL").drop("pos").withColumnRenamed("lex", "pos")
-    r = gap_lines(r, kept, F.col("lex") + 1, F.col("next.lex") - 1, ["task", "source", "left_cue"]).join(ready.select("task", "source", "rate", "offset"), ["task", "source"])
+    r = gap_lines(r, kept, F.col("lex") + 1, F.col("next.lex") - 1, ["task", "source", "left_cue"]).join(folds.by_merge(ready.select("task", "source", "rate", "offset")), ["task", "source"])
     r = r.withColumn("gap", F.transform("gap", lambda x: F.struct(x["line"], x["key"], x["text"], mix_ms(x["at_ms"]).alias("mix_ms")))).withColumn("right_mix", mix_ms(F.col("next.at_ms")))
 
     def run(row: dict) -> list[tuple]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewright.operators import coverage, ownership, recovery, settled, tempo
+from tidewright.operators import coverage, folds, ownership, recovery, settled, tempo
 from tidewright.sources.code import ship
 from tidewright.sources.shared import written
 from tidewright.sources.tables import events_us, table
@@ -57,7 +57,7 @@ def i13_ownership_guard(spark, d):
     cues, lines, decisions = tables(spark, d)
     done = recovery.sequence_recovered(cues, lines, decisions)
     order = Window.partitionBy("task").orderBy("cue")
-    now = done.join(cues.select("task", "cue", F.col("text").alias("was")), ["task", "cue"]).withColumn("now", F.coalesce("text", "was"))
+    now = done.join(folds.by_merge(cues.select("task", "cue", F.col("text").alias("was"))), ["task", "cue"]).withColumn("now", F.coalesce("text", "was"))
     word = F.substring_index("now", " ", -1)
     slips = (F.col("cue") % 4 == 1) & (F.length(word) < F.length("now"))
     now = now.withColumn("given", F.when(slips, word)).withColumn("got", F.lag("given").over(order))
@@ -121,7 +121,7 @@ def i11_bounded_regions(spark, d):
     anchors = recovery.text_anchors(cues, lines, decisions)
     ready = recovery.projections(anchors, lines).select("task", "source", "status", "rate", "offset")
     placed = recovery.positioned(lines).select("task", "source", "pos", "line")
-    timing = anchors.join(ready, ["task", "source"]).join(placed, ["task", "source", "pos"])
+    timing = anchors.join(folds.by_merge(ready), ["task", "source"]).join(folds.by_merge(placed), ["task", "source", "pos"])
     timing = timing.select("task", "cue", "source", "line", "grade", F.col("status").alias("model_status"), (F.col("start_ms") - recovery.mix_ms("at_ms")).cast("double").alias("residual_ms"))
     return settled.bounded_recovered(cues, lines, claims, timing)
 
