@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
 from tidewright.operators import coverage, evaluation, folds, routing
-from tidewright.plans import recovery_q
-
+from tidewright.plans import evidence_q, recovery_q, sequences_q
 
 D = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -158,3 +157,10 @@ def test_means_are_summed_in_one_order(spark):
 def test_recoveries_send_no_growing_table_through_the_driver(spark, name):
     plan = recovery_q.QUERIES[name][0](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize(("name", "score"), [("i16_reused_path", "said_score"), ("l6_editor_evidence", "span_support")])
+def test_texts_are_compared_once(spark, name, score):
+    query = {**sequences_q.QUERIES, **evidence_q.QUERIES}[name][0]
+    plan = query(spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert sum(score in line for line in plan.split("\n") if "EvalPython" in line) == 1

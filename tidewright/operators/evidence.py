@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewright.functions import text as tx
+from tidewright.operators.folds import by_merge
 from tidewright.operators.intervals import overlap_join
 
 #: How each language is compared, and the weights of its text and of its times.
@@ -74,7 +75,7 @@ def near_cues(lines: DataFrame, cues: DataFrame, radius_ms: int, width: int = 60
     end = F.greatest(F.coalesce("end_ms", F.col("start_ms") + 1), F.col("start_ms") + 1)
     a = lines.withColumn("l_end", end).withColumnRenamed("start_ms", "l_start").drop("end_ms")
     b = cues.withColumnRenamed("start_ms", "r_start").withColumnRenamed("end_ms", "r_end")
-    d = overlap_join(a, b, ["track"], width, radius_ms, strict=False)
+    d = overlap_join(a, b, ["track"], width, radius_ms, strict=False, dear=True)
     over = F.greatest(F.lit(0), F.least("l_end", "r_end") - F.greatest("l_start", "r_start"))
     hull = F.greatest("l_end", "r_end") - F.least("l_start", "r_start")
     apart = F.abs((F.col("l_start") + F.col("l_end")) / 2.0 - (F.col("r_start") + F.col("r_end")) / 2.0)
@@ -82,16 +83,16 @@ def near_cues(lines: DataFrame, cues: DataFrame, radius_ms: int, width: int = 60
     return d.withColumn("timing", F.least(F.lit(1.0), F.greatest(F.when(hull > 0, over / hull).otherwise(0.0), 0.80 * close)))
 
 
-def ranked(pairs: DataFrame, k: int = 3) -> DataFrame:
+def ranked(pairs: DataFrame, k: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
     """(track, line, n_near, cue, rank, score, timing, margin, onset_ms, offset_ms): the k best cues of each line.
 
     pairs: near_cues with `text`, `text_weight`, `timing_weight`. The score weighs text, where there is one, against time. The margin of the best is over the second,
-    or over nothing. Spark cuts to k before it shuffles; only the count of a line's cues is made of all of them.
+    or over nothing. `more` columns of the pairs come along. Spark cuts to k before it shuffles; only the count of a line's cues is made of all of them.
     """
     has = F.col("text").isNotNull() & (F.col("text_weight") > 0)
     weighted = F.col("timing") * F.col("timing_weight") + F.when(has, F.col("text") * F.col("text_weight")).otherwise(0.0)
     weight = F.col("timing_weight") + F.when(has, F.col("text_weight")).otherwise(0.0)
-    p = pairs.select("track", "line", "cue", F.round(F.when(weight > 0, weighted / weight).otherwise(F.col("timing")), 6).alias("score"), F.round("timing", 6).alias("timing"), (F.col("r_start") - F.col("l_start")).alias("onset_ms"), (F.col("r_end") - F.col("l_end")).alias("offset_ms"))
+    p = pairs.select("track", "line", "cue", F.round(F.when(weight > 0, weighted / weight).otherwise(F.col("timing")), 6).alias("score"), F.round("timing", 6).alias("timing"), (F.col("r_start") - F.col("l_start")).alias("onset_ms"), (F.col("r_end") - F.col("l_end")).alias("offset_ms"), *more)
     order = Window.partitionBy("track", "line").orderBy(F.desc("score"), F.desc("timing"), "cue")
     best = p.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 2))
     best = best.withColumn("second", F.lead("score").over(order)).where(F.col("rank") <= k)
@@ -103,8 +104,9 @@ def editor_evidence(lines: DataFrame, cues: DataFrame, radius_ms: int = 2500, k:
     """`ranked` by the texts of lines (text, language) and cues (text), with direct and phonetic support; lines without a cue have one row of nulls."""
     pairs = near_cues(lines.withColumnRenamed("text", "line_text"), cues.withColumnRenamed("text", "cue_text"), radius_ms)
     pairs = pairs.withColumn("s", span_support("line_text", "language", "cue_text")).select("*", *[f"s.{c}" for c in SUPPORT])
-    best = ranked(pairs, k).join(pairs.select("track", "line", "cue", F.round("direct", 6).alias("direct"), F.round("phonetic", 6).alias("phonetic")), ["track", "line", "cue"])
-    return lines.select("track", "line").join(best, ["track", "line"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    best = ranked(pairs.withColumn("direct", F.round("direct", 6)).withColumn("phonetic", F.round("phonetic", 6)), k, ("direct", "phonetic"))
+    best = best.select(*[c for c in best.columns if c not in ("direct", "phonetic")], "direct", "phonetic")
+    return lines.select("track", "line").join(by_merge(best), ["track", "line"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
 
 #: Labels of one name, of several, and a name in them.

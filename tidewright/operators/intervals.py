@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.folds import by_merge, dealt_by
+
 Keys = list[str]
 
 
@@ -47,11 +49,12 @@ def gaps(df: DataFrame, keys: Keys, start: str = "start", end: str = "end", leas
     return df.withColumn("gap_start", seen).where(F.col(start) - F.col("gap_start") >= least).select(*keys, "gap_start", F.col(start).alias("gap_end"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Keys, width: int, slack: int = 0, l: tuple[str, str] = ("l_start", "l_end"), r: tuple[str, str] = ("r_start", "r_end"), strict: bool = True, how: str = "inner") -> DataFrame:  # noqa: E741
+def overlap_join(left: DataFrame, right: DataFrame, keys: Keys, width: int, slack: int = 0, l: tuple[str, str] = ("l_start", "l_end"), r: tuple[str, str] = ("r_start", "r_end"), strict: bool = True, how: str = "inner", dear: bool = False) -> DataFrame:  # noqa: E741
     """Pairs with equal keys whose intervals overlap (strict: by a positive length; else touching or within `slack`).
 
     Both sides are dealt to buckets of `width`; a pair is kept in the bucket where the later one starts.
-    `how` is inner, left_semi or left_anti.
+    `how` is inner, left_semi or left_anti. `dear`: what is done with the pairs takes time, so an inner join goes by Spark's sort in as many
+    parts as the session names, which adaptive execution would join to a few for their few bytes.
     """
     low = F.col(l[0]) - slack
     first = F.floor(low / width).cast("long")
@@ -67,6 +70,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Keys, width: int, slac
         ids = [c for c in left.columns]
         hit = a.join(b, on, "left_semi").select(*ids).distinct()
         return hit if how == "left_semi" else left.join(hit, ids, "left_anti")
+    if dear:
+        a, b = dealt_by(a, [*keys, "_b"]), by_merge(b)
     return a.join(b, on & (F.col("_b") == F.greatest("_f", "_rf"))).drop("_b", "_f", "_rb", "_rf", *[f"_{k}" for k in keys])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from tidewright.functions import text as tx
+from tidewright.operators import folds
 from tidewright.operators.coverage import HANGUL, plain, similarity
 from tidewright.operators.intervals import overlap_join
 from tidewright.operators.recovery import each_row, spread, structs
@@ -72,17 +73,18 @@ def edges(observations: DataFrame, events: DataFrame, by: str) -> DataFrame:
     spans = e.select(by, "j", "n", F.col("at_ms").alias("first_ms"), F.element_at(run, -1)["at_ms"].alias("last_ms"), F.array_join(F.transform(run, lambda x: x["text"]), " ").alias("span"), total(F.transform(run, lambda x: x["lost"])).alias("lost"), F.col("lost").alias("lost_first"))
     spans = spans.withColumn("r_start", F.least("first_ms", "last_ms")).withColumn("r_end", F.greatest("first_ms", "last_ms"))
     seen = observations.select(by, "i", F.col("start_ms").alias("l_start"), F.col("end_ms").alias("l_end"), "text", F.when((plain_length("text") < 2) | is_vocal("text"), SKIP_SEEN[0]).otherwise(SKIP_SEEN[1]).alias("lost_seen"))
-    met = overlap_join(seen, spans, [by], 60_000, REACH_MS, strict=False)
+    met = overlap_join(seen, spans, [by], 60_000, REACH_MS, strict=False, dear=True)
     off = F.when(F.col("last_ms") < F.col("l_start"), F.col("l_start") - F.col("last_ms")).when(F.col("first_ms") > F.col("l_end"), F.col("first_ms") - F.col("l_end")).otherwise(0)
-    met = met.withColumn("off", off).where(F.col("off") <= REACH_MS).withColumn("s", said_score("text", "span"))
+    met = met.withColumn("off", off).where(F.col("off") <= REACH_MS)
+    met = met.select(by, "i", "j", "n", "off", "lost", "lost_first", "lost_seen", said_score("text", "span").alias("s"))
     timing = lambda inside, near: F.when(F.col("off") == 0, inside).otherwise(F.greatest(F.lit(-1.25), near - F.col("off") / 3500.0))
     reward = 3.25 * F.col("s.score") + 0.80 * F.col("s.cover")
-    new = met.where("off = 0 OR s.score >= 0.25 OR s.cover >= 0.24")
-    new = new.select(by, "i", F.col("j").alias("low"), (F.col("j") + F.col("n")).alias("high"), F.lit(False).alias("reused"), (reward + timing(1.05, 0.20) - 0.16 * (F.col("n") - 1) + F.col("lost") + F.col("lost_seen")).alias("gain"))
+    step = lambda low, reused, gain: F.struct(low.alias("low"), (F.col("j") + F.col("n")).alias("high"), F.lit(reused).alias("reused"), gain.alias("gain"))
+    new = F.when((F.col("off") == 0) | (F.col("s.score") >= 0.25) | (F.col("s.cover") >= 0.24), step(F.col("j"), False, reward + timing(1.05, 0.20) - 0.16 * (F.col("n") - 1) + F.col("lost") + F.col("lost_seen")))
     # The event before may be used again, alone or with new ones.
-    again = met.where("s.score >= 0.48 AND s.cover >= 0.32")
-    again = again.select(by, "i", (F.col("j") + 1).alias("low"), (F.col("j") + F.col("n")).alias("high"), F.lit(True).alias("reused"), (reward + timing(0.85, 0.10) - 0.28 - 0.16 * (F.col("n") - 1) + F.col("lost") - F.col("lost_first") + F.col("lost_seen")).alias("gain"))
-    return new.union(again)
+    again = F.when((F.col("s.score") >= 0.48) & (F.col("s.cover") >= 0.32), step(F.col("j") + 1, True, reward + timing(0.85, 0.10) - 0.28 - 0.16 * (F.col("n") - 1) + F.col("lost") - F.col("lost_first") + F.col("lost_seen")))
+    # Both steps come from one row: as a union, or by filters on the score, Spark would compare the texts once for each.
+    return met.select(by, "i", F.inline(F.filter(F.array(new, again), lambda x: x.isNotNull())))
 
 
 def heaviest(i: list[int], low: list[int], high: list[int], gain: list[float]) -> list[int]:
@@ -129,10 +131,11 @@ def aligned(observations: DataFrame, events: DataFrame, by: str) -> DataFrame:
     """(by, i, low, high, reused, gain) of the best path of each `by`. What no step consumes is skipped. Only steps near in time are held for a group."""
     e = edges(observations, events, by)
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        return t.iloc[heaviest(*(t[c].tolist() for c in ("i", "low", "high", "gain")))]
+    def run(*columns: list) -> list[tuple]:
+        rows = list(zip(*columns, strict=True))
+        return [rows[k] for k in heaviest(*(columns[c] for c in (0, 1, 2, 4)))]
 
-    return e.groupBy(by).applyInPandas(run, e.schema)
+    return folds.by_sorted(e, [by], ["i", "low", "high", F.desc("gain"), "reused"], ["i", "low", "high", "reused", "gain"], run, ", ".join(f"{c} {t}" for c, t in e.dtypes[1:]))
 
 
 # Words between neighbouring cues.
