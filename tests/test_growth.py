@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
 from tidewright.operators import coverage, evaluation, folds, routing
-from tidewright.plans import evidence_q, recovery_q, sequences_q
+from tidewright.plans import evidence_q, metrics_q, recovery_q, sequences_q
 
 D = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -164,3 +164,21 @@ def test_texts_are_compared_once(spark, name, score):
     query = {**sequences_q.QUERIES, **evidence_q.QUERIES}[name][0]
     plan = query(spark, D)._jdf.queryExecution().executedPlan().toString()
     assert sum(score in line for line in plan.split("\n") if "EvalPython" in line) == 1
+
+
+def test_median_slope_needs_no_room_for_all_pairs(monkeypatch):
+    g = np.random.default_rng(3)
+    x, y = np.sort(g.integers(0, 60, 80)).astype(float), g.normal(size=80) * 10.0 ** g.integers(-9, 9, 80)
+    for n in (0, 1, 2, 7, 80):
+        s = [(y[j] - y[i]) / (x[j] - x[i]) for i in range(n) for j in range(n) if x[i] < x[j]]
+        monkeypatch.setattr(folds, "PAIRS", 1 << 21)
+        once = folds.median_slope(x[:n], y[:n])
+        monkeypatch.setattr(folds, "PAIRS", 200)
+        if n > 20:
+            assert max(map(len, folds.slopes(x[:n], y[:n]))) <= 200
+        assert once == (folds.middle(np.array(s)) if s else None) and folds.median_slope(x[:n], y[:n]) == once
+
+
+def test_robust_lines_make_pairs_where_the_events_are(spark):
+    plan = metrics_q.QUERIES["d7_robust_line"][0](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan

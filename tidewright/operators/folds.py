@@ -156,6 +156,59 @@ def most_pairs(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int
     return out
 
 
+#: Pairs of points whose slopes are held at a time.
+PAIRS = 1 << 21
+
+
+def middle(values: np.ndarray) -> float:
+    """The median as SQL interpolates it."""
+    v, n = np.sort(values), len(values)
+    return float(v[n // 2] if n % 2 else 0.5 * v[n // 2 - 1] + 0.5 * v[n // 2])
+
+
+def slopes(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """The slopes between all pairs of points that differ in x, which rises; some points against all those after them at a time."""
+    n = len(x)
+    step = max(1, PAIRS // max(1, n))
+    with np.errstate(all="ignore"):
+        for at in range(0, n, step):
+            dx, dy = x[None, at + 1 :] - x[at : at + step, None], y[None, at + 1 :] - y[at : at + step, None]
+            yield dy[dx > 0] / dx[dx > 0]
+
+
+def median_slope(x: np.ndarray, y: np.ndarray) -> float | None:
+    """The median of `slopes`, None where there are none.
+
+    Where they are too many to be held, their places are counted by 16 bits of their binary form after the other; time is that of the pairs, memory isn't.
+    """
+    if len(x) ** 2 <= PAIRS:
+        found = next(slopes(x, y), np.zeros(0))
+        return middle(found) if len(found) else None
+
+    def keys(s: np.ndarray) -> np.ndarray:  # whole numbers in the order of the values, NaN last
+        k = np.where(np.isnan(s), np.nan, s + 0.0).view(np.uint64)
+        return np.where(k >> np.uint64(63), ~k, k | np.uint64(1 << 63))
+
+    def nth(rank: int) -> float:
+        known = 0
+        for shift in (48, 32, 16, 0):
+            counts = np.zeros(1 << 16, np.int64)
+            for s in slopes(x, y):
+                k = keys(s) >> np.uint64(shift)
+                if shift < 48:
+                    k = k[k >> np.uint64(16) == np.uint64(known)]
+                counts += np.bincount((k & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            upto = np.cumsum(counts)
+            at = int(np.searchsorted(upto, rank, "right"))
+            rank -= int(upto[at] - counts[at])
+            known = known << 16 | at
+        bits = known ^ (1 << 63) if known >> 63 else known ^ ((1 << 64) - 1)
+        return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+    n = sum(len(s) for s in slopes(x, y))
+    return (nth(n // 2) if n % 2 else 0.5 * nth(n // 2 - 1) + 0.5 * nth(n // 2)) if n else None
+
+
 def suppressed(score: np.ndarray, centre: np.ndarray, distance: float, keep: int) -> list[int]:
     """Places of the best rows, none within `distance` of a better one."""
     out: list[int] = []

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewright.functions.dialect import both
-from tidewright.operators import lineage
-from tidewright.sources.tables import table
+from tidewright.operators import folds, lineage
+from tidewright.sources.code import ship
+from tidewright.sources.tables import events_us, table
 
 #: Truth and prediction: each line's price and a prediction that is off by its discount and tax.
 ERR = "e AS (SELECT *, abs(l_discount - l_tax) * 1000 AS err FROM {lineitem})"
@@ -20,6 +22,24 @@ def m6_lineage_walk(spark, d):
     return lineage.walk(edge(n, "n", "n_nationkey", "r", "n_regionkey").union(edge(s, "s", "s_suppkey", "n", "s_nationkey")))
 
 
+def d7_robust_line(spark, d):
+    """A robust line through all pairs of a user's events, refitted once on what lies near it. Pairs are made where a user's events are, so only events are shuffled."""
+
+    def run(x: list[float], y: list[float | None]) -> list[tuple]:
+        if x[0] == x[-1]:
+            return []
+        known = np.array([v is not None for v in y])
+        x, y = np.array(x)[known], np.array([v for v in y if v is not None], np.float64)
+        if (slope := folds.median_slope(x, y)) is None:
+            return [(None, None)]
+        near = np.abs(y - folds.middle(y - slope * x) - slope * x) <= 15
+        return [(slope, folds.median_slope(x[near], y[near]))]
+
+    e = events_us(ship(spark), d).select("user_id", (F.col("t_us") / F.lit(1e11)).alias("x"), F.col("value").alias("y")).where("x IS NOT NULL AND user_id IS NOT NULL")
+    lines = folds.by_sorted(e, ["user_id"], ["x", F.col("y")], ["x", "y"], run, "slope double, refit double")
+    return lines.select("user_id", F.round("slope", 4).alias("slope"), F.round("refit", 4).alias("refit"))
+
+
 QUERIES = {
     "d1_metric_report": both(f"""
         WITH {ERR} SELECT l_returnflag, count(*) AS n, round(avg(err), 3) AS mae, round(PCT[err|0.5], 3) AS p50, round(PCT[err|0.9], 3) AS p90, round(PCT[err|0.95], 3) AS p95, round(avg(CASE WHEN err <= 25 THEN 1e0 ELSE 0e0 END), 6) AS within_rate,
@@ -36,13 +56,13 @@ QUERIES = {
         WITH m AS (SELECT user_id, PCT[value|0.5] AS med FROM {events} GROUP BY 1)
         SELECT e.user_id, round(any_value(med), 6) AS median_value, round(PCT[abs(value - med)|0.5], 6) AS mad, round(avg(CASE WHEN abs(value - med) <= 7.5 THEN 1e0 ELSE 0e0 END), 6) AS inliers FROM {events} e JOIN m ON m.user_id = e.user_id GROUP BY e.user_id"""),
     # A robust line through all pairs, refitted once on what lies near it.
-    "d7_robust_line": both("""
+    "d7_robust_line": (d7_robust_line, both("""
         WITH e AS (SELECT user_id, US[ts] / 1e11 AS x, value AS y FROM {events}),
         s AS (SELECT a.user_id, PCT[(b.y - a.y) / (b.x - a.x)|0.5] AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND a.x < b.x GROUP BY 1),
         i AS (SELECT e.user_id, any_value(slope) AS slope, PCT[y - slope * x|0.5] AS icept FROM e JOIN s ON s.user_id = e.user_id GROUP BY e.user_id),
         k AS (SELECT e.user_id, x, y FROM e JOIN i ON i.user_id = e.user_id WHERE abs(y - icept - slope * x) <= 15),
         s2 AS (SELECT a.user_id, PCT[(b.y - a.y) / (b.x - a.x)|0.5] AS slope FROM k a JOIN k b ON a.user_id = b.user_id AND a.x < b.x GROUP BY 1)
-        SELECT i.user_id, round(i.slope, 4) AS slope, round(s2.slope, 4) AS refit FROM i LEFT JOIN s2 ON s2.user_id = i.user_id"""),
+        SELECT i.user_id, round(i.slope, 4) AS slope, round(s2.slope, 4) AS refit FROM i LEFT JOIN s2 ON s2.user_id = i.user_id""")[1]),
     # Least squares, clamped, then once more without what lies far off.
     "d8_least_squares": both("""
         WITH f AS (SELECT l_returnflag AS g, regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM {lineitem} GROUP BY 1),
