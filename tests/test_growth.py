@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
-from tidewright.operators import coverage, evaluation, folds, routing, vectors
+from tidewright.operators import coverage, evaluation, folds, routing, sequences, vectors
 from tidewright.plans import evidence_q, metrics_q, recovery_q, sequences_q
 
 D = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -208,3 +208,23 @@ def test_best_rows_by_blocks_are_those_of_all_rows(monkeypatch):
         taken = [[sorted(x)[k] for k in folds.suppressed(np.array([x[b] for b in sorted(x)]), np.array(sorted(x)), 5, 3)] for x in (want, got)]
         assert taken[0] == taken[1]
     assert few < 8 * (3 * 19 + 100)
+
+
+def test_short_keys_take_their_turns_at_once(spark, monkeypatch):
+    g = random.Random(6)
+    words = "the sun is over sea and night day we wait long cold rain".split()
+    rows = []
+    for t in range(12):
+        units = [g.choice(words) for _ in range(30)]
+        n = 6 if t % 2 else 3
+        cuts = [0, *(4 * i + g.choice([0, 1, -1]) for i in range(1, n)), 4 * n]
+        for i in range(n):
+            rows.append((t, i, 3000 * i, None if g.random() < 0.1 else 3000 * i + 2500, " ".join(units[cuts[i] : cuts[i + 1]]), " ".join(units[4 * i : 4 * i + 4]), "the sun", g.choice([0.9, 0.1, None]), g.choice([False, False, False, False, True, None])))
+    df = spark.createDataFrame(rows, "song long, cue int, start_ms long, end_ms long, text string, seen string, again string, sure double, fixed boolean")
+    wrote = counting(sequences.written)
+    monkeypatch.setattr(sequences, "written", wrote)
+    at_once = sorted(sequences.resegmented(df, "song").collect())
+    assert wrote.calls == 1
+    monkeypatch.setattr(sequences, "WHOLE", 3)  # half of the keys turn over a table
+    assert sorted(sequences.resegmented(df, "song").collect()) == at_once and wrote.calls > 1
+    assert any(r.moved for r in at_once)

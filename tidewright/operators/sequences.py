@@ -1,12 +1,13 @@
 """Ordered observations against ordered events: one best path through both, and words that move between neighbouring cues until none gains.
 
 `aligned` first finds the spans of events near each observation in time (a join by time buckets) and scores them, so the path is sought among few
-edges. `resegmented` turns over a table: each turn looks only at pairs of cues of which one changed in the turn before, and is written out.
+edges. `resegmented` takes turns over each key's cues, or over a table for long keys: each turn looks only at pairs of cues of which one changed in the turn before.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -165,7 +166,10 @@ def resplit(left: str, right: str, seen_left: str, seen_right: str) -> tuple[str
         sides = lambda k: tuple(map(tx.often, (o, q), cut_at(k)))
         start = sum(sides(now)) / 2
         top = start, now
+        upto = [*accumulate(map(len, forms))] if forms else None
         for k in range(1, len(units)):
+            if forms and (most(len(o), upto[k - 1]) + most(len(q), upto[-1] - upto[k - 1])) / 2 <= top[0]:
+                continue
             x, y = cut_at(k)
             if (most(len(o), len(x)) + most(len(q), len(y))) / 2 > top[0] and (s := (tx.often(o, x) + tx.often(q, y)) / 2) > top[0]:
                 top = s, k
@@ -197,11 +201,57 @@ def apart(pairs: list[dict]) -> list[dict]:
     return out
 
 
+#: Cues of a key up to which it is one list in one task. Longer keys turn over a table, where no task holds a key.
+WHOLE = 10_000
+CUE = ["cue", "start_ms", "end_ms", "text", "seen", "again", "sure", "fixed"]
+
+
+def settled_turns(rows: list[dict], turns: int, gap_ms: int) -> None:
+    """All turns over the cues of a key, in order of `cue`, whose texts and `moved` are changed."""
+    heard: dict[tuple, str] = {}
+
+    def seen(k: int) -> str:
+        if (at := (k, rows[k]["text"])) not in heard:
+            heard[at] = preferred({f"c_{n}": rows[k][n] if n != "text" else rows[k][n] or "" for n in ("seen", "again", "sure", "text")}, "c")
+        return heard[at]
+
+    near = [k for k, (a, b) in enumerate(zip(rows, rows[1:])) if a["cue"] + 1 == b["cue"] and a["fixed"] is False and b["fixed"] is False and None not in (a["end_ms"], b["start_ms"]) and b["start_ms"] - a["end_ms"] <= gap_ms]
+    changed = set(range(len(rows)))
+    for _ in range(turns):
+        found = []
+        for k in near:
+            if (k in changed or k + 1 in changed) and (got := resplit(rows[k]["text"] or "", rows[k + 1]["text"] or "", seen(k), seen(k + 1))):
+                found.append({"cue": k, "left": got[0], "right": got[1], "gain": got[2]})
+        if not found:
+            break
+        changed = set()
+        for p in apart(found):
+            for k, side in ((p["cue"], "left"), (p["cue"] + 1, "right")):
+                rows[k] |= {"text": p[side], "moved": rows[k]["moved"] + 1}
+                changed.add(k)
+
+
 def resegmented(cues: DataFrame, by: str, turns: int = 6, gap_ms: int = 1200) -> DataFrame:
     """`cues` (by, cue, start_ms, end_ms, text, seen, again, sure, fixed) with texts after at most `turns` turns, and `moved`: the turns in which a cue changed.
 
-    seen is what was observed, again and sure a second observation and its score; fixed cues stay. Between turns the table is written out; it stops when nothing changes.
+    seen is what was observed, again and sure a second observation and its score; fixed cues stay. A key of at most WHOLE cues takes all its turns in one task; cues of
+    longer ones turn over a table.
     """
+    out = cues.select(by, *CUE).withColumn("moved", F.lit(0))
+    sized = written(cues.select(by, *CUE).withColumn("_n", F.count("*").over(Window.partitionBy(by))), "cues")
+
+    def run(*columns: list) -> list[tuple]:
+        rows = [dict(zip([*CUE, "moved"], (*x, 0), strict=True)) for x in zip(*columns, strict=True)]
+        settled_turns(rows, turns, gap_ms)
+        return [tuple(r.values()) for r in rows]
+
+    done = folds.by_sorted(sized.where((F.col("_n") <= WHOLE) & F.col(by).isNotNull()), [by], ["cue"], CUE, run, ", ".join(f"{c} {t}" for c, t in out.dtypes[1:]))
+    large = sized.where((F.col("_n") > WHOLE) | F.col(by).isNull()).drop("_n")
+    return done if large.isEmpty() else done.union(by_turns(large, by, turns, gap_ms))
+
+
+def by_turns(cues: DataFrame, by: str, turns: int, gap_ms: int) -> DataFrame:
+    """`resegmented` for keys of any number of cues. Between turns the table is written out; it stops when nothing changes."""
     side = lambda x: F.struct("start_ms", "end_ms", "text", "seen", "again", "sure", "fixed").alias(x)
     kinds = dict(cues.dtypes)
     state = written(cues.withColumn("moved", F.lit(0)).withColumn("_changed", F.lit(True)), "cues")
