@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
 from tidewright.operators import coverage, evaluation, folds, routing, sequences, vectors
-from tidewright.plans import evidence_q, metrics_q, recovery_q, sequences_q
+from tidewright.plans import evidence_q, folds_q, metrics_q, recovery_q, sequences_q, text_q
 
 D = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -228,3 +228,9 @@ def test_short_keys_take_their_turns_at_once(spark, monkeypatch):
     monkeypatch.setattr(sequences, "WHOLE", 3)  # half of the keys turn over a table
     assert sorted(sequences.resegmented(df, "song").collect()) == at_once and wrote.calls > 1
     assert any(r.moved for r in at_once)
+
+
+@pytest.mark.parametrize("name", ["h4_pair_score", "h5_support_score", "h6_contained_score", "c21_line_sequences"])
+def test_dear_comparisons_are_dealt_to_all_tasks(spark, name):
+    plan = {**text_q.QUERIES, **folds_q.QUERIES}[name][0](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # which adaptive execution doesn't join to a few

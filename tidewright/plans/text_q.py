@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
 from tidewright.functions.dialect import both
+from tidewright.operators.folds import dealt_by
 from tidewright.sources.code import ship
 from tidewright.sources.tables import table
 
@@ -24,7 +25,7 @@ def h2_alnum_key(spark, d):
 def _neighbours(spark, d):
     """Each turn and the one before it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(ship(spark), d, "conversations").withColumnRenamed("text", "line")
+    c = dealt_by(table(ship(spark), d, "conversations").withColumnRenamed("text", "line"), ["conv_id"])
     return c.withColumn("before", F.lag("line").over(w)).where("before is not null")
 
 
