@@ -82,3 +82,21 @@ def test_all_links_of_the_table(spark):
     for i, (_, t) in enumerate(rows):
         by_text.setdefault(t, i)
     assert all(same[first[c]] == same[first[d]] or rows[first[c]][1] == rows[first[d]][1] for d, c in got.items())
+
+
+def test_without_hubs_no_join_deals_them(spark, monkeypatch):
+    plans, write = {}, minhash.written
+
+    def written(s, df, tag):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(s, df, tag)
+
+    monkeypatch.setattr(minhash, "written", written)
+    g = random.Random(5)
+    texts = [" ".join(str(g.randint(0, 9999)) for _ in range(80)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t + " tail" * (i > 19)) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    for least in (minhash.LARGE, 0):  # no hub; every text of a pair is one
+        monkeypatch.setattr(minhash, "LARGE", least)
+        found = {r.id: r.class_id for r in minhash.classes(spark, docs).collect()}
+        assert found == {i: i % 20 for i in range(40)}
+        assert any("hub" in p for p in plans.pop("close")) == (least == 0)

@@ -270,7 +270,9 @@ def mentions(key: str, names: Column, tries) -> Column:
             short = F.concat(F.regexp_extract(bare, r"^[\p{L}'’\-]+\.? ", 0), F.regexp_extract(bare, rf"(?<![\p{{L}}\p{{N}}'’\-])((?:(?:{SMALL}) )*[\p{{L}}'’\-]+)$", 1))
             first = F.when(f.given != "", F.regexp_extract(bare, r"^[\p{L}'’\-]+(?= )", 0)).otherwise("")
             ways = [(bare, f.whole), (short, f.short), (last, f.last), (first, f.given)]
-            ways += [(F.upper(a), F.upper(b)) for a, b in ways]
+            # Bound, since the optimizer would push a bare upper() into the branches and take that of the constant '' in the driver, where
+            # the first use of ICU's case mappings makes 3 GB of garbage.
+            ways += [(let(a, F.upper), let(b, F.upper)) for a, b in ways]
             return F.array(*[one(a, b) for a, b in ways])
 
         return let(forms(key, x, n, tries), pairs)
