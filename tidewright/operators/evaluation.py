@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import lru_cache
+from itertools import pairwise
 from math import inf
 
 import numpy as np
@@ -11,8 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import matching
 from tidewright.functions import text as tx
-from tidewright.operators.folds import by_sorted, nearest_pairs
+from tidewright.operators import lattices
+from tidewright.operators.folds import by_blocks, nearest_pairs
 from tidewright.operators.intervals import overlap_join
 from tidewright.operators.sequences import said_score
 
@@ -105,15 +108,73 @@ def group_alignment(reference: list[tuple[int, int, str]], predicted: list[tuple
     return out[::-1]
 
 
+#: Cues of a side, and characters of joined texts, up to which groups are aligned many at a time.
+CUES, LETTERS = 16, 255
+
+
+def group_alignments(groups: list[tuple[list, list]], most: int = 3) -> list[list[tuple[int, int, int, int]]]:
+    """`group_alignment` of each (reference, predicted). Small ones are aligned side by side."""
+    small = lambda rows: 0 < len(rows) <= CUES and most * (max(len(r[2]) for r in rows) + 1) <= LETTERS
+    sizes = {g: (len(a), len(b)) for g, (a, b) in enumerate(groups) if small(a) and small(b)}
+    out: list = [None] * len(groups)
+    for n, m, own in lattices.shaped(sizes, most):
+        for g, got in zip(own, side_by_side([groups[g] for g in own], n, m, most), strict=True):
+            out[g] = got
+    return [group_alignment(*groups[g], most) if x is None else x for g, x in enumerate(out)]
+
+
+def side_by_side(groups: list[tuple[list, list]], n: int, m: int, most: int) -> list[list[tuple[int, int, int, int]]]:
+    """The alignments of groups of up to n and m cues."""
+    ends = np.array([[len(s) for s in g] for g in groups]).T
+    steps = lattices.moves(n, m, most, n + m)
+    shape = (len(steps), len(groups))
+    low, rest = np.ones(shape), np.zeros(shape)
+    side = []
+    for s, size in enumerate((n, m)):
+        rows = [r for g in groups for r in (*g[s], *[(0, 0, "")] * (size - len(g[s])))]
+        start, end = (np.array([r[c] for r in rows]).reshape(-1, size).T for c in (0, 1))
+        length = np.array([len(r[2]) for r in rows]).reshape(-1, size).T
+        letters = lattices.spans(lattices.counts([r[2] for r in rows], size), most, ord(" ") % lattices.CLASSES)
+        number = {ip: k for k, ip in enumerate(letters)}
+        of = lambda fn: np.array([fn(i, p) for i, p in letters])  # noqa: E731, B023
+        side.append((number, of(lambda i, p: start[i:p].min(axis=0)), of(lambda i, p: end[i:p].max(axis=0)), of(lambda i, p: length[i:p].sum(axis=0) + p - i - 1), np.array(list(letters.values()))))  # noqa: B023
+    is_span = lattices.spanning(steps)
+    u, v = (np.array([side[s][0][x, y] for x, y in steps[is_span][:, [s, s + 2]].tolist()]) for s in (0, 1))
+    (_, a0, a1, na, a), (_, b0, b1, nb, b) = side
+    hull, over = np.maximum(a1[u], b1[v]) - np.minimum(a0[u], b0[v]), np.maximum(0, np.minimum(a1[u], b1[v]) - np.maximum(a0[u], b0[v]))
+    taken = (steps[is_span][:, 2:] - steps[is_span][:, :2]).sum(axis=1)[:, None]
+    rest[is_span] = 0.35 * (1 - np.where(hull != 0, over / np.where(hull != 0, hull, 1), 0.0)) + 0.08 * (taken - 2)
+    size = na[u] + nb[v]
+    low[is_span] = 1.55 * (1 - np.where(size > 0, 2.0 * lattices.in_common(a, u, b, v) / np.maximum(1, size), 1.0))
+    text = lambda rows, a, b: " ".join([r[2] for r in rows[a:b]])
+
+    def exact(k: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        pairs = [(text(groups[g][0], i, p), text(groups[g][1], j, q)) for (i, j, p, q), g in zip(steps[k].tolist(), lattice.tolist(), strict=True)]
+        return 1.55 * (1 - np.array(matching.ratios(pairs)))
+
+    taken, _ = lattices.least(ends, steps, low, rest, exact)
+    taken = taken[::-1]
+    at, span = steps[taken], (taken >= 0) & is_span[taken]
+    out: list[list] = [[] for _ in groups]
+    lattice, turn = np.nonzero(span.T)
+    for g, (i, j, p, q) in zip(lattice.tolist(), at[turn, lattice].tolist(), strict=True):
+        out[g].append((i, p, j, q))
+    return out
+
+
 def aligned_groups(cues: DataFrame, by: str) -> DataFrame:
     """(by, ref_from, ref_to, pred_from, pred_to) of each `by`. cues: by, expected, start_ms, end_ms, text (as it is compared). One file's cues are one group."""
 
-    def run(expected: list[bool], *cue: list) -> list[tuple]:
-        rows = list(zip(expected, *cue, strict=True))
-        return group_alignment(*([r[1:] for r in rows if r[0] == x] for x in (True, False)))
+    def run(starts: list[int], expected: list[bool], *cue: list) -> tuple[list[int], list[list]]:
+        rows = list(zip(*cue, strict=True))
+        side = lambda a, b, x: [r for r, e in zip(rows[a:b], expected[a:b], strict=True) if e == x]
+        found = group_alignments([(side(a, b, True), side(a, b, False)) for a, b in pairwise(starts)])
+        made = [(g, *x) for g, got in enumerate(found) for x in got]
+        number, *columns = map(list, zip(*made, strict=True)) if made else [[]] * 5
+        return number, columns
 
     order = ["start_ms", "end_ms", "text"]
-    return by_sorted(cues, [by], order, ["expected", *order], run, "ref_from int, ref_to int, pred_from int, pred_to int")
+    return by_blocks(cues, [by], order, ["expected", *order], run, "ref_from int, ref_to int, pred_from int, pred_to int")
 
 
 def collapsed_after_unmapped(rows: DataFrame, by: str, gap_ms: int = 1200, least: float = 0.40) -> DataFrame:

@@ -1,7 +1,7 @@
 """Order-dependent operators. None of these takes a whole table as one group.
 
 `sorted_fold` reads each key's rows in order, as they come from Spark's sort, and holds no more than its state: a key may have any
-number of rows. `by_sorted` holds a group's rows as lists, `by_group` holds a group (a conversation, a user, a document pair) as one small table in one task; there a group is
+number of rows. `by_sorted` holds a group's rows as lists (`by_blocks` those of many small groups), `by_group` holds a group (a conversation, a user, a document pair) as one small table in one task; there a group is
 the unit that bounds memory.
 """
 
@@ -15,6 +15,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 
@@ -65,6 +66,54 @@ def by_sorted(df: DataFrame, keys: list[str], order: list[str | Column], values:
     return dealt.mapInArrow(typed(run, whole), whole)
 
 
+#: Fixed value: rows of whole groups that are taken at a time.
+BLOCK = 1 << 16
+
+
+def by_blocks(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str], fn: Callable[..., tuple[list[int], list[list]]], schema: str) -> DataFrame:
+    """As `by_sorted`, many groups at a time: fn(starts, *values) gets the rows of some whole groups, one list for each of `values`, and where each group starts (and the last ends).
+
+    It gives the number of the group of each of its rows, and their columns. About BLOCK rows, or one group if that has more, are held at a time.
+    """
+    n = len(keys)
+    dealt = dealt_by(df, keys).sortWithinPartitions(*keys, *order).select(*keys, *values)
+
+    def starts(t: pa.Table) -> np.ndarray:
+        fresh = np.zeros(t.num_rows, bool)
+        fresh[:1] = True
+        for c in t.columns[:n]:
+            a, b = c.slice(1), c.slice(0, t.num_rows - 1)
+            unlike = pc.fill_null(pc.not_equal(a, b), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+            fresh[1:] |= unlike.to_numpy()
+        return np.flatnonzero(fresh)
+
+    def done(t: pa.Table, at: np.ndarray) -> pa.RecordBatch | None:
+        number, made = fn([*at.tolist(), t.num_rows], *(c.to_pylist() for c in t.columns[n:]))
+        if not len(number):
+            return None
+        own = t.select(range(n)).take(pa.array(at[np.asarray(number)]))
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in own.columns), *map(pa.array, made)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BLOCK:
+                t = pa.Table.from_batches(held)
+                at = starts(t)
+                if len(at) > 1 and (got := done(t.slice(0, at[-1]), at[:-1])) is not None:
+                    yield got
+                held = t.slice(at[-1]).to_batches()
+                rows = t.num_rows - at[-1] if len(at) > 1 else 0  # a group that fills a block is sought for its end after another block only
+        if held and (t := pa.Table.from_batches(held)).num_rows and (got := done(t, starts(t))) is not None:
+            yield got
+
+    whole = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [schema])
+    names = [x.split()[0] for x in whole.split(", ")]
+    return dealt.mapInArrow(typed(run, whole), whole)
+
+
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str], start: Callable[[], Any], step: Callable[..., tuple | None], schema: str) -> DataFrame:
     """The rows of each key in order: `step(state, *values)` gives what follows the keys in a row of `schema`, or None for no row."""
     n = len(keys)
