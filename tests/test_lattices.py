@@ -6,7 +6,8 @@ from difflib import SequenceMatcher
 import pytest
 
 from tidewright.functions import matching
-from tidewright.operators import evaluation, folds, lattices
+from tidewright.functions import text as tx
+from tidewright.operators import evaluation, folds, lattices, repair
 
 WORDS = "large hot blue old ring bolt plate gear widget rod".split()
 
@@ -75,3 +76,54 @@ def test_blocks_hold_whole_groups(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert folds.by_blocks(df.where("key < 0"), ["key"], ["at"], ["at", "name"], run, "n int, names string").count() == 0
+
+
+def lines(g, n):
+    return [" ".join(g.choice(WORDS) for _ in range(g.choice([1, 2, 2, 3])))[: g.choice([1, 9, 30, 30])] * g.choice([0, 1, 1, 1, 1, 1]) for _ in range(n)]
+
+
+def misheard(g, rows):
+    out = []
+    for x in rows:
+        x = g.choice([x, x, x.replace("e", "a"), x + "!", x[::-1], x.upper()])
+        out += g.choice([[x], [x], [x], [], [x, x], [x[: len(x) // 2], x[len(x) // 2 :]]])
+    return out
+
+
+@pytest.mark.parametrize("alike", [1, 100])
+def test_repairs_are_those_of_one_group_at_a_time(monkeypatch, alike):
+    g = random.Random(4)
+    monkeypatch.setattr(lattices, "ALIKE", alike)
+    monkeypatch.setattr(lattices, "MOVES", 1 << 14)
+    groups = []
+    for n in [*range(8)] * 25 + [9, 11, 14, 16]:
+        rows = lines(g, n)
+        groups.append((misheard(g, rows), rows))
+    # Lines in another place, so that the best path leaves the first band.
+    groups += [(lines(g, 12), lines(g, 3)), ([], lines(g, 2)), (lines(g, 2), []), ((rows := lines(g, 13))[10:] + ["q" * 50], rows), (["z" * 70], ["z" * 71])]
+    keys = [([repair.key(x) for x in a], [repair.key(x) for x in b]) for a, b in groups]
+    assert repair.alignments(keys) == [folds.span_alignment(a, b, tx.pair, bound=tx.pair_bound) for a, b in keys]
+    assert repair.decisions(groups) == [repair.decided(*x) for x in groups]
+
+
+def test_paths_beside_the_band_are_sought_again(monkeypatch):
+    g = random.Random(5)
+    again = []
+    real = folds.span_alignment
+    monkeypatch.setattr(folds, "span_alignment", lambda *x: again.append(x) or real(*x))
+    rows = ["".join(g.choice("abcdefghij") for _ in range(9)) for _ in range(24)]
+    fours = ["".join(rows[k : k + 4]) for k in range(0, 24, 4)]
+    groups = [(fours[:3] + rows[12:], rows[:12] + fours[3:])]
+    assert repair.alignments(groups) == [real(*groups[0], tx.pair, bound=tx.pair_bound)] and again
+
+
+def test_few_runs_of_lines_are_compared(monkeypatch):
+    g = random.Random(6)
+    groups = [((rows := [f"{g.choice(WORDS)} {g.choice(WORDS)} {k}" for k in range(4)]), [x.replace("e", "a") for x in rows]) for _ in range(400)]
+    want = [repair.decided(*x) for x in groups]
+    pairs, slow = [], []
+    real = matching.ratios
+    monkeypatch.setattr(matching, "ratios", lambda p: pairs.extend(p) or real(p))
+    monkeypatch.setattr(folds, "span_alignment", lambda *x: slow.append(x))
+    assert repair.decisions(groups) == want
+    assert len(pairs) <= 25 * 400 and not slow  # of 100 for each group, and rivals

@@ -41,6 +41,12 @@ def ratios(pairs: list[tuple[str, str]]) -> list[float]:
     return [known[p] for p in pairs]
 
 
+def scores(pairs: list[tuple[str, str]]) -> list[float]:
+    """`text.pair` of each pair."""
+    damp = lambda n, m: 0.85 + 0.15 * min(n, m) / max(n, m)
+    return [1.0 if a == b else 0.0 if not a or not b else r * damp(len(a), len(b)) for (a, b), r in zip(pairs, ratios(pairs), strict=True)]
+
+
 def codes(texts: list[str]) -> np.ndarray:
     """Code points of each text, a row each, filled up with zeros."""
     wide = max(map(len, texts))

@@ -48,25 +48,36 @@ def moves(n: int, m: int, most: int, band: int) -> np.ndarray:
 
 def forth(ends: np.ndarray, steps: np.ndarray, first: np.ndarray, rest: np.ndarray, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """What the best path to each place costs, and its last move. first, rest: a row for each move, a column for each lattice."""
-    cost = np.full((*(steps[:, 2:].max(axis=0) + 1), first.shape[1]), np.inf)
+    n, m = steps[:, 2:].max(axis=0)
+    cost = np.full(((n + 1) * (m + 1), first.shape[1]), np.inf)
     back = np.full(cost.shape, -1, np.int16)
-    cost[0, 0] = 0.0
-    for k, (i, j, p, q) in enumerate(steps.tolist()):
-        value = cost[i, j] + first[k]
-        value += rest[k]
-        better = value < (cost[p, q] - margin if margin else cost[p, q])
-        np.copyto(cost[p, q], value, where=better)
-        np.copyto(back[p, q], k, where=better)
-    return cost, back
+    cost[0] = 0.0
+    for at, end, place, to in places(steps):  # a place's moves lead to different places
+        value = cost[place] + first[at:end]
+        value += rest[at:end]
+        had = cost[to]
+        better = value < (had - margin if margin else had)
+        cost[to] = np.where(better, value, had)
+        back[to] = np.where(better, np.arange(at, end, dtype=np.int16)[:, None], back[to])
+    return cost.reshape(n + 1, m + 1, -1), back.reshape(n + 1, m + 1, -1)
+
+
+def places(steps: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
+    """(first move, move after the last, place, places where they lead) of each place from which moves begin; places are numbered by rows."""
+    wide = int(steps[:, 3].max()) + 1
+    begin, to = steps[:, 0] * wide + steps[:, 1], steps[:, 2] * wide + steps[:, 3]
+    at = np.flatnonzero(np.diff(begin, prepend=-1))
+    return [(a, b, int(begin[a]), to[a:b]) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(steps)], strict=True)]
 
 
 def to_go(ends: np.ndarray, steps: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """What the best path from each place to its lattice's end costs."""
-    left = np.full((*(steps[:, 2:].max(axis=0) + 1), whole.shape[1]), np.inf)
-    left[ends[0], ends[1], np.arange(whole.shape[1])] = 0.0
-    for k, (i, j, p, q) in reversed(list(enumerate(steps.tolist()))):
-        np.minimum(left[i, j], whole[k] + left[p, q], out=left[i, j])
-    return left
+    n, m = steps[:, 2:].max(axis=0)
+    left = np.full(((n + 1) * (m + 1), whole.shape[1]), np.inf)
+    left[ends[0] * (m + 1) + ends[1], np.arange(whole.shape[1])] = 0.0
+    for at, end, place, to in reversed(places(steps)):
+        np.minimum(left[place], (whole[at:end] + left[to]).min(axis=0), out=left[place])
+    return left.reshape(n + 1, m + 1, -1)
 
 
 def path(ends: np.ndarray, steps: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -118,28 +129,32 @@ def in_common(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> np.
     return out
 
 
-def least(ends: np.ndarray, steps: np.ndarray, low: np.ndarray, rest: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], margin: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def least(ends: np.ndarray, steps: np.ndarray, low: np.ndarray, rest: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], margin: float = 0.0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(moves of the best paths, their `first`), where spans' first costs are at least `low` and exact(move, lattice) tells them. ends: the places where the lattices end, a column each.
 
-    The path that is best by the bounds is priced exactly; then only those moves are that may be on a path which costs no more.
+    A few times the path that is best by what is known is priced exactly, which makes it the bound; then only those moves are that may be on a path which costs no more.
     """
-    is_span = spanning(steps)
-    cost, back = forth(ends, steps, low, rest, margin)
-    taken, whole = path(ends, steps, back), low + rest
-    first = np.where(is_span[:, None], np.inf, low)
-    known, each = np.zeros(low.shape, bool), np.broadcast_to(np.arange(low.shape[1]), taken.shape)
-    known[taken[taken >= 0], each[taken >= 0]] = True
-    known &= is_span[:, None]
-
-    def price(which: np.ndarray) -> None:
-        k, lattice = np.nonzero(which)
-        if len(k):
-            first[k, lattice] = exact(k, lattice)
-
-    price(known)
-    total = np.where(taken >= 0, (first + rest)[taken, each], 0.0).sum(axis=0)
+    is_span = spanning(steps)[:, None]
+    first, known = low.copy(), np.broadcast_to(~is_span, low.shape).copy()
+    total = np.full(low.shape[1], np.inf)
     i, j, p, q = steps.T
-    may = cost[i, j] + whole + to_go(ends, steps, whole)[p, q] <= total + 1e-9
-    price(may & is_span[:, None] & ~known)
+    for _ in range(turns):
+        cost, back = forth(ends, steps, first, rest, margin)
+        taken = path(ends, steps, back)
+        turn, at = np.nonzero(taken >= 0)
+        k = taken[turn, at]
+        new = ~known[k, at]
+        if new.any():
+            first[k[new], at[new]] = exact(k[new], at[new])
+        known[k, at] = True
+        total = np.minimum(total, np.bincount(at, first[k, at] + rest[k, at], low.shape[1]))
+        if not new.any():
+            break
+    cost, _ = forth(ends, steps, first, rest, margin)
+    may = cost[i, j] + first + rest + to_go(ends, steps, first + rest)[p, q] <= total + 1e-9
+    k, at = np.nonzero(may & ~known)
+    if len(k):
+        first[k, at] = exact(k, at)
+    first[~may] = np.inf
     _, back = forth(ends, steps, first, rest, margin)
     return path(ends, steps, back), first
