@@ -3,11 +3,12 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 
 from tidewright.functions import matching
 from tidewright.functions import text as tx
-from tidewright.operators import evaluation, folds, lattices, repair
+from tidewright.operators import evaluation, folds, lattices, repair, sequences
 
 WORDS = "large hot blue old ring bolt plate gear widget rod".split()
 
@@ -64,7 +65,7 @@ def test_blocks_hold_whole_groups(spark, monkeypatch):
         assert starts[0] == 0 and starts[-1] == len(at) == len(name)
         spans = list(zip(starts, starts[1:], strict=False))
         number = [g for g, (a, b) in enumerate(spans) for _ in range(2)]
-        return number, [[spans[g][1] - spans[g][0] for g in number], [",".join(name[slice(*spans[g])]) for g in number]]
+        return [starts[g] for g in number], [[spans[g][1] - spans[g][0] for g in number], [",".join(name[slice(*spans[g])]) for g in number]]
 
     want = sorted(((k, len(v), ",".join(v)) for k in {r[0] for r in rows} if (v := [n for _, n in sorted((a, n) for key, a, n in rows if key == k)])), key=str)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
@@ -127,3 +128,51 @@ def test_few_runs_of_lines_are_compared(monkeypatch):
     monkeypatch.setattr(folds, "span_alignment", lambda *x: slow.append(x))
     assert repair.decisions(groups) == want
     assert len(pairs) <= 25 * 400 and not slow  # of 100 for each group, and rivals
+
+
+def test_turns_over_many_keys_are_those_of_one_pair_at_a_time(spark, monkeypatch):
+    """Keys in one pass against keys over a table, where each pair is compared by itself."""
+    g = random.Random(7)
+    words = [*WORDS, "don't", "Sun", "o'clock-tower", "a1", "사랑", "x"]
+    rows = []
+    for song in range(40):
+        n = g.randrange(1, 8)
+        seen = [" ".join(g.choice(words) for _ in range(g.randrange(1, 5))) for _ in range(n)]
+        units, cuts = " ".join(seen).split(), [0]
+        for x in seen[:-1]:
+            cuts.append(max(cuts[-1], cuts[-1] + len(x.split()) + g.choice([0, 0, 0, 1, -1])))
+        for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(units)], strict=True)):
+            again = g.choice([None, "", " " + seen[i] + " ", seen[i][::-1]])
+            rows.append((song, i + (i > 4), 3000 * i, g.choice([3000 * i + 2500] * 3 + [3000 * i + 1000, None]), g.choice([" ".join(units[a:b])] * 9 + [None]), seen[i].replace("e", g.choice("ea")), again, g.choice([0.9, 0.1, None]), g.choice([False] * 6 + [True, None])))
+    df = spark.createDataFrame(rows, "song long, cue int, start_ms long, end_ms long, text string, seen string, again string, sure double, fixed boolean")
+    at_once = sorted(map(str, sequences.resegmented(df, "song").collect()))
+    monkeypatch.setattr(sequences, "WHOLE", 0)
+    over_a_table = sorted(map(str, sequences.resegmented(df, "song").collect()))
+    assert len(at_once) == len(rows) and sum("moved=0" not in x for x in at_once) > 15
+    assert [x.replace("text=None", "text=''") for x in at_once] == [x.replace("text=None", "text=''") for x in over_a_table]
+
+
+def test_cuts_are_those_of_one_pair_at_a_time(monkeypatch):
+    g = random.Random(8)
+    words = [*WORDS, "don't", "a1", "사랑", "x", "-", ""]
+    asked = []
+    for _ in range(1500):
+        whole = [g.choice(words) for _ in range(g.randrange(0, 9))]
+        a, b = (g.randrange(len(whole) + 1) for _ in "ab")
+        heard = lambda x: " ".join(x).replace("e", g.choice("ea"))
+        asked.append((" ".join(whole[:a]), " ".join(whole[a:]), heard(whole[:b]), heard(whole[b:])))
+    want = [sequences.resplit(*x) for x in asked]
+    rows = [(a, b, g.choice([0.9, 0.6, 0.1, None]), c) for a, b, c, _ in asked[:500]] + [(None, "x", 0.9, None), (None, None, None, "x"), ("사랑", "a", 0.9, "사랑 a")]
+    assert sequences.preferences(rows) == [sequences.preferred({"c_seen": a, "c_again": b, "c_sure": s, "c_text": t or ""}, "c") for a, b, s, t in rows]
+    pairs, slow = [], []
+    ratios, one = matching.ratios, sequences.resplit
+    monkeypatch.setattr(matching, "ratios", lambda p: pairs.extend(p) or ratios(p))
+    monkeypatch.setattr(sequences, "resplit", lambda *x: slow.append(x) or one(*x))
+    assert sequences.resplits(asked) == want and sum(x is not None for x in want) > 100
+    assert all(not "".join(x[:2]).isascii() for x in slow) and len(pairs) < 8 * len(asked)
+
+
+def test_lists_are_those_of_arrow():
+    for values, kind in (([1, None, 2**62 + 1], pa.int64()), ([True, None], pa.bool_()), (["a", None, "", "a", "가"], pa.string()), ([0.1, None], pa.float64()), ([0.1, None], pa.float32()), ([], pa.string())):
+        c = pa.chunked_array([pa.array(values, kind), pa.array(values[:1], kind)], kind)
+        assert list(map(repr, folds.listed(c))) == list(map(repr, c.to_pylist()))

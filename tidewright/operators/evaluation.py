@@ -169,7 +169,7 @@ def aligned_groups(cues: DataFrame, by: str) -> DataFrame:
         rows = list(zip(*cue, strict=True))
         side = lambda a, b, x: [r for r, e in zip(rows[a:b], expected[a:b], strict=True) if e == x]
         found = group_alignments([(side(a, b, True), side(a, b, False)) for a, b in pairwise(starts)])
-        made = [(g, *x) for g, got in enumerate(found) for x in got]
+        made = [(at, *x) for at, got in zip(starts, found) for x in got]
         number, *columns = map(list, zip(*made, strict=True)) if made else [[]] * 5
         return number, columns
 

@@ -7,6 +7,7 @@ the unit that bounds memory.
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -66,17 +67,33 @@ def by_sorted(df: DataFrame, keys: list[str], order: list[str | Column], values:
     return dealt.mapInArrow(typed(run, whole), whole)
 
 
+def listed(column: pa.ChunkedArray) -> list:
+    """`column.to_pylist()`, sooner; equal texts are one object."""
+    kind = column.type
+    if pa.types.is_string(kind):
+        coded = column.combine_chunks().dictionary_encode()
+        texts = np.array([*coded.dictionary.to_pylist(), None], object)
+        return texts[coded.indices.fill_null(len(texts) - 1).to_numpy(zero_copy_only=False)].tolist()
+    if not (pa.types.is_integer(kind) or pa.types.is_float64(kind) or pa.types.is_boolean(kind)):
+        return column.to_pylist()
+    plain = (column.fill_null(False if pa.types.is_boolean(kind) else 0) if column.null_count else column).to_numpy().tolist()
+    for k in np.flatnonzero(column.is_null().to_numpy()).tolist() if column.null_count else ():
+        plain[k] = None
+    return plain
+
+
 #: Fixed value: rows of whole groups that are taken at a time.
 BLOCK = 1 << 16
 
 
-def by_blocks(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str], fn: Callable[..., tuple[list[int], list[list]]], schema: str) -> DataFrame:
+def by_blocks(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str], fn: Callable[..., tuple[list[int], list[list]]], schema: str, kept: tuple[str, ...] = ()) -> DataFrame:
     """As `by_sorted`, many groups at a time: fn(starts, *values) gets the rows of some whole groups, one list for each of `values`, and where each group starts (and the last ends).
 
-    It gives the number of the group of each of its rows, and their columns. About BLOCK rows, or one group if that has more, are held at a time.
+    It gives for each row that it makes the number of a row whose keys, and columns `kept`, go before it, and the columns of `schema`. About BLOCK rows, or one
+    group if that has more, are held at a time.
     """
-    n = len(keys)
-    dealt = dealt_by(df, keys).sortWithinPartitions(*keys, *order).select(*keys, *values)
+    n, both = len(keys), [*keys, *kept]
+    dealt = dealt_by(df, keys).sortWithinPartitions(*keys, *order).select(*keys, *dict.fromkeys([*kept, *values]))
 
     def starts(t: pa.Table) -> np.ndarray:
         fresh = np.zeros(t.num_rows, bool)
@@ -88,10 +105,14 @@ def by_blocks(df: DataFrame, keys: list[str], order: list[str | Column], values:
         return np.flatnonzero(fresh)
 
     def done(t: pa.Table, at: np.ndarray) -> pa.RecordBatch | None:
-        number, made = fn([*at.tolist(), t.num_rows], *(c.to_pylist() for c in t.columns[n:]))
+        gc.disable()  # what a block makes is no garbage, but would be searched for it again and again
+        try:
+            number, made = fn([*at.tolist(), t.num_rows], *(listed(t.column(c)) for c in values))
+        finally:
+            gc.enable()
         if not len(number):
             return None
-        own = t.select(range(n)).take(pa.array(at[np.asarray(number)]))
+        own = t.select(both).take(pa.array(number, pa.int64()))
         return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in own.columns), *map(pa.array, made)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +130,7 @@ def by_blocks(df: DataFrame, keys: list[str], order: list[str | Column], values:
         if held and (t := pa.Table.from_batches(held)).num_rows and (got := done(t, starts(t))) is not None:
             yield got
 
-    whole = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [schema])
+    whole = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in both] + [schema])
     names = [x.split()[0] for x in whole.split(", ")]
     return dealt.mapInArrow(typed(run, whole), whole)
 

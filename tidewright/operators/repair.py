@@ -271,7 +271,7 @@ def repair_plan(rows: DataFrame, by: str, side: str, order: list[str], text: str
     def run(starts: list[int], is_cue: list[bool], texts: list[str]) -> tuple[list[int], list[list]]:
         pick = lambda a, b, x: [t for s, t in zip(is_cue[a:b], texts[a:b], strict=True) if s == x]
         found = decisions([(pick(a, b, True), pick(a, b, False)) for a, b in pairwise(starts)], least)
-        made = [(g, *x) for g, got in enumerate(found) for x in got]
+        made = [(at, *x) for at, got in zip(starts, found) for x in got]
         number, *columns = map(list, zip(*made, strict=True)) if made else [[]] * 10
         return number, columns
 

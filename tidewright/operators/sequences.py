@@ -7,13 +7,16 @@ edges. `resegmented` takes turns over each key's cues, or over a table for long
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
+from tidewright.functions import matching
 from tidewright.functions import text as tx
 from tidewright.operators import folds
 from tidewright.operators.coverage import HANGUL, plain, similarity
@@ -177,9 +180,94 @@ def resplit(left: str, right: str, seen_left: str, seen_right: str) -> tuple[str
         if best is None or got[:2] > best[:2]:
             best = got
     gain, score, cut, mode, least = best
-    edge = mode == "text" and gain >= 0.02 and 1 <= abs(cut - now) <= 3 and least >= 0.96
-    sure = (mode == "text" and score >= 0.79 and gain >= 0.15) or (mode != "text" and score >= 0.78 and gain >= 0.18)
-    return (joined(units[:cut]), joined(units[cut:]), gain) if cut != now and (edge or sure) else None
+    sure = taken(cut, now, gain, score, least) if mode == "text" else cut != now and score >= 0.78 and gain >= 0.18
+    return (joined(units[:cut]), joined(units[cut:]), gain) if sure else None
+
+
+def measured(text: str) -> tuple[list[str], str, list[int]]:
+    """(units, their letters and digits one after the other, where each unit's end) of a text in ASCII."""
+    units = UNIT.findall(text)
+    whole = "".join(units)
+    sizes = map(len, units) if "'" not in whole else (len(u) - u.count("'") for u in units)
+    return units, whole.replace("'", "").lower(), [*accumulate(sizes)]
+
+
+kept_measures = lru_cache(1 << 14)(measured)
+
+
+def resplits(asked: list[tuple[str, str, str, str]]) -> list[tuple[str, str, float] | None]:
+    """`resplit` of each (left, right, seen left, seen right); texts are compared many at a time.
+
+    Cuts are scored where lengths leave a chance that the best of them is taken.
+    """
+    out: dict[tuple, tuple[str, str, float] | None] = {}
+    now, pairs = [], []
+    for x in dict.fromkeys(asked):
+        left, right, seen_left, seen_right = x
+        if not (left.isascii() and right.isascii()):
+            out[x] = resplit(*x)
+            continue
+        out[x] = None
+        a, b = (kept_measures(s) if len(s) <= tx.KEPT else measured(s) for s in (left, right))
+        o, q = plain(seen_left), plain(seen_right)
+        if len(o) >= 2 and len(q) >= 2 and a[0] and b[0]:
+            now.append((x, o, q, a, b))
+            pairs += [(o, a[1]), (q, b[1])]
+    scores = matching.ratios(pairs)
+    start = (np.array(scores[::2]) + np.array(scores[1::2])) / 2
+    open_ = np.flatnonzero(start <= 0.9801)
+    many = [len(now[k][3][0]) + len(now[k][4][0]) - 1 for k in open_.tolist()]
+    size = np.array([e for k in open_.tolist() for at in (len(now[k][3][1]),) for e in (*now[k][3][2], *[at + e for e in now[k][4][2][:-1]])], np.float64)
+    n, m, whole = (np.repeat([f(now[k]) for k in open_.tolist()], many) for f in (lambda x: len(x[1]), lambda x: len(x[2]), lambda x: len(x[3][1]) + len(x[4][1])))
+    which = np.repeat(open_, many)
+    bound = np.minimum(n, size) / (n + size) + np.minimum(m, whole - size) / (m + whole - size)
+    cut = np.arange(len(size)) - np.repeat(np.cumsum([0, *many])[:-1], many) + 1
+    bound[cut == np.repeat([len(now[k][3][0]) for k in open_.tolist()], many)] = -1.0
+    may = np.flatnonzero(bound >= np.maximum(start[which] + 0.0199, 0.7899))
+    may = may[np.lexsort((cut[may], -bound[may], which[may]))]
+    ahead = np.diff(which[may], prepend=-1) > 0
+    best: dict[int, tuple[float, int, float]] = {}
+    # First the likeliest cut of each, then those that may be as good.
+    for some in (may[ahead], may[~ahead]):
+        least = np.array([best[k][0] if k in best else 0.0 for k in which[some].tolist()])
+        some = some[bound[some] >= least]
+        tried, pairs = list(zip(which[some].tolist(), cut[some].tolist(), strict=True)), []
+        for (k, _), s in zip(tried, size[some].astype(int).tolist(), strict=True):
+            _, o, q, a, b = now[k]
+            text = a[1] + b[1]
+            pairs += [(o, text[:s]), (q, text[s:])]
+        scores = matching.ratios(pairs)
+        for (k, c), s, r in zip(tried, scores[::2], scores[1::2], strict=True):
+            best[k] = max(best.get(k, (0.0,)), ((s + r) / 2, -c, min(s, r)))
+    for k, (score, c, least) in best.items():
+        x, _, _, (a, *_), (b, *_) = now[k]
+        if taken(-c, len(a), score - float(start[k]), score, least):
+            out[x] = joined((a + b)[:-c]), joined((a + b)[-c:]), score - float(start[k])
+    return [out[x] for x in asked]
+
+
+def taken(cut: int, now: int, gain: float, score: float, least: float) -> bool:
+    """Whether another cut of texts as they are written is clearly likelier."""
+    return cut != now and ((gain >= 0.02 and 1 <= abs(cut - now) <= 3 and least >= 0.96) or (score >= 0.79 and gain >= 0.15))
+
+
+def preferences(rows: list[tuple[str | None, str | None, float | None, str | None]]) -> list[str]:
+    """`preferred` of each (seen, again, sure, text); texts are compared many at a time."""
+    out, open_, pairs = [], [], []
+    for k, (first, second, sure, text) in enumerate(rows):
+        first, second, text = first or "", (second or "").strip(), text or ""
+        if second and (sure or 0.0) >= 0.60 and first != second:
+            if not text.isascii() and HANGUL.search(text):
+                first = preferred({"c_seen": first, "c_again": second, "c_sure": sure, "c_text": text}, "c")
+            else:
+                open_.append((k, second))
+                pairs += [(plain(second), plain(text)), (plain(first), plain(text))]
+        out.append(first)
+    scores = [0.0 if not a or not b else max(s, 0.45 + 0.5 * (min(len(a), len(b)) / max(len(a), len(b)))) if a in b or b in a else s for (a, b), s in zip(pairs, matching.ratios(pairs), strict=True)]
+    for (k, second), fit, other in zip(open_, scores[::2], scores[1::2], strict=True):
+        if fit >= 0.50 and fit >= other + 0.04:
+            out[k] = second
+    return out
 
 
 def preferred(row: dict, side: str) -> str:
@@ -206,29 +294,30 @@ WHOLE = 10_000
 CUE = ["cue", "start_ms", "end_ms", "text", "seen", "again", "sure", "fixed"]
 
 
-def settled_turns(rows: list[dict], turns: int, gap_ms: int) -> None:
-    """All turns over the cues of a key, in order of `cue`, whose texts and `moved` are changed."""
-    heard: dict[tuple, str] = {}
-
-    def seen(k: int) -> str:
-        if (at := (k, rows[k]["text"])) not in heard:
-            heard[at] = preferred({f"c_{n}": rows[k][n] if n != "text" else rows[k][n] or "" for n in ("seen", "again", "sure", "text")}, "c")
-        return heard[at]
-
-    near = [k for k, (a, b) in enumerate(zip(rows, rows[1:])) if a["cue"] + 1 == b["cue"] and a["fixed"] is False and b["fixed"] is False and None not in (a["end_ms"], b["start_ms"]) and b["start_ms"] - a["end_ms"] <= gap_ms]
-    changed = set(range(len(rows)))
+def settled_turns(starts: list[int], cues: dict[str, list], turns: int, gap_ms: int) -> tuple[list[str], list[int]]:
+    """(texts, turns in which they changed) after all turns over the cues of some keys, each key's in order of `cue` from one of `starts` to the next."""
+    texts, moved, fixed, cue, first = [*cues["text"]], [0] * len(cues["text"]), cues["fixed"], cues["cue"], set(starts)
+    heard: dict[int, str] = {}
+    near = [
+        k for k, (end, start) in enumerate(zip(cues["end_ms"], cues["start_ms"][1:]))
+        if k + 1 not in first and cue[k] + 1 == cue[k + 1] and fixed[k] is False and fixed[k + 1] is False and None not in (end, start) and start - end <= gap_ms
+    ]
+    pairs = near
     for _ in range(turns):
-        found = []
-        for k in near:
-            if (k in changed or k + 1 in changed) and (got := resplit(rows[k]["text"] or "", rows[k + 1]["text"] or "", seen(k), seen(k + 1))):
-                found.append({"cue": k, "left": got[0], "right": got[1], "gain": got[2]})
-        if not found:
-            break
+        new = [k for k in dict.fromkeys(x for k in pairs for x in (k, k + 1)) if k not in heard]
+        heard.update(zip(new, preferences([(cues["seen"][k], cues["again"][k], cues["sure"][k], texts[k]) for k in new]), strict=True))
+        got = resplits([(texts[k] or "", texts[k + 1] or "", heard[k], heard[k + 1]) for k in pairs])
+        found = [{"cue": k, "left": x[0], "right": x[1], "gain": x[2]} for k, x in zip(pairs, got, strict=True) if x]
         changed = set()
-        for p in apart(found):
+        for p in apart(found):  # cues of two keys are never in one pair
             for k, side in ((p["cue"], "left"), (p["cue"] + 1, "right")):
-                rows[k] |= {"text": p[side], "moved": rows[k]["moved"] + 1}
+                texts[k], moved[k] = p[side], moved[k] + 1
+                heard.pop(k)
                 changed.add(k)
+        pairs = [k for k in near if k in changed or k + 1 in changed]
+        if not pairs:
+            break
+    return texts, moved
 
 
 def resegmented(cues: DataFrame, by: str, turns: int = 6, gap_ms: int = 1200) -> DataFrame:
@@ -240,12 +329,12 @@ def resegmented(cues: DataFrame, by: str, turns: int = 6, gap_ms: int = 1200) ->
     out = cues.select(by, *CUE).withColumn("moved", F.lit(0))
     sized = written(cues.select(by, *CUE).withColumn("_n", F.count("*").over(Window.partitionBy(by))), "cues")
 
-    def run(*columns: list) -> list[tuple]:
-        rows = [dict(zip([*CUE, "moved"], (*x, 0), strict=True)) for x in zip(*columns, strict=True)]
-        settled_turns(rows, turns, gap_ms)
-        return [tuple(r.values()) for r in rows]
+    def run(starts: list[int], *columns: list) -> tuple[range, list[list]]:
+        return range(starts[-1]), [*settled_turns(starts, dict(zip(CUE, columns, strict=True)), turns, gap_ms)]
 
-    done = folds.by_sorted(sized.where((F.col("_n") <= WHOLE) & F.col(by).isNotNull()), [by], ["cue"], CUE, run, ", ".join(f"{c} {t}" for c, t in out.dtypes[1:]))
+    short = sized.where((F.col("_n") <= WHOLE) & F.col(by).isNotNull()).withColumnRenamed("text", "_text")
+    own = ["_text" if c == "text" else c for c in CUE]
+    done = folds.by_blocks(short, [by], ["cue"], own, run, "text string, moved int", tuple(c for c in CUE if c != "text")).select(*out.columns)
     large = sized.where((F.col("_n") > WHOLE) | F.col(by).isNull()).drop("_n")
     return done if large.isEmpty() else done.union(by_turns(large, by, turns, gap_ms))
 
